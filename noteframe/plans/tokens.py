@@ -87,3 +87,50 @@ SENT_SQL = ("SELECT pad_sen_id, " + ", ".join(first_sql(c) for c in INFO)
             + ", string_agg(token, ' ' ORDER BY tok) AS text_raw, ["
             + ", ".join(f"max(CAST({dm} AS INTEGER))" for dm in DOMAINS) + "] AS labels"
             + f" FROM ({CLEAN_SQL}) GROUP BY pad_sen_id")
+
+
+# ------------------------------------------------- batch info per note ----
+SOURCES = ["2017", "2018", "cov_2020", "non_cov_2020"]
+
+
+def with_info(df, note: str = "NotitieID"):
+    """Source and sampling method of each annotated note (batch info)."""
+    from noteframe.functions.hashing import md5_bucket
+    src = F.array(*[F.lit(s) for s in SOURCES])
+    return df.withColumns({
+        "source": F.get(src, (md5_bucket(note, F.lit("src")) % 4).cast("int")),
+        "samp_meth": F.when(md5_bucket(note, F.lit("iaa")) % 4 == 0, F.lit("kwd_iaa"))
+                      .when(md5_bucket(note, F.lit("meth")) % 2 == 0, F.lit("kwd")).otherwise(F.lit("rndm")),
+    })
+
+
+def info_sql(base: str) -> str:
+    src = "[" + ", ".join(f"'{s}'" for s in SOURCES) + "]"
+    return (f"SELECT *, {src}[CAST({H('NotitieID', chr(39) + 'src' + chr(39))} % 4 AS INTEGER) + 1] AS source, "
+            f"CASE WHEN {H('NotitieID', chr(39) + 'iaa' + chr(39))} % 4 = 0 THEN 'kwd_iaa' "
+            f"WHEN {H('NotitieID', chr(39) + 'meth' + chr(39))} % 2 = 0 THEN 'kwd' ELSE 'rndm' END AS samp_meth FROM ({base})")
+
+
+def adjusted(spark, d):
+    """Report input: parsed tokens + batch info, disregarded notes dropped,
+    week 14 masked (no annotator dedup, as in the reports)."""
+    t = with_info(parsed(spark, d))
+    return C.mask_domain_for_batch(C.drop_disregard(t), "MBW", "week_14")
+
+
+ADJ_SQL = f"""SELECT * EXCLUDE (disregard) REPLACE (CASE WHEN batch = 'week_14' THEN false ELSE MBW END AS MBW,
+  CASE WHEN batch = 'week_14' THEN NULL ELSE MBW_lvl END AS MBW_lvl)
+FROM ({info_sql(PARSED_SQL)}) x WHERE NOT EXISTS (SELECT 1 FROM ({PARSED_SQL}) y WHERE y.disregard AND y.NotitieID = x.NotitieID)"""
+
+
+# ------------------------------------------------------------- splits -----
+SPLIT_SEED = 19
+
+
+def split_sql(base: str, group: str = "NotitieID", train: float = 0.8) -> str:
+    """DuckDB twin of group_split_3way: rank groups by (bucket, id)."""
+    return f"""SELECT t.*, s.split FROM ({base}) t LEFT JOIN (
+  SELECT {group}, CASE WHEN r < rest - ceil(rest * 0.5) THEN 'dev' WHEN r < rest THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT {group}, row_number() OVER (ORDER BY {H(str(SPLIT_SEED), group)}, {group}) - 1 AS r,
+               ceil({1 - train!r} * count(*) OVER ()) AS rest
+        FROM (SELECT DISTINCT {group} FROM ({base})))) s USING ({group})"""
