@@ -196,14 +196,16 @@ def group_split_2way(df: DataFrame, group: str = "MDN", test: float = 0.2,
     return df.join(lab, group, "left")
 
 
-def example_sample(long: DataFrame, domain: str, kind: str, n: int = 1, seed: int = 0,
+def example_sample(long: DataFrame, domain: str | None, kind: str, n: int = 1, seed: int = 0,
                    id_col: str = "pad_sen_id", dom_col: str = "domains") -> DataFrame:
     """``n`` seeded false-positive (kind='fp') or false-negative
-    ('fn') rows of a domain."""
+    ('fn') rows of a domain (``domain=None``: of every domain at once, as a
+    per-domain top-n that Spark limits before the shuffle)."""
     cond = (F.col("labels") == 0) & (F.col("preds") == 1) if kind == "fp" else \
         (F.col("labels") == 1) & (F.col("preds") == 0)
-    return (long.filter((F.col(dom_col) == domain) & cond)
-                .withColumn("_k", _key(id_col, seed)).orderBy("_k", id_col).limit(n).drop("_k"))
+    rows = long.filter(cond if domain is None else cond & (F.col(dom_col) == domain))
+    w = Window.partitionBy(dom_col).orderBy(_key(id_col, seed), F.col(id_col))
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def seeded_annotation_mix(train: DataFrame, pilot_sentences: DataFrame, labels: str = "labels") -> DataFrame:

@@ -134,3 +134,47 @@ def split_sql(base: str, group: str = "NotitieID", train: float = 0.8) -> str:
   FROM (SELECT {group}, row_number() OVER (ORDER BY {H(str(SPLIT_SEED), group)}, {group}) - 1 AS r,
                ceil({1 - train!r} * count(*) OVER ()) AS rest
         FROM (SELECT DISTINCT {group} FROM ({base})))) s USING ({group})"""
+
+
+# ----------------------------------------------------------- predictions --
+def predictions(spark, d):
+    """Sentences + ``pred_bert`` (the gold vector with md5-chosen slots
+    flipped), a nested copy ``pred_nested`` and ``scores`` for ranking."""
+    from noteframe.functions.hashing import md5_bucket
+    s = sentences(spark, d)
+    lab = [F.get(F.col("labels"), i) for i in range(len(DOMAINS))]
+    pred = F.array(*[F.when(md5_bucket("pad_sen_id", F.lit(i)) % 10 == 0, 1 - lab[i]).otherwise(lab[i])
+                     for i in range(len(DOMAINS))])
+    s = s.withColumn("pred_bert", pred)
+    scores = F.array(*[(md5_bucket("pad_sen_id", F.lit(i), F.lit("s")) % 1000).cast("double") / F.lit(1000.0).cast("double")
+                       + F.get(F.col("pred_bert"), i).cast("double") * 0.6 for i in range(len(DOMAINS))])
+    return s.withColumns({"pred_nested": F.array(F.col("pred_bert")), "scores": scores})
+
+
+PRED_SQL = ("SELECT *, [" + ", ".join(
+    f"CASE WHEN {H('pad_sen_id', str(i))} % 10 = 0 THEN 1 - labels[{i + 1}] ELSE labels[{i + 1}] END" for i in range(9))
+    + f"] AS pred_bert FROM ({SENT_SQL})")
+PRED_SQL = ("SELECT *, [" + ", ".join(
+    f"CAST({H('pad_sen_id', str(i), chr(39) + 's' + chr(39))} % 1000 AS DOUBLE) / 1000.0 + CAST(pred_bert[{i + 1}] AS DOUBLE) * 0.6"
+    for i in range(9)) + f"] AS scores FROM ({PRED_SQL})")
+
+LONG_SQL = ("SELECT pad_sen_id, NotitieID, annotator, unnest([" + ", ".join(f"'{dm}'" for dm in DOMAINS)
+            + f"]) AS domains, unnest(labels) AS labels, unnest(pred_bert) AS preds FROM ({PRED_SQL})")
+
+
+def long_preds(spark, d):
+    from noteframe.operators import evaluate as H
+    p = C.rename_pred_column(C.flatten_nested_preds(predictions(spark, d).drop("pred_bert")).drop("scores"), "nested",
+                             "preds")
+    return H.explode_multilabel(p, DOMAINS, "labels", "preds")
+
+
+# ---------------------------------------------------- agreement tokens ----
+def agreement_tokens(spark, d):
+    t = C.mask_domain_for_batch(C.add_pad_sen_id(parsed(spark, d)), "MBW", "week_14")
+    return t.fillna({c: False for c in PARSE_DOMAINS + ["target", "background", "plus"]})
+
+
+_FILL_NO_MBW = ", ".join(f"coalesce({c}, false) AS {c}" for c in PARSE_DOMAINS + ["target", "background", "plus"] if c != "MBW")
+AGR_SQL = (f"SELECT * REPLACE ({_FILL_NO_MBW}, CASE WHEN batch = 'week_14' THEN false ELSE coalesce(MBW, false) END AS MBW, "
+           f"CASE WHEN batch = 'week_14' THEN NULL ELSE MBW_lvl END AS MBW_lvl) FROM (SELECT *, {_PAD} AS pad_sen_id FROM ({PARSED_SQL}))")
