@@ -46,23 +46,27 @@ def first_info_per_group(df: DataFrame, group: Sequence[str], order: Sequence[st
 
 def build_sentences(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
                     info: Sequence[str] = INFO_COLS,
-                    bg: str = "background_sent", tgt: str = "target_sent") -> DataFrame:
+                    bg: str = "background_sent", tgt: str = "target_sent",
+                    keys: Sequence[str] = ("NotitieID", "pad_sen_id")) -> DataFrame:
     """One row per sentence (pad_sen_id): first info values in token
     order, tokens joined by one space in token order, any() per domain as a
-    0/1 vector in canonical order. Expects B8/D1 applied (flags non-NULL)."""
+    0/1 vector in canonical order. Expects B8/D1 applied (flags non-NULL).
+    The note id is part of the key (a sentence id determines its note), so
+    a partitioning by note serves this aggregation without a new shuffle."""
     order = F.struct(F.col("tok"))
-    aggs = [_first(c, order) for c in list(info) + [bg, tgt]]
+    aggs = [_first(c, order) for c in list(info) + [bg, tgt] if c not in keys]
     aggs.append(_ordered_text(["tok"]).alias("text_raw"))
     aggs.append(F.array(*[F.max(F.col(d).cast("int")) for d in domains]).alias("labels"))
-    return tokens.groupBy("pad_sen_id").agg(*aggs)
+    return tokens.groupBy(*keys).agg(*aggs)
 
 
 def sentence_mean_levels(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
-                         info: Sequence[str] = INFO_COLS) -> DataFrame:
+                         info: Sequence[str] = INFO_COLS,
+                         keys: Sequence[str] = ("NotitieID", "pad_sen_id")) -> DataFrame:
     """D3: mean of non-NULL levels per sentence, text in token order."""
     order = F.struct(F.col("tok"))
-    return tokens.groupBy("pad_sen_id").agg(
-        *[_first(c, order) for c in info],
+    return tokens.groupBy(*keys).agg(
+        *[_first(c, order) for c in info if c not in keys],
         _ordered_text(["tok"]).alias("text_raw"),
         *[F.avg(f"{d}_lvl").alias(f"{d}_lvl") for d in domains])
 

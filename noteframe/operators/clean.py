@@ -39,13 +39,20 @@ def dedup_on_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str] | Non
 
 
 def drop_disregard(df: DataFrame, note: str = "NotitieID", flag: str = "disregard",
-                   keep_flag_col: bool = False) -> DataFrame:
+                   keep_flag_col: bool = False, clustered: bool = False) -> DataFrame:
     """Drop every note in which any token is flagged; drop the flag.
 
-    Anti-join against the distinct flagged note ids: only the (small) id set
-    is aggregated, and AQE broadcasts it when its runtime size allows."""
-    flagged = df.filter(F.col(flag)).select(note).distinct()
-    out = df.join(flagged, note, "left_anti")
+    Default: anti-join against the distinct flagged note ids (only the id
+    set is aggregated; AQE broadcasts it when its runtime size allows).
+    ``clustered=True`` (input already partitioned by note): a per-note
+    window instead, so the input is not read a second time."""
+    if clustered:
+        w = Window.partitionBy(note)
+        out = (df.withColumn("_dn", F.coalesce(F.bool_or(F.col(flag)).over(w), F.lit(False)))
+                 .filter(~F.col("_dn")).drop("_dn"))
+    else:
+        flagged = df.filter(F.col(flag)).select(note).distinct()
+        out = df.join(flagged, note, "left_anti")
     return out if keep_flag_col else out.drop(flag)
 
 

@@ -157,10 +157,19 @@ def batch_shortfall(batch: DataFrame, quotas: Sequence[Mapping], annotators: Seq
 
 
 def dedup_annotators(df: DataFrame, seed: int = 0, note: str = "NotitieID",
-                     annotator: str = "annotator") -> DataFrame:
-    """Keep one (seeded) annotator per note."""
-    pairs = df.select(note, annotator).distinct()
+                     annotator: str = "annotator", clustered: bool = False) -> DataFrame:
+    """Keep one (seeded) annotator per note.
+
+    ``clustered=True`` (input already hash-partitioned by note): a window
+    per note picks the annotator in place, without re-reading the input.
+    Otherwise the distinct (note, annotator) pairs are reduced map-side and
+    semi-joined back, which avoids shuffling the full input."""
     key = F.struct(md5_bucket(F.lit(seed), F.col(note), F.col(annotator)), F.col(annotator))
+    if clustered:
+        w = Window.partitionBy(note)
+        chosen = F.min(key).over(w)[annotator]
+        return df.withColumn("_chosen", chosen).filter(F.col(annotator) == F.col("_chosen")).drop("_chosen")
+    pairs = df.select(note, annotator).distinct()
     chosen = pairs.groupBy(note).agg(F.min_by(annotator, key).alias(annotator))
     return df.join(chosen, [note, annotator], "left_semi")
 

@@ -33,10 +33,22 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin only when the scan yields fewer tasks than cores (a few
+    big files); a large multi-file input is left as split by the scan, so
+    no extra shuffle of the raw text is paid at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 # ------------------------------------------------------------------ notes --
 def notes(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
-    return doc.select(
+    return spread(doc).select(
         F.concat(F.lit("p"), (F.col("doc_id") / 8).cast("bigint").cast("string")).alias("MDN"),
         F.col("doc_id").cast("string").alias("NotitieID"),
         F.col("lang").alias("Typenotitie"),
@@ -96,9 +108,9 @@ def keyword_table(spark: SparkSession) -> DataFrame:
 
 
 # ----------------------------------------------------------------- tokens --
-def _label_expr(b_shared, b_own) -> "F.Column":
-    """Tag string of one token for one annotator from two md5 buckets."""
-    b = F.when(b_own % 10 < 7, b_shared).otherwise(b_own)
+def _label_expr(b) -> "F.Column":
+    """Tag string of one token for one annotator from its md5 bucket ``b``
+    (a column computed once upstream: md5 is not re-evaluated per branch)."""
     kind = b % 100
     dom_i = ((b / 100).cast("bigint") % 9).cast("int")
     lvl = (b / 1000).cast("bigint") % 5
@@ -118,14 +130,27 @@ def _label_expr(b_shared, b_own) -> "F.Column":
 
 def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
     """M7: one row per (token, annotator)."""
-    c = table(spark, d, "conversations")
+    # Hash-partition the turn rows by note once, before the token explode:
+    # every later key (note, sentence, annotator) contains the note id, so
+    # dedup, disregard, sentence flags and sentence assembly all reuse this
+    # partitioning instead of shuffling token rows again.
+    c = table(spark, d, "conversations").select(
+        "conv_id", "turn", "text", F.col("conv_id").cast("string").alias("NotitieID"))
+    # explicit count: AQE must not coalesce the (small) turn rows into a
+    # few tasks, since the explode multiplies them ~100x downstream
+    c = c.repartition(shuffle_partitions(spark), "NotitieID")
     note = c.select(
-        "conv_id", "turn",
+        "conv_id", "turn", "NotitieID",
         F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0)).alias("pos", "token"))
     iaa = md5_bucket("conv_id", F.lit("iaa")) % 4 == 0
     anns = F.array(*[F.lit(a) for a in ANNOTATORS])
     one = F.array(F.element_at(anns, (md5_bucket("conv_id", F.lit("ann")) % 3 + 1).cast("int")))
     t = note.withColumn("annotator", F.explode(F.when(iaa, anns).otherwise(one)))
+    # buckets first, as columns, so the label CASE reads them instead of
+    # re-evaluating md5 in every branch
+    t = t.select("*", md5_bucket("conv_id", "turn", "pos").alias("_bs"),
+                 md5_bucket("conv_id", "turn", "pos", "annotator").alias("_bo"))
+    t = t.select("*", F.when(F.col("_bo") % 10 < 7, F.col("_bs")).otherwise(F.col("_bo")).alias("_b"))
     s = (F.col("turn") + 1).cast("string")
     k = (F.col("pos") + 1).cast("string")
     return t.select(
@@ -133,14 +158,13 @@ def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
         F.concat((F.col("pos") * 10).cast("string"), F.lit("-"),
                  (F.col("pos") * 10 + F.length("token")).cast("string")).alias("char"),
         "token",
-        _label_expr(md5_bucket("conv_id", "turn", "pos"),
-                    md5_bucket("conv_id", "turn", "pos", "annotator")).alias("label"),
+        _label_expr(F.col("_b")).alias("label"),
         F.lit("_").alias("relation"),
         "annotator",
         F.concat(F.lit("inst"), (md5_bucket("conv_id", F.lit("inst")) % 3).cast("string")).alias("institution"),
         (F.lit(2017) + md5_bucket("conv_id", F.lit("year")) % 4).cast("string").alias("year"),
         F.concat(F.lit("p"), (F.col("conv_id") / 4).cast("bigint").cast("string")).alias("MDN"),
-        F.col("conv_id").cast("string").alias("NotitieID"),
+        "NotitieID",
         F.concat(F.lit("week_"), (F.lit(14) + md5_bucket("conv_id", F.lit("batch")) % 4).cast("string")).alias("batch"),
         F.lit(None).cast("string").alias("legacy_rawfile"),
     )

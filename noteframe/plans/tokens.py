@@ -29,11 +29,13 @@ def parsed(spark, d):
 
 
 def clean(spark, d):
-    t = S.dedup_annotators(parsed(spark, d), SEED)
-    t = C.drop_disregard(t)
+    # tokens are hash-partitioned by note (bindings.tokens_raw): per-note
+    # windows reuse that partitioning and never re-read the input
+    t = S.dedup_annotators(parsed(spark, d), SEED, clustered=True)
+    t = C.drop_disregard(t, clustered=True)
     t = C.mask_domain_for_batch(t, "MBW", "week_14")
-    t = A.flag_group_any(t, "sen_id", "background", "background_sent")
-    t = A.flag_group_any(t, "sen_id", "target", "target_sent")
+    t = A.flag_group_any(t, ["NotitieID", "sen_id"], "background", "background_sent")
+    t = A.flag_group_any(t, ["NotitieID", "sen_id"], "target", "target_sent")
     t = C.add_pad_sen_id(t)
     return C.standardize_nulls(t, PARSE_DOMAINS + ["target", "background", "plus"])
 
