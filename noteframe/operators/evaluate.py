@@ -71,17 +71,48 @@ def error_rows(long: DataFrame, kind: str, key: str = "pad_sen_id") -> DataFrame
     raise ValueError(kind)
 
 
-def _fn_fp(long: DataFrame, key: str):
-    fn = long.filter((F.col("labels") == 1) & (F.col("preds") == 0)).select(key, F.col("domains").alias("gold"))
-    fp = long.filter((F.col("labels") == 0) & (F.col("preds") == 1)).select(key, F.col("domains").alias("predicted"))
-    return fn, fp
+def sentence_outcomes(long: DataFrame, key: str = "pad_sen_id") -> DataFrame:
+    """Per sentence, the domains that are false negatives, false positives,
+    true positives and correct: one aggregation (one shuffle of the long
+    rows); every confusion cell below is derived from these short arrays."""
+    l, p, d = F.col("labels"), F.col("preds"), F.col("domains")
+    return long.groupBy(key).agg(
+        F.collect_set(F.when((l == 1) & (p == 0), d)).alias("fn"),
+        F.collect_set(F.when((l == 0) & (p == 1), d)).alias("fp"),
+        F.collect_set(F.when((l == 1) & (p == 1), d)).alias("tp"),
+        F.collect_set(F.when(l == p, d)).alias("ok"))
+
+
+def _cells_counts(o):
+    return F.flatten(F.transform("fn", lambda g: F.transform(F.filter("fp", lambda e: e != g),
+                                                              lambda e: F.struct(e.alias("predicted"), g.alias("gold")))))
+
+
+def _cells_true_pos(o):
+    return F.transform("tp", lambda g: F.struct(g.alias("predicted"), g.alias("gold")))
+
+
+def _cells_missed(o):
+    alone = F.filter("fn", lambda g: F.size(F.filter("fp", lambda e: e != g)) == 0)
+    return F.transform(alone, lambda g: F.struct(F.lit(NONE).alias("predicted"), g.alias("gold")))
+
+
+def _cells_spurious(o, strict: bool = False):
+    if strict:
+        sel = F.when(F.size("fn") == 0, F.col("fp")).otherwise(F.array().cast("array<string>"))
+    else:
+        sel = F.filter("fp", lambda e: F.exists("ok", lambda x: x != e))
+    return F.transform(sel, lambda e: F.struct(e.alias("predicted"), F.lit(NONE).alias("gold")))
+
+
+def _count_cells(o: DataFrame, cells) -> DataFrame:
+    return o.select(F.inline(cells)).groupBy("predicted", "gold").agg(F.count("*").alias("n"))
 
 
 def confusion_counts(long: DataFrame, key: str = "pad_sen_id") -> DataFrame:
     """H5: gold d missed and e wrongly predicted in the same sentence."""
-    fn, fp = _fn_fp(long, key)
-    return fn.join(fp, key).filter(F.col("gold") != F.col("predicted")).groupBy("gold", "predicted") \
-             .agg(F.count("*").alias("n"))
+    o = sentence_outcomes(long, key)
+    return _count_cells(o, _cells_counts(o)).select("gold", "predicted", "n")
 
 
 def confusion_true_pos(long: DataFrame) -> DataFrame:
@@ -93,38 +124,31 @@ def confusion_true_pos(long: DataFrame) -> DataFrame:
 def confusion_missed(long: DataFrame, key: str = "pad_sen_id") -> DataFrame:
     """H7: sentences where d is missed and no other domain is wrongly
     predicted (the 'none' row)."""
-    fn, fp = _fn_fp(long, key)
-    other_fp = fn.join(fp, key).filter(F.col("gold") != F.col("predicted")).select(key, "gold").distinct()
-    alone = fn.join(other_fp, [key, "gold"], "left_anti")
-    return alone.groupBy("gold").agg(F.countDistinct(key).alias("n")).withColumn("predicted", F.lit(NONE))
+    o = sentence_outcomes(long, key)
+    return _count_cells(o, _cells_missed(o))
 
 
 def confusion_spurious(long: DataFrame, key: str = "pad_sen_id", strict: bool = False) -> DataFrame:
     """H8: sentences where d is predicted spuriously and some other domain
     is correct (literal, quirk Q16); ``strict`` instead requires that no
     domain was missed in the sentence."""
-    _, fp = _fn_fp(long, key)
-    if strict:
-        missed = long.filter((F.col("labels") == 1) & (F.col("preds") == 0)).select(key).distinct()
-        sel = fp.join(missed, key, "left_anti")
-    else:
-        corr = long.filter(F.col("labels") == F.col("preds")).select(key, F.col("domains").alias("_ok"))
-        sel = fp.join(corr, key).filter(F.col("_ok") != F.col("predicted")).select(key, "predicted").distinct()
-    return sel.groupBy("predicted").agg(F.countDistinct(key).alias("n")).withColumn("gold", F.lit(NONE))
+    o = sentence_outcomes(long, key)
+    return _count_cells(o, _cells_spurious(o, strict))
 
 
 def confusion_matrix(long: DataFrame, domains: Sequence[str] = DOMAINS, key: str = "pad_sen_id") -> DataFrame:
     """H9: H5-H8 in one long matrix (rows = predicted, columns = gold) with
-    the 'none' row and column; missing cells are 0."""
-    cells = (confusion_counts(long, key).select("predicted", "gold", "n")
-             .unionByName(confusion_true_pos(long).select("predicted", "gold", "n"))
-             .unionByName(confusion_missed(long, key).select("predicted", "gold", "n"))
-             .unionByName(confusion_spurious(long, key).select("predicted", "gold", "n")))
+    the 'none' row and column; missing cells are 0. Single pass: every
+    sentence emits its cells, one aggregation counts them."""
+    o = sentence_outcomes(long, key)
+    cells = F.concat(_cells_counts(o), _cells_true_pos(o), _cells_missed(o), _cells_spurious(o))
+    counted = _count_cells(o, cells)
     names = list(domains) + [NONE]
     spark = long.sparkSession
     grid = spark.createDataFrame([(r, c) for r in names for c in names if not (r == NONE and c == NONE)],
                                  "predicted string, gold string")
-    return grid.join(cells, ["predicted", "gold"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
+    return grid.join(F.broadcast(counted), ["predicted", "gold"], "left") \
+               .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
 
 
 def regression_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:

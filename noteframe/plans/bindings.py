@@ -144,8 +144,8 @@ def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
         F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0)).alias("pos", "token"))
     iaa = md5_bucket("conv_id", F.lit("iaa")) % 4 == 0
     anns = F.array(*[F.lit(a) for a in ANNOTATORS])
-    one = F.array(F.element_at(anns, (md5_bucket("conv_id", F.lit("ann")) % 3 + 1).cast("int")))
-    t = note.withColumn("annotator", F.explode(F.when(iaa, anns).otherwise(one)))
+    start = F.when(iaa, F.lit(1)).otherwise((md5_bucket("conv_id", F.lit("ann")) % 3 + 1).cast("int"))
+    t = note.withColumn("annotator", F.explode(F.slice(anns, start, F.when(iaa, F.lit(3)).otherwise(F.lit(1)))))
     # buckets first, as columns, so the label CASE reads them instead of
     # re-evaluating md5 in every branch
     t = t.select("*", md5_bucket("conv_id", "turn", "pos").alias("_bs"),

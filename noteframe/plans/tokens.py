@@ -117,7 +117,7 @@ def adjusted(spark, d):
     """Report input: parsed tokens + batch info, disregarded notes dropped,
     week 14 masked (no annotator dedup, as in the reports)."""
     t = with_info(parsed(spark, d))
-    return C.mask_domain_for_batch(C.drop_disregard(t), "MBW", "week_14")
+    return C.mask_domain_for_batch(C.drop_disregard(t, clustered=True), "MBW", "week_14")
 
 
 ADJ_SQL = f"""SELECT * EXCLUDE (disregard) REPLACE (CASE WHEN batch = 'week_14' THEN false ELSE MBW END AS MBW,
