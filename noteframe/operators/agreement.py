@@ -44,7 +44,7 @@ def pairwise_prf(ml: DataFrame, domains: Sequence[str] = DOMAINS, key: str = "pa
 
 def mean_f1_per_domain(pr: DataFrame) -> DataFrame:
     """Mean F1 (2 decimals) and support range per domain."""
-    return pr.groupBy("domain").agg(F.round(F.avg("f1"), 2).alias("f1"), F.min("support").alias("min_support"),
+    return pr.groupBy("domain").agg(F.bround(F.avg("f1"), 2).alias("f1"), F.min("support").alias("min_support"),
                                     F.max("support").alias("max_support"))
 
 
