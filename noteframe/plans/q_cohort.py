@@ -73,7 +73,7 @@ def join_gold_levels_q(spark, d):
 
 @register("join_batch_info", f"""SELECT t.NotitieID, t.n_tokens, i.source, i.samp_meth FROM (
   SELECT NotitieID, MDN, count(*) AS n_tokens FROM ({b.TOKENS_RAW_SQL}) GROUP BY ALL) t LEFT JOIN (
-  SELECT NotitieID, MDN, min({'s': source, 'm': samp_meth}).s AS source, min({'s': source, 'm': samp_meth}).m AS samp_meth
+  SELECT NotitieID, MDN, min(struct_pack(s := source, m := samp_meth)).s AS source, min(struct_pack(s := source, m := samp_meth)).m AS samp_meth
   FROM ({TK.info_sql('SELECT DISTINCT NotitieID, MDN, annotator FROM (' + b.TOKENS_RAW_SQL + ')')}) GROUP BY ALL) i USING (NotitieID, MDN)""")
 def join_batch_info_q(spark, d):
     """Batch info (one row per annotator) deduplicated, then joined."""
