@@ -19,7 +19,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from noteframe.functions.hashing import md5_bucket
 
@@ -29,12 +28,29 @@ def _key(id_col: str, seed: int):
 
 
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
-    """0-based rank of every row in ``order`` (a total order), computed by a
-    range-partitioned sort and per-partition offsets (``zipWithIndex``)."""
-    s = df.orderBy(*order)
-    schema = T.StructType(s.schema.fields + [T.StructField(out, T.LongType(), False)])
-    rdd = s.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """0-based rank of every row in ``order`` (must be a total order).
+
+    JVM-only: a range partitioning by ``order`` gives ordered, balanced
+    partitions; a row number inside each partition plus the partition's
+    offset (prefix sum of the per-partition counts, one small row per
+    partition collected to the driver) is the global rank."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*cols)
+    # materialised once in the shared checkpoint folder: the counts and the
+    # final ranks must see the same partition assignment, also when a
+    # lost executor forces a recomputation
+    from noteframe.session import cut_lineage
+    numbered = cut_lineage(ranged.withColumn("_rn", F.row_number().over(w) - 1))
+    counts = sorted((r["_pid"], r["c"]) for r in numbered.groupBy("_pid").agg(F.count("*").alias("c")).collect())
+    offsets, acc = [], 0  # one row per partition
+    for pid, c in counts:
+        offsets.append((pid, acc))
+        acc += c
+    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    return numbered.join(F.broadcast(off), "_pid").withColumn(out, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off")
 
 
 def cap_sample(df: DataFrame, id_col: str, n: int = 50000, seed: int = 45) -> DataFrame:

@@ -1,0 +1,2 @@
+"""Sources and sinks: delimited note files, annotation exports, registers,
+CoNLL / per-patient / chunked / flat exports and stage persistence."""
