@@ -139,13 +139,21 @@ def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
     # explicit count: AQE must not coalesce the (small) turn rows into a
     # few tasks, since the explode multiplies them ~100x downstream
     c = c.repartition(shuffle_partitions(spark), "NotitieID")
-    note = c.select(
-        "conv_id", "turn", "NotitieID",
-        F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0)).alias("pos", "token"))
+    # note-level attributes are computed once per turn, before the explode
     iaa = md5_bucket("conv_id", F.lit("iaa")) % 4 == 0
     anns = F.array(*[F.lit(a) for a in ANNOTATORS])
     start = F.when(iaa, F.lit(1)).otherwise((md5_bucket("conv_id", F.lit("ann")) % 3 + 1).cast("int"))
-    t = note.withColumn("annotator", F.explode(F.slice(anns, start, F.when(iaa, F.lit(3)).otherwise(F.lit(1)))))
+    turn = c.select(
+        "conv_id", "turn", "NotitieID", "text",
+        F.slice(anns, start, F.when(iaa, F.lit(3)).otherwise(F.lit(1))).alias("_anns"),
+        F.concat(F.lit("inst"), (md5_bucket("conv_id", F.lit("inst")) % 3).cast("string")).alias("institution"),
+        (F.lit(2017) + md5_bucket("conv_id", F.lit("year")) % 4).cast("string").alias("year"),
+        F.concat(F.lit("p"), (F.col("conv_id") / 4).cast("bigint").cast("string")).alias("MDN"),
+        F.concat(F.lit("week_"), (F.lit(14) + md5_bucket("conv_id", F.lit("batch")) % 4).cast("string")).alias("batch"))
+    note = turn.select(
+        "conv_id", "turn", "NotitieID", "_anns", "institution", "year", "MDN", "batch",
+        F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0)).alias("pos", "token"))
+    t = note.withColumn("annotator", F.explode("_anns"))
     # buckets first, as columns, so the label CASE reads them instead of
     # re-evaluating md5 in every branch
     t = t.select("*", md5_bucket("conv_id", "turn", "pos").alias("_bs"),
@@ -160,12 +168,7 @@ def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
         "token",
         _label_expr(F.col("_b")).alias("label"),
         F.lit("_").alias("relation"),
-        "annotator",
-        F.concat(F.lit("inst"), (md5_bucket("conv_id", F.lit("inst")) % 3).cast("string")).alias("institution"),
-        (F.lit(2017) + md5_bucket("conv_id", F.lit("year")) % 4).cast("string").alias("year"),
-        F.concat(F.lit("p"), (F.col("conv_id") / 4).cast("bigint").cast("string")).alias("MDN"),
-        "NotitieID",
-        F.concat(F.lit("week_"), (F.lit(14) + md5_bucket("conv_id", F.lit("batch")) % 4).cast("string")).alias("batch"),
+        "annotator", "institution", "year", "MDN", "NotitieID", "batch",
         F.lit(None).cast("string").alias("legacy_rawfile"),
     )
 
