@@ -80,6 +80,8 @@ def batch_quotas(sources_other: Sequence[str], source_covid: str, n_files: int,
 
 def _eligible(df: DataFrame, matched_domains: Sequence[str], min_matched: int,
               n_col: str = "n_matched_domains"):
+    if "_el" in df.columns:  # precomputed by select_notes
+        return F.col("_el")
     anym = F.lit(False)
     for d in matched_domains:
         anym = anym | (F.size(F.col(d)) > 0)
@@ -147,15 +149,26 @@ def select_notes(notes: DataFrame, annotators: Sequence[str], sources_other: Seq
                  min_matched_domains: int, n_iaa: int, iaa_sources: Sequence[str],
                  seed: int = 0, id_col: str = "NotitieID", source: str = "source") -> DataFrame:
     """S2-S5 composed. ``notes`` holds all sources (``source`` column)
-    and one array column of keyword matches per domain."""
+    and one array column of keyword matches per domain.
+
+    The keyword search runs once: the candidate table (id, source,
+    eligibility) is checkpointed to the shared folder and the three draws
+    re-read only that. The drawn batch is bounded by the quotas (a
+    parameter), so it is broadcast to pick the full note rows; that
+    semi-join sits below the keyword projection, so matches are recomputed
+    only for the drawn notes."""
     from noteframe.operators.keywords import count_matched_domains
+    from noteframe.session import cut_lineage
     quotas = batch_quotas(sources_other, source_covid, n_files, pct_covid, pct_kwd, n_iaa, iaa_sources)
     data = count_matched_domains(notes, domains)
-    iaa = sample_iaa_shared(data, quotas, annotators, matched_domains, min_matched_domains, seed, id_col, source)
-    kwd = sample_keyword(data, iaa, quotas, annotators, matched_domains, min_matched_domains, seed, id_col, source)
+    cand = cut_lineage(data.select(id_col, source, _eligible(data, matched_domains, min_matched_domains).alias("_el")))
+    iaa = sample_iaa_shared(cand, quotas, annotators, matched_domains, min_matched_domains, seed, id_col, source)
+    kwd = sample_keyword(cand, iaa, quotas, annotators, matched_domains, min_matched_domains, seed, id_col, source)
     used = iaa.select(id_col).unionByName(kwd.select(id_col))
-    rnd = sample_random(data, used, quotas, annotators, seed, id_col, source)
-    return iaa.unionByName(kwd).unionByName(rnd)
+    rnd = sample_random(cand, used, quotas, annotators, seed, id_col, source)
+    batch = iaa.unionByName(kwd).unionByName(rnd).select(id_col, "annotator", "samp_meth")
+    chosen = data.join(F.broadcast(batch.select(id_col).distinct()), id_col, "left_semi")
+    return chosen.join(F.broadcast(batch), id_col)
 
 
 def batch_shortfall(batch: DataFrame, quotas: Sequence[Mapping], annotators: Sequence[str],
