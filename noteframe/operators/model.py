@@ -77,8 +77,28 @@ def fit_classifiers(train: DataFrame, features: str = "features", label: str = "
     return {k: e.fit(train) for k, e in est.items()}
 
 
-def _dist(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+@F.pandas_udf(T.DoubleType())
+def _pair_dist(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-wise Euclidean distance, vectorised over an Arrow batch."""
+    import numpy as np
+    if len(a) == 0:
+        return pd.Series([], dtype="float64")
+    x, y = np.vstack(a.to_numpy()), np.vstack(b.to_numpy())
+    return pd.Series(np.sqrt(((x - y) ** 2).sum(axis=1)))
+
+
+def _pivot_dists(pivots):
+    import numpy as np
+    P = np.asarray(pivots, dtype="float64")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def dists(a: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype="object")
+        x = np.vstack(a.to_numpy())
+        d = np.sqrt(((x[:, None, :] - P[None, :, :]) ** 2).sum(axis=2))
+        return pd.Series(list(d))
+    return dists
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "id", vec: str = "vec",
@@ -93,13 +113,22 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "i
     those cells are probed. A query whose cell has fewer than k points
     probes every cell."""
     from noteframe.operators.sampling import cap_sample
+    spark = train.sparkSession
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tr = train.select(F.col(id_col).alias("tid"), F.col(vec).cast("array<double>").alias("tv"), F.col(label).alias("tl"))
-    te = test.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
+    par = spark.sparkContext.defaultParallelism
+    if tr.rdd.getNumPartitions() < par:  # a few big files: spread the distance work
+        tr = tr.repartition(par)
+    # queries hash-partitioned by id with an explicit count (not coalesced by
+    # AQE): the per-query windows below reuse this partitioning
+    te = test.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("qv")).repartition(n_part, "qid")
     pivots = [r["tv"] for r in cap_sample(tr.select("tid", "tv"), "tid", n_pivots, seed).collect()]
-    lits = [F.array(*[F.lit(float(x)) for x in p]) for p in pivots]
+    # non-deterministic marking keeps Catalyst from copying the UDF into
+    # inferred filters below the joins (it would run more than once per row)
+    pdist = _pivot_dists(pivots).asNondeterministic()  # pivots: n_pivots rows, a bounded parameter
 
     def dists(c):
-        return F.array(*[_dist(F.col(c), lv) for lv in lits])
+        return pdist(F.col(c))
 
     def argmin(arr):
         return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
@@ -108,7 +137,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "i
     q = te.withColumn("dq", dists("qv")).withColumn("own", argmin(F.col("dq"))) \
           .withColumn("d_own", F.array_min("dq"))
     # pass 1: k-th distance inside the own cell (inf when fewer than k)
-    first = q.join(tc, F.col("own") == F.col("cell")).select("qid", _dist("qv", "tv").alias("d"), "tid")
+    first = q.join(tc, F.col("own") == F.col("cell")).select("qid", _pair_dist.asNondeterministic()(F.col("qv"), F.col("tv")).alias("d"), "tid")
     kth = first.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "tid"))) \
                .filter(F.col("_r") == k).select("qid", F.col("d").alias("r_k"))
     bound = q.join(kth, "qid", "left").withColumn("r_k", F.coalesce("r_k", F.lit(math.inf)))
@@ -116,7 +145,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "i
     idx = F.sequence(F.lit(0), F.lit(len(pivots) - 1))
     cells = F.filter(idx, lambda i: (F.get(F.col("dq"), i) - F.col("d_own")) / 2 <= F.col("r_k"))
     cand = bound.select("qid", "qv", F.explode(cells).alias("cell"))
-    pairs = cand.join(tc, "cell").select("qid", "tid", "tl", _dist("qv", "tv").alias("d"))
+    pairs = cand.join(tc, "cell").select("qid", "tid", "tl", _pair_dist.asNondeterministic()(F.col("qv"), F.col("tv")).alias("d"))
     nn = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "tid"))) \
               .filter(F.col("_r") <= k)
     votes = nn.groupBy("qid", "tl").agg(F.count("*").alias("_v"))
