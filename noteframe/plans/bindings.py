@@ -28,6 +28,21 @@ from noteframe.functions.hashing import md5_bucket, sql_md5_bucket as H
 
 ANNOTATORS = ["ann_a", "ann_b", "ann_c"]
 
+_MEMO: dict = {}
+
+
+def memo(fn):
+    """Reuse the (immutable, lazy) DataFrame built for the same session and
+    data folder: many queries share a base relation, and building a large
+    plan in Python costs seconds of analysis each time."""
+    def wrapped(spark, d):
+        key = (fn.__module__, fn.__name__, id(spark), spark.sparkContext.applicationId, d)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, d)
+        return _MEMO[key]
+    wrapped.__name__, wrapped.__doc__ = fn.__name__, fn.__doc__
+    return wrapped
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -46,6 +61,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ notes --
+@memo
 def notes(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     return spread(doc).select(
@@ -128,6 +144,7 @@ def _label_expr(b) -> "F.Column":
              .otherwise(lv))
 
 
+@memo
 def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
     """M7: one row per (token, annotator)."""
     # Hash-partition the turn rows by note once, before the token explode:
@@ -215,6 +232,7 @@ FROM (
 )"""
 
 # ---------------------------------------------------------------- timeline --
+@memo
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     """M13 from events: one note per event, nine nullable double levels."""
     e = table(spark, d, "events")
@@ -240,6 +258,7 @@ TIMELINE_SQL = "SELECT CAST(user_id AS VARCHAR) AS MDN, 'inst' || CAST(user_id %
 
 
 # ------------------------------------------------------------------ visits --
+@memo
 def visits(spark: SparkSession, d: str) -> DataFrame:
     """Patient visits with multi-year gaps (orders): MDN, NotitieID, date."""
     o = table(spark, d, "orders")

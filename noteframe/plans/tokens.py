@@ -16,18 +16,21 @@ from noteframe.operators import clean as C
 from noteframe.operators import labels as P
 from noteframe.operators import sampling as S
 from noteframe.plans import bindings as b
+from noteframe.plans.bindings import memo
 
 PARSE_DOMAINS = [t[-3:] for t in P.categorize_tags(TAGSET_CURRENT)["domains"]]
 FLAGS4 = ["disregard", "target", "background", "plus"]
 SEED = 0
 
 
+@memo
 def parsed(spark, d):
     t = C.split_sen_tok(b.tokens_raw(spark, d))
     t = t.withColumn("sen_no", F.get(F.split("sen_tok", "-"), 0).cast("int"))
     return P.parse_labels(t, TAGSET_CURRENT)
 
 
+@memo
 def clean(spark, d):
     # tokens are hash-partitioned by note (bindings.tokens_raw): per-note
     # windows reuse that partitioning and never re-read the input
@@ -40,6 +43,7 @@ def clean(spark, d):
     return C.standardize_nulls(t, PARSE_DOMAINS + ["target", "background", "plus"])
 
 
+@memo
 def sentences(spark, d):
     return A.build_sentences(clean(spark, d))
 
@@ -113,6 +117,7 @@ def info_sql(base: str) -> str:
             f"WHEN {H('NotitieID', chr(39) + 'meth' + chr(39))} % 2 = 0 THEN 'kwd' ELSE 'rndm' END AS samp_meth FROM ({base})")
 
 
+@memo
 def adjusted(spark, d):
     """Report input: parsed tokens + batch info, disregarded notes dropped,
     week 14 masked (no annotator dedup, as in the reports)."""
@@ -139,6 +144,7 @@ def split_sql(base: str, group: str = "NotitieID", train: float = 0.8) -> str:
 
 
 # ----------------------------------------------------------- predictions --
+@memo
 def predictions(spark, d):
     """Sentences + ``pred_bert`` (the gold vector with md5-chosen slots
     flipped), a nested copy ``pred_nested`` and ``scores`` for ranking."""
@@ -164,6 +170,7 @@ LONG_SQL = ("SELECT pad_sen_id, NotitieID, annotator, unnest([" + ", ".join(f"'{
             + f"]) AS domains, unnest(labels) AS labels, unnest(pred_bert) AS preds FROM ({PRED_SQL})")
 
 
+@memo
 def long_preds(spark, d):
     from noteframe.operators import evaluate as H
     p = C.rename_pred_column(C.flatten_nested_preds(predictions(spark, d).drop("pred_bert")).drop("scores"), "nested",
@@ -172,6 +179,7 @@ def long_preds(spark, d):
 
 
 # ---------------------------------------------------- agreement tokens ----
+@memo
 def agreement_tokens(spark, d):
     t = C.mask_domain_for_batch(C.add_pad_sen_id(parsed(spark, d)), "MBW", "week_14")
     return t.fillna({c: False for c in PARSE_DOMAINS + ["target", "background", "plus"]})
