@@ -214,7 +214,10 @@ def group_split_3way(df: DataFrame, group: str = "NotitieID", train: float = 0.8
     """train/dev/test by group; proportions are of groups. The non-train
     part is ceil(G * (1 - train)) groups, split in half with the test half
     rounded up (first part dev, second part test)."""
-    groups = df.select(group).distinct()
+    # the distinct groups are materialised once (shared checkpoint folder):
+    # counting and ranking then re-read them instead of the whole input
+    from noteframe.session import cut_lineage
+    groups = cut_lineage(df.select(group).distinct())
     n = groups.count()
     rest, test = _split_counts(n, train)
     dev = rest - test
@@ -227,7 +230,8 @@ def group_split_3way(df: DataFrame, group: str = "NotitieID", train: float = 0.8
 def group_split_2way(df: DataFrame, group: str = "MDN", test: float = 0.2,
                      seed: int = 19, out: str = "split") -> DataFrame:
     """train/test by group, ceil(G * test) test groups."""
-    groups = df.select(group).distinct()
+    from noteframe.session import cut_lineage
+    groups = cut_lineage(df.select(group).distinct())
     n_test = math.ceil(test * groups.count())
     ranked = global_rank(groups.withColumn("_k", _key(group, seed)), ["_k", group], "_r")
     lab = ranked.select(group, F.when(F.col("_r") < n_test, "test").otherwise("train").alias(out))
