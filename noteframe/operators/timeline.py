@@ -179,3 +179,110 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def patients_by_min_notes(df: DataFrame, col: str, n: int, id_col: str = "MDN") -> DataFrame:
     """Patients with at least ``n`` non-NULL values of ``col``."""
     return df.groupBy(id_col).agg(F.count(col).alias("_n")).filter(F.col("_n") >= n).select(id_col)
+
+
+# ------------------------------------------------------------------------
+# Hot patients: a patient may hold a large share of all rows. The window
+# forms above keep a patient in one task; the split forms below number the
+# patient's rows with a range partitioning over (patient, order) -- which
+# cuts a hot patient into many balanced slices -- and then express lag,
+# rolling and expanding features as equi-joins / prefix sums on
+# (patient, row number), keys that are unique per row and never skewed.
+# ``method='auto'`` routes only patients above ``hot_rows`` rows through the
+# split form; everybody else keeps the (cheaper) window.
+# ------------------------------------------------------------------------
+HOT_ROWS = 1_000_000
+
+
+def patient_row_number(df: DataFrame, part: str, order: Sequence[str], out: str = "_rn") -> DataFrame:
+    """1-based row number within each patient, computed without putting a
+    patient in one task: slices of a range partitioning are numbered
+    locally and shifted by the row counts of the patient's earlier slices
+    (at most one count row per (patient, partition))."""
+    from noteframe.session import cut_lineage
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # materialised: both uses below must see the same partition assignment
+    r = cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
+    local = r.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", part).orderBy(*order)))
+    cnt = r.groupBy(part, "_pid").agg(F.count("*").alias("_c"))
+    prev = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(prev), F.lit(0))).drop("_c")
+    return local.join(off, [part, "_pid"]).withColumn(out, F.col("_off") + F.col("_lrn")).drop("_off", "_lrn")
+
+
+def _route(df: DataFrame, part: str, method: str, hot_rows: int, window_fn, split_fn) -> DataFrame:
+    if method == "window":
+        return window_fn(df)
+    if method == "split":
+        return split_fn(df)
+    hot = df.groupBy(part).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(part)
+    return window_fn(df.join(hot, part, "left_anti")).unionByName(split_fn(df.join(hot, part, "left_semi")))
+
+
+def lag_features_split(df: DataFrame, part: str, order: Sequence[str], col: str, lags: Sequence[int] = (1, 2, 3),
+                       prefix: str = "lag") -> DataFrame:
+    """E11 for hot patients: lag k = value at row number rn - k (equi-join)."""
+    r = patient_row_number(df, part, order)
+    src = r.select(part, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("_rn") + k).alias("_rn"))
+                                             for k in lags])).alias("_x"), F.col(col).alias("_v"))
+    src = src.select(part, "_x.k", "_x._rn", "_v")
+    lagged = src.groupBy(part, "_rn").agg(*[F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"{prefix}{k}") for k in lags])
+    return r.join(lagged, [part, "_rn"], "left").drop("_rn", "_pid")
+
+
+def rolling_stats_split(df: DataFrame, part: str, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
+                        aggs: Sequence[str] = ("mean", "sum", "min", "max")) -> DataFrame:
+    """E12 for hot patients: every row is sent to the max(n) rows whose
+    window it belongs to (rn + j), then aggregated per target row."""
+    r = patient_row_number(df, part, order)
+    m = max(windows)
+    src = r.select(part, F.col(col).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"),
+                   F.col("_rn").alias("_src")).withColumn("_rn", F.col("_src") + F.col("_j"))
+    fns = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+    out = []
+    for n in windows:
+        inwin = F.when(F.col("_j") < n, F.col("_v"))
+        full = F.count(inwin) == n
+        out += [F.when(full, fns[a](inwin)).alias(f"rolling_{a}_{n}") for a in aggs]
+    agg = src.groupBy(part, "_rn").agg(*out)
+    return r.join(agg, [part, "_rn"], "left").drop("_rn", "_pid")
+
+
+def expanding_mean_split(df: DataFrame, part: str, order: Sequence[str], col: str, min_n: int = 2,
+                         out: str = "expanding_mean") -> DataFrame:
+    """E13 for hot patients: running sum and count inside each slice plus
+    the totals of the patient's earlier slices."""
+    from noteframe.session import cut_lineage
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    loc = r.withColumns({"_s": F.sum(col).over(w), "_c": F.count(col).over(w)})
+    tot = r.groupBy(part, "_pid").agg(F.sum(col).alias("_ts"), F.count(col).alias("_tc"))
+    prev = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(part, "_pid", F.coalesce(F.sum("_ts").over(prev), F.lit(0.0)).alias("_os"),
+                     F.coalesce(F.sum("_tc").over(prev), F.lit(0)).alias("_oc"))
+    j = loc.join(off, [part, "_pid"])
+    s = F.coalesce(F.col("_s"), F.lit(0.0)) + F.col("_os")
+    c = F.col("_c") + F.col("_oc")
+    return j.withColumn(out, F.when(c >= min_n, s / c)).drop("_s", "_c", "_os", "_oc", "_pid")
+
+
+def lag_features_auto(df, part, order, col, lags=(1, 2, 3), prefix="lag", method="auto", hot_rows=HOT_ROWS):
+    """E11 with hot-patient routing (see the section comment)."""
+    return _route(df, part, method, hot_rows, lambda x: lag_features(x, part, order, col, lags, prefix),
+                  lambda x: lag_features_split(x, part, order, col, lags, prefix))
+
+
+def rolling_stats_auto(df, part, order, col, windows=(3, 7), aggs=("mean", "sum", "min", "max"), method="auto",
+                       hot_rows=HOT_ROWS):
+    """E12 with hot-patient routing."""
+    return _route(df, part, method, hot_rows, lambda x: rolling_stats(x, part, order, col, windows, aggs),
+                  lambda x: rolling_stats_split(x, part, order, col, windows, aggs))
+
+
+def expanding_mean_auto(df, part, order, col, min_n=2, out="expanding_mean", method="auto", hot_rows=HOT_ROWS):
+    """E13 with hot-patient routing."""
+    return _route(df, part, method, hot_rows, lambda x: expanding_mean(x, part, order, col, min_n, out),
+                  lambda x: expanding_mean_split(x, part, order, col, min_n, out))

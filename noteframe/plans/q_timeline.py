@@ -111,7 +111,7 @@ def backfill_q(spark, d):
           f"lag(ADM_lvl, 3) OVER ({_W}) AS lag3 FROM ({_T})")
 def lag_features_q(spark, d):
     """Lags 1-3 of the ADM level."""
-    return E.lag_features(b.timeline(spark, d), "MDN", _ORD, "ADM_lvl").select("NotitieID", "lag1", "lag2", "lag3")
+    return E.lag_features_auto(b.timeline(spark, d), "MDN", _ORD, "ADM_lvl").select("NotitieID", "lag1", "lag2", "lag3")
 
 
 def _roll_sql():
@@ -126,7 +126,7 @@ def _roll_sql():
 @register("rolling_stats", _roll_sql())
 def rolling_stats_q(spark, d):
     """3- and 7-row rolling mean/sum/min/max of the ATT level."""
-    r = E.rolling_stats(b.timeline(spark, d), "MDN", _ORD, "ATT_lvl")
+    r = E.rolling_stats_auto(b.timeline(spark, d), "MDN", _ORD, "ATT_lvl")
     return r.select("NotitieID", *[f"rolling_{a}_{n}" for n in (3, 7) for a in ("mean", "sum", "min", "max")])
 
 
@@ -134,7 +134,7 @@ def rolling_stats_q(spark, d):
           f"FROM ({_T}) WINDOW w AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def expanding_mean_q(spark, d):
     """Expanding mean of the ENR level, at least 2 values."""
-    return E.expanding_mean(b.timeline(spark, d), "MDN", _ORD, "ENR_lvl").select("NotitieID", "expanding_mean")
+    return E.expanding_mean_auto(b.timeline(spark, d), "MDN", _ORD, "ENR_lvl").select("NotitieID", "expanding_mean")
 
 
 _DAILY = f"""SELECT MDN, day, value FROM (SELECT MDN, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day

@@ -43,3 +43,29 @@ def test_align_and_trim(spark):
     assert [r["Dif"] for r in t.orderBy("k").collect()] == [0, 1, 4, 1]
     assert E.trim_first_admission(t, ["k"]).count() == 2
     assert E.trim_first_admission(t, ["k"], mode="row").count() == 3
+
+
+def test_hot_patient_split_forms_match_windows(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for p, n in (("hot", 400), ("a", 7), ("b", 2)):
+        for i in range(n):
+            v = None if rnd.random() < 0.25 else float(rnd.randint(0, 4))
+            rows.append((p, dt.date(2020, 1, 1) + dt.timedelta(i // 3), i, v))
+    df = _df(spark, rows)
+    order = ["Notitiedatum", "k"]
+    for method in ("split", "auto"):
+        kw = dict(method=method, hot_rows=50)
+        pairs = [
+            (E.lag_features(df, "MDN", order, "v"), E.lag_features_auto(df, "MDN", order, "v", **kw)),
+            (E.rolling_stats(df, "MDN", order, "v"), E.rolling_stats_auto(df, "MDN", order, "v", **kw)),
+            (E.expanding_mean(df, "MDN", order, "v"), E.expanding_mean_auto(df, "MDN", order, "v", **kw)),
+        ]
+        for a, b in pairs:
+            cols = sorted(a.columns)
+            ra = sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)
+                         for r in a.select(*cols).collect()), key=repr)
+            rb = sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)
+                         for r in b.select(*cols).collect()), key=repr)
+            assert ra == rb
