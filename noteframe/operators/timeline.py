@@ -75,11 +75,15 @@ def align_time(df: DataFrame, id_col: str = "MDN", date: str = "Notitiedatum", o
 
 
 def day_difference(df: DataFrame, order: Sequence[str], id_col: str = "MDN", days: str = "Days_count",
-                   out: str = "Dif") -> DataFrame:
+                   out: str = "Dif", method: str = "window", hot_rows: int | None = None) -> DataFrame:
     """Day number minus the previous row's, within the patient; first
-    row 0, negatives clipped to 0."""
-    prev = F.lag(days).over(_w(id_col, order))
-    return df.withColumn(out, F.greatest(F.coalesce(F.col(days) - prev, F.lit(0)), F.lit(0)))
+    row 0, negatives clipped to 0. ``method='auto'`` sends very active
+    patients through the split (join-based) lag."""
+    if method == "window":
+        prev = F.lag(days).over(_w(id_col, order))
+        return df.withColumn(out, F.greatest(F.coalesce(F.col(days) - prev, F.lit(0)), F.lit(0)))
+    lagged = lag_features_auto(df, id_col, order, days, [1], "_prev", method, hot_rows or HOT_ROWS)
+    return lagged.withColumn(out, F.greatest(F.coalesce(F.col(days) - F.col("_prev1"), F.lit(0)), F.lit(0))).drop("_prev1")
 
 
 def trim_first_admission(df: DataFrame, order: Sequence[str], id_col: str = "MDN", dif: str = "Dif",

@@ -63,7 +63,7 @@ _DIF_SQL = (f"SELECT *, greatest(coalesce(Days_count - lag(Days_count) OVER ({_W
 
 
 def _dif(spark, d):
-    return E.day_difference(E.align_time(b.timeline(spark, d)), _ORD)
+    return E.day_difference(E.align_time(b.timeline(spark, d)), _ORD, method="auto")
 
 
 @register("align_time", f"SELECT NotitieID, Days_count, Dif FROM ({_DIF_SQL})")
