@@ -290,3 +290,95 @@ def expanding_mean_auto(df, part, order, col, min_n=2, out="expanding_mean", met
     """E13 with hot-patient routing."""
     return _route(df, part, method, hot_rows, lambda x: expanding_mean(x, part, order, col, min_n, out),
                   lambda x: expanding_mean_split(x, part, order, col, min_n, out))
+
+
+def _slices(df: DataFrame, part: str, order: Sequence[str]) -> DataFrame:
+    """Rows tagged with their range-partition slice (``_pid``); materialised
+    so that every use sees the same slices."""
+    from noteframe.session import cut_lineage
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
+
+
+def _carry(per_slice: DataFrame, part: str, cols: Sequence[str], direction: str) -> DataFrame:
+    """For every (patient, slice): the last (direction='prev') or first
+    ('next') non-NULL value of ``cols`` among the patient's *other* slices
+    before / after it. At most one row per (patient, partition)."""
+    if direction == "prev":
+        w = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        return per_slice.select(part, "_pid", *[F.last(c, ignorenulls=True).over(w).alias(f"_c_{c}") for c in cols])
+    w = Window.partitionBy(part).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
+    return per_slice.select(part, "_pid", *[F.first(c, ignorenulls=True).over(w).alias(f"_c_{c}") for c in cols])
+
+
+def backfill_split(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
+    """E10 for hot patients: next non-NULL inside the slice, else the first
+    non-NULL of the patient's later slices."""
+    out = out or col
+    r = _slices(df, part, order)
+    w = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ws = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    loc = r.withColumns({"_loc": F.first(col, ignorenulls=True).over(w), "_sf": F.first(col, ignorenulls=True).over(ws)})
+    per = loc.groupBy(part, "_pid").agg(F.first("_sf").alias("_sf"))
+    nxt = _carry(per, part, ["_sf"], "next")
+    return loc.join(nxt, [part, "_pid"], "left").withColumn(out, F.coalesce("_loc", "_c__sf")) \
+              .drop("_loc", "_sf", "_c__sf", "_pid")
+
+
+def interpolate_linear_split(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
+    """E9 for hot patients: positions are distributed row numbers; the
+    previous / next non-NULL (position, value) come from the slice or are
+    carried from the patient's earlier / later slices."""
+    out = out or col
+    r = patient_row_number(df, part, order, "_i")
+    pv = F.when(F.col(col).isNotNull(), F.struct(F.col("_i").alias("p"), F.col(col).cast("double").alias("v")))
+    base = Window.partitionBy("_pid", part).orderBy(*order)
+    whole = Window.partitionBy("_pid", part)
+    loc = r.withColumns({
+        "_lp": F.last(pv, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_ln": F.first(pv, ignorenulls=True).over(base.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "_sl": F.max(pv).over(whole),            # last non-NULL of the slice (largest position)
+        "_sf": F.min(pv).over(whole)})           # first non-NULL of the slice
+    per = loc.groupBy(part, "_pid").agg(F.first("_sl").alias("_sl"), F.first("_sf").alias("_sf"))
+    prev = _carry(per, part, ["_sl"], "prev")
+    nxt = _carry(per, part, ["_sf"], "next")
+    j = loc.join(prev, [part, "_pid"], "left").join(nxt, [part, "_pid"], "left")
+    p = F.coalesce(F.col("_lp"), F.col("_c__sl"))
+    q = F.coalesce(F.col("_ln"), F.col("_c__sf"))
+    interp = p["v"] + (q["v"] - p["v"]) * (F.col("_i") - p["p"]) / (q["p"] - p["p"])
+    val = (F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(p.isNull(), F.lit(None))
+            .when(q.isNull(), p["v"]).otherwise(interp))
+    return j.withColumn(out, val.cast("double")).drop("_i", "_pid", "_lp", "_ln", "_sl", "_sf", "_c__sl", "_c__sf")
+
+
+def trim_first_admission_split(df: DataFrame, order: Sequence[str], id_col: str = "MDN", dif: str = "Dif",
+                               max_gap: int = 3) -> DataFrame:
+    """E8 (first-admission mode) for hot patients: running max of the gap
+    flag inside the slice, or-ed with the flag of earlier slices."""
+    r = _slices(df, id_col, order)
+    flag = (F.col(dif) >= max_gap).cast("int")
+    w = Window.partitionBy("_pid", id_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    loc = r.withColumn("_m", F.max(flag).over(w))
+    per = r.groupBy(id_col, "_pid").agg(F.max(flag).alias("_sm"))
+    prev = per.select(id_col, "_pid", F.coalesce(F.max("_sm").over(
+        Window.partitionBy(id_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pm"))
+    j = loc.join(prev, [id_col, "_pid"], "left")
+    return j.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", "_pid")
+
+
+def interpolate_linear_auto(df, part, order, col, out=None, method="auto", hot_rows=HOT_ROWS):
+    """E9 with hot-patient routing."""
+    return _route(df, part, method, hot_rows, lambda x: interpolate_linear(x, part, order, col, out),
+                  lambda x: interpolate_linear_split(x, part, order, col, out))
+
+
+def backfill_auto(df, part, order, col, out=None, method="auto", hot_rows=HOT_ROWS):
+    """E10 with hot-patient routing."""
+    return _route(df, part, method, hot_rows, lambda x: backfill(x, part, order, col, out),
+                  lambda x: backfill_split(x, part, order, col, out))
+
+
+def trim_first_admission_auto(df, order, id_col="MDN", dif="Dif", max_gap=3, method="auto", hot_rows=HOT_ROWS):
+    """E8 (first-admission mode) with hot-patient routing."""
+    return _route(df, id_col, method, hot_rows, lambda x: trim_first_admission(x, order, id_col, dif, max_gap),
+                  lambda x: trim_first_admission_split(x, order, id_col, dif, max_gap))

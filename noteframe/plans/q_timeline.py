@@ -78,7 +78,7 @@ def align_time_q(spark, d):
 def trim_first_admission_q(spark, d):
     """Both modes (first admission only / literal row filter)."""
     t = _dif(spark, d)
-    a = E.trim_first_admission(t, _ORD).select(F.lit("first_admission").alias("mode"), "NotitieID")
+    a = E.trim_first_admission_auto(t, _ORD).select(F.lit("first_admission").alias("mode"), "NotitieID")
     r = E.trim_first_admission(t, _ORD, mode="row").select(F.lit("row").alias("mode"), "NotitieID")
     return a.unionByName(r)
 
@@ -98,13 +98,13 @@ def _interp_sql(col: str, part: str = "MDN", order: str = "ts, event_id", base:
 @register("interpolate_linear", f"SELECT NotitieID, ADM_lvl FROM ({_interp_sql('ADM_lvl')})")
 def interpolate_linear_q(spark, d):
     """ADM level filled linearly by row within the patient."""
-    return E.interpolate_linear(b.timeline(spark, d), "MDN", _ORD, "ADM_lvl").select("NotitieID", "ADM_lvl")
+    return E.interpolate_linear_auto(b.timeline(spark, d), "MDN", _ORD, "ADM_lvl").select("NotitieID", "ADM_lvl")
 
 
 @register("backfill", f"SELECT NotitieID, first_value(FAC_lvl IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS FAC_lvl FROM ({_T})")
 def backfill_q(spark, d):
     """Next non-NULL FAC level."""
-    return E.backfill(b.timeline(spark, d), "MDN", _ORD, "FAC_lvl").select("NotitieID", "FAC_lvl")
+    return E.backfill_auto(b.timeline(spark, d), "MDN", _ORD, "FAC_lvl").select("NotitieID", "FAC_lvl")
 
 
 @register("lag_features", f"SELECT NotitieID, lag(ADM_lvl, 1) OVER ({_W}) AS lag1, lag(ADM_lvl, 2) OVER ({_W}) AS lag2, "

@@ -61,6 +61,10 @@ def test_hot_patient_split_forms_match_windows(spark):
             (E.lag_features(df, "MDN", order, "v"), E.lag_features_auto(df, "MDN", order, "v", **kw)),
             (E.rolling_stats(df, "MDN", order, "v"), E.rolling_stats_auto(df, "MDN", order, "v", **kw)),
             (E.expanding_mean(df, "MDN", order, "v"), E.expanding_mean_auto(df, "MDN", order, "v", **kw)),
+            (E.interpolate_linear(df, "MDN", order, "v", "vi"), E.interpolate_linear_auto(df, "MDN", order, "v", "vi", **kw)),
+            (E.backfill(df, "MDN", order, "v", "vb"), E.backfill_auto(df, "MDN", order, "v", "vb", **kw)),
+            (E.trim_first_admission(df.withColumn("Dif", (df.k % 11)), order, "MDN", "Dif", 9),
+             E.trim_first_admission_auto(df.withColumn("Dif", (df.k % 11)), order, "MDN", "Dif", 9, **kw)),
         ]
         for a, b in pairs:
             cols = sorted(a.columns)
