@@ -183,3 +183,53 @@ def anonymize_text_q(spark, d):
     ents = NL.regex_entities(doc, "doc_id", "text", _RULES)
     a = NL.anonymize_text(doc, ents, "doc_id", "text")
     return a.select("doc_id", F.md5("text").alias("text_md5"), "len_text")
+
+
+# ---- scans of files that Spark writes from the given tables first -------
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    import uuid
+    from noteframe.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("scan_notes_csv", "SELECT NotitieID, institution, MDN, concat_ws(' ', " + ", ".join(
+    f"trim(regexp_replace(p{i}, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'))" for i in (1, 2, 3))
+    + ") AS all_text FROM (SELECT CAST(doc_id AS VARCHAR) AS NotitieID, source AS institution, "
+    "'p' || CAST(doc_id // 8 AS VARCHAR) AS MDN, " + ", ".join(f"string_split(text, chr(10))[{i}] AS p{i}" for i in (1, 2, 3))
+    + " FROM documents)")
+def scan_notes_csv_q(spark, d):
+    """A1 + A2 + A4 (+B1, B2): the notes written as headerless ';' files
+    (one folder per source, text lines as separate columns), scanned back
+    with positional projection and the source taken from the file path."""
+    doc = b.table(spark, d, "documents")
+    lines = F.split("text", "\n")
+    out = _scratch(spark, "notes_csv")
+    (doc.select(F.concat(F.lit("p"), (F.col("doc_id") / 8).cast("bigint").cast("string")).alias("mdn"),
+                F.col("doc_id").cast("string").alias("id"), F.col("lang"), F.lit("2020-01-01").alias("dt"),
+                F.lit("x").alias("unused"), *[F.get(lines, i).alias(f"p{i + 1}") for i in range(3)], "source")
+        .write.partitionBy("source").option("sep", ";").option("header", False).csv(out))
+    n = SN.scan_notes_csv(spark, out, "any", sep=";", positions=[0, 1, 2, 3, 5, 6, 7])
+    n = SN.source_from_filename(n, r"source=([^/]+)", "institution", full_path=True)
+    return n.select("NotitieID", "institution", "MDN", "all_text")
+
+
+@register("scan_diagnoses", "SELECT ICD10_diagnose, count(DISTINCT MDN) AS n_patients, count(*) AS n_contacts FROM ("
+          "SELECT 'p' || CAST(doc_id // 8 AS VARCHAR) AS MDN, CASE WHEN toxic = 1 THEN 'T78' ELSE 'Z00' END AS ICD10_diagnose FROM labels) GROUP BY 1")
+def scan_diagnoses_q(spark, d):
+    """A3: a headerless ';' diagnosis file derived from the labels, scanned
+    with the fixed eight string columns."""
+    lab = b.table(spark, d, "labels")
+    out = _scratch(spark, "diagnoses_csv")
+    lab.select(F.concat(F.lit("p"), (F.col("doc_id") / 8).cast("bigint").cast("string")).alias("MDN"),
+               F.col("doc_id").cast("string").alias("CSN"), F.lit("poli"), F.lit("1"), F.lit("LON"), F.lit("ep"),
+               F.lit("d"), F.when(F.col("toxic") == 1, "T78").otherwise("Z00")).write.option("sep", ";").csv(out)
+    dg = SN.scan_diagnoses(spark, out)
+    return dg.groupBy("ICD10_diagnose").agg(F.countDistinct("MDN").alias("n_patients"), F.count("*").alias("n_contacts"))
+
+
+@register("persist_stage", f"SELECT institution, count(*) AS n_notes, count(DISTINCT MDN) AS n_patients FROM ({_N}) GROUP BY 1")
+def persist_stage_q(spark, d):
+    """A stage written as parquet to shared storage and read back."""
+    n = SK.persist_stage(b.notes(spark, d).drop("all_text"), _scratch(spark, "stage"))
+    return n.groupBy("institution").agg(F.count("*").alias("n_notes"), F.countDistinct("MDN").alias("n_patients"))

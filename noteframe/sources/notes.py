@@ -54,9 +54,10 @@ def scan_diagnoses(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
 
 
 def source_from_filename(df: DataFrame, pattern: str = r"([^/_]+)_[^/]*$", out: str = "institution",
-                         group: int = 1) -> DataFrame:
-    """A4: take the source from the scanned file's name (lower-cased)."""
-    name = F.col("_metadata.file_name")
+                         group: int = 1, full_path: bool = False) -> DataFrame:
+    """A4: take the source from the scanned file's name (or, with
+    ``full_path``, from its whole path), lower-cased."""
+    name = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
     return df.withColumn(out, F.lower(F.regexp_extract(name, pattern, group)))
 
 
