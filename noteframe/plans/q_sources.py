@@ -233,3 +233,23 @@ def persist_stage_q(spark, d):
     """A stage written as parquet to shared storage and read back."""
     n = SK.persist_stage(b.notes(spark, d).drop("all_text"), _scratch(spark, "stage"))
     return n.groupBy("institution").agg(F.count("*").alias("n_notes"), F.countDistinct("MDN").alias("n_patients"))
+
+
+@register("load_tagset", "SELECT category, count(*) AS n_tags FROM (SELECT DISTINCT tag, CASE WHEN regexp_matches(tag, '^\\.') THEN 'domains' "
+          "WHEN regexp_matches(tag, '^[a-z]{3}\\d') THEN 'levels' WHEN starts_with(tag, 'other_disregard_file') THEN 'disregard' "
+          "WHEN starts_with(tag, 'other_target') THEN 'target' WHEN starts_with(tag, 'other_background') THEN 'background' "
+          "WHEN starts_with(tag, 'mbw_plus') THEN 'plus' END AS category FROM (SELECT unnest(string_split(label, '|')) AS tag "
+          f"FROM ({b.TOKENS_RAW_SQL}) WHERE label <> '_')) GROUP BY 1")
+def load_tagset_q(spark, d):
+    """A11 (+P1): the tags used in the annotations written as a tag-set JSON
+    document (one bounded row: a tag set holds tens of tags), loaded back
+    and categorised."""
+    from noteframe.operators import labels as P
+    tags = (b.tokens_raw(spark, d).filter(F.col("label") != "_")
+            .select(F.explode(F.split("label", r"\|")).alias("tag_name")).distinct())
+    doc = tags.agg(F.array_sort(F.collect_list(F.struct(F.col("tag_name"), F.lit("").alias("tag_description")))).alias("tags")) \
+              .select(F.lit("derived").alias("name"), "tags")
+    out = _scratch(spark, "tagset_json")
+    doc.coalesce(1).write.json(out)
+    cat = P.categorize_tags_df(P.load_tagset(spark, out))
+    return cat.groupBy("category").agg(F.count("*").alias("n_tags"))
