@@ -44,13 +44,18 @@ def route_by_domain(long: DataFrame, dom_col: str = "domains", pred: str = "pred
 def standard_scale(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Zero mean / unit variance with the population deviation (as
     sklearn), fitted on the training rows only (quirk Q18 fixed)."""
-    stats = train.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
+    # one row of 2 x len(cols) numbers: fetched once and inlined as literals
+    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
 
     def apply(df):
-        j = df.join(F.broadcast(stats))  # one-row statistics table
-        scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
-                      .otherwise(F.col(c) - F.col(f"_m_{c}")) for c in cols}
-        return j.withColumns(scaled).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        scaled = {}
+        for c in cols:
+            m, sd = row[f"m_{c}"], row[f"s_{c}"]
+            if m is None:
+                continue
+            centred = F.col(c) - F.lit(float(m))
+            scaled[c] = centred / F.lit(float(sd)) if sd else centred
+        return df.withColumns(scaled)
     return apply(train), apply(test)
 
 

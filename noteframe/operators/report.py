@@ -300,9 +300,9 @@ def activity_tier_summary(df: DataFrame, tiers: Sequence[int], id_col: str = "MD
     patient, then each tier is a filter over the per-patient rows."""
     per = df.groupBy(id_col).agg(F.count("*").alias("n"),
                                  F.count(F.when(F.col(annotated), 1)).alias("a"))
-    spark = df.sparkSession
-    t = spark.createDataFrame([(int(x),) for x in tiers], "tier int")
-    j = per.join(F.broadcast(t), per["n"] > t["tier"])  # tiers: a handful of parameters
+    # each patient row is expanded to the tiers it exceeds (no join)
+    tier_arr = F.array(*[F.lit(int(x)) for x in tiers])
+    j = per.select("n", "a", F.explode(F.filter(tier_arr, lambda t: F.col("n") > t)).alias("tier"))
     return j.groupBy("tier").agg(F.count("*").alias("unique_ids"), F.sum("a").alias("annotated"),
                                  (F.sum("n") - F.sum("a")).alias("not_annotated"), F.sum("n").alias("total_notes"))
 
