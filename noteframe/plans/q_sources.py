@@ -108,11 +108,9 @@ def update_register_q(spark, d):
           "UNION ALL SELECT 'pages' FROM pages) GROUP BY 1")
 def concat_sources_labelled_q(spark, d):
     """Named frames -> one frame with a source column."""
-    doc = b.table(spark, d, "documents").select("doc_id")
     frames = {"en": b.table(spark, d, "documents").filter("lang = 'en'").select("doc_id"),
               "de": b.table(spark, d, "documents").filter("lang = 'de'").select("doc_id"),
               "pages": b.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))}
-    del doc
     return SN.concat_sources_labelled(frames).groupBy("source").agg(F.count("*").alias("n"))
 
 
