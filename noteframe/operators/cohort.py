@@ -147,7 +147,10 @@ def token_align_annotators(df: DataFrame, annotators: Sequence[str],
         hit = F.col("annotator") == a
         aggs += [F.max(F.when(hit, F.col("label"))).alias(f"label_{a}"),
                  F.max(F.when(hit, F.col("relation"))).alias(f"relation_{a}")]
-    al = df.groupBy(*keys).agg(*aggs)
+    # grouping by the note too (a sentence id determines its note) lets a
+    # note partitioning of the tokens serve both aggregations
+    note = ["NotitieID"] if "NotitieID" in df.columns and "NotitieID" not in keys else []
+    al = df.groupBy(*note, *keys).agg(*aggs)
     any_lab = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"label_{a}") != "_", F.lit(False)) for a in annotators])
-    labelled = al.filter(any_lab).select("sen_id").distinct()
-    return al.join(labelled, "sen_id", "left_semi")
+    labelled = al.filter(any_lab).select(*note, "sen_id").distinct()
+    return al.join(labelled, [*note, "sen_id"], "left_semi").drop(*note)

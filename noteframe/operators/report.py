@@ -100,7 +100,10 @@ def domain_distribution(tokens: DataFrame, domains: Sequence[str] = DOMAINS, sou
     margins (total row and column) and percent of the row total (rounded
     half to even, as numpy). Long form: (source, domain, n, pct)."""
     t = tokens.filter(_has_domain(domains)) if prefilter else tokens
-    per_sen = t.groupBy(source, sen).agg(*[F.max(F.coalesce(F.col(d), F.lit(False)).cast("int")).alias(d) for d in domains])
+    # the note id (when present) is added to the key: a sentence belongs to
+    # one note, so the groups are the same and a note partitioning is reused
+    keys = ["NotitieID", source, sen] if "NotitieID" in t.columns else [source, sen]
+    per_sen = t.groupBy(*keys).agg(*[F.max(F.coalesce(F.col(d), F.lit(False)).cast("int")).alias(d) for d in domains])
     g = per_sen.groupBy(source).agg(*[F.sum(d).alias(d) for d in domains])
     g = _with_sum_row(g, source)
     g = g.withColumn(TOTAL, reduce(lambda a, b: a + b, [F.col(d) for d in domains]))
@@ -120,7 +123,8 @@ def level_distribution(tokens: DataFrame, domains: Sequence[str] = DOMAINS, sour
                        sen: str = "sen_id") -> DataFrame:
     """Per source x domain x level, sentences holding that level at
     least once; plus the total over sources."""
-    lv = _level_long(tokens, domains, [source, sen]).distinct()
+    keys = ["NotitieID", source, sen] if "NotitieID" in tokens.columns else [source, sen]
+    lv = _level_long(tokens, domains, keys).distinct()
     g = lv.groupBy(source, "domain", "level").agg(F.count("*").alias("n"))
     tot = g.groupBy("domain", "level").agg(F.sum("n").alias("n")).withColumn(source, F.lit(TOTAL))
     return g.unionByName(tot.select(source, "domain", "level", F.col("n").cast("bigint")))
