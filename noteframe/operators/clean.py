@@ -124,13 +124,14 @@ def annotator_alias(df: DataFrame, col: str = "annotator", out: str | None = Non
     """Annotator -> first letter, but only when that initial is unique
     among all annotators (else the full name is kept; quirk Q5).
 
-    The alias table has one row per distinct annotator (bounded by staff)."""
+    The alias table has one row per distinct annotator; its join is left to
+    AQE (broadcast once its runtime size is known to be small)."""
     out = out or col
     names = df.select(col).distinct().withColumn("_ini", F.substring(col, 1, 1))
     uniq = names.groupBy("_ini").agg(F.count("*").alias("_n"))
     alias = (names.join(uniq, "_ini")
                   .select(col, F.when(F.col("_n") == 1, F.col("_ini")).otherwise(F.col(col)).alias("_alias")))
-    return df.join(F.broadcast(alias), col, "left").withColumn(out, F.col("_alias")).drop("_alias")
+    return df.join(alias, col, "left").withColumn(out, F.col("_alias")).drop("_alias")
 
 
 def flatten_nested_preds(df: DataFrame, marker: str = "pred") -> DataFrame:

@@ -90,8 +90,13 @@ def _eligible(df: DataFrame, matched_domains: Sequence[str], min_matched: int,
 
 def _top_per_source(df: DataFrame, limit: int, id_col: str, seed: int,
                     source: str = "source") -> DataFrame:
+    """First ``limit`` rows per source in seeded order. The filter sits
+    directly on ``row_number()`` with a constant, so Spark plans a partial
+    WindowGroupLimit before the shuffle (a source never lands whole in one
+    task); the 0-based rank is derived afterwards."""
     w = Window.partitionBy(source).orderBy(_key(id_col, seed), F.col(id_col))
-    return df.withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r") < limit)
+    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return top.withColumn("_r", F.col("_rn") - 1).drop("_rn")
 
 
 def _quota_col(quotas: Sequence[Mapping], field: str, source: str = "source"):
