@@ -34,8 +34,13 @@ def dedup_on_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str] | Non
     """Keep one row per key; with ``order`` the first in that order."""
     if not order:
         return df.dropDuplicates(list(keys))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # min_by aggregates partially before the shuffle, so a key with very
+    # many copies (one text repeated everywhere) is reduced map-side instead
+    # of landing whole in one window partition
+    others = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]),
+                                          F.struct(*[F.col(c) for c in order])).alias("_row"))
+    return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 
 def drop_disregard(df: DataFrame, note: str = "NotitieID", flag: str = "disregard",
