@@ -28,6 +28,11 @@ def _first(c: str, order):
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
 
 
+def _order_key(cols):
+    """Single order column as is (cheap comparisons), several as a struct."""
+    return F.col(cols[0]) if len(cols) == 1 else F.struct(*[F.col(c) for c in cols])
+
+
 def _ordered_text(order_cols: Sequence[str], token: str = "token"):
     s = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)],
                  F.coalesce(F.col(token), F.lit("")).alias("v"))
@@ -53,7 +58,7 @@ def build_sentences(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
     0/1 vector in canonical order. Expects B8/D1 applied (flags non-NULL).
     The note id is part of the key (a sentence id determines its note), so
     a partitioning by note serves this aggregation without a new shuffle."""
-    order = F.struct(F.col("tok"))
+    order = _order_key(["tok"])
     aggs = [_first(c, order) for c in list(info) + [bg, tgt] if c not in keys]
     aggs.append(_ordered_text(["tok"]).alias("text_raw"))
     aggs.append(F.array(*[F.max(F.col(d).cast("int")) for d in domains]).alias("labels"))
@@ -64,7 +69,7 @@ def sentence_mean_levels(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
                          info: Sequence[str] = INFO_COLS,
                          keys: Sequence[str] = ("NotitieID", "pad_sen_id")) -> DataFrame:
     """D3: mean of non-NULL levels per sentence, text in token order."""
-    order = F.struct(F.col("tok"))
+    order = _order_key(["tok"])
     return tokens.groupBy(*keys).agg(
         *[_first(c, order) for c in info if c not in keys],
         _ordered_text(["tok"]).alias("text_raw"),
