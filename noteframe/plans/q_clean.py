@@ -22,17 +22,25 @@ def drop_exact_duplicates_q(spark, d):
 
 
 def _parts_sql():
-    return ", ".join(f"string_split(text, chr(10))[{i}] AS p{i}" for i in (1, 2, 3))
+    """Whole text as three parts: line 1, line 2 and all remaining lines."""
+    return ("l[1] AS p1, l[2] AS p2, CASE WHEN len(l) > 2 THEN array_to_string(l[3:], chr(10)) END AS p3")
+
+
+def text_parts(text: str = "text"):
+    """Spark twin of ``_parts_sql``: the whole note split into three parts."""
+    lines = F.split(text, "\n")
+    return [F.get(lines, 0).alias("p1"), F.get(lines, 1).alias("p2"),
+            F.when(F.size(lines) > 2, F.array_join(F.slice(lines, 3, F.size(lines)), "\n")).alias("p3")]
 
 
 @register("combine_text_columns", "SELECT doc_id, concat_ws(' ', "
           + ", ".join(f"trim(regexp_replace(p{i}, '{_WS_SQL}', ' ', 'g'))" for i in (1, 2, 3))
-          + f") AS all_text FROM (SELECT doc_id, {_parts_sql()} FROM documents)")
+          + f") AS all_text FROM (SELECT doc_id, {_parts_sql()} FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def combine_text_columns_q(spark, d):
-    """B2 + B3: first three lines as text parts, merged with one space."""
+    """B2 + B3: a note stored as three text parts (first line, second line,
+    the rest), merged with one space after whitespace normalisation."""
     doc = b.table(spark, d, "documents")
-    lines = F.split("text", "\n")
-    parts = doc.select("doc_id", *[F.get(lines, i).alias(f"p{i + 1}") for i in range(3)])
+    parts = doc.select("doc_id", *text_parts("text"))
     return C.combine_text_columns(parts, ["p1", "p2", "p3"]).select("doc_id", "all_text")
 
 

@@ -127,12 +127,20 @@ def export_conll_q(spark, d):
     return lay.select("annotator", "file_name", F.md5("conll").alias("conll_md5"))
 
 
-@register("export_per_patient", f"""SELECT MDN, NotitieID, Typenotitie, Notitiedatum, {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in LEVEL_COLS)}
-FROM ({b.VISITS_SQL}) WHERE MDN IN (SELECT MDN FROM ({b.VISITS_SQL}) GROUP BY MDN HAVING count(*) >= 20)""")
+def _follow_up_sql():
+    from noteframe.plans.q_timeline import _FU_SQL
+    v = b.VISITS_SQL
+    return (f"SELECT * FROM ({v}) WHERE MDN IN (SELECT MDN FROM ({v}) WHERE MDN IN (SELECT MDN FROM ({_FU_SQL}) "
+            "WHERE first_follow_up AND second_follow_up) GROUP BY MDN HAVING count(*) <= 100)")
+
+
+@register("export_per_patient", "SELECT MDN, NotitieID, Typenotitie, Notitiedatum, "
+          + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in LEVEL_COLS) + f" FROM ({_follow_up_sql()})")
 def export_per_patient_q(spark, d):
-    """A14 layout: visits of the most active patients + empty level columns."""
-    from noteframe.operators.report import filter_groups_by_size
-    v = filter_groups_by_size(b.visits(spark, d), "MDN", 19)
+    """A14 layout (+E5): visits of the patients selected for follow-up
+    annotation, first columns plus empty level columns."""
+    from noteframe.operators.timeline import select_follow_up_patients
+    v = select_follow_up_patients(b.visits(spark, d))
     return SK.per_patient_layout(v, 4, LEVEL_COLS)
 
 
@@ -194,18 +202,18 @@ def _scratch(spark, name: str) -> str:
 @register("scan_notes_csv", "SELECT NotitieID, institution, MDN, concat_ws(' ', " + ", ".join(
     f"trim(regexp_replace(p{i}, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'))" for i in (1, 2, 3))
     + ") AS all_text FROM (SELECT CAST(doc_id AS VARCHAR) AS NotitieID, source AS institution, "
-    "'p' || CAST(doc_id // 8 AS VARCHAR) AS MDN, " + ", ".join(f"string_split(text, chr(10))[{i}] AS p{i}" for i in (1, 2, 3))
-    + " FROM documents)")
+    "'p' || CAST(doc_id // 8 AS VARCHAR) AS MDN, l[1] AS p1, l[2] AS p2, CASE WHEN len(l) > 2 THEN array_to_string(l[3:], chr(10)) END AS p3 "
+    "FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))")
 def scan_notes_csv_q(spark, d):
-    """A1 + A2 + A4 (+B1, B2): the notes written as headerless ';' files
-    (one folder per source, text lines as separate columns), scanned back
+    """A1 + A2 + A4 (+B1, B2): the whole notes written as headerless ';'
+    files (one folder per source, text in three part columns), scanned back
     with positional projection and the source taken from the file path."""
+    from noteframe.plans.q_clean import text_parts
     doc = b.table(spark, d, "documents")
-    lines = F.split("text", "\n")
     out = _scratch(spark, "notes_csv")
     (doc.select(F.concat(F.lit("p"), (F.col("doc_id") / 8).cast("bigint").cast("string")).alias("mdn"),
                 F.col("doc_id").cast("string").alias("id"), F.col("lang"), F.lit("2020-01-01").alias("dt"),
-                F.lit("x").alias("unused"), *[F.get(lines, i).alias(f"p{i + 1}") for i in range(3)], "source")
+                F.lit("x").alias("unused"), *text_parts("text"), "source")
         .write.partitionBy("source").option("sep", ";").option("header", False).csv(out))
     n = SN.scan_notes_csv(spark, out, "any", sep=";", positions=[0, 1, 2, 3, 5, 6, 7])
     n = SN.source_from_filename(n, r"source=([^/]+)", "institution", full_path=True)
