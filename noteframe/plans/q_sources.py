@@ -45,13 +45,13 @@ def parse_filename_default_q(spark, d):
 
 
 @register("parse_filename_legacy8", "SELECT path, lower(lang) AS annotator, lower(source) AS institution, "
-          "'2020' AS year, MDN, NotitieID, 'pilot' AS batch FROM (SELECT 'x/' || source || '--' || CAST(doc_id % 97 AS VARCHAR) || '--' || "
+          "'2020' AS year, MDN, NotitieID, 'pilot' AS batch FROM (SELECT 'x/' || source || '--' || CAST(doc_id AS VARCHAR) || '--' || "
           "'p' || CAST(doc_id // 8 AS VARCHAR) || '--' || CAST(doc_id AS VARCHAR) || '--0--2020-05-18--q1_q2--Search1.conll/' || lang || '.tsv' AS path, "
           "source, lang, 'p' || CAST(doc_id // 8 AS VARCHAR) AS MDN, CAST(doc_id AS VARCHAR) AS NotitieID FROM documents)")
 def parse_filename_legacy8_q(spark, d):
     """Eight-part legacy names built from the documents."""
     doc = b.table(spark, d, "documents")
-    path = F.concat(F.lit("x/"), F.col("source"), F.lit("--"), (F.col("doc_id") % 97).cast("string"), F.lit("--p"),
+    path = F.concat(F.lit("x/"), F.col("source"), F.lit("--"), F.col("doc_id").cast("string"), F.lit("--p"),
                     (F.col("doc_id") / 8).cast("bigint").cast("string"), F.lit("--"), F.col("doc_id").cast("string"),
                     F.lit("--0--2020-05-18--q1_q2--Search1.conll/"), F.col("lang"), F.lit(".tsv"))
     p = doc.select(path.alias("path"))
