@@ -68,5 +68,9 @@ PILOT_DOMAINS = ["BER", "FAC", "INS", "STM"]
 PILOT_FLAGS = {"disregard": "disregard_file", "target": "target",
                "background": "type_Background"}
 
+# --- fixed values: metadata implied by the two legacy file-name conventions ---
+LEGACY8_DEFAULTS = {"year": "2020", "batch": "pilot"}
+LEGACY_ROWREF_DEFAULTS = {"institution": "vumc", "year": "2017", "MDN": "", "batch": "pilot"}
+
 # domain tag of each domain in the current tag set (derived from the list)
 DOMAIN_TAG = {t[-3:]: t for t in TAGSET_CURRENT if t.startswith(".")}

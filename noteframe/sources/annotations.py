@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteframe.functions.domains import LEGACY8_DEFAULTS, LEGACY_ROWREF_DEFAULTS
 from noteframe.operators.clean import drop_comment_blank_lines
 
 TSV_COLS = ["sen_tok", "char", "token", "label", "relation"]
@@ -33,8 +34,8 @@ def parse_filename_legacy8(path: Column) -> Column:
     """Eight-part legacy name; year fixed 2020, batch 'pilot'."""
     p = F.split(_parent_stem(path), "--")
     return F.struct(F.lower(_file_stem(path)).alias("annotator"), F.lower(F.get(p, 0)).alias("institution"),
-                    F.lit("2020").alias("year"), F.get(p, 2).alias("MDN"), F.get(p, 3).alias("NotitieID"),
-                    F.lit("pilot").alias("batch"), F.lit(None).cast("string").alias("legacy_rawfile"))
+                    F.lit(LEGACY8_DEFAULTS["year"]).alias("year"), F.get(p, 2).alias("MDN"), F.get(p, 3).alias("NotitieID"),
+                    F.lit(LEGACY8_DEFAULTS["batch"]).alias("batch"), F.lit(None).cast("string").alias("legacy_rawfile"))
 
 
 def parse_filename_legacy_rowref(df: DataFrame, raw: DataFrame, path: str = "path",
@@ -49,8 +50,8 @@ def parse_filename_legacy_rowref(df: DataFrame, raw: DataFrame, path: str = "pat
     r = raw.select(F.col(rawfile).alias("_raw"), F.col(row_no).cast("long").alias("_idx"),
                    F.col(note).cast("string").alias("NotitieID"))
     j = d.join(r, ["_raw", "_idx"], "left")
-    return j.withColumns({"annotator": F.lower(_file_stem(F.col(path))), "institution": F.lit("vumc"),
-                          "year": F.lit("2017"), "MDN": F.lit(""), "batch": F.lit("pilot"),
+    fixed = {k: F.lit(v) for k, v in LEGACY_ROWREF_DEFAULTS.items()}
+    return j.withColumns({"annotator": F.lower(_file_stem(F.col(path))), **fixed,
                           "legacy_rawfile": F.col("_raw")}).drop("_raw", "_idx")
 
 

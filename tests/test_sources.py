@@ -22,33 +22,33 @@ def _tmp():
 
 def test_scan_notes_csv(spark):
     d = _tmp()
-    with open(os.path.join(d, "vumc_2020.csv"), "w", encoding="utf-8-sig") as f:
+    with open(os.path.join(d, "hospa_2020.csv"), "w", encoding="utf-8-sig") as f:
         f.write('0012;9001;Consult;2020-05-18;"moe  en\nkortademig";  extra\t part \n')
         f.write('0012;9001;Consult;2020-05-18;"moe  en\nkortademig";  extra\t part \n')   # exact duplicate
         f.write('0013;9002;Brief;2020-05-19;;\n')                                           # all parts NULL
-    df = SN.scan_notes_csv(spark, d, "vumc")
+    df = SN.scan_notes_csv(spark, d, "hospa")
     rows = {r["NotitieID"]: r for r in df.collect()}
     assert len(rows) == 2 and rows["9001"]["MDN"] == "0012"              # ids keep leading zeros
     assert rows["9001"]["all_text"] == "moe en kortademig extra part"
     assert rows["9002"]["all_text"] == ""
     src = SN.source_from_filename(spark.read.option("sep", ";").csv(d)).select("institution").distinct().collect()
-    assert [r[0] for r in src] == ["vumc"]
+    assert [r[0] for r in src] == ["hospa"]
 
 
 def test_scan_annotation_tsv_and_parsers(spark):
     d = _tmp()
-    note = os.path.join(d, "vumc--2020--1234567--123456789--week_14.conll")
+    note = os.path.join(d, "hospa--2020--1234567--123456789--week_14.conll")
     os.makedirs(note)
-    with open(os.path.join(note, "Avelli.tsv"), "w") as f:
-        f.write("#FORMAT=WebAnno TSV 3.3\n#T_SP=custom.Span|label\n#T_RL=x\n\n\n#Text=Hij loopt\n")
+    with open(os.path.join(note, "Anna.tsv"), "w") as f:
+        f.write("#FORMAT=TSV 3.3\n#T_SP=custom.Span|label\n#T_RL=x\n\n\n#Text=Hij loopt\n")
         f.write("1-1\t0-3\tHij\t_\t_\n1-2\t4-9\tloopt\t.D450: FAC|fac3\t_\n1-3\t10-11\t\"\t_\t_\n1-4\t12-14\tNA\t_\t_\n")
     df = AN.scan_annotation_tsv(spark, d)
     rows = df.collect()
-    assert len(rows) == 4 and rows[0]["annotator"] == "avelli" and rows[0]["NotitieID"] == "123456789"
+    assert len(rows) == 4 and rows[0]["annotator"] == "anna" and rows[0]["NotitieID"] == "123456789"
     assert {r["token"] for r in rows} == {"Hij", "loopt", '"', "NA"}                 # quote and NA kept
-    leg = spark.createDataFrame([("x/AMC--123--1234567--99--1--2020-05-18--q1--Search1.conll/Stella.tsv",)], "p string")
+    leg = spark.createDataFrame([("x/HOSPB--123--1234567--99--1--2020-05-18--q1--Search1.conll/Bert.tsv",)], "p string")
     r = leg.select(AN.parse_filename_legacy8(F.col("p")).alias("m")).select("m.*").first()
-    assert (r["institution"], r["year"], r["MDN"], r["NotitieID"], r["batch"]) == ("amc", "2020", "1234567", "99", "pilot")
+    assert (r["institution"], r["year"], r["MDN"], r["NotitieID"], r["batch"]) == ("hospb", "2020", "1234567", "99", "pilot")
     files = spark.createDataFrame([("x/notes.csv---2.conll/ann.tsv",)], "path string")
     raw = spark.createDataFrame([("notes.csv", 0, "A"), ("notes.csv", 1, "B")], "rawfile string, row_no int, notitieID string")
     assert AN.parse_filename_legacy_rowref(files, raw).first()["NotitieID"] == "B"
@@ -64,19 +64,19 @@ def test_tagset_json_and_register(spark):
     assert names == TAGSET_CURRENT
     cats = P.categorize_tags_df(tags).groupBy("category").count().collect()
     assert {r["category"]: r["count"] for r in cats}["domains"] == 9
-    reg = spark.createDataFrame([("vumc", "2020", "1", "n1", "w1", None)], ", ".join(f"{c} string" for c in RG.REGISTER_COLS))
-    new = spark.createDataFrame([("amc", "2021", "2", "n1", "w2"), ("amc", "2021", "3", "n2", "w3"), ("amc", "2021", "3", "n2", "w2")],
+    reg = spark.createDataFrame([("hospa", "2020", "1", "n1", "w1", None)], ", ".join(f"{c} string" for c in RG.REGISTER_COLS))
+    new = spark.createDataFrame([("hospb", "2021", "2", "n1", "w2"), ("hospb", "2021", "3", "n2", "w3"), ("hospb", "2021", "3", "n2", "w2")],
                                 "institution string, year string, MDN string, NotitieID string, batch string")
     out = {r["NotitieID"]: r for r in RG.update_register(reg, new).collect()}
-    assert out["n1"]["institution"] == "vumc" and out["n2"]["batch"] == "w2"
+    assert out["n1"]["institution"] == "hospa" and out["n2"]["batch"] == "w2"
 
 
 def test_sinks_roundtrip(spark):
     d = _tmp()
-    batch = spark.createDataFrame([("ann", "vumc", "2020-05-18", "p1", "n1", "Hij loopt. Zij niet!")],
+    batch = spark.createDataFrame([("ann", "hospa", "2020-05-18", "p1", "n1", "Hij loopt. Zij niet!")],
                                   "annotator string, institution string, Notitiedatum string, MDN string, NotitieID string, all_text string")
     lay = SK.conll_layout(batch, "week_14").first()
-    assert lay["file_name"] == "vumc--2020--p1--n1--week_14.conll"
+    assert lay["file_name"] == "hospa--2020--p1--n1--week_14.conll"
     assert lay["conll"] == "Hij O\nloopt O\n. O\n\nZij O\nniet O\n! O"
     SK.export_conll(batch, os.path.join(d, "conll"), "week_14")
     assert spark.read.text(os.path.join(d, "conll")).count() == 7
