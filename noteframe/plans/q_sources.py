@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteframe.functions.domains import LEVEL_COLS
+from noteframe.functions.domains import LEGACY_ROWREF_DEFAULTS, LEVEL_COLS
 from noteframe.operators import nlp as NL
 from noteframe.plans import bindings as b
 from noteframe.plans import tokens as TK
@@ -59,7 +59,7 @@ def parse_filename_legacy8_q(spark, d):
         "path", "m.annotator", "m.institution", "m.year", "m.MDN", "m.NotitieID", "m.batch")
 
 
-@register("parse_filename_legacy_rowref", "SELECT path, d.doc_id AS NotitieID, 'vumc' AS institution, 'notes_' || source || '.csv' AS legacy_rawfile "
+@register("parse_filename_legacy_rowref", f"SELECT path, d.doc_id AS NotitieID, '{LEGACY_ROWREF_DEFAULTS['institution']}' AS institution, 'notes_' || source || '.csv' AS legacy_rawfile "
           "FROM (SELECT doc_id, source, 'x/notes_' || source || '.csv---' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) "
           "|| '.conll/ann_a.tsv' AS path FROM documents) d")
 def parse_filename_legacy_rowref_q(spark, d):
