@@ -220,9 +220,18 @@ def value_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataF
                                         for c in cols]))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     rng = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     j = long.join(F.broadcast(rng), "column")  # one row per column: bounded
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("v")
+    # numpy: index from (v - lo) * bins / (hi - lo), then corrected against
+    # the bin edges lo + i * (hi - lo) / bins so edge values land as numpy puts them
+    raw = F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
+    j = j.withColumn("_i", raw)
+
+    def edge(i):
+        return lo + i.cast("double") * ((hi - lo) / F.lit(float(bins)))
+    i = F.col("_i")
+    fixed = (F.when(v < edge(i), i - 1)
+              .when((v >= edge(i + 1)) & (i != bins - 1), i + 1).otherwise(i))
+    b = F.when(hi == lo, F.lit(0)).otherwise(fixed).cast("int")
     return j.groupBy("column", b.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -199,8 +199,10 @@ def labelled_notes_overview_q(spark, d):
 @register("value_histogram", "WITH l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM ({_T}) WHERE {c} IS NOT NULL" for c in LEVEL_COLS)
     + "), r AS (SELECT \"column\", min(v) AS lo, max(v) AS hi FROM l GROUP BY 1) "
-    "SELECT \"column\", CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END AS INTEGER) AS bin, "
-    "count(*) AS n FROM l JOIN r USING (\"column\") GROUP BY ALL")
+    "SELECT \"column\", CAST(CASE WHEN hi = lo THEN 0 WHEN v < lo + i * ((hi - lo) / 10.0) THEN i - 1 "
+    "WHEN v >= lo + (i + 1) * ((hi - lo) / 10.0) AND i <> 9 THEN i + 1 ELSE i END AS INTEGER) AS bin, "
+    "count(*) AS n FROM (SELECT *, CAST(least(floor((v - lo) * (10.0 / (hi - lo))), 9) AS INTEGER) AS i "
+    "FROM l JOIN r USING (\"column\")) GROUP BY ALL")
 def value_histogram_q(spark, d):
     """10 equal-width bins per level column."""
     return R.value_histogram(b.timeline(spark, d), LEVEL_COLS)
