@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +76,48 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """As :func:`write_table`, laid out by ``key`` so that joins on it do not move this side."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+def write_blocks(docs: DataFrame, name: str, n_buckets: int, text_col: str = "text") -> DataFrame:
+    """(block_id, data): the rows of ``docs`` as compressed record batches of ``CHUNK_BYTES`` of text.
+
+    The table is bucketed by block, so joins that send something back to the
+    texts move only what is sent, not the texts.
+    """
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, name)
     table = f"llm_{name}_{uuid.uuid4().hex}"
-    (df.write.option("compression", "zstd").option("path", path)
-       .bucketBy(n, key).saveAsTable(table))
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, ch in enumerate(chunks(batches, text_col)):
+            yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int64()), pa.array([to_blob(ch.batch)], pa.binary())],
+                                             ["block_id", "data"])
+
+    (docs.mapInArrow(run, "block_id long, data binary").repartition(n_buckets, "block_id")
+         .write.option("compression", "uncompressed").option("path", path)
+         .bucketBy(n_buckets, "block_id").saveAsTable(table))
     return spark.table(table)
 
 
+def to_blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        # a slice would carry the whole batch's buffers
+        writer.write_batch(pa.concat_batches([batch.slice(0, 0), batch]) if batch.num_rows else batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def from_blob(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+
+
+def block_chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text"):
+    """(block_id, chunk, other columns' values) of each block row."""
+    for rows in batches:
+        names = rows.schema.names
+        for i in range(rows.num_rows):
+            row = {n: rows.column(k)[i] for k, n in enumerate(names)}
+            yield row["block_id"].as_py(), Chunk(from_blob(row["data"].as_py()), text_col), row
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total text bytes, from which bucket counts are derived."""
     row = docs.agg(F.sum(F.octet_length(text_column(docs, text_col))).alias("n")).first()
@@ -287,9 +321,11 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
     """Entries whose key also occurs with another item.
 
     ``emit(batches)`` yields ``(keys, [column arrays])``; the first ``item``
-    columns name the item. Keys travel packed, sorted and compressed, one row
+    columns name the item. (With ``emit=None``, ``df`` holds rows that
+    :func:`pack_rows` made.) Keys travel packed, sorted and compressed, one row
     per task and bucket, so that the many keys which occur once never become
     rows. A bucket stands for ``BUCKET_TEXT_BYTES`` of text at any input size.
+    Of entries that repeat a key and item the least by columns is returned.
     Returns (key, *columns); a key is unique within 40 bits and its bucket, so
     that rarely two keys meet: callers verify what they find.
     """
@@ -309,7 +345,7 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
     def reduce(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         keys, cols = unpack_rows(table.column("data").to_pylist())
-        order = np.lexsort((*reversed(cols[:item]), keys))
+        order = np.lexsort((*reversed(cols), keys))
         keys, cols = keys[order], [c[order] for c in cols]
         again = np.r_[False, keys[1:] == keys[:-1]]
         same = again.copy()
@@ -326,8 +362,8 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
     kinds = {"long": pa.int64(), "int": pa.int32()}
     out_arrow = pa.schema([("key", pa.int64())] + [(c, kinds[t]) for c, t in columns.items()])
     schema = "key long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
-    return (df.mapInArrow(to_rows, "bucket long, data binary")
-              .groupBy("bucket").applyInArrow(reduce, schema))
+    packed = df if emit is None else df.mapInArrow(to_rows, "bucket long, data binary")
+    return packed.groupBy("bucket").applyInArrow(reduce, schema)
 
 
 def _flush(held: list, n_buckets: int) -> pa.RecordBatch:

@@ -50,3 +50,37 @@ FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
 def op10(spark, sf_dir):
     from .jaccard import jaccard_components
     return jaccard_components(C.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op7_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, n, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls,
+           CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents)),
+s AS (SELECT doc_id, line, list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS ws FROM l),
+k AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, ws, len(ws) AS m FROM s WHERE len(ws) >= 5),
+w AS (SELECT id, unnest(ws) AS w FROM k),
+f AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+o AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS pos FROM w JOIN f USING (w)),
+pre AS (SELECT o.id, o.w, k.m FROM o JOIN k USING (id) WHERE pos <= m - (80 * m + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.id AS x, b.id AS y FROM pre a JOIN pre b ON a.w = b.w AND b.id < a.id
+         AND 100 * least(a.m, b.m) >= 80 * greatest(a.m, b.m)),
+gone AS (SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.ws, b.ws)) AS i, a.m + b.m AS both_m
+         FROM cand JOIN k a ON a.id = x JOIN k b ON b.id = y) WHERE 100 * i >= 80 * (both_m - i)),
+g AS (SELECT doc_id, line FROM gone JOIN k ON id = x)
+SELECT l.doc_id, CAST(max(l.n) AS BIGINT) AS n_lines, count(g.line) AS n_removed,
+       sha256(coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+""")
+def op7(spark, sf_dir):
+    from .lines import dedup_lines
+    return (dedup_lines(C.documents(spark, sf_dir).select("doc_id", "text"))
+            .selectExpr("doc_id", "n_lines", "n_removed", "sha2(coalesce(text, ''), 256) AS kept_sha256"))
+
+
+@register("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    from .suffix import remove_repeats
+    return remove_repeats(C.documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_bytes", "n_removed", "cast(size(spans) AS bigint) AS n_spans", "sha2(kept, 256) AS kept_sha256")
