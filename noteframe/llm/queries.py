@@ -84,3 +84,17 @@ def op6(spark, sf_dir):
     from .suffix import remove_repeats
     return remove_repeats(C.documents(spark, sf_dir)).selectExpr(
         "doc_id", "n_bytes", "n_removed", "cast(size(spans) AS bigint) AS n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op9_bpe")
+def op9(spark, sf_dir):
+    from .bpe import decode, encode
+    path = tokenizer_path()
+    return decode(encode(C.documents(spark, sf_dir), path), path).selectExpr(
+        "doc_id", "n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
