@@ -292,28 +292,37 @@ def to_bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n_buckets)) >> U64(32)
 
 
-KEY_MASK = U64((1 << 40) - 1)
+KEY_BITS = 32
+KEY_MASK = U64((1 << KEY_BITS) - 1)
 
 
 def pack_rows(keys: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
-    """One packed row per bucket that the keys fall in; 40 key bits stay beside the bucket."""
+    """One packed row per bucket that the keys fall in; 32 key bits stay beside the bucket."""
     order = np.argsort(keys)
     keys = keys[order]
     bucket = to_bucket(keys, n_buckets).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, int)
     last = np.r_[first[1:], len(keys)].astype(int)
     columns = [c[order] for c in columns]
-    small = keys & KEY_MASK
-    low, high = small.astype(np.uint32), (small >> U64(32)).astype(np.uint8)
-    blobs = [pack(low[a:b], high[a:b], *(c[a:b] for c in columns)) for a, b in zip(first, last)]
+    low = (keys & KEY_MASK).astype(np.uint32)
+    order = np.lexsort((low, bucket))  # neighbouring keys are near: they compress
+    low, columns = low[order], [c[order] for c in columns]
+    steps = low.copy()
+    steps[1:] -= low[:-1]
+    steps[first] = low[first]
+    blobs = [pack(steps[a:b], *(c[a:b] for c in columns)) for a, b in zip(first, last)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(blobs, pa.binary())],
                                       ["bucket", "data"])
 
 
+def unpack_keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint32).astype(U64)
+
+
 def unpack_rows(blobs) -> tuple[np.ndarray, list[np.ndarray]]:
     parts = [unpack(b) for b in blobs]
-    cols = [np.concatenate(c) for c in zip(*parts)]
-    return cols[0].astype(U64) | (cols[1].astype(U64) << U64(32)), cols[2:]
+    cols = [np.concatenate(c) for c in zip(*(p[1:] for p in parts))]
+    return np.concatenate([unpack_keys(p[0]) for p in parts]), cols
 
 
 def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_buckets: int,
@@ -326,8 +335,8 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
     per task and bucket, so that the many keys which occur once never become
     rows. A bucket stands for ``BUCKET_TEXT_BYTES`` of text at any input size.
     Of entries that repeat a key and item the least by columns is returned.
-    Returns (key, *columns); a key is unique within 40 bits and its bucket, so
-    that rarely two keys meet: callers verify what they find.
+    Returns (key, *columns); a key is unique within 32 bits and its bucket, so
+    that now and then two keys meet: callers verify what they find.
     """
     def to_rows(batches):
         held, n = [], 0
@@ -355,7 +364,7 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
         run = np.cumsum(head) - 1
         items = np.bincount(run, ~same) if len(keys) else np.zeros(0)
         keep = (items[run] > 1) & ~same
-        full = (U64(bucket) << U64(40)) | keys[keep]
+        full = (U64(bucket) << U64(KEY_BITS)) | keys[keep]
         arrays = [pa.array(full.astype(np.int64))] + [pa.array(c[keep]) for c in cols]
         return pa.Table.from_arrays(arrays, ["key", *names]).cast(out_arrow)
 
@@ -366,6 +375,40 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
     return packed.groupBy("bucket").applyInArrow(reduce, schema)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int):
+    """The rows of each group, as columns of numpy arrays (binary columns: lists).
+
+    For partitions that hold whole groups, sorted by the first ``n_keys``
+    columns: many small groups cost no call each, and no more than one group
+    and one Arrow batch is in memory.
+    """
+    def columns(table):
+        return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in table.columns]
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        n = table.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for i in range(n_keys):
+            k = table.column(i).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        cut = np.flatnonzero(new)
+        if not len(cut):
+            held = table
+            continue
+        held = table.slice(int(cut[-1]))
+        cols = columns(table.slice(0, int(cut[-1])))
+        for a, b in zip(np.r_[0, cut[:-1]].tolist(), cut.tolist()):
+            yield [c[a:b] for c in cols]
+    if held is not None and held.num_rows:
+        yield columns(held)
+
+
 def _flush(held: list, n_buckets: int) -> pa.RecordBatch:
     keys = np.concatenate([k for k, _ in held])
     cols = [np.concatenate(c) for c in zip(*(c for _, c in held))]

@@ -8,18 +8,19 @@ difference, and two sets within Jaccard ``t`` differ in at most
 ``(1-t)/(1+t) * (|A|+|B|)`` parts. Sketches therefore have more parts than
 that bound per size band, and linked sets agree in at least one part
 (pigeonhole). Documents that share a part are candidates; a 512-bit parity
-sketch bounds the difference again where many meet; the sets decide.
+sketch bounds the difference again; the sets decide.
 
-Equal sets are one class from the start. Links are sought between class
-representatives until no pair that shares a part and lies in two components
-is left untested, so that components are those of all links although copies
-are never expanded into pairs.
+Equal sets are one class from the start. Each class is first compared with
+the one partner that shares most parts with it; then every pair that shares a
+part and lies in two components is, so that components are those of all links
+although groups of copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from . import common as C
 from .common import U64, mix
 
 WORDS = 5
-#: Sizes from one bound to the next are a band; 1.5 exceeds 1 / 0.8, so partners are at most one band apart.
-BANDS = np.unique(np.ceil(1.5 ** np.arange(0, 52)).astype(np.int64))
+#: Sizes from one bound to the next are a band.
+BANDS = np.unique(np.ceil(1.3 ** np.arange(0, 80)).astype(np.int64))
 SKETCH_BITS = 512
 #: Members of one side of a block when untested pairs of a part are compared.
 BLOCK = 1000
@@ -82,11 +83,12 @@ def difference_bound(band: int, percent: int) -> int:
 
 
 def part_keys(values: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """One key per part of the sketch that holds shingles.
+    """Keys of the sketch's parts that hold at least m shingles, for the largest m that keeps enough parts.
 
-    A part without shingles says nothing: a set with more filled parts than
-    the bound shares a filled one with every linked set. Only a set with fewer
-    (small sets at most) adds the keys of its empty parts.
+    Enough are more than the bound: one of them is then alike in any linked
+    set. It holds as many shingles there, so the linked set sends it too if
+    its own m is no larger, and if it is, the same holds the other way round.
+    Parts with many shingles are rarely alike by chance.
     """
     bound = difference_bound(band, percent)
     parts = bound + 2 + -(-(bound + 1) // 4)
@@ -97,6 +99,10 @@ def part_keys(values: np.ndarray, band: int, percent: int) -> np.ndarray:
     if len(starts) <= bound:
         empty = np.setdiff1d(np.arange(parts, dtype=U64), where)
         where, words = np.r_[where, empty], np.r_[words, np.zeros(len(empty), U64)]
+    else:
+        held = np.diff(np.r_[starts, len(values)])
+        m = np.partition(held, len(held) - 1 - bound)[len(held) - 1 - bound]
+        where, words = where[held >= m], words[held >= m]
     return mix(words + (where * U64(64) + U64(band)) * U64(0x9E3779B97F4A7C15))
 
 
@@ -122,46 +128,60 @@ def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared_parts(docs: DataFrame, id_col: str, text_col: str, percent: int, n_buckets: int,
                  words: int = WORDS) -> DataFrame:
-    """(key, id, n): parts of sketches that more than one document has."""
+    """(key, id): parts of sketches that more than one document has."""
     def emit(batches):
         seen: set[int] = set()  # equal sets of this task send their parts once
         for ch in C.chunks(batches, "_text"):
             u, off = shingle_sets(ch, words)
             fp = C.reduce_segments(np.add, mix(u ^ U64(0x1234567)), off, U64(0)).tolist()
             ids = ch.column("_id")
-            keys, owner, size = [], [], []
+            keys, owner = [], []
             for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                 if a == b or fp[d] in seen:
                     continue
                 seen.add(fp[d])
-                band, above = band_of(b - a), band_of((b - a) * 100 // percent)
-                for at in {band, above}:
+                # a pair is sought in the band of its larger set
+                for at in range(band_of(b - a), band_of((b - a) * 100 // percent) + 1):
                     if difference_bound(at, percent):  # else only equal sets link
                         k = part_keys(u[a:b], at, percent)
                         keys.append(k)
                         owner.append(np.full(len(k), ids[d], np.int64))
-                        size.append(np.full(len(k), b - a, np.int32))
             if len(seen) > 500_000:
                 seen.clear()
             if keys:
-                yield np.concatenate(keys), [np.concatenate(owner), np.concatenate(size)]
+                yield np.concatenate(keys), [np.concatenate(owner)]
     rows = _id_text(docs, id_col, text_col).where("_id IS NOT NULL")
-    return C.shared_keys(rows, emit, {"id": "long", "n": "int"}, n_buckets)
+    return C.shared_keys(rows, emit, {"id": "long"}, n_buckets)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int,
-           words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; only the candidates' sets travel."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def candidate_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """(id, shingles) of the wanted ids; texts travel compressed, sets with 40 bits a shingle."""
+    def squeeze(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            blobs = [z.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "squeezed"])
 
     def to_sets(batches):
-        for ch in C.chunks(batches, "_text"):
-            u, off = shingle_sets(ch, words)
-            small = (u >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits a shingle
-            yield pa.RecordBatch.from_arrays(
-                [ch.arrow("_id"), pa.array([small[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())],
-                ["id", "shingles"])
-
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                text = pa.array([z.decompress(b) if b is not None else None for b in part.column(1).to_pylist()], pa.large_binary())
+                for ch in C.chunks([pa.RecordBatch.from_arrays([part.column(0), text], ["_id", "_text"])], "_text"):
+                    u, off = shingle_sets(ch, words)
+                    small = (u >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                    yield pa.RecordBatch.from_arrays(
+                        [ch.arrow("_id"), pa.array([small[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())],
+                        ["id", "shingles"])
+
+    source = _id_text(docs, id_col, text_col).where("_id IS NOT NULL").mapInArrow(squeeze, "id long, squeezed binary")
+    return (source.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+            .mapInArrow(to_sets, "id long, shingles binary"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
     def decode(blob: bytes) -> np.ndarray:
         out = np.zeros((len(blob) // 5, 8), np.uint8)
         out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
@@ -169,25 +189,19 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
 
     def verify(batches):
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (0, 1))
-            keep, last, held = [], None, None
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            keep, last, held = np.zeros(len(a), bool), None, None
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = x.as_py(), y.as_py()
                 if a[i] != last:
-                    last, held = a[i], decode(x)
-                other = decode(y)
-                inter = len(held) + len(other) - len(np.unique(np.concatenate([held, other])))
-                keep.append(100 * inter >= percent * (len(held) + len(other) - inter))
-            keep = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])],
-                                             ["a", "b"])
-
-    source = _id_text(docs, id_col, text_col)
-    sets = (source.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
-            .select("_id", "_text").mapInArrow(to_sets, "id long, shingles binary"))
-    sets = C.write_table(sets, "sets")
-    sa, sb = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return (pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
+                    last, held = a[i], decode(x.as_py())
+                other = decode(y.as_py())
+                both = np.concatenate([held, other])
+                both.sort()
+                inter = int((both[1:] == both[:-1]).sum())
+                keep[i] = 100 * inter >= percent * (len(both) - inter)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return (pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
             .mapInArrow(verify, "a long, b long"))
 
 
@@ -211,35 +225,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets.drop("sketch").join(several, ["fp1", "fp2", "n_shingles"], "left")
         .select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")), "member")
     to_class = member.where("id <> class_id").select("id", "class_id").distinct()
-
-    parts = C.write_table(shared_parts(docs, id_col, text_col, percent, n_buckets, words), "parts")
-    parts = (parts.join(to_class, "id", "left")
-             .select("key", F.coalesce("class_id", "id").alias("id"), "n"))
-    fits = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    first = parts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
-    star = (parts.join(first, "key").select(F.col("f.id").alias("a"), F.col("f.n").alias("n2"),
-                                            F.col("id").alias("b"), "n")
-            .where("a < b").where(fits).select("a", "b").distinct())
-    links = C.write_table(linked(C.write_table(star, "pairs"), docs, id_col, text_col, percent, words), "links")
+    about = (sets.where("id IS NOT NULL").select("id", F.col("n_shingles").cast("int").alias("n"), "sketch")
+             .dropDuplicates(["id"]))
+
+    parts = (shared_parts(docs, id_col, text_col, percent, n_buckets, words).join(to_class, "id", "left")
+             .select("key", F.coalesce("class_id", "id").alias("id")).distinct())
+    parts = C.write_table(parts.join(parts.groupBy("key").count().where("count > 1").drop("count"), "key"), "parts")
+
+    first = parts.groupBy("key").agg(F.min("id").alias("a"))
+    star = (parts.join(first, "key").where("a < id").groupBy("a", F.col("id").alias("b")).count()
+            .groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"))
+    star = C.write_table(_can_link(star, about, percent), "pairs")
+    shingles = C.write_table(candidate_sets(parts.select("id").distinct(), docs, id_col, text_col, words), "sets")
+    links = C.write_table(linked(star, shingles, percent), "links")
     labels = C.connected_components(links)
 
-    # what the first members' links have not joined: compare every pair of unlike components that shares a part
-    known = parts.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    # what the first links have not joined: compare every pair of unlike components that shares a part
+    known = parts.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     torn = (known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                     F.count("*").alias("members"))
-            .where("lo < hi AND members > 2"))
-    open_parts = (known.join(torn.select("key", "members"), "key").distinct()
-                  .join(sets.where("id IS NOT NULL").select("id", "sketch").dropDuplicates(["id"]), "id"))
-    more = C.write_table(_bounded_pairs(open_parts, percent).distinct()
-                         .join(star, ["a", "b"], "left_anti"), "pairs")
+                                     F.count("*").alias("members")).where("lo < hi"))
+    more = _bounded_pairs(known.join(torn.select("key", "members"), "key").join(about, "id"), percent)
+    more = C.write_table(more.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(linked(more, docs, id_col, text_col, percent, words))
+        links = links.unionByName(linked(more, shingles, percent))
         labels = C.connected_components(links)
     return (member.join(labels.toDF("class_id", "component"), "class_id", "left")
             .select(F.col("id").alias("doc_id"), "n_shingles", "class_id",
                     F.coalesce("component", "class_id", "id").alias("component_id")))
 
 
+def _can_link(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and parity sketches do not rule out."""
+    def run(batches):
+        for batch in batches:
+            n1, n2 = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            s1, s2 = (_sketches(batch.column(i).to_pylist()) for i in (3, 5))
+            keep = pa.array(_within(n1, n2, s1, s2, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    return (pairs.join(about.toDF("a", "n1", "s1"), "a").join(about.toDF("b", "n2", "s2"), "b")
+            .select("a", "b", "n1", "s1", "n2", "s2").mapInArrow(run, "a long, b long"))
+
+
+def _sketches(blobs: list) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), U64).reshape(len(blobs), SKETCH_BITS // 64)
+
+
+def _within(n1, n2, s1, s2, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (the Hamming distance is at most the difference) allow a link."""
+    apart = np.bitwise_count(s1 ^ s2).sum(axis=1, dtype=np.int64)
+    return ((100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+            & (apart * (100 + percent) <= (n1 + n2) * (100 - percent)))
+
+
 def _bounded_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of unlike components within a part that sizes and 512-bit sketches let pass.
 
@@ -247,26 +284,21 @@ def _bounded_pairs(rows: DataFrame, percent: int) -> DataFrame:
     holds more than two blocks of it.
     """
     side = F.ceil(F.col("members") / BLOCK).cast("long")
-    block = F.pmod(F.xxhash64("id"), side)
-    dealt = (rows.withColumn("s", side).withColumn("x", block)
+    dealt = (rows.withColumn("s", side).withColumn("x", F.pmod(F.xxhash64("id"), F.col("s")))
              .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-             .withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y"))
-             .select("key", "lo", "hi", "id", "n", "component", "sketch"))
-    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        out_a, out_b = [], []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64))]
-            apart = ones[sk[j] ^ sk[i]].sum(axis=1, dtype=np.int64)
-            j = j[apart * (100 + percent) <= (n[i].astype(np.int64) + n[j]) * (100 - percent)]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+             .select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"),
+                     "id", "n", "component", "sketch")
+             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
+
+    def compare(batches):
+        for _, _, _, ids, n, comp, sketch in C.sorted_groups(batches, 3):
+            if (comp == comp[0]).all():
+                continue
+            n, sk = n.astype(np.int64), _sketches(sketch)
+            for i in range(len(ids) - 1):
+                ok = _within(n[i], n[i + 1:], sk[i], sk[i + 1:], percent) & (comp[i + 1:] != comp[i])
+                if ok.any():
+                    other = ids[i + 1:][ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))],
+                                                     ["a", "b"])
+    return dealt.mapInArrow(compare, "a long, b long")
