@@ -134,3 +134,15 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 def op3(spark, sf_dir):
     from .neardup import near_duplicates
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@register("op4_quality")
+def op4(spark, sf_dir):
+    from .quality import classify
+    return classify(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register("op5_language")
+def op5(spark, sf_dir):
+    from .langid import identify
+    return identify(C.documents(spark, sf_dir)).drop("n_words")
