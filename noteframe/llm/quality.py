@@ -218,3 +218,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                                              ["doc_id", "held_out", "score", "predicted"])
     return (rows.select("id", "f", held_out().alias("held_out"))
             .mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` predicts as good, all columns kept.
+
+    The texts are scored again where they are read rather than joined to their
+    scores.
+    """
+    rows = features(docs, id_col, text_col)
+    known = (labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("quality IN (0, 1)").distinct())
+    model = fit(rows.where(~held_out()).join(known, "id"))
+    source = docs.withColumn(text_col, C.text_column(docs, text_col))
+
+    def run(batches):
+        for ch in C.chunks(batches, text_col):
+            yield ch.batch.filter(pa.array(model.score(statistics(ch)) >= threshold))
+    return source.mapInArrow(run, source.schema)

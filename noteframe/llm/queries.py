@@ -146,3 +146,27 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     from .langid import identify
     return identify(C.documents(spark, sf_dir)).drop("n_words")
+
+
+@register("op8_pii")
+def op8(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .pii import KINDS, find
+    written = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return find(C.documents(spark, sf_dir)).select(
+        "doc_id", *map(count, KINDS),
+        F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@register("op2_packing")
+def op2(spark, sf_dir):
+    from .packing import pack
+    return pack(C.documents(spark, sf_dir))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
