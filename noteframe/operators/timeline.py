@@ -5,15 +5,15 @@ sizes) are hash aggregations joined back, not whole-partition windows, so
 a very active patient is pre-aggregated map-side and the join can be split
 by AQE's skew handling. Gap logic runs on *distinct* (patient, date) rows,
 which a calendar bounds per patient no matter how many notes there are.
-Row-order features (lag, rolling, expanding, fills) need the patient's
-ordered rows and use windows partitioned by patient with bounded frames.
+Row-order features (lag, rolling, expanding, fills) work on slices: ranges
+over (patient, order) that cut a patient of any size into balanced pieces.
+Within a slice they are plain windows; across slices the patient's earlier
+or later slices hand over a few values (:func:`_with_carry`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +74,100 @@ def align_time(df: DataFrame, id_col: str = "MDN", date: str = "Notitiedatum", o
     return df.join(first, id_col).withColumn(out, F.datediff(date, "_first")).drop("_first")
 
 
+def slices(df: DataFrame, part: str, order: Sequence[str]) -> DataFrame:
+    """Rows tagged with a slice number ``_pid``: ranges over (patient, order).
+
+    A patient of any size is cut into slices of balanced size, so no patient
+    is one task's work; nearly all patients lie within one slice. The rows are
+    materialised in the shared checkpoint folder, because every use below must
+    see the same slices, also after a lost executor."""
+    from noteframe.session import cut_lineage
+    return cut_lineage(df.repartitionByRange(part, *order).withColumn("_pid", F.spark_partition_id()))
+
+
+def _local(part: str, order: Sequence[str]):
+    """Window over a patient's rows within a slice."""
+    return Window.partitionBy("_pid", part).orderBy(*order)
+
+
+def _with_carry(rows: DataFrame, per_slice: DataFrame, part: str, carry: dict) -> DataFrame:
+    """Adds what a patient's other slices hand over, as columns.
+
+    ``per_slice`` has one row per (patient, slice) and ``carry`` expressions
+    over the patient's slices in order. Only patients that span slices hand
+    anything over: two at most end or begin in a slice, so this table has no
+    more than two rows per slice, and is broadcast on that bound."""
+    whole = Window.partitionBy(part)
+    spans = (per_slice.withColumns({**carry, "_k": F.count("*").over(whole)}).filter("_k > 1")
+             .select(F.col(part).alias("_cp"), F.col("_pid").alias("_cs"), *carry))
+    return (rows.join(F.broadcast(spans), (F.col("_cs") == F.col("_pid")) & F.col("_cp").eqNullSafe(F.col(part)), "left")
+            .drop("_cp", "_cs"))
+
+
+def _across(part: str):
+    """Windows over a patient's slices: those before, those after, all in order."""
+    w = Window.partitionBy(part).orderBy("_pid")
+    return (w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing), w)
+
+
+def _last_values(numbered: DataFrame, part: str, col: str, n: int) -> DataFrame:
+    """(patient, slice, _tail): the last ``n`` values of the patient in the slice, in order."""
+    tail = numbered.filter(F.col("_n") - F.col("_r") < n)
+    return tail.groupBy(part, "_pid").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(col).alias("v")))), lambda x: x["v"]).alias("_tail"))
+
+
+def _numbered_with_tail(df: DataFrame, part: str, order: Sequence[str], col: str, n: int):
+    """Rows with local number ``_r`` and ``_before``: the patient's last ``n`` values of earlier slices.
+
+    Every slice that a patient touches holds a row of it, so ``n`` slices
+    back are enough."""
+    sl = slices(df, part, order)
+    w = _local(part, order)
+    rows = sl.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("_pid", part))})
+    ordered = _across(part)[2]
+    empty = F.array().cast(f"array<{df.schema[col].dataType.simpleString()}>")
+    earlier = F.concat(*[F.coalesce(F.lag("_tail", k).over(ordered), empty) for k in range(n, 0, -1)])
+    return _with_carry(rows, _last_values(rows, part, col, n), part, {"_before": F.reverse(F.slice(F.reverse(earlier), 1, n))})
+
+
+def lag_features(df: DataFrame, part: str, order: Sequence[str], col: str, lags: Sequence[int] = (1, 2, 3),
+                 prefix: str = "lag") -> DataFrame:
+    """Lag k of a column within the patient."""
+    rows = _numbered_with_tail(df, part, order, col, max(lags))
+    w = _local(part, order)
+    return rows.withColumns({f"{prefix}{k}": F.when(F.col("_r") > k, F.lag(col, k).over(w)).otherwise(
+        F.get("_before", (F.size("_before") - (k - F.col("_r") + 1)).cast("int"))) for k in lags}) \
+        .drop("_r", "_n", "_before", "_pid")
+
+
+def rolling_stats(df: DataFrame, part: str | None, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
+                  aggs: Sequence[str] = ("mean", "sum", "min", "max")) -> DataFrame:
+    """N-row rolling mean/sum/min/max; NULL unless all n rows in the
+    window are present and non-NULL (pandas ``rolling(n)``).
+    ``part=None`` reproduces quirk Q15 (rolling across patients)."""
+    if part is None:
+        return rolling_stats(df.withColumn("_all", F.lit(0)), "_all", order, col, windows, aggs).drop("_all")
+    rows = _numbered_with_tail(df, part, order, col, max(windows) - 1)
+    before = F.coalesce("_before", F.array().cast(f"array<{df.schema[col].dataType.simpleString()}>"))
+    cols = {}
+    for n in windows:
+        w = _local(part, order).rowsBetween(-(n - 1), 0)
+        missing = F.greatest(n - F.col("_r"), F.lit(0))  # rows that the window takes from earlier slices
+        past = F.filter(F.reverse(F.slice(F.reverse(before), F.lit(1), missing)), lambda x: x.isNotNull())
+        full = F.count(col).over(w) + F.size(past) == n
+        total = F.sum(col).over(w) + F.aggregate(past, F.lit(0).cast("double"), lambda a, x: a + x)
+        made = {"sum": total, "mean": total / n, "min": F.least(F.min(col).over(w), F.array_min(past)),
+                "max": F.greatest(F.max(col).over(w), F.array_max(past))}
+        cols |= {f"rolling_{a}_{n}": F.when(full, made[a]) for a in aggs}
+    return rows.withColumns(cols).drop("_r", "_n", "_before", "_pid")
+
+
 def day_difference(df: DataFrame, order: Sequence[str], id_col: str = "MDN", days: str = "Days_count",
-                   out: str = "Dif", method: str = "window", hot_rows: int | None = None) -> DataFrame:
+                   out: str = "Dif") -> DataFrame:
     """Day number minus the previous row's, within the patient; first
-    row 0, negatives clipped to 0. ``method='auto'`` sends very active
-    patients through the split (join-based) lag."""
-    if method == "window":
-        prev = F.lag(days).over(_w(id_col, order))
-        return df.withColumn(out, F.greatest(F.coalesce(F.col(days) - prev, F.lit(0)), F.lit(0)))
-    lagged = lag_features_auto(df, id_col, order, days, [1], "_prev", method, hot_rows or HOT_ROWS)
+    row 0, negatives clipped to 0."""
+    lagged = lag_features(df, id_col, order, days, [1], "_prev")
     return lagged.withColumn(out, F.greatest(F.coalesce(F.col(days) - F.col("_prev1"), F.lit(0)), F.lit(0))).drop("_prev1")
 
 
@@ -92,65 +177,74 @@ def trim_first_admission(df: DataFrame, order: Sequence[str], id_col: str = "MDN
     ``mode='first_admission'`` drops everything from the first such gap."""
     if mode == "row":
         return df.filter(F.col(dif) < max_gap)
-    w = _w(id_col, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_cut", F.max((F.col(dif) >= max_gap).cast("int")).over(w)) \
-             .filter(F.col("_cut") == 0).drop("_cut")
+    sl = slices(df, id_col, order)
+    flag = F.coalesce((F.col(dif) >= max_gap).cast("int"), F.lit(0))
+    so_far = _local(id_col, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sl.withColumn("_m", F.max(flag).over(so_far))
+    per = sl.groupBy(id_col, "_pid").agg(F.max(flag).alias("_sm"))
+    rows = _with_carry(rows, per, id_col, {"_pm": F.max("_sm").over(_across(id_col)[0])})
+    return rows.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", "_pid")
 
 
-def interpolate_linear(df: DataFrame, part, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
+def interpolate_linear(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """Linear fill by row position; leading NULLs stay, trailing NULLs
     take the last value (pandas ``interpolate()``)."""
     out = out or col
-    w = _w(part, order)
-    d = df.withColumn("_i", F.row_number().over(w))
-    pv = F.struct(F.col("_i").alias("p"), F.col(col).alias("v"))
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    d = d.withColumn("_prev", F.last(F.when(F.col(col).isNotNull(), pv), ignorenulls=True).over(before)) \
-         .withColumn("_next", F.first(F.when(F.col(col).isNotNull(), pv), ignorenulls=True).over(after))
-    interp = F.col("_prev.v") + (F.col("_next.v") - F.col("_prev.v")) * \
-        (F.col("_i") - F.col("_prev.p")) / (F.col("_next.p") - F.col("_prev.p"))
-    val = (F.when(F.col(col).isNotNull(), F.col(col))
-            .when(F.col("_prev").isNull(), F.lit(None))
-            .when(F.col("_next").isNull(), F.col("_prev.v"))
-            .otherwise(interp))
-    return d.withColumn(out, val.cast("double")).drop("_i", "_prev", "_next")
-
-
-def backfill(df: DataFrame, part, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
+    sl = slices(df, part, order)
+    w = _local(part, order)
+    rows = sl.withColumn("_i", F.row_number().over(w))
+    known = F.when(F.col(col).isNotNull(), F.struct(F.col("_i").alias("p"), F.col(col).cast("double").alias("v")))
+    rows = rows.withColumns({
+        "_lp": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_ln": F.first(known, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    # positions are local; slices hand over their distance
+    per = rows.groupBy(part, "_pid").agg(F.count("*").alias("_c"), F.max(known).alias("_sl"), F.min(known).alias("_sf"))
+    before, after, ordered = _across(part)
+    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + F.col("_off")).alias("p"), F.col(c)["v"].alias("v")))
+    per = per.withColumns({"_sl": at("_sl"), "_sf": at("_sf")})
+    rows = _with_carry(rows, per, part, {"_o": F.first("_off").over(ordered.rowsBetween(0, 0)),
+                                         "_pp": F.last("_sl", ignorenulls=True).over(before),
+                                         "_nn": F.first("_sf", ignorenulls=True).over(after)})
+    shift = F.coalesce("_o", F.lit(0))
+    here = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + shift).alias("p"), F.col(c)["v"].alias("v")))
+    rows = rows.withColumns({"_p": F.coalesce(here("_lp"), F.col("_pp")), "_q": F.coalesce(here("_ln"), F.col("_nn"))})
+    p, q = F.col("_p"), F.col("_q")
+    between = p["v"] + (q["v"] - p["v"]) * (F.col("_i") + shift - p["p"]) / (q["p"] - p["p"])
+    value = (F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(p.isNull(), F.lit(None))
+             .when(q.isNull(), p["v"]).otherwise(between))
+    return rows.withColumn(out, value.cast("double")).drop("_i", "_pid", "_lp", "_ln", "_o", "_pp", "_nn", "_p", "_q")
+
+
+def backfill(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """Next non-NULL value (current row included)."""
-    w = _w(part, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(out or col, F.first(col, ignorenulls=True).over(w))
+    sl = slices(df, part, order)
+    w = _local(part, order)
+    rows = sl.withColumn("_loc", F.first(col, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    rank = F.struct(*[F.col(c) for c in order])
+    per = sl.groupBy(part, "_pid").agg(F.min_by(col, F.when(F.col(col).isNotNull(), rank)).alias("_sf"))
+    rows = _with_carry(rows, per, part, {"_nx": F.first("_sf", ignorenulls=True).over(_across(part)[1])})
+    return rows.withColumn(out or col, F.coalesce("_loc", "_nx")).drop("_loc", "_nx", "_pid")
 
 
-def lag_features(df: DataFrame, part, order: Sequence[str], col: str, lags: Sequence[int] = (1, 2, 3),
-                 prefix: str = "lag") -> DataFrame:
-    """Lag k of a column within the patient."""
-    w = _w(part, order)
-    return df.withColumns({f"{prefix}{k}": F.lag(col, k).over(w) for k in lags})
-
-
-def rolling_stats(df: DataFrame, part, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
-                  aggs: Sequence[str] = ("mean", "sum", "min", "max")) -> DataFrame:
-    """N-row rolling mean/sum/min/max; NULL unless all n rows in the
-    window are present and non-NULL (pandas ``rolling(n)``).
-    ``part=None`` reproduces quirk Q15 (rolling across patients)."""
-    fns = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
-    cols = {}
-    for n in windows:
-        base = Window.orderBy(*order) if part is None else _w(part, order)
-        w = base.rowsBetween(-(n - 1), 0)
-        full = F.count(col).over(w) == n
-        for a in aggs:
-            cols[f"rolling_{a}_{n}"] = F.when(full, fns[a](col).over(w))
-    return df.withColumns(cols)
+def fill_levels(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
+    """E9 then E10: linear interpolation, then the leading gap takes the first value."""
+    out = out or col
+    return backfill(interpolate_linear(df, part, order, col, out), part, order, out)
 
 
-def expanding_mean(df: DataFrame, part, order: Sequence[str], col: str, min_n: int = 2,
+def expanding_mean(df: DataFrame, part: str, order: Sequence[str], col: str, min_n: int = 2,
                    out: str = "expanding_mean") -> DataFrame:
     """Mean of all rows so far, NULL until ``min_n`` non-NULL values."""
-    w = _w(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.when(F.count(col).over(w) >= min_n, F.avg(col).over(w)))
+    sl = slices(df, part, order)
+    w = _local(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sl.withColumns({"_s": F.sum(col).over(w), "_c": F.count(col).over(w)})
+    per = sl.groupBy(part, "_pid").agg(F.sum(col).alias("_ts"), F.count(col).alias("_tc"))
+    before = _across(part)[0]
+    rows = _with_carry(rows, per, part, {"_os": F.sum("_ts").over(before), "_oc": F.sum("_tc").over(before)})
+    total = F.coalesce("_s", F.lit(0)) + F.coalesce("_os", F.lit(0))
+    n = F.col("_c") + F.coalesce("_oc", F.lit(0))
+    return rows.withColumn(out, F.when(n >= min_n, total / n)).drop("_s", "_c", "_os", "_oc", "_pid")
 
 
 def daily_resample(df: DataFrame, part: str, date: str, col: str, out: str = "value") -> DataFrame:
@@ -183,202 +277,3 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def patients_by_min_notes(df: DataFrame, col: str, n: int, id_col: str = "MDN") -> DataFrame:
     """Patients with at least ``n`` non-NULL values of ``col``."""
     return df.groupBy(id_col).agg(F.count(col).alias("_n")).filter(F.col("_n") >= n).select(id_col)
-
-
-# ------------------------------------------------------------------------
-# Hot patients: a patient may hold a large share of all rows. The window
-# forms above keep a patient in one task; the split forms below number the
-# patient's rows with a range partitioning over (patient, order) -- which
-# cuts a hot patient into many balanced slices -- and then express lag,
-# rolling and expanding features as equi-joins / prefix sums on
-# (patient, row number), keys that are unique per row and never skewed.
-# ``method='auto'`` routes only patients above ``hot_rows`` rows through the
-# split form; everybody else keeps the (cheaper) window.
-# ------------------------------------------------------------------------
-HOT_ROWS = 1_000_000
-
-
-def patient_row_number(df: DataFrame, part: str, order: Sequence[str], out: str = "_rn") -> DataFrame:
-    """1-based row number within each patient, computed without putting a
-    patient in one task: slices of a range partitioning are numbered
-    locally and shifted by the row counts of the patient's earlier slices
-    (at most one count row per (patient, partition))."""
-    from noteframe.session import cut_lineage
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # materialised: both uses below must see the same partition assignment
-    r = cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
-    local = r.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", part).orderBy(*order)))
-    cnt = r.groupBy(part, "_pid").agg(F.count("*").alias("_c"))
-    prev = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(prev), F.lit(0))).drop("_c")
-    return local.join(off, [part, "_pid"]).withColumn(out, F.col("_off") + F.col("_lrn")).drop("_off", "_lrn")
-
-
-def _route(df: DataFrame, part: str, method: str, hot_rows: int, window_fn, split_fn) -> DataFrame:
-    if method == "window":
-        return window_fn(df)
-    if method == "split":
-        return split_fn(df)
-    hot = df.groupBy(part).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(part)
-    return window_fn(df.join(hot, part, "left_anti")).unionByName(split_fn(df.join(hot, part, "left_semi")))
-
-
-def lag_features_split(df: DataFrame, part: str, order: Sequence[str], col: str, lags: Sequence[int] = (1, 2, 3),
-                       prefix: str = "lag") -> DataFrame:
-    """E11 for hot patients: lag k = value at row number rn - k (equi-join)."""
-    r = patient_row_number(df, part, order)
-    src = r.select(part, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("_rn") + k).alias("_rn"))
-                                             for k in lags])).alias("_x"), F.col(col).alias("_v"))
-    src = src.select(part, "_x.k", "_x._rn", "_v")
-    lagged = src.groupBy(part, "_rn").agg(*[F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"{prefix}{k}") for k in lags])
-    return r.join(lagged, [part, "_rn"], "left").drop("_rn", "_pid")
-
-
-def rolling_stats_split(df: DataFrame, part: str, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
-                        aggs: Sequence[str] = ("mean", "sum", "min", "max")) -> DataFrame:
-    """E12 for hot patients: every row is sent to the max(n) rows whose
-    window it belongs to (rn + j), then aggregated per target row."""
-    r = patient_row_number(df, part, order)
-    m = max(windows)
-    src = r.select(part, F.col(col).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"),
-                   F.col("_rn").alias("_src")).withColumn("_rn", F.col("_src") + F.col("_j"))
-    fns = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
-    out = []
-    for n in windows:
-        inwin = F.when(F.col("_j") < n, F.col("_v"))
-        full = F.count(inwin) == n
-        out += [F.when(full, fns[a](inwin)).alias(f"rolling_{a}_{n}") for a in aggs]
-    agg = src.groupBy(part, "_rn").agg(*out)
-    return r.join(agg, [part, "_rn"], "left").drop("_rn", "_pid")
-
-
-def expanding_mean_split(df: DataFrame, part: str, order: Sequence[str], col: str, min_n: int = 2,
-                         out: str = "expanding_mean") -> DataFrame:
-    """E13 for hot patients: running sum and count inside each slice plus
-    the totals of the patient's earlier slices."""
-    from noteframe.session import cut_lineage
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
-    w = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    loc = r.withColumns({"_s": F.sum(col).over(w), "_c": F.count(col).over(w)})
-    tot = r.groupBy(part, "_pid").agg(F.sum(col).alias("_ts"), F.count(col).alias("_tc"))
-    prev = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(part, "_pid", F.coalesce(F.sum("_ts").over(prev), F.lit(0.0)).alias("_os"),
-                     F.coalesce(F.sum("_tc").over(prev), F.lit(0)).alias("_oc"))
-    j = loc.join(off, [part, "_pid"])
-    s = F.coalesce(F.col("_s"), F.lit(0.0)) + F.col("_os")
-    c = F.col("_c") + F.col("_oc")
-    return j.withColumn(out, F.when(c >= min_n, s / c)).drop("_s", "_c", "_os", "_oc", "_pid")
-
-
-def lag_features_auto(df, part, order, col, lags=(1, 2, 3), prefix="lag", method="auto", hot_rows=HOT_ROWS):
-    """E11 with hot-patient routing (see the section comment)."""
-    return _route(df, part, method, hot_rows, lambda x: lag_features(x, part, order, col, lags, prefix),
-                  lambda x: lag_features_split(x, part, order, col, lags, prefix))
-
-
-def rolling_stats_auto(df, part, order, col, windows=(3, 7), aggs=("mean", "sum", "min", "max"), method="auto",
-                       hot_rows=HOT_ROWS):
-    """E12 with hot-patient routing."""
-    return _route(df, part, method, hot_rows, lambda x: rolling_stats(x, part, order, col, windows, aggs),
-                  lambda x: rolling_stats_split(x, part, order, col, windows, aggs))
-
-
-def expanding_mean_auto(df, part, order, col, min_n=2, out="expanding_mean", method="auto", hot_rows=HOT_ROWS):
-    """E13 with hot-patient routing."""
-    return _route(df, part, method, hot_rows, lambda x: expanding_mean(x, part, order, col, min_n, out),
-                  lambda x: expanding_mean_split(x, part, order, col, min_n, out))
-
-
-def _slices(df: DataFrame, part: str, order: Sequence[str]) -> DataFrame:
-    """Rows tagged with their range-partition slice (``_pid``); materialised
-    so that every use sees the same slices."""
-    from noteframe.session import cut_lineage
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(n, part, *order).withColumn("_pid", F.spark_partition_id()))
-
-
-def _carry(per_slice: DataFrame, part: str, cols: Sequence[str], direction: str) -> DataFrame:
-    """For every (patient, slice): the last (direction='prev') or first
-    ('next') non-NULL value of ``cols`` among the patient's *other* slices
-    before / after it. At most one row per (patient, partition)."""
-    if direction == "prev":
-        w = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        return per_slice.select(part, "_pid", *[F.last(c, ignorenulls=True).over(w).alias(f"_c_{c}") for c in cols])
-    w = Window.partitionBy(part).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
-    return per_slice.select(part, "_pid", *[F.first(c, ignorenulls=True).over(w).alias(f"_c_{c}") for c in cols])
-
-
-def backfill_split(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
-    """E10 for hot patients: next non-NULL inside the slice, else the first
-    non-NULL of the patient's later slices."""
-    out = out or col
-    r = _slices(df, part, order)
-    w = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ws = Window.partitionBy("_pid", part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    loc = r.withColumns({"_loc": F.first(col, ignorenulls=True).over(w), "_sf": F.first(col, ignorenulls=True).over(ws)})
-    per = loc.groupBy(part, "_pid").agg(F.first("_sf").alias("_sf"))
-    nxt = _carry(per, part, ["_sf"], "next")
-    return loc.join(nxt, [part, "_pid"], "left").withColumn(out, F.coalesce("_loc", "_c__sf")) \
-              .drop("_loc", "_sf", "_c__sf", "_pid")
-
-
-def interpolate_linear_split(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
-    """E9 for hot patients: positions are distributed row numbers; the
-    previous / next non-NULL (position, value) come from the slice or are
-    carried from the patient's earlier / later slices."""
-    out = out or col
-    r = patient_row_number(df, part, order, "_i")
-    pv = F.when(F.col(col).isNotNull(), F.struct(F.col("_i").alias("p"), F.col(col).cast("double").alias("v")))
-    base = Window.partitionBy("_pid", part).orderBy(*order)
-    whole = Window.partitionBy("_pid", part)
-    loc = r.withColumns({
-        "_lp": F.last(pv, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_ln": F.first(pv, ignorenulls=True).over(base.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        "_sl": F.max(pv).over(whole),            # last non-NULL of the slice (largest position)
-        "_sf": F.min(pv).over(whole)})           # first non-NULL of the slice
-    per = loc.groupBy(part, "_pid").agg(F.first("_sl").alias("_sl"), F.first("_sf").alias("_sf"))
-    prev = _carry(per, part, ["_sl"], "prev")
-    nxt = _carry(per, part, ["_sf"], "next")
-    j = loc.join(prev, [part, "_pid"], "left").join(nxt, [part, "_pid"], "left")
-    p = F.coalesce(F.col("_lp"), F.col("_c__sl"))
-    q = F.coalesce(F.col("_ln"), F.col("_c__sf"))
-    interp = p["v"] + (q["v"] - p["v"]) * (F.col("_i") - p["p"]) / (q["p"] - p["p"])
-    val = (F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(p.isNull(), F.lit(None))
-            .when(q.isNull(), p["v"]).otherwise(interp))
-    return j.withColumn(out, val.cast("double")).drop("_i", "_pid", "_lp", "_ln", "_sl", "_sf", "_c__sl", "_c__sf")
-
-
-def trim_first_admission_split(df: DataFrame, order: Sequence[str], id_col: str = "MDN", dif: str = "Dif",
-                               max_gap: int = 3) -> DataFrame:
-    """E8 (first-admission mode) for hot patients: running max of the gap
-    flag inside the slice, or-ed with the flag of earlier slices."""
-    r = _slices(df, id_col, order)
-    flag = (F.col(dif) >= max_gap).cast("int")
-    w = Window.partitionBy("_pid", id_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    loc = r.withColumn("_m", F.max(flag).over(w))
-    per = r.groupBy(id_col, "_pid").agg(F.max(flag).alias("_sm"))
-    prev = per.select(id_col, "_pid", F.coalesce(F.max("_sm").over(
-        Window.partitionBy(id_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pm"))
-    j = loc.join(prev, [id_col, "_pid"], "left")
-    return j.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", "_pid")
-
-
-def interpolate_linear_auto(df, part, order, col, out=None, method="auto", hot_rows=HOT_ROWS):
-    """E9 with hot-patient routing."""
-    return _route(df, part, method, hot_rows, lambda x: interpolate_linear(x, part, order, col, out),
-                  lambda x: interpolate_linear_split(x, part, order, col, out))
-
-
-def backfill_auto(df, part, order, col, out=None, method="auto", hot_rows=HOT_ROWS):
-    """E10 with hot-patient routing."""
-    return _route(df, part, method, hot_rows, lambda x: backfill(x, part, order, col, out),
-                  lambda x: backfill_split(x, part, order, col, out))
-
-
-def trim_first_admission_auto(df, order, id_col="MDN", dif="Dif", max_gap=3, method="auto", hot_rows=HOT_ROWS):
-    """E8 (first-admission mode) with hot-patient routing."""
-    return _route(df, id_col, method, hot_rows, lambda x: trim_first_admission(x, order, id_col, dif, max_gap),
-                  lambda x: trim_first_admission_split(x, order, id_col, dif, max_gap))

@@ -2,7 +2,9 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from noteframe.operators import timeline as E
 
@@ -45,31 +47,41 @@ def test_align_and_trim(spark):
     assert E.trim_first_admission(t, ["k"], mode="row").count() == 3
 
 
-def test_hot_patient_split_forms_match_windows(spark):
+def test_every_slicing_matches_pandas(spark):
+    """A patient cut into many slices, slices with one row of a patient, and NULL runs across slices."""
     import random
     rnd = random.Random(5)
     rows = []
-    for p, n in (("hot", 400), ("a", 7), ("b", 2)):
+    for p, n in (("hot", 300), ("a", 7), ("b", 2), (None, 5), *((f"s{i}", 1) for i in range(20))):
         for i in range(n):
-            v = None if rnd.random() < 0.25 else float(rnd.randint(0, 4))
+            v = None if rnd.random() < 0.25 or 100 < i < 160 else float(rnd.randint(0, 4))
             rows.append((p, dt.date(2020, 1, 1) + dt.timedelta(i // 3), i, v))
-    df = _df(spark, rows)
+    df = _df(spark, rows).withColumn("Dif", F.col("k") % 11)
     order = ["Notitiedatum", "k"]
-    for method in ("split", "auto"):
-        kw = dict(method=method, hot_rows=50)
-        pairs = [
-            (E.lag_features(df, "MDN", order, "v"), E.lag_features_auto(df, "MDN", order, "v", **kw)),
-            (E.rolling_stats(df, "MDN", order, "v"), E.rolling_stats_auto(df, "MDN", order, "v", **kw)),
-            (E.expanding_mean(df, "MDN", order, "v"), E.expanding_mean_auto(df, "MDN", order, "v", **kw)),
-            (E.interpolate_linear(df, "MDN", order, "v", "vi"), E.interpolate_linear_auto(df, "MDN", order, "v", "vi", **kw)),
-            (E.backfill(df, "MDN", order, "v", "vb"), E.backfill_auto(df, "MDN", order, "v", "vb", **kw)),
-            (E.trim_first_admission(df.withColumn("Dif", (df.k % 11)), order, "MDN", "Dif", 9),
-             E.trim_first_admission_auto(df.withColumn("Dif", (df.k % 11)), order, "MDN", "Dif", 9, **kw)),
-        ]
-        for a, b in pairs:
-            cols = sorted(a.columns)
-            ra = sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)
-                         for r in a.select(*cols).collect()), key=repr)
-            rb = sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)
-                         for r in b.select(*cols).collect()), key=repr)
-            assert ra == rb
+    pdf = pd.DataFrame(rows, columns=["MDN", "Notitiedatum", "k", "v"]).fillna({"MDN": "-"}).sort_values(["MDN", "k"])
+    g = pdf.groupby("MDN").v
+    each = lambda f: g.transform(f).values
+    want = {"lag1": each(lambda x: x.shift(1)), "lag3": each(lambda x: x.shift(3)), "vi": each(lambda x: x.interpolate()),
+            "vb": each(lambda x: x.bfill()), "vf": each(lambda x: x.interpolate().bfill()), "expanding_mean": each(lambda x: x.expanding(2).mean())}
+    for n in (3, 7):
+        for a in ("mean", "sum", "min", "max"):
+            want[f"rolling_{a}_{n}"] = each(lambda x: getattr(x.rolling(n), a)())
+    pdf["cut"] = (pdf.k % 11 >= 9).groupby(pdf.MDN).cummax()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert E.slices(df, "MDN", order).select("_pid").distinct().count() >= n * 0.7
+            made = {"lag1": E.lag_features(df, "MDN", order, "v", [1, 3]), "lag3": E.lag_features(df, "MDN", order, "v", [1, 3]),
+                    "vi": E.interpolate_linear(df, "MDN", order, "v", "vi"), "vb": E.backfill(df, "MDN", order, "v", "vb"),
+                    "vf": E.fill_levels(df, "MDN", order, "v", "vf"), "expanding_mean": E.expanding_mean(df, "MDN", order, "v")}
+            rolled = E.rolling_stats(df, "MDN", order, "v")
+            for c, values in want.items():
+                got = made.get(c, rolled).fillna({"MDN": "-"}).toPandas().sort_values(["MDN", "k"])[c].astype(float).values
+                assert np.allclose(got, values.astype(float), equal_nan=True), c
+            kept = E.trim_first_admission(df, order, "MDN", "Dif", 9).fillna({"MDN": "-"}).toPandas()
+            assert set(zip(kept.MDN, kept.k)) == set(zip(pdf.MDN[~pdf.cut], pdf.k[~pdf.cut]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
