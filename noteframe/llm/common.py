@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from noteframe.session import ensure_checkpoint_dir
 
 #: Text bytes that one numpy step works on at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Entries that a task collects before it writes its packed rows.
 FLUSH_ENTRIES = 1_000_000
 #: Text bytes that one bucket of a packed exchange stands for.

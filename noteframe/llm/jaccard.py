@@ -223,7 +223,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = classes.where("copies > 1").drop("copies")
     member = C.write_table(
         sets.drop("sketch").join(several, ["fp1", "fp2", "n_shingles"], "left")
-        .select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")), "member")
+        .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id")), "member")
     to_class = member.where("id <> class_id").select("id", "class_id").distinct()
     about = (sets.where("id IS NOT NULL").select("id", F.col("n_shingles").cast("int").alias("n"), "sketch")
              .dropDuplicates(["id"]))
