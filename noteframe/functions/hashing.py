@@ -28,7 +28,3 @@ def sql_md5_bucket(*exprs: str) -> str:
     key = parts[0] if len(parts) == 1 else "concat_ws(':', " + ", ".join(parts) + ")"
     return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
 
-
-def seeded_rank_key(id_col, seed: int) -> Column:
-    """Sort key for seeded draws: (bucket, id) gives a total, stable order."""
-    return md5_bucket(F.lit(seed), id_col)

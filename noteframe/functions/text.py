@@ -51,6 +51,7 @@ def round_discretize(c) -> Column:
 
 
 # ---------------------------------------------------------------- keywords --
+# fixed values: the template numbers of keyword files and their patterns
 TEMPLATE_STEM, TEMPLATE_WORD, TEMPLATE_PAIR = 0, 1, 2
 
 
@@ -69,13 +70,3 @@ def keyword_regex(keyword: str, template: int) -> str:
         a, b = words
         return rf"\b{a}\b[^.]*?\b{b}\b|\b{b}\b[^.]*?\b{a}\b"
     raise ValueError(f"unknown regex template {template}")
-
-
-def keyword_regex_col(keyword, template) -> Column:
-    """G1 as a column expression (keyword tables kept as DataFrames)."""
-    kw, t = _col(keyword), _col(template)
-    w = F.split(kw, " ")
-    return (F.when(t == 0, F.format_string(r"\b%s.*?\b", kw))
-             .when(t == 1, F.format_string(r"\b%s\b", kw))
-             .when(t == 2, F.format_string(r"\b%s\b[^.]*?\b%s\b|\b%s\b[^.]*?\b%s\b",
-                                           w[0], w[1], w[1], w[0])))

@@ -101,14 +101,15 @@ def mean_mae_per_level(mae: DataFrame) -> DataFrame:
 
 def fleiss_kappa(tokens: DataFrame, domains: Sequence[str] = DOMAINS, note: str = "NotitieID") -> DataFrame:
     """Per domain, note x {False, True} rater counts, then Fleiss'
-    kappa by aggregates (equal raters per note assumed; NULL when P_e = 1)."""
+    kappa by aggregates (NULL when P_e = 1). A note with a single rater holds
+    no agreement and is left out; ``raters_per_note`` shows such notes."""
     arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.coalesce(F.col(d), F.lit(False)).alias("v")) for d in domains])
     per = tokens.select(note, "annotator", F.inline(arr)).groupBy(note, "domain", "annotator") \
                 .agg(F.bool_or("v").alias("v"))
     cnt = per.groupBy(note, "domain").agg(F.count(F.when(F.col("v"), 1)).alias("t"),
                                           F.count(F.when(~F.col("v"), 1)).alias("f"))
     n = F.col("t") + F.col("f")
-    cnt = cnt.withColumn("n", n).withColumn("p_i", (F.col("t") ** 2 + F.col("f") ** 2 - n) / (n * (n - 1)))
+    cnt = cnt.withColumn("n", n).filter("n > 1").withColumn("p_i", (F.col("t") ** 2 + F.col("f") ** 2 - n) / (n * (n - 1)))
     g = cnt.groupBy("domain").agg(F.avg("p_i").alias("p_bar"), F.sum("t").alias("st"), F.sum("f").alias("sf"))
     tot = F.col("st") + F.col("sf")
     pe = (F.col("st") / tot) ** 2 + (F.col("sf") / tot) ** 2

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from noteframe.functions.domains import PILOT_CODE_MAP, PILOT_FLAGS
 
-_CATEGORY_RULES = [  # (category, anchored pattern), as in the guideline
+# fixed values: (category, anchored pattern) of the guideline
+_CATEGORY_RULES = [
     ("domains", r"\..*"), ("levels", r"[a-z]{3}\d"), ("disregard", "other_disregard_file"),
     ("target", "other_target"), ("background", "other_background"), ("plus", "mbw_plus"),
 ]

@@ -1,38 +1,17 @@
-"""Scoring and classical models.
+"""Routing, scaling and classical models.
 
-Scoring functions are user-supplied Python callables applied through
-Arrow-batched pandas UDFs (vectorised transfer, one Python call per batch).
-Models use ``pyspark.ml``; k-NN is an exact pivot-partitioned search that
-only compares a query with the cells that can still hold a neighbour.
+Models use ``pyspark.ml``; k-NN keeps a bounded matrix of labelled rows that
+queries stream past.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from noteframe.functions.domains import DOMAINS
-
-
-def score_domains(df: DataFrame, text: str, fn: Callable[[str], Sequence[int]], out: str = "pred_model") -> DataFrame:
-    """Add an array<int> prediction column from ``fn(text)``."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _score(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [int(x) for x in fn("" if t is None else t)])
-    return df.withColumn(out, _score(F.col(text)))
-
-
-def score_levels(df: DataFrame, text: str, fn: Callable[[str], float], out: str = "pred_level") -> DataFrame:
-    """Add a numeric prediction column from ``fn(text)``."""
-    @F.pandas_udf(T.DoubleType())
-    def _score(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: float(fn("" if t is None else t)))
-    return df.withColumn(out, _score(F.col(text)))
 
 
 def route_by_domain(long: DataFrame, dom_col: str = "domains", pred: str = "preds") -> DataFrame:
@@ -60,116 +39,88 @@ def standard_scale(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> tu
 
 
 def model_features(df: DataFrame, target: str, feature_cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Target first as ``label``, features assembled into a vector."""
+    """Target first as ``label``, features assembled into a vector.
+    Incomplete rows are an error: drop them first (B22), in plain sight."""
     from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="skip")
+    va = VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="error")
     return va.transform(df.withColumn("label", F.col(target).cast("double"))).select("label", out, *[
         c for c in df.columns if c not in feature_cols and c != target])
 
 
-def fit_classifiers(train: DataFrame, features: str = "features", label: str = "label", seed: int = 0) -> dict:
+def fit_classifiers(train: DataFrame, features: str = "features", label: str = "label", seed: int = 0,
+                    max_depth: int = 30, max_bins: int = 256, penalty: float = 1.0) -> dict:
     """Multinomial logistic regression, Gaussian naive Bayes, entropy
-    decision tree and 10-tree entropy random forest."""
+    decision tree and 10-tree entropy random forest.
+
+    ``max_depth`` is the deepest tree that Spark grows and ``max_bins`` the
+    split points it tries per feature; ``penalty`` is the L2 weight of the
+    whole log-likelihood sum (Spark's own parameter is per row)."""
     from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
                                            RandomForestClassifier)
+    n = max(train.count(), 1)
+    trees = dict(featuresCol=features, labelCol=label, impurity="entropy", seed=seed, maxDepth=max_depth, maxBins=max_bins)
     est = {
-        "logistic": LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=100),
+        "logistic": LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=100,
+                                       regParam=penalty / n, standardization=False),
         "naive_bayes": NaiveBayes(featuresCol=features, labelCol=label, modelType="gaussian"),
-        "decision_tree": DecisionTreeClassifier(featuresCol=features, labelCol=label, impurity="entropy", seed=seed),
-        "random_forest": RandomForestClassifier(featuresCol=features, labelCol=label, impurity="entropy",
-                                                numTrees=10, seed=seed),
+        "decision_tree": DecisionTreeClassifier(**trees),
+        "random_forest": RandomForestClassifier(numTrees=10, **trees),
     }
     return {k: e.fit(train) for k, e in est.items()}
 
 
-@F.pandas_udf(T.DoubleType())
-def _pair_dist(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise Euclidean distance, vectorised over an Arrow batch."""
-    import numpy as np
-    if len(a) == 0:
-        return pd.Series([], dtype="float64")
-    x, y = np.vstack(a.to_numpy()), np.vstack(b.to_numpy())
-    return pd.Series(np.sqrt(((x - y) ** 2).sum(axis=1)))
-
-
-def _pivot_dists(pivots):
-    import numpy as np
-    P = np.asarray(pivots, dtype="float64")
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dists(a: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="object")
-        x = np.vstack(a.to_numpy())
-        d = np.sqrt(((x[:, None, :] - P[None, :, :]) ** 2).sum(axis=2))
-        return pd.Series(list(d))
-    return dists
+#: Labelled rows that k-NN keeps at most: a seeded draw where there are more.
+MAX_FIT_ROWS = 20_000
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "id", vec: str = "vec",
-                 label: str = "label", n_pivots: int = 16, seed: int = 0) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) and majority vote (ties:
+                 label: str = "label", max_fit_rows: int = MAX_FIT_ROWS, seed: int = 0) -> DataFrame:
+    """K nearest neighbours (Euclidean) and majority vote (ties:
     smallest label; neighbour ties: smallest train id).
 
-    Exact without all pairs: ``n_pivots`` seeded train points (a bounded
-    parameter, inlined as literals) define Voronoi cells. A query first
-    searches its own cell; a point of cell c can only be closer than the
-    current k-th distance r if (d(q, p_c) - d(q, p_own)) / 2 <= r, so only
-    those cells are probed. A query whose cell has fewer than k points
-    probes every cell."""
+    The fitted model is the matrix of labelled rows, at most
+    ``max_fit_rows`` of them, so its size is known; it goes to the workers
+    once. Queries stream past it: each Arrow batch takes one matrix product
+    to find candidates, whose distances are then taken exactly. No join, no
+    shuffle, no pairs."""
     from noteframe.operators.sampling import cap_sample
-    spark = train.sparkSession
-    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tr = train.select(F.col(id_col).alias("tid"), F.col(vec).cast("array<double>").alias("tv"), F.col(label).alias("tl"))
-    par = spark.sparkContext.defaultParallelism
-    if tr.rdd.getNumPartitions() < par:  # a few big files: spread the distance work
-        tr = tr.repartition(par)
-    # queries hash-partitioned by id with an explicit count (not coalesced by
-    # AQE): the per-query windows below reuse this partitioning
-    te = test.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("qv")).repartition(n_part, "qid")
-    pivots = [r["tv"] for r in cap_sample(tr.select("tid", "tv"), "tid", n_pivots, seed).collect()]
-    # non-deterministic marking keeps Catalyst from copying the UDF into
-    # inferred filters below the joins (it would run more than once per row)
-    pdist = _pivot_dists(pivots).asNondeterministic()  # pivots: n_pivots rows, a bounded parameter
-
-    def dists(c):
-        return pdist(F.col(c))
-
-    def argmin(arr):
-        return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
-
-    tc = tr.withColumn("_d", dists("tv")).select("tid", "tv", "tl", argmin(F.col("_d")).alias("cell"))
-    q = te.withColumn("dq", dists("qv")).withColumn("own", argmin(F.col("dq"))) \
-          .withColumn("d_own", F.array_min("dq"))
-    # pass 1: k-th distance inside the own cell (inf when fewer than k)
-    first = q.join(tc, F.col("own") == F.col("cell")).select("qid", _pair_dist.asNondeterministic()(F.col("qv"), F.col("tv")).alias("d"), "tid")
-    kth = first.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "tid"))) \
-               .filter(F.col("_r") == k).select("qid", F.col("d").alias("r_k"))
-    bound = q.join(kth, "qid", "left").withColumn("r_k", F.coalesce("r_k", F.lit(math.inf)))
-    # pass 2: every cell that may hold a closer point (own cell included)
-    idx = F.sequence(F.lit(0), F.lit(len(pivots) - 1))
-    cells = F.filter(idx, lambda i: (F.get(F.col("dq"), i) - F.col("d_own")) / 2 <= F.col("r_k"))
-    cand = bound.select("qid", "qv", F.explode(cells).alias("cell"))
-    pairs = cand.join(tc, "cell").select("qid", "tid", "tl", _pair_dist.asNondeterministic()(F.col("qv"), F.col("tv")).alias("d"))
-    nn = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "tid"))) \
-              .filter(F.col("_r") <= k)
-    votes = nn.groupBy("qid", "tl").agg(F.count("*").alias("_v"))
-    best = votes.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_v"), "tl"))) \
-                .filter("_r = 1").select(F.col("qid").alias(id_col), F.col("tl").alias("pred"))
-    return test.join(best, id_col, "left")
-
-
-def classifier_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> tuple[DataFrame, DataFrame]:
+    fitted = cap_sample(train.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("l")),
+                        "i", max_fit_rows, seed).orderBy("i").collect()
+    points = np.array([r["v"] for r in fitted], dtype="float64").reshape(len(fitted), -1)
+    labels = np.array([r["l"] for r in fitted])
+    model = train.sparkSession.sparkContext.broadcast((points, labels))
+    kind = train.schema[label].dataType
+
+    def vote(vectors: pd.Series) -> pd.Series:
+        p, lab = model.value
+        out = []
+        for a in range(0, len(vectors), 256):
+            q = np.vstack(vectors.iloc[a:a + 256].to_numpy()).astype("float64")
+            near = (p * p).sum(axis=1)[None, :] - 2 * q @ p.T
+            m = min(len(p), 4 * k + 8)  # a few more than needed: the product rounds
+            cand = np.sort(np.argpartition(near, m - 1, axis=1)[:, :m], axis=1)
+            d = np.sqrt(((q[:, None, :] - p[cand]) ** 2).sum(axis=2))
+            first = np.argsort(d, axis=1, kind="stable")[:, :k]
+            for votes in lab[np.take_along_axis(cand, first, axis=1)]:
+                names, n = np.unique(votes, return_counts=True)
+                out.append(names[n.argmax()].item())
+        return pd.Series(out, dtype="object")
+    if not len(points):
+        return test.withColumn("pred", F.lit(None).cast(kind))
+    return test.withColumn("pred", F.pandas_udf(vote, kind)(F.col(vec).cast("array<double>")))
+
+
+def classifier_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
+                       by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(accuracy + macro F1 over the union of classes seen in gold or
-    predictions, one row) and the confusion counts (label, pred, n)."""
-    l, p = F.col(label), F.col(pred)
-    classes = df.select(l.alias("c")).union(df.select(p.alias("c"))).distinct()
-    tp = df.filter(l == p).groupBy(l.alias("c")).agg(F.count("*").alias("tp"))
-    ng = df.groupBy(l.alias("c")).agg(F.count("*").alias("ng"))
-    npd = df.groupBy(p.alias("c")).agg(F.count("*").alias("np"))
-    per = classes.join(tp, "c", "left").join(ng, "c", "left").join(npd, "c", "left").fillna(0, ["tp", "ng", "np"])
+    predictions, one row per ``by``) and the confusion counts (label, pred,
+    n). Everything derives from the confusion counts, grouped once."""
+    cm = df.groupBy(*by, F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("label").alias("c"), hit.alias("tp"), F.col("n").alias("ng"), zero.alias("np")),
+                    F.struct(F.col("pred").alias("c"), zero.alias("tp"), zero.alias("ng"), F.col("n").alias("np")))
+    per = cm.select(*by, F.inline(sides)).groupBy(*by, "c").agg(F.sum("tp").alias("tp"), F.sum("ng").alias("ng"), F.sum("np").alias("np"))
     f1 = F.coalesce(F.try_divide((2 * F.col("tp")).cast("double"), F.col("ng") + F.col("np")), F.lit(0.0))
-    # accuracy = sum of true positives over all rows: one aggregation
-    summary = per.agg((F.sum("tp") / F.sum("ng")).alias("accuracy"), F.sum("ng").alias("n"), F.avg(f1).alias("macro_f1"))
-    cm = df.groupBy(l.alias("label"), p.alias("pred")).agg(F.count("*").alias("n"))
+    summary = per.groupBy(*by).agg((F.sum("tp") / F.sum("ng")).alias("accuracy"), F.sum("ng").alias("n"), F.avg(f1).alias("macro_f1"))
     return summary, cm

@@ -186,12 +186,13 @@ def patients_notes_by_annotated(df: DataFrame, by: str = "institution", annotate
 
 def notes_per_patient_hist(df: DataFrame, id_col: str = "MDN", width: int = 25, cap: int = 500) -> DataFrame:
     """Notes per patient capped at ``cap``, right-closed bins of
-    ``width``; empty bins kept (bin table built from the parameters)."""
+    ``width``, the last one reaching ``cap`` or beyond; empty bins kept (bin
+    table built from the parameters)."""
     spark = df.sparkSession
     n = df.groupBy(id_col).agg(F.count("*").alias("n"))
     binned = n.select(F.ceil(F.least(F.col("n"), F.lit(cap)) / width).cast("int").alias("bin")) \
               .groupBy("bin").agg(F.count("*").alias("n_patients"))
-    bins = spark.range(1, cap // width + 1).select(F.col("id").cast("int").alias("bin"))
+    bins = spark.range(1, -(-cap // width) + 1).select(F.col("id").cast("int").alias("bin"))
     return bins.join(binned, "bin", "left").select(
         ((F.col("bin") - 1) * width).alias("bin_lo"), (F.col("bin") * width).alias("bin_hi"),
         F.coalesce("n_patients", F.lit(0)).cast("bigint").alias("n_patients"))
@@ -215,10 +216,15 @@ def labelled_notes_overview(df: DataFrame, levels: Sequence[str], annotated: str
 
 
 def value_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """Equal-width histogram per column (last bin closed), as numpy."""
+    """Equal-width histogram per column (last bin closed), as numpy: a
+    column with one value gets bins of half a unit to each side, one without
+    values bins over [0, 1]; every bin has a row."""
+    spark = df.sparkSession
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                         for c in cols]))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     rng = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    half = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
+    rng = rng.select("column", (F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     j = long.join(F.broadcast(rng), "column")  # one row per column: bounded
     lo, hi, v = F.col("lo"), F.col("hi"), F.col("v")
     # numpy: index from (v - lo) * bins / (hi - lo), then corrected against
@@ -231,8 +237,9 @@ def value_histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataF
     i = F.col("_i")
     fixed = (F.when(v < edge(i), i - 1)
               .when((v >= edge(i + 1)) & (i != bins - 1), i + 1).otherwise(i))
-    b = F.when(hi == lo, F.lit(0)).otherwise(fixed).cast("int")
-    return j.groupBy("column", b.alias("bin")).agg(F.count("*").alias("n"))
+    counts = j.groupBy("column", fixed.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    grid = spark.createDataFrame([(c, i) for c in cols for i in range(bins)], "column string, bin int")
+    return grid.join(counts, ["column", "bin"], "left").select("column", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def date_summary(df: DataFrame, col: str) -> DataFrame:
@@ -310,14 +317,17 @@ def activity_tier_summary(df: DataFrame, tiers: Sequence[int], id_col: str = "MD
                           annotated: str = "annotated") -> DataFrame:
     """Per size tier (> t notes per patient): unique patients,
     annotated and not annotated notes, total notes. One aggregation per
-    patient, then each tier is a filter over the per-patient rows."""
+    patient, then each tier is a filter over the per-patient rows; a tier
+    that no patient exceeds has zeros."""
     per = df.groupBy(id_col).agg(F.count("*").alias("n"),
                                  F.count(F.when(F.col(annotated), 1)).alias("a"))
     # each patient row is expanded to the tiers it exceeds (no join)
     tier_arr = F.array(*[F.lit(int(x)) for x in tiers])
     j = per.select("n", "a", F.explode(F.filter(tier_arr, lambda t: F.col("n") > t)).alias("tier"))
-    return j.groupBy("tier").agg(F.count("*").alias("unique_ids"), F.sum("a").alias("annotated"),
-                                 (F.sum("n") - F.sum("a")).alias("not_annotated"), F.sum("n").alias("total_notes"))
+    g = j.groupBy("tier").agg(F.count("*").alias("unique_ids"), F.sum("a").alias("annotated"),
+                              (F.sum("n") - F.sum("a")).alias("not_annotated"), F.sum("n").alias("total_notes"))
+    every = df.sparkSession.createDataFrame([(int(x),) for x in tiers], "tier int")
+    return every.join(g, "tier", "left").fillna(0)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -30,20 +30,20 @@ def _key(id_col: str, seed: int):
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
     """0-based rank of every row in ``order`` (must be a total order).
 
-    JVM-only: a range partitioning by ``order`` gives ordered, balanced
-    partitions; a row number inside each partition plus the partition's
-    offset (prefix sum of the per-partition counts, one small row per
-    partition collected to the driver) is the global rank."""
+    JVM-only, one shuffle: a range partitioning by ``order`` gives ordered,
+    balanced partitions, sorted in place; the low bits of the monotonically
+    increasing id number the rows of a partition, and the partition's offset
+    (prefix sum of the per-partition counts, one small row per partition
+    collected to the driver) makes that the global rank."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*cols)
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
     # materialised once in the shared checkpoint folder: the counts and the
     # final ranks must see the same partition assignment, also when a
     # lost executor forces a recomputation
     from noteframe.session import cut_lineage
-    numbered = cut_lineage(ranged.withColumn("_rn", F.row_number().over(w) - 1))
+    numbered = cut_lineage(ranged).withColumns({"_pid": F.shiftright("_m", 33).cast("int"),
+                                                "_rn": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
     counts = sorted((r["_pid"], r["c"]) for r in numbered.groupBy("_pid").agg(F.count("*").alias("c")).collect())
     offsets, acc = [], 0  # one row per partition
     for pid, c in counts:
@@ -53,11 +53,14 @@ def global_rank(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
     return numbered.join(F.broadcast(off), "_pid").withColumn(out, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off")
 
 
-def cap_sample(df: DataFrame, id_col: str, n: int = 50000, seed: int = 45) -> DataFrame:
-    """At most ``n`` rows, a seeded uniform draw when there are more.
-    Planned as TakeOrderedAndProject (per-task top-n, then merge)."""
-    return (df.withColumn("_k", _key(id_col, seed))
-              .orderBy("_k", id_col).limit(n).drop("_k"))
+def cap_sample(df: DataFrame, id_col: str, n: int = 50000, seed: int = 45, source: str | None = None) -> DataFrame:
+    """At most ``n`` rows of every source, a seeded uniform draw when it
+    has more (partial WindowGroupLimit: a task ships ``n`` rows per source at
+    most). Without ``source`` the frame is one source (TakeOrderedAndProject)."""
+    if source is None:
+        return (df.withColumn("_k", _key(id_col, seed))
+                  .orderBy("_k", id_col).limit(n).drop("_k"))
+    return _top_per_source(df, n, id_col, seed, source).drop("_r")
 
 
 def batch_quotas(sources_other: Sequence[str], source_covid: str, n_files: int,
@@ -152,7 +155,8 @@ def select_notes(notes: DataFrame, annotators: Sequence[str], sources_other: Seq
                  source_covid: str, n_files: int, pct_covid: float, pct_kwd: float,
                  domains: Sequence[str], matched_domains: Sequence[str],
                  min_matched_domains: int, n_iaa: int, iaa_sources: Sequence[str],
-                 seed: int = 0, id_col: str = "NotitieID", source: str = "source") -> DataFrame:
+                 seed: int = 0, id_col: str = "NotitieID", source: str = "source",
+                 allow_short: bool = False) -> DataFrame:
     """S2-S5 composed. ``notes`` holds all sources (``source`` column)
     and one array column of keyword matches per domain.
 
@@ -161,7 +165,10 @@ def select_notes(notes: DataFrame, annotators: Sequence[str], sources_other: Seq
     re-read only that. The drawn batch is bounded by the quotas (a
     parameter), so it is broadcast to pick the full note rows; that
     semi-join sits below the keyword projection, so matches are recomputed
-    only for the drawn notes."""
+    only for the drawn notes.
+
+    A pool that cannot fill its quota is an error that names the shortfall,
+    unless ``allow_short``: then :func:`batch_shortfall` shows it."""
     from noteframe.operators.keywords import count_matched_domains
     from noteframe.session import cut_lineage
     quotas = batch_quotas(sources_other, source_covid, n_files, pct_covid, pct_kwd, n_iaa, iaa_sources)
@@ -171,7 +178,15 @@ def select_notes(notes: DataFrame, annotators: Sequence[str], sources_other: Seq
     kwd = sample_keyword(cand, iaa, quotas, annotators, matched_domains, min_matched_domains, seed, id_col, source)
     used = iaa.select(id_col).unionByName(kwd.select(id_col))
     rnd = sample_random(cand, used, quotas, annotators, seed, id_col, source)
-    batch = iaa.unionByName(kwd).unionByName(rnd).select(id_col, "annotator", "samp_meth")
+    drawn = iaa.unionByName(kwd).unionByName(rnd)
+    if not allow_short:
+        drawn = cut_lineage(drawn)  # bounded by the quotas
+        short = batch_shortfall(drawn, quotas, annotators, source).filter("missing > 0").orderBy(
+            "source", "samp_meth", "annotator").collect()
+        if short:
+            raise ValueError("too few notes for the batch: " + "; ".join(
+                f"{r['source']} {r['samp_meth']} {r['annotator']}: {r['drawn']} of {r['required']}" for r in short))
+    batch = drawn.select(id_col, "annotator", "samp_meth")
     chosen = data.join(F.broadcast(batch.select(id_col).distinct()), id_col, "left_semi")
     return chosen.join(F.broadcast(batch), id_col)
 

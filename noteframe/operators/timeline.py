@@ -80,11 +80,19 @@ def slices(df: DataFrame, part: str, order: Sequence[str]) -> DataFrame:
     A patient of any size is cut into slices of balanced size, so no patient
     is one task's work; nearly all patients lie within one slice. The rows are
     materialised in the shared checkpoint folder, because every use below must
-    see the same slices, also after a lost executor."""
+    see the same slices, also after a lost executor. Rows that already carry
+    ``_pid`` keep their slices: features chained on them cut once."""
     from noteframe.session import cut_lineage
+    if "_pid" in df.columns:
+        return df
     return cut_lineage(df.repartitionByRange(part, *order).withColumn("_pid", F.spark_partition_id()))
 
 
+def _own(df: DataFrame) -> list[str]:
+    """The slice column, if the caller's rows came without: dropped at the end."""
+    return [] if "_pid" in df.columns else ["_pid"]
+
+
 def _local(part: str, order: Sequence[str]):
     """Window over a patient's rows within a slice."""
     return Window.partitionBy("_pid", part).orderBy(*order)
@@ -138,7 +146,7 @@ def lag_features(df: DataFrame, part: str, order: Sequence[str], col: str, lags:
     w = _local(part, order)
     return rows.withColumns({f"{prefix}{k}": F.when(F.col("_r") > k, F.lag(col, k).over(w)).otherwise(
         F.get("_before", (F.size("_before") - (k - F.col("_r") + 1)).cast("int"))) for k in lags}) \
-        .drop("_r", "_n", "_before", "_pid")
+        .drop("_r", "_n", "_before", *_own(df))
 
 
 def rolling_stats(df: DataFrame, part: str | None, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
@@ -160,7 +168,7 @@ def rolling_stats(df: DataFrame, part: str | None, order: Sequence[str], col: st
         made = {"sum": total, "mean": total / n, "min": F.least(F.min(col).over(w), F.array_min(past)),
                 "max": F.greatest(F.max(col).over(w), F.array_max(past))}
         cols |= {f"rolling_{a}_{n}": F.when(full, made[a]) for a in aggs}
-    return rows.withColumns(cols).drop("_r", "_n", "_before", "_pid")
+    return rows.withColumns(cols).drop("_r", "_n", "_before", *_own(df))
 
 
 def day_difference(df: DataFrame, order: Sequence[str], id_col: str = "MDN", days: str = "Days_count",
@@ -183,7 +191,7 @@ def trim_first_admission(df: DataFrame, order: Sequence[str], id_col: str = "MDN
     rows = sl.withColumn("_m", F.max(flag).over(so_far))
     per = sl.groupBy(id_col, "_pid").agg(F.max(flag).alias("_sm"))
     rows = _with_carry(rows, per, id_col, {"_pm": F.max("_sm").over(_across(id_col)[0])})
-    return rows.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", "_pid")
+    return rows.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", *_own(df))
 
 
 def interpolate_linear(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
@@ -213,7 +221,7 @@ def interpolate_linear(df: DataFrame, part: str, order: Sequence[str], col: str,
     between = p["v"] + (q["v"] - p["v"]) * (F.col("_i") + shift - p["p"]) / (q["p"] - p["p"])
     value = (F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(p.isNull(), F.lit(None))
              .when(q.isNull(), p["v"]).otherwise(between))
-    return rows.withColumn(out, value.cast("double")).drop("_i", "_pid", "_lp", "_ln", "_o", "_pp", "_nn", "_p", "_q")
+    return rows.withColumn(out, value.cast("double")).drop("_i", "_lp", "_ln", "_o", "_pp", "_nn", "_p", "_q", *_own(df))
 
 
 def backfill(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
@@ -224,13 +232,14 @@ def backfill(df: DataFrame, part: str, order: Sequence[str], col: str, out: str
     rank = F.struct(*[F.col(c) for c in order])
     per = sl.groupBy(part, "_pid").agg(F.min_by(col, F.when(F.col(col).isNotNull(), rank)).alias("_sf"))
     rows = _with_carry(rows, per, part, {"_nx": F.first("_sf", ignorenulls=True).over(_across(part)[1])})
-    return rows.withColumn(out or col, F.coalesce("_loc", "_nx")).drop("_loc", "_nx", "_pid")
+    return rows.withColumn(out or col, F.coalesce("_loc", "_nx")).drop("_loc", "_nx", *_own(df))
 
 
 def fill_levels(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """E9 then E10: linear interpolation, then the leading gap takes the first value."""
     out = out or col
-    return backfill(interpolate_linear(df, part, order, col, out), part, order, out)
+    sl = slices(df, part, order)
+    return backfill(interpolate_linear(sl, part, order, col, out), part, order, out).drop(*_own(df))
 
 
 def expanding_mean(df: DataFrame, part: str, order: Sequence[str], col: str, min_n: int = 2,
@@ -244,7 +253,7 @@ def expanding_mean(df: DataFrame, part: str, order: Sequence[str], col: str, min
     rows = _with_carry(rows, per, part, {"_os": F.sum("_ts").over(before), "_oc": F.sum("_tc").over(before)})
     total = F.coalesce("_s", F.lit(0)) + F.coalesce("_os", F.lit(0))
     n = F.col("_c") + F.coalesce("_oc", F.lit(0))
-    return rows.withColumn(out, F.when(n >= min_n, total / n)).drop("_s", "_c", "_os", "_oc", "_pid")
+    return rows.withColumn(out, F.when(n >= min_n, total / n)).drop("_s", "_c", "_os", "_oc", *_own(df))
 
 
 def daily_resample(df: DataFrame, part: str, date: str, col: str, out: str = "value") -> DataFrame:
@@ -277,3 +286,22 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def patients_by_min_notes(df: DataFrame, col: str, n: int, id_col: str = "MDN") -> DataFrame:
     """Patients with at least ``n`` non-NULL values of ``col``."""
     return df.groupBy(id_col).agg(F.count(col).alias("_n")).filter(F.col("_n") >= n).select(id_col)
+
+
+def feature_table(df: DataFrame, levels: Sequence[str], order: Sequence[str], target: str = "ADM_lvl",
+                  id_col: str = "MDN", date: str = "Notitiedatum", max_gap: int = 3) -> DataFrame:
+    """E6-E13 and E15 composed: days since the first note and since the
+    previous one, notes of the first admission only, the target's gaps
+    filled, its lags, the mean of all levels, rolling and expanding values.
+    The rows are cut into slices twice: before and after the trim."""
+    days = day_difference(align_time(df, id_col, date), order, id_col)
+    stay = slices(trim_first_admission(days, order, id_col, max_gap=max_gap), id_col, order)
+    t = fill_levels(stay, id_col, order, target)
+    t = lag_features(t, id_col, order, target)
+    t = row_mean_levels(t, levels)
+    t = rolling_stats(t, id_col, order, target)
+    return expanding_mean(t, id_col, order, target).drop("_pid")
+
+
+FEATURES = (["Days_count", "Dif", "lag1", "lag2", "lag3", "avg_domains"]
+            + [f"rolling_{a}_{n}" for n in (3, 7) for a in ("mean", "sum", "min", "max")] + ["expanding_mean"])

@@ -48,16 +48,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin only when the scan yields fewer tasks than cores (a few
-    big files); a large multi-file input is left as split by the scan, so
-    no extra shuffle of the raw text is paid at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    """Round-robin over ``spark.noteframe.spread`` tasks if the caller has set
+    it (bench and tests: their files are single row groups). Off by default,
+    whatever the input."""
+    n = int(df.sparkSession.conf.get("spark.noteframe.spread", "0"))
+    return df.repartition(n) if n else df
 
 
 # ------------------------------------------------------------------ notes --
@@ -118,11 +114,6 @@ def sql_domain_match(domain: str, tokens_expr: str) -> str:
     return f"list_filter({tokens_expr}, lambda x: {' OR '.join(conds)})"
 
 
-def keyword_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, k, d, t) for i, (k, d, t) in enumerate(KEYWORDS)]
-    return spark.createDataFrame(rows, "ord int, keyword string, domain string, regex_template_id int")
-
-
 # ----------------------------------------------------------------- tokens --
 def _label_expr(b) -> "F.Column":
     """Tag string of one token for one annotator from its md5 bucket ``b``
@@ -147,15 +138,23 @@ def _label_expr(b) -> "F.Column":
 @memo
 def tokens_raw(spark: SparkSession, d: str) -> DataFrame:
     """M7: one row per (token, annotator)."""
-    # Hash-partition the turn rows by note once, before the token explode:
-    # every later key (note, sentence, annotator) contains the note id, so
-    # dedup, disregard, sentence flags and sentence assembly all reuse this
-    # partitioning instead of shuffling token rows again.
+    return _tokens(spark, d, clustered=False)
+
+
+@memo
+def tokens_by_note(spark: SparkSession, d: str) -> DataFrame:
+    """M7, its turn rows hash-partitioned by note before the token explode:
+    every later key (note, sentence, annotator) contains the note id, so
+    dedup, disregard, sentence flags and sentence assembly all reuse this
+    partitioning instead of shuffling token rows again."""
+    return _tokens(spark, d, clustered=True)
+
+
+def _tokens(spark: SparkSession, d: str, clustered: bool) -> DataFrame:
     c = table(spark, d, "conversations").select(
         "conv_id", "turn", "text", F.col("conv_id").cast("string").alias("NotitieID"))
-    # explicit count: AQE must not coalesce the (small) turn rows into a
-    # few tasks, since the explode multiplies them ~100x downstream
-    c = c.repartition(shuffle_partitions(spark), "NotitieID")
+    if clustered:
+        c = c.repartition("NotitieID")
     # note-level attributes are computed once per turn, before the explode
     iaa = md5_bucket("conv_id", F.lit("iaa")) % 4 == 0
     anns = F.array(*[F.lit(a) for a in ANNOTATORS])

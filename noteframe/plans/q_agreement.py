@@ -133,7 +133,7 @@ def select_iaa_notes_q(spark, d):
 @register("fleiss_kappa", f"""WITH per AS (SELECT NotitieID, domain, annotator, bool_or(v) AS v FROM (""" + " UNION ALL ".join(
     f"SELECT NotitieID, annotator, '{dm}' AS domain, coalesce({dm}, false) AS v FROM ({_IAA_SQL})" for dm in DOMAINS) + """) GROUP BY ALL),
 cnt AS (SELECT NotitieID, domain, count(*) FILTER (WHERE v) AS t, count(*) FILTER (WHERE NOT v) AS f FROM per GROUP BY ALL),
-g AS (SELECT domain, avg((t * t + f * f - (t + f)) / ((t + f) * (t + f - 1))) AS p_bar, sum(t) AS st, sum(f) AS sf FROM cnt GROUP BY 1)
+g AS (SELECT domain, avg((t * t + f * f - (t + f)) / ((t + f) * (t + f - 1))) AS p_bar, sum(t) AS st, sum(f) AS sf FROM cnt WHERE t + f > 1 GROUP BY 1)
 SELECT domain, CASE WHEN (st / (st + sf)) ^ 2 + (sf / (st + sf)) ^ 2 < 1
   THEN (p_bar - ((st / (st + sf)) ^ 2 + (sf / (st + sf)) ^ 2)) / (1 - ((st / (st + sf)) ^ 2 + (sf / (st + sf)) ^ 2)) END AS kappa FROM g""")
 def fleiss_kappa_q(spark, d):

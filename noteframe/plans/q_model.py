@@ -1,55 +1,23 @@
-"""Scoring and model queries."""
+"""Model queries."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
-from noteframe.functions.domains import DOMAINS
+from noteframe.functions.domains import LEVEL_COLS
 from noteframe.functions.hashing import sql_md5_bucket as H
-from noteframe.operators import keywords as KW
+from noteframe.operators import clean as C
 from noteframe.operators import model as M
 from noteframe.operators import sampling as S
+from noteframe.operators import timeline as E
 from noteframe.plans import bindings as b
+from noteframe.plans import q_timeline as QT
 from noteframe.plans import tokens as TK
 from noteframe.plans.registry import register
 
 _SEED = TK.SPLIT_SEED
 
 
-def keyword_scorer():
-    """A stand-in domain classifier: domain i is predicted when its keyword
-    regex matches (Python ``re``: Unicode word boundaries, IGNORECASE)."""
-    pats = [re.compile(rx, re.IGNORECASE) for rx in (KW.domain_regex(b.KEYWORDS)[d] for d in DOMAINS)]
-
-    def fn(text: str):
-        return [1 if p.search(text) else 0 for p in pats]
-    return fn
-
-
-def length_scorer(text: str) -> float:
-    """A stand-in level regressor: number of space-separated tokens mod 5."""
-    return float(len(text.split(" ")) % 5)
-
-
-_TOK = f"regexp_extract_all(text_raw, '{b.SQL_WORD}')"
-
-
-@register("score_domains", f"SELECT pad_sen_id, array_to_string([" + ", ".join(
-    f"CAST(len({b.sql_domain_match(dm, _TOK)}) > 0 AS INTEGER)" for dm in DOMAINS) + f"], ',') AS pred FROM ({TK.SENT_SQL})")
-def score_domains_q(spark, d):
-    """Arrow-batched scoring of sentence text with a user function."""
-    s = M.score_domains(TK.sentences(spark, d), "text_raw", keyword_scorer(), "pred_kw")
-    return s.select("pad_sen_id", F.array_join("pred_kw", ",").alias("pred"))
-
-
-@register("score_levels", f"SELECT pad_sen_id, CAST(len(string_split(text_raw, ' ')) % 5 AS DOUBLE) AS pred_level FROM ({TK.SENT_SQL})")
-def score_levels_q(spark, d):
-    """Numeric prediction per sentence from a user function."""
-    return M.score_levels(TK.sentences(spark, d), "text_raw", length_scorer).select("pad_sen_id", "pred_level")
-
-
 def _split_sql(base: str, group: str, test: float = 0.2) -> str:
     return f"""SELECT t.*, s.split FROM ({base}) t JOIN (
   SELECT {group}, CASE WHEN r < n_test THEN 'test' ELSE 'train' END AS split FROM (
@@ -60,15 +28,14 @@ def _split_sql(base: str, group: str, test: float = 0.2) -> str:
 _TL_SPLIT = _split_sql(b.TIMELINE_SQL, "MDN")
 
 
-@register("standard_scale", f"""WITH t AS ({_TL_SPLIT}), st AS (SELECT avg(ADM_lvl) AS m1, stddev_pop(ADM_lvl) AS s1,
-  avg(FAC_lvl) AS m2, stddev_pop(FAC_lvl) AS s2 FROM t WHERE split = 'train')
-SELECT NotitieID, split, CASE WHEN s1 > 0 THEN (ADM_lvl - m1) / s1 ELSE ADM_lvl - m1 END AS ADM_lvl,
-  CASE WHEN s2 > 0 THEN (FAC_lvl - m2) / s2 ELSE FAC_lvl - m2 END AS FAC_lvl FROM t, st""")
+@register("standard_scale", f"""WITH t AS ({_TL_SPLIT}), st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in LEVEL_COLS)}
+  FROM t WHERE split = 'train')
+SELECT NotitieID, split, {', '.join(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE {c} - m_{c} END AS {c}' for c in LEVEL_COLS)} FROM t, st""")
 def standard_scale_q(spark, d):
-    """H27 (+S9): scaler fitted on the training patients, applied to both."""
+    """H27 (+S9): scaler of all nine levels, fitted on the training patients, applied to both."""
     t = S.group_split_2way(b.timeline(spark, d), "MDN", 0.2, _SEED)
-    tr, te = M.standard_scale(t.filter("split = 'train'"), t.filter("split = 'test'"), ["ADM_lvl", "FAC_lvl"])
-    return tr.unionByName(te).select("NotitieID", "split", "ADM_lvl", "FAC_lvl")
+    tr, te = M.standard_scale(t.filter("split = 'train'"), t.filter("split = 'test'"), LEVEL_COLS)
+    return tr.unionByName(te).select("NotitieID", "split", *LEVEL_COLS)
 
 
 def _emb_split(spark, d):
@@ -84,7 +51,8 @@ def _knn(spark, d):
 
 _E_SPLIT = _split_sql("SELECT * FROM embeddings", "vec_id")
 _KNN_SQL = f"""WITH e AS ({_E_SPLIT}), q AS (SELECT vec_id AS qid, embedding AS qv, label FROM e WHERE split = 'test'),
-tr AS (SELECT vec_id AS tid, embedding AS tv, label AS tl FROM e WHERE split = 'train'),
+tr AS (SELECT vec_id AS tid, embedding AS tv, label AS tl FROM e WHERE split = 'train'
+  QUALIFY row_number() OVER (ORDER BY {H('0', 'vec_id')}, vec_id) <= {M.MAX_FIT_ROWS}),
 dd AS (SELECT qid, tid, tl, sqrt(list_sum(list_transform(range(1, len(qv) + 1), lambda i: (CAST(qv[i] AS DOUBLE) - CAST(tv[i] AS DOUBLE)) ^ 2))) AS d FROM q, tr),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, tid) AS r FROM dd) WHERE r <= 7),
 v AS (SELECT qid, tl, count(*) AS n FROM nn GROUP BY ALL),
@@ -116,16 +84,85 @@ def classifier_confusion_q(spark, d):
     return cm
 
 
-@register("fit_classifiers")
+# ---- the feature table's models: drop incomplete, round, split by patient, scale, fit, score
+_TARGET = "CAST(CASE WHEN ADM_lvl - floor(ADM_lvl) = 0.5 THEN 2 * round(ADM_lvl / 2) ELSE round(ADM_lvl) END AS INTEGER)"
+_COMPLETE_SQL = (f"SELECT MDN, NotitieID, {_TARGET} AS label, {', '.join(E.FEATURES)} FROM ({QT.FEATURE_SQL}) WHERE "
+                 + " AND ".join(f"{c} IS NOT NULL" for c in ["ADM_lvl", *E.FEATURES]))
+_SET_SQL = _split_sql(_COMPLETE_SQL, "MDN")
+
+
+@b.memo
+def _model_sets(spark, d):
+    """(NotitieID, label, split, scaled features): one table for all models, written once."""
+    from noteframe.session import cut_lineage
+    t = C.drop_incomplete_rows(QT.features(spark, d), ["ADM_lvl", *E.FEATURES])
+    t = cut_lineage(t.select("MDN", "NotitieID", F.bround("ADM_lvl").cast("int").alias("label"), *E.FEATURES))
+    t = S.group_split_2way(t, "MDN", 0.2, _SEED)
+    tr, te = M.standard_scale(t.filter("split = 'train'"), t.filter("split = 'test'"), E.FEATURES)
+    return cut_lineage(tr.unionByName(te).select("NotitieID", "label", "split", *E.FEATURES))
+
+
+def _predictions(spark, d):
+    """(model, NotitieID, split, label, pred) of the five models on training and test rows."""
+    sets = _model_sets(spark, d)
+    feat = M.model_features(sets.withColumn("gold", F.col("label")), "label", E.FEATURES)
+    out = [m.transform(feat).select(F.lit(name).alias("model"), "NotitieID", "split", F.col("gold").alias("label"),
+                                    F.col("prediction").cast("int").alias("pred"))
+           for name, m in M.fit_classifiers(feat.filter("split = 'train'")).items()]
+    rows = sets.select("NotitieID", "split", "label", F.array(*E.FEATURES).alias("vec"))
+    knn = M.knn_classify(rows.filter("split = 'train'"), rows, id_col="NotitieID")
+    out.append(knn.select(F.lit("knn").alias("model"), "NotitieID", "split", "label", "pred"))
+    for p in out[1:]:
+        out[0] = out[0].unionByName(p)
+    return out[0]
+
+
+@register("model_features", f"""WITH t AS ({_SET_SQL}), st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in E.FEATURES)}
+  FROM t WHERE split = 'train')
+SELECT NotitieID, label, split, {', '.join(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE {c} - m_{c} END AS {c}' for c in E.FEATURES)} FROM t, st""")
+def model_features_q(spark, d):
+    """H31 (+B22, B21, S9, H27): complete rows, rounded target, split by patient, scaled features."""
+    return _model_sets(spark, d)
+
+
+_MODELS = ("logistic", "naive_bayes", "decision_tree", "random_forest", "knn")
+
+
+@register("fit_classifiers", f"""SELECT model, split, count(*) AS n, true AS known_class, true AS beats_majority
+FROM ({_SET_SQL}), (SELECT unnest({list(_MODELS)}) AS model) GROUP BY model, split""")
 def fit_classifiers_q(spark, d):
-    """H28 + H31: four classifiers on the embeddings (rows-only check)."""
-    from pyspark.ml.functions import array_to_vector
-    e = _emb_split(spark, d).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    feat = M.model_features(e.drop("embedding"), "label", ["features"], out="fv")
-    train, test = feat.filter("split = 'train'"), feat.filter("split = 'test'")
-    models = M.fit_classifiers(train, features="fv", label="label")
-    out = None
-    for name, m in models.items():
-        p = m.transform(test).select("vec_id", F.lit(name).alias("model"), F.col("prediction").cast("int").alias("pred"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Per model and split the rows scored, whether every prediction is a class seen in
+    training, and whether the accuracy exceeds the share of the most frequent class."""
+    p = _predictions(spark, d)
+    classes = F.broadcast(_model_sets(spark, d).filter("split = 'train'").groupBy("label").count()  # one row per level
+                          .agg(F.collect_set("label").alias("classes")))
+    flags = (p.join(classes, F.lit(True)).groupBy("model", "split")
+             .agg(F.count("*").alias("n"), F.bool_and(F.array_contains("classes", F.col("pred"))).alias("known_class"),
+                  F.avg((F.col("label") == F.col("pred")).cast("int")).alias("acc")))
+    most = (p.filter("model = 'knn'").groupBy("split", "label").count()
+            .groupBy("split").agg((F.max("count") / F.sum("count")).alias("top")))
+    return (flags.join(most, "split").select("model", "split", "n", "known_class", (F.col("acc") > F.col("top")).alias("beats_majority")))
+
+
+@register("naive_bayes_predictions", f"""WITH t AS ({_SET_SQL}), raw AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in E.FEATURES)}
+  FROM t WHERE split = 'train'),
+x AS (SELECT NotitieID, split, label, {', '.join(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE {c} - m_{c} END AS {c}' for c in E.FEATURES)} FROM t, raw),
+eps AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in E.FEATURES)}) AS e FROM x WHERE split = 'train'),
+cl AS (SELECT label AS c, ln(count(*)) AS prior, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) + any_value(e) AS v_{c}' for c in E.FEATURES)}
+  FROM x, eps WHERE split = 'train' GROUP BY label),
+s AS (SELECT NotitieID, split, label, c, prior - 0.5 * ({' + '.join(f'(ln(v_{c}) + (x.{c} - m_{c}) ^ 2 / v_{c})' for c in E.FEATURES)}) AS score FROM x, cl)
+SELECT NotitieID, split, label, arg_max(c, score) AS pred FROM s GROUP BY NotitieID, split, label""")
+def naive_bayes_predictions_q(spark, d):
+    """Predictions of the Gaussian naive Bayes model on all rows."""
+    from pyspark.ml.classification import NaiveBayes
+    feat = M.model_features(_model_sets(spark, d).withColumn("gold", F.col("label")), "label", E.FEATURES)
+    nb = NaiveBayes(modelType="gaussian").fit(feat.filter("split = 'train'"))
+    return nb.transform(feat).select("NotitieID", "split", F.col("gold").alias("label"), F.col("prediction").cast("int").alias("pred"))
+
+
+@register("model_metrics", f"""SELECT model, split, count(*) AS n, true AS valid
+FROM ({_SET_SQL}), (SELECT unnest({list(_MODELS)}) AS model) GROUP BY model, split""")
+def model_metrics_q(spark, d):
+    """Accuracy and macro F1 of the five models on training and test rows (in range)."""
+    summary, _ = M.classifier_metrics(_predictions(spark, d), by=("model", "split"))
+    return summary.select("model", "split", "n", (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)).alias("valid"))

@@ -198,11 +198,14 @@ def labelled_notes_overview_q(spark, d):
 
 @register("value_histogram", "WITH l AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM ({_T}) WHERE {c} IS NOT NULL" for c in LEVEL_COLS)
-    + "), r AS (SELECT \"column\", min(v) AS lo, max(v) AS hi FROM l GROUP BY 1) "
-    "SELECT \"column\", CAST(CASE WHEN hi = lo THEN 0 WHEN v < lo + i * ((hi - lo) / 10.0) THEN i - 1 "
+    + "), r AS (SELECT \"column\", CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, "
+    "CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM l GROUP BY 1), "
+    "h AS (SELECT \"column\", CAST(CASE WHEN v < lo + i * ((hi - lo) / 10.0) THEN i - 1 "
     "WHEN v >= lo + (i + 1) * ((hi - lo) / 10.0) AND i <> 9 THEN i + 1 ELSE i END AS INTEGER) AS bin, "
     "count(*) AS n FROM (SELECT *, CAST(least(floor((v - lo) * (10.0 / (hi - lo))), 9) AS INTEGER) AS i "
-    "FROM l JOIN r USING (\"column\")) GROUP BY ALL")
+    "FROM l JOIN r USING (\"column\")) GROUP BY ALL) "
+    "SELECT \"column\", bin, coalesce(n, 0) AS n FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in LEVEL_COLS)
+    + "]) AS \"column\") CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS bin) LEFT JOIN h USING (\"column\", bin)")
 def value_histogram_q(spark, d):
     """10 equal-width bins per level column."""
     return R.value_histogram(b.timeline(spark, d), LEVEL_COLS)
@@ -292,11 +295,12 @@ def notes_per_patient_day_q(spark, d):
 
 
 @register("activity_tier_summary", f"""WITH p AS (SELECT MDN, count(*) AS n, count(*) FILTER (WHERE annotated) AS a FROM ({_T}) GROUP BY MDN)
-SELECT tier, count(*) AS unique_ids, sum(a) AS annotated, sum(n) - sum(a) AS not_annotated, sum(n) AS total_notes
-FROM p JOIN (VALUES (60), (70), (80)) t(tier) ON n > tier GROUP BY tier""")
+SELECT tier, count(n) AS unique_ids, CAST(coalesce(sum(a), 0) AS BIGINT) AS annotated,
+  CAST(coalesce(sum(n) - sum(a), 0) AS BIGINT) AS not_annotated, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_notes
+FROM (VALUES (60), (70), (80), (100000)) t(tier) LEFT JOIN p ON n > tier GROUP BY tier""")
 def activity_tier_summary_q(spark, d):
-    """Per activity tier (> 60/70/80 notes)."""
-    r = R.activity_tier_summary(b.timeline(spark, d), [60, 70, 80])
+    """Per activity tier (> 60/70/80 notes, and one that nobody reaches)."""
+    r = R.activity_tier_summary(b.timeline(spark, d), [60, 70, 80, 100000])
     return r.select("tier", "unique_ids", F.col("annotated").cast("bigint"), F.col("not_annotated").cast("bigint"),
                     F.col("total_notes").cast("bigint"))
 
@@ -311,3 +315,9 @@ def value_counts_q(spark, d):
 def raters_per_note_q(spark, d):
     """Distinct notes per annotator."""
     return R.raters_per_note(b.tokens_raw(spark, d))
+
+
+@register("notes_crosstab", f"SELECT Notitiedatum, MDN, count(*) AS n FROM ({_T}) GROUP BY ALL")
+def notes_crosstab_q(spark, d):
+    """D32 (long form): notes per date and patient."""
+    return R.notes_crosstab(b.timeline(spark, d), "Notitiedatum", "MDN")

@@ -32,7 +32,8 @@ def _searched_notes(spark, d):
 
 
 def _batch(spark, d):
-    return S.select_notes(_searched_notes(spark, d), seed=SEED, **BATCH)
+    # the smaller test folders cannot fill every quota: batch_shortfall reports by how much
+    return S.select_notes(_searched_notes(spark, d), seed=SEED, allow_short=True, **BATCH)
 
 
 def _select_sql() -> str:
@@ -92,10 +93,11 @@ def batch_shortfall_q(spark, d):
     return out.select("annotator", "source", "samp_meth", "required", F.col("drawn").cast("bigint"), "missing")
 
 
-@register("cap_sample", f"SELECT NotitieID, institution FROM ({b.NOTES_SQL}) ORDER BY {H('45', 'NotitieID')}, NotitieID LIMIT 300")
+@register("cap_sample", f"SELECT NotitieID, institution FROM ({b.NOTES_SQL}) "
+          f"QUALIFY row_number() OVER (PARTITION BY institution ORDER BY {H('45', 'NotitieID')}, NotitieID) <= 30")
 def cap_sample_q(spark, d):
-    """Seeded uniform draw of at most 300 notes."""
-    return S.cap_sample(b.notes(spark, d), "NotitieID", 300, 45).select("NotitieID", "institution")
+    """Seeded uniform draw of at most 30 notes of each source."""
+    return S.cap_sample(b.notes(spark, d), "NotitieID", 30, 45, source="institution").select("NotitieID", "institution")
 
 
 @register("group_split_2way", f"""SELECT MDN, CASE WHEN r < n_test THEN 'test' ELSE 'train' END AS split FROM (

@@ -215,8 +215,7 @@ def scan_notes_csv_q(spark, d):
                 F.col("doc_id").cast("string").alias("id"), F.col("lang"), F.lit("2020-01-01").alias("dt"),
                 F.lit("x").alias("unused"), *text_parts("text"), "source")
         .write.partitionBy("source").option("sep", ";").option("header", False).csv(out))
-    n = SN.scan_notes_csv(spark, out, "any", sep=";", positions=[0, 1, 2, 3, 5, 6, 7])
-    n = SN.source_from_filename(n, r"source=([^/]+)", "institution", full_path=True)
+    n = SN.scan_notes_csv(spark, out, "any", sep=";", positions=[0, 1, 2, 3, 5, 6, 7], source_pattern=r"source=([^/]+)")
     return n.select("NotitieID", "institution", "MDN", "all_text")
 
 

@@ -166,3 +166,36 @@ def label_encode_q(spark, d):
 def patients_by_min_notes_q(spark, d):
     """Patients with at least 50 ADM levels."""
     return E.patients_by_min_notes(b.timeline(spark, d), "ADM_lvl", 50)
+
+
+_TRIM_SQL = (f"SELECT * EXCLUDE (c) FROM (SELECT *, max(CAST(Dif >= 3 AS INTEGER)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING "
+             f"AND CURRENT ROW) AS c FROM ({_DIF_SQL})) WHERE c = 0")
+_FILL_SQL = (f"SELECT * REPLACE (first_value(ADM_lvl IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ADM_lvl) "
+             f"FROM ({_interp_sql('ADM_lvl', base=_TRIM_SQL)})")
+
+
+def _feature_sql():
+    roll = []
+    for n in (3, 7):
+        for a, f in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")):
+            roll.append(f"CASE WHEN count(ADM_lvl) OVER w{n} = {n} THEN {f}(ADM_lvl) OVER w{n} END AS rolling_{a}_{n}")
+    mean = ("(" + " + ".join(f"coalesce({c}, 0)" for c in LEVEL_COLS) + ") / NULLIF("
+            + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in LEVEL_COLS) + ", 0)")
+    return (f"SELECT MDN, NotitieID, ADM_lvl, Days_count, Dif, lag(ADM_lvl, 1) OVER ({_W}) AS lag1, lag(ADM_lvl, 2) OVER ({_W}) AS lag2, "
+            f"lag(ADM_lvl, 3) OVER ({_W}) AS lag3, {mean} AS avg_domains, {', '.join(roll)}, "
+            f"CASE WHEN count(ADM_lvl) OVER w >= 2 THEN avg(ADM_lvl) OVER w END AS expanding_mean FROM ({_FILL_SQL}) "
+            f"WINDOW w3 AS ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w7 AS ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), "
+            f"w AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
+FEATURE_SQL = _feature_sql()
+
+
+def features(spark, d):
+    return E.feature_table(b.timeline(spark, d), LEVEL_COLS, _ORD).select("MDN", "NotitieID", "ADM_lvl", *E.FEATURES)
+
+
+@register("feature_table", FEATURE_SQL)
+def feature_table_q(spark, d):
+    """E6-E13 + E15: the model's feature table of first admissions."""
+    return features(spark, d)

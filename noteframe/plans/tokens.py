@@ -23,18 +23,28 @@ FLAGS4 = ["disregard", "target", "background", "plus"]
 SEED = 0
 
 
-@memo
-def parsed(spark, d):
-    t = C.split_sen_tok(b.tokens_raw(spark, d))
+def _parse(tokens):
+    t = C.split_sen_tok(tokens)
     t = t.withColumn("sen_no", F.get(F.split("sen_tok", "-"), 0).cast("int"))
     return P.parse_labels(t, TAGSET_CURRENT)
 
 
+@memo
+def parsed(spark, d):
+    """M8, a projection of the tokens."""
+    return _parse(b.tokens_raw(spark, d))
+
+
+@memo
+def parsed_by_note(spark, d):
+    """M8 on tokens that are partitioned by note, for what follows by note."""
+    return _parse(b.tokens_by_note(spark, d))
+
+
 @memo
 def clean(spark, d):
-    # tokens are hash-partitioned by note (bindings.tokens_raw): per-note
-    # windows reuse that partitioning and never re-read the input
-    t = S.dedup_annotators(parsed(spark, d), SEED, clustered=True)
+    # per-note windows reuse the note partitioning and never re-read the input
+    t = S.dedup_annotators(parsed_by_note(spark, d), SEED, clustered=True)
     t = C.drop_disregard(t, clustered=True)
     t = C.mask_domain_for_batch(t, "MBW", "week_14")
     t = A.flag_group_any(t, ["NotitieID", "sen_id"], "background", "background_sent")
@@ -121,7 +131,7 @@ def info_sql(base: str) -> str:
 def adjusted(spark, d):
     """Report input: parsed tokens + batch info, disregarded notes dropped,
     week 14 masked (no annotator dedup, as in the reports)."""
-    t = with_info(parsed(spark, d))
+    t = with_info(parsed_by_note(spark, d))
     return C.mask_domain_for_batch(C.drop_disregard(t, clustered=True), "MBW", "week_14")
 
 
@@ -181,7 +191,7 @@ def long_preds(spark, d):
 # ---------------------------------------------------- agreement tokens ----
 @memo
 def agreement_tokens(spark, d):
-    t = C.mask_domain_for_batch(C.add_pad_sen_id(parsed(spark, d)), "MBW", "week_14")
+    t = C.mask_domain_for_batch(C.add_pad_sen_id(parsed_by_note(spark, d)), "MBW", "week_14")
     return t.fillna({c: False for c in PARSE_DOMAINS + ["target", "background", "plus"]})
 
 

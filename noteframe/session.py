@@ -39,16 +39,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    The cluster's setting always wins; only when it is unset (local tests)
-    a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` names it, or ``setCheckpointDir`` if a user
+    called that; neither is changed. Where both are unset, a session with one
+    machine (``local[...]``) gets a scratch folder; on a cluster that is an
+    error, because executors could not read it.
     """
+    sc = spark.sparkContext
+    set_by_user = sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and set_by_user:
+        # Spark adds a folder of its own below the one that was set
+        d = set_by_user.rstrip("/").rpartition("/")[0]
     if not d:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="noteframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not set_by_user:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noteframe.functions.domains import LEGACY8_DEFAULTS, LEGACY_ROWREF_DEFAULTS
 from noteframe.operators.clean import drop_comment_blank_lines
+from noteframe.sources.notes import decoded_path
 
 TSV_COLS = ["sen_tok", "char", "token", "label", "relation"]
 META_COLS = ["annotator", "institution", "year", "MDN", "NotitieID", "batch", "legacy_rawfile"]
@@ -64,7 +65,7 @@ def scan_annotation_tsv(spark: SparkSession, path: str,
     character is an ordinary token; token text such as 'NA' stays text
     (quirk Q3b). Metadata columns come from the file path via ``parser``."""
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv")
-                  .text(path).select("value", F.col("_metadata.file_path").alias("path")))
+                  .text(path).select("value", decoded_path(F.col("_metadata.file_path")).alias("path")))
     lines = drop_comment_blank_lines(lines)
     parts = F.split(F.col("value"), "\t")
     out = lines.select(*[F.get(parts, i).alias(c) for i, c in enumerate(TSV_COLS)], "path")

@@ -19,29 +19,32 @@ def scan_positional_projection(df: DataFrame, positions: Sequence[int]) -> DataF
 
 def scan_notes_csv(spark: SparkSession, path: str, institution: str, sep: str = ";",
                    positions: Sequence[int] | None = None, encoding: str = "UTF-8",
-                   quote: str = '"', escape: str | None = None) -> DataFrame:
+                   quote: str = '"', escape: str | None = None, source_pattern: str | None = None) -> DataFrame:
     """A1: headerless delimited note files of one source -> M1.
 
     Every column is read as a string (ids keep leading zeros, quirk Q3);
-    multi-line quoted fields are supported. Exact duplicate rows are
-    dropped before the text parts (columns 5..) are merged (B1, B2)."""
+    multi-line quoted fields are supported. Exact duplicate rows of a source
+    are dropped before the text parts (columns 5..) are merged (B1, B2). With
+    ``source_pattern`` the source is taken from each file's path first (A4),
+    so equal rows of two sources stay two rows."""
     r = spark.read.option("header", False).option("sep", sep).option("multiLine", True) \
              .option("encoding", encoding).option("quote", quote)
     if escape:
         r = r.option("escape", escape)
     raw = r.csv(path)
-    if positions is not None:
-        raw = scan_positional_projection(raw, positions)
-    raw = drop_exact_duplicates(raw)
-    cols = raw.columns
-    keyed = raw.select(*[F.col(c).alias(n) for c, n in zip(cols[:4], NOTE_KEYS)], *cols[4:])
-    return combine_text_columns(keyed, cols[4:], "all_text").withColumn("institution", F.lit(institution))
+    cols = raw.columns if positions is None else [raw.columns[i] for i in positions]
+    if source_pattern:
+        raw = source_from_filename(raw, source_pattern, "institution", full_path=True)
+    else:
+        raw = raw.withColumn("institution", F.lit(institution))
+    raw = drop_exact_duplicates(raw.select(*cols, "institution"))
+    keyed = raw.select(*[F.col(c).alias(n) for c, n in zip(cols[:4], NOTE_KEYS)], *cols[4:], "institution")
+    return combine_text_columns(keyed, cols[4:], "all_text").select(*NOTE_KEYS, "all_text", "institution")
 
 
-def scan_notes_sources(spark: SparkSession, sources: Mapping[str, Mapping]) -> DataFrame:
-    """A1 over several sources: ``{institution: {path, sep, positions}}``."""
-    from noteframe.operators.sets import union_all
-    return union_all([scan_notes_csv(spark, institution=k, **v) for k, v in sources.items()])
+def decoded_path(path):
+    """A file path as it is on disk: Spark reports it URI-encoded. A plus sign stays one."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 DIAG_COLS = ["MDN", "CSN", "typecontact", "DBC-id", "specialisme", "episodenaam", "DBC_diagnose", "ICD10_diagnose"]
@@ -58,7 +61,7 @@ def source_from_filename(df: DataFrame, pattern: str = r"([^/_]+)_[^/]*$", out:
     """A4: take the source from the scanned file's name (or, with
     ``full_path``, from its whole path), lower-cased."""
     name = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
-    return df.withColumn(out, F.lower(F.regexp_extract(name, pattern, group)))
+    return df.withColumn(out, F.lower(F.regexp_extract(decoded_path(name), pattern, group)))
 
 
 def concat_sources_labelled(frames: Mapping[str, DataFrame], out: str = "source") -> DataFrame:

@@ -22,19 +22,18 @@ def _append_new(register_path: str):
         new = batch.select(*[F.col(c).cast("string") if c in batch.columns else F.lit(None).cast("string").alias(c)
                              for c in REGISTER_COLS])
         new = new.dropDuplicates(["NotitieID"])
-        try:
-            current = spark.read.parquet(register_path).select("NotitieID")
-            new = new.join(current, "NotitieID", "left_anti")
-        except Exception:  # first batch: no register yet
-            pass
-        new.write.mode("append").parquet(register_path)
+        current = spark.read.parquet(register_path).select("NotitieID")
+        new.join(current, "NotitieID", "left_anti").write.mode("append").parquet(register_path)
     return run
 
 
 def start_register_stream(spark: SparkSession, source_dir: str, schema: str, register_path: str,
                           checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Watch ``source_dir`` (parquet files of token/metadata rows) and
-    append unseen note ids to the register at ``register_path``."""
+    append unseen note ids to the register at ``register_path``, which is
+    created empty before the stream starts; a storage error surfaces."""
+    columns = ", ".join(f"`{c}` string" for c in REGISTER_COLS)
+    spark.createDataFrame([], columns).write.mode("append").parquet(register_path)
     stream = spark.readStream.schema(schema).parquet(source_dir)
     w = stream.writeStream.foreachBatch(_append_new(register_path)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from noteframe.session import get_session
-    s = get_session(master="local[4]", shuffle_partitions=4)
+    s = get_session(master="local[4]", shuffle_partitions=4, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="noteframe-test-")})
     yield s
     s.stop()

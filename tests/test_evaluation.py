@@ -67,7 +67,7 @@ def test_knn_exact_vs_brute_force(spark):
     y = rng.integers(0, 3, 120)
     df = spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in range(120)], "id int, vec array<double>, label int")
     tr, te = df.filter("id < 90"), df.filter("id >= 90")
-    got = {r["id"]: r["pred"] for r in M.knn_classify(tr, te, k=7, n_pivots=5).collect()}
+    got = {r["id"]: r["pred"] for r in M.knn_classify(tr, te, k=7).collect()}
     for q in range(90, 120):
         d = np.sqrt(((X[:90] - X[q]) ** 2).sum(1))
         nn = np.lexsort((np.arange(90), d))[:7]
