@@ -1,7 +1,10 @@
 """Inter-annotator agreement.
 
-Pairs come from a self-join on the item key (sentence or note), so the
-work grows with annotators^2 per item, never with items^2.
+The annotators' votes on an item (sentence) are gathered in one row, bounded
+by the annotator list, and pairs are formed inside the row: the work grows
+with annotators^2 per item and nothing is joined. Where the note id is at
+hand it is part of every key, so tokens that are partitioned by note are not
+shuffled again.
 """
 
 from __future__ import annotations
@@ -19,25 +22,35 @@ def sentence_multilabel_by_annotator(tokens: DataFrame, domains: Sequence[str] =
                                      key: str = "pad_sen_id", n_annotators: int | None = None) -> DataFrame:
     """Domain vector per (annotator, sentence), only for sentences that
     every annotator saw."""
-    from noteframe.operators.sets import intersect_all_annotators
-    g = tokens.groupBy("annotator", key).agg(
+    keys = _item_keys(tokens, key)
+    if n_annotators is None:
+        n_annotators = tokens.select("annotator").distinct().count()
+    g = tokens.groupBy(*keys, "annotator").agg(
         F.array(*[F.max(F.coalesce(F.col(d), F.lit(False)).cast("int")) for d in domains]).alias("labels"))
-    return intersect_all_annotators(g, key, "annotator", n_annotators)
+    votes = g.groupBy(*keys).agg(F.collect_list(F.struct("annotator", "labels")).alias("votes"))
+    return votes.filter(F.size("votes") == n_annotators).select(*keys, F.inline("votes"))
 
 
-def _pairs(ml: DataFrame, key: str, ordered: bool) -> DataFrame:
-    a = ml.select(key, F.col("annotator").alias("annotator1"), F.col("labels").alias("l1"))
-    b = ml.select(key, F.col("annotator").alias("annotator2"), F.col("labels").alias("l2"))
-    cond = F.col("annotator1") != F.col("annotator2") if ordered else F.col("annotator1") < F.col("annotator2")
-    return a.join(b, key).filter(cond)
+def _item_keys(df: DataFrame, *key: str) -> list[str]:
+    """An item belongs to one note: with the note id the groups are the same."""
+    return [c for c in ("NotitieID",) if c in df.columns] + list(key)
+
+
+def _pairs(rows: DataFrame, keys: Sequence[str], value: str, ordered: bool) -> DataFrame:
+    """(*keys, annotator1, annotator2, x, y): the pairs of annotators of an item."""
+    votes = rows.groupBy(*keys).agg(F.collect_list(F.struct("annotator", F.col(value).alias("v"))).alias("votes"))
+    meets = (lambda a, b: a["annotator"] != b["annotator"]) if ordered else (lambda a, b: a["annotator"] < b["annotator"])
+    pairs = F.flatten(F.transform("votes", lambda a: F.transform(F.filter("votes", lambda b: meets(a, b)), lambda b: F.struct(
+        a["annotator"].alias("annotator1"), b["annotator"].alias("annotator2"), a["v"].alias("x"), b["v"].alias("y")))))
+    return votes.select(*keys, F.inline(pairs))
 
 
 def pairwise_prf(ml: DataFrame, domains: Sequence[str] = DOMAINS, key: str = "pad_sen_id") -> DataFrame:
     """precision/recall/F1/support per ordered pair x domain (first
     annotator taken as gold)."""
-    p = _pairs(ml, key, ordered=True)
-    z = F.arrays_zip(F.array(*[F.lit(d) for d in domains]).alias("domain"), F.col("l1").alias("labels"),
-                     F.col("l2").alias("preds"))
+    p = _pairs(ml, _item_keys(ml, key), "labels", ordered=True)
+    z = F.arrays_zip(F.array(*[F.lit(d) for d in domains]).alias("domain"), F.col("x").alias("labels"),
+                     F.col("y").alias("preds"))
     long = p.select("annotator1", "annotator2", F.inline(z))
     return prf(long, by=("annotator1", "annotator2", "domain"), digits=None)
 
@@ -62,7 +75,7 @@ def pair_outcome(ml: DataFrame, domains: Sequence[str] = DOMAINS, key: str = "pa
     """Per sentence, unordered pair and domain: true positive / true
     negative / false positive / false negative / confusion. 'Annotator 2
     labelled nothing' is ``sum = 0`` (the docstring's intent; quirk Q17)."""
-    p = _pairs(ml, key, ordered=False)
+    p = _pairs(ml, _item_keys(ml, key), "labels", ordered=False).withColumnsRenamed({"x": "l1", "y": "l2"})
     n_diff = F.aggregate(F.zip_with("l1", "l2", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, b: a + b)
     s2 = F.aggregate(F.col("l2"), F.lit(0), lambda a, b: a + b)
     p = p.select(key, "annotator1", "annotator2", "l1", "l2", n_diff.alias("n_diff"), s2.alias("s2"),
@@ -77,28 +90,38 @@ def pair_outcome(ml: DataFrame, domains: Sequence[str] = DOMAINS, key: str = "pa
 
 def sentence_levels_by_annotator(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
                                  key: str = "pad_sen_id") -> DataFrame:
-    """Mean level per (sentence, domain, annotator), long form."""
-    arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"{d}_lvl").cast("double").alias("v")) for d in domains])
-    long = tokens.select(key, "annotator", F.inline(arr))
-    return long.groupBy(key, "domain", "annotator").agg(F.avg("v").alias("level")).filter(F.col("level").isNotNull())
+    """Mean level per (sentence, domain, annotator), long form: the
+    columns are averaged first and unpivoted after."""
+    keys = _item_keys(tokens, key)
+    wide = tokens.groupBy(*keys, "annotator").agg(*[F.avg(F.col(f"{d}_lvl").cast("double")).alias(f"_{d}") for d in domains])
+    arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"_{d}").alias("level")) for d in domains])
+    return wide.select(*keys, "annotator", F.inline(arr)).filter(F.col("level").isNotNull())
 
 
 def pairwise_mae(lv: DataFrame, key: str = "pad_sen_id") -> DataFrame:
     """Mean absolute level difference per unordered pair x domain over
     items both annotators levelled; empty pairs do not appear."""
-    a = lv.select(key, "domain", F.col("annotator").alias("annotator1"), F.col("level").alias("x"))
-    b = lv.select(key, "domain", F.col("annotator").alias("annotator2"), F.col("level").alias("y"))
-    j = a.join(b, [key, "domain"]).filter(F.col("annotator1") < F.col("annotator2"))
+    j = _pairs(lv, _item_keys(lv, key, "domain"), "level", ordered=False)
     return j.groupBy("annotator1", "annotator2", "domain").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"),
                                                                F.count("*").alias("support"))
 
 
-def mean_mae_per_level(mae: DataFrame) -> DataFrame:
-    """Mean MAE and support range per domain."""
-    return mae.groupBy("domain").agg(F.avg("mae").alias("mae"), F.min("support").alias("min_support"),
+def mean_mae_per_level(mae: DataFrame, digits: int | None = 2) -> DataFrame:
+    """Mean MAE (rounded to ``digits``) and support range per domain."""
+    mean = F.avg("mae") if digits is None else F.bround(F.avg("mae"), digits)
+    return mae.groupBy("domain").agg(mean.alias("mae"), F.min("support").alias("min_support"),
                                      F.max("support").alias("max_support"))
 
 
+def mae_pair_matrix(mae: DataFrame, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """Unordered pair x domain MAE (pivot on the fixed domain list) plus
+    a mean row."""
+    wide = mae.groupBy("annotator1", "annotator2").pivot("domain", list(domains)).agg(F.first("mae"))
+    mean = wide.agg(*[F.avg(d).alias(d) for d in domains]).select(
+        F.lit("mean").alias("annotator1"), F.lit("").alias("annotator2"), *domains)
+    return wide.unionByName(mean)
+
+
 def fleiss_kappa(tokens: DataFrame, domains: Sequence[str] = DOMAINS, note: str = "NotitieID") -> DataFrame:
     """Per domain, note x {False, True} rater counts, then Fleiss'
     kappa by aggregates (NULL when P_e = 1). A note with a single rater holds

@@ -30,10 +30,19 @@ def cast_ids(df: DataFrame, cols: Iterable[str] = ("MDN", "NotitieID")) -> DataF
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
 
-def dedup_on_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """Keep one row per key; with ``order`` the first in that order."""
+def dedup_on_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None,
+                  hashed: Sequence[str] = ()) -> DataFrame:
+    """Keep one row per key; with ``order`` the first in that order.
+    Key columns in ``hashed`` (long texts) are grouped by their 256-bit hash,
+    so whole texts are neither compared nor sorted as keys."""
     if not order:
         return df.dropDuplicates(list(keys))
+    if hashed:
+        short = {c: f"_h_{c}" for c in hashed}
+        d = df.withColumns({h: F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("")) for c, h in short.items()})
+        d = d.withColumns({f"{h}n": F.col(c).isNull() for c, h in short.items()})
+        by = [short.get(c, c) for c in keys] + [f"{h}n" for h in short.values()]
+        return dedup_on_keys(d, by, order).select(*df.columns)
     # min_by aggregates partially before the shuffle, so a key with very
     # many copies (one text repeated everywhere) is reduced map-side instead
     # of landing whole in one window partition

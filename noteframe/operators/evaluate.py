@@ -71,6 +71,18 @@ def error_rows(long: DataFrame, kind: str, key: str = "pad_sen_id") -> DataFrame
     raise ValueError(kind)
 
 
+def error_kinds(long: DataFrame, key: str = "pad_sen_id") -> DataFrame:
+    """H4, all kinds in one pass: (kind, *columns) with a row per kind that a
+    row is of. One aggregation per sentence, bounded by the domains."""
+    others = [c for c in long.columns if c != key]
+    l, p = F.col("labels") == 1, F.col("preds") == 1
+    g = long.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_rows"),
+                              (F.bool_or(~l & p) & F.bool_or(l & ~p)).alias("_both"))
+    kinds = F.array_compact(F.array(F.when(F.col("labels") != F.col("preds"), "incorrect"), F.when(~l & p, "fp"),
+                                    F.when(l & ~p, "fn"), F.when(F.col("_both"), "both")))
+    return g.select(key, "_both", F.inline("_rows")).select(F.explode(kinds).alias("kind"), key, *others)
+
+
 def sentence_outcomes(long: DataFrame, key: str = "pad_sen_id") -> DataFrame:
     """Per sentence, the domains that are false negatives, false positives,
     true positives and correct: one aggregation (one shuffle of the long

@@ -119,12 +119,21 @@ def _level_long(tokens: DataFrame, domains: Sequence[str], keys: Sequence[str])
     return tokens.select(*keys, F.inline(arr)).filter(F.col("level").isNotNull())
 
 
+def _level_sets(tokens: DataFrame, domains: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(*keys, domain, levels): distinct levels per group and domain. The
+    columns are aggregated first and unpivoted after, so token rows are not
+    multiplied by the domains."""
+    wide = tokens.groupBy(*keys).agg(*[F.collect_set(F.col(f"{d}_lvl").cast("int")).alias(f"_{d}") for d in domains])
+    arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"_{d}").alias("levels")) for d in domains])
+    return wide.select(*keys, F.inline(arr))
+
+
 def level_distribution(tokens: DataFrame, domains: Sequence[str] = DOMAINS, source: str = "source",
                        sen: str = "sen_id") -> DataFrame:
     """Per source x domain x level, sentences holding that level at
     least once; plus the total over sources."""
     keys = ["NotitieID", source, sen] if "NotitieID" in tokens.columns else [source, sen]
-    lv = _level_long(tokens, domains, keys).distinct()
+    lv = _level_sets(tokens, domains, keys).select(*keys, "domain", F.explode("levels").alias("level"))
     g = lv.groupBy(source, "domain", "level").agg(F.count("*").alias("n"))
     tot = g.groupBy("domain", "level").agg(F.sum("n").alias("n")).withColumn(source, F.lit(TOTAL))
     return g.unionByName(tot.select(source, "domain", "level", F.col("n").cast("bigint")))
@@ -141,16 +150,14 @@ def level_distribution_pct(tokens: DataFrame, domains: Sequence[str] = DOMAINS,
 
 def levels_per_note_hist(tokens: DataFrame, domains: Sequence[str] = DOMAINS, note: str = "NotitieID") -> DataFrame:
     """Notes by number of distinct levels per domain (notes with >= 1)."""
-    lv = _level_long(tokens, domains, [note])
-    per = lv.groupBy(note, "domain").agg(F.countDistinct("level").alias("n_levels"))
+    per = _level_sets(tokens, domains, [note]).select("domain", F.size("levels").cast("bigint").alias("n_levels")).filter("n_levels > 0")
     return per.groupBy("domain", "n_levels").agg(F.count("*").alias("n_notes"))
 
 
 def level_spread_hist(tokens: DataFrame, domains: Sequence[str] = DOMAINS, note: str = "NotitieID") -> DataFrame:
     """Notes with more than one distinct level, by max - min."""
-    lv = _level_long(tokens, domains, [note])
-    per = lv.groupBy(note, "domain").agg(F.countDistinct("level").alias("k"),
-                                         (F.max("level") - F.min("level")).alias("spread"))
+    per = _level_sets(tokens, domains, [note]).select("domain", F.size("levels").alias("k"),
+                                                      (F.array_max("levels") - F.array_min("levels")).alias("spread"))
     return per.filter("k > 1").groupBy("domain", "spread").agg(F.count("*").alias("n_notes"))
 
 

@@ -84,7 +84,7 @@ FROM (SELECT *, unnest(range(1, 10)) AS i, list_sum(l2) AS s2,
         len(list_filter(range(1, 10), lambda k: l1[k] <> l2[k])) AS n_diff FROM ({_pairs_sql('<')}))""")
 def pair_outcome_q(spark, d):
     """Per sentence, unordered pair and domain, the outcome class."""
-    return AG.pair_outcome(_ml(spark, d))
+    return AG.pair_outcome(_ml(spark, d)).select("pad_sen_id", "annotator1", "annotator2", "domain", "outcome")
 
 
 _LV_SQL = ("SELECT pad_sen_id, domain, annotator, avg(v) AS level FROM (" + " UNION ALL ".join(
@@ -95,7 +95,7 @@ _LV_SQL = ("SELECT pad_sen_id, domain, annotator, avg(v) AS level FROM (" + " UN
 @register("sentence_levels_by_annotator", _LV_SQL)
 def sentence_levels_by_annotator_q(spark, d):
     """Mean level per sentence x domain x annotator."""
-    return AG.sentence_levels_by_annotator(TK.agreement_tokens(spark, d))
+    return AG.sentence_levels_by_annotator(TK.agreement_tokens(spark, d)).select("pad_sen_id", "domain", "annotator", "level")
 
 
 _MAE_SQL = f"""SELECT a.annotator AS annotator1, b.annotator AS annotator2, domain, avg(abs(a.level - b.level)) AS mae, count(*) AS support
@@ -111,7 +111,16 @@ def pairwise_mae_q(spark, d):
 @register("mean_mae_per_level", f"SELECT domain, avg(mae) AS mae, min(support) AS min_support, max(support) AS max_support FROM ({_MAE_SQL}) GROUP BY 1")
 def mean_mae_per_level_q(spark, d):
     """Mean MAE and support range per domain."""
-    return AG.mean_mae_per_level(AG.pairwise_mae(AG.sentence_levels_by_annotator(TK.agreement_tokens(spark, d))))
+    # unrounded: sums in another order may fall on the other side of a rounding edge
+    return AG.mean_mae_per_level(AG.pairwise_mae(AG.sentence_levels_by_annotator(TK.agreement_tokens(spark, d))), digits=None)
+
+
+@register("mae_pair_matrix", f"""WITH w AS (SELECT annotator1, annotator2, {', '.join(f"max(mae) FILTER (WHERE domain = '{dm}') AS {dm}" for dm in DOMAINS)}
+  FROM ({_MAE_SQL}) GROUP BY ALL)
+SELECT * FROM w UNION ALL SELECT 'mean', '', {', '.join(f'avg({dm})' for dm in DOMAINS)} FROM w""")
+def mae_pair_matrix_q(spark, d):
+    """Unordered pair x domain MAE with a mean row."""
+    return AG.mae_pair_matrix(AG.pairwise_mae(AG.sentence_levels_by_annotator(TK.agreement_tokens(spark, d))))
 
 
 def _iaa_tokens(spark, d):

@@ -56,7 +56,7 @@ def cast_ids_q(spark, d):
 def dedup_on_keys_q(spark, d):
     """First note per (institution, text) in id order (exact copies)."""
     n = b.notes(spark, d).withColumn("_id", F.col("NotitieID").cast("bigint"))
-    return C.dedup_on_keys(n, ["institution", "all_text"], ["_id"]).select("institution", "NotitieID")
+    return C.dedup_on_keys(n, ["institution", "all_text"], ["_id"], hashed=["all_text"]).select("institution", "NotitieID")
 
 
 @register("filter_note_type", "SELECT institution, count(*) FILTER (WHERE Typenotitie IN ('en', 'de')) AS n_kept, "
@@ -112,13 +112,13 @@ def drop_incomplete_rows_q(spark, d):
 
 # ----------------------------------------------------------- sets, sorts --
 @register("union_all", "SELECT source, lang, count(*) AS n FROM (SELECT source, lang FROM documents WHERE lang = 'en' "
-          "UNION ALL SELECT source, lang FROM documents WHERE lang <> 'en' UNION ALL SELECT source, NULL AS lang FROM pages, "
+          "UNION ALL SELECT source, lang FROM documents WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT source, NULL AS lang FROM pages, "
           "(SELECT 'web' AS source)) GROUP BY source, lang")
 def union_all_q(spark, d):
     """Append frames with aligned (and missing) columns."""
     doc = b.table(spark, d, "documents").select("source", "lang")
     pages = b.table(spark, d, "pages").select(F.lit("web").alias("source"))
-    u = U.union_all([doc.filter("lang = 'en'"), doc.filter("lang <> 'en'"), pages])
+    u = U.union_all([doc.filter("lang = 'en'"), doc.filter("NOT (lang <=> 'en')"), pages])
     return u.groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 

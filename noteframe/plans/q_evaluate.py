@@ -59,13 +59,7 @@ UNION ALL SELECT 'both', pad_sen_id, domains FROM ({_L}) WHERE pad_sen_id IN (SE
   AND pad_sen_id IN (SELECT pad_sen_id FROM ({_L}) WHERE labels = 1 AND preds = 0)""")
 def error_rows_q(spark, d):
     """H4: incorrect rows, false positives, false negatives, both-kinds."""
-    lp = TK.long_preds(spark, d)
-    parts = [EV.error_rows(lp, k).select(F.lit(k).alias("kind"), "pad_sen_id", "domains")
-             for k in ("incorrect", "fp", "fn", "both")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return EV.error_kinds(TK.long_preds(spark, d)).select("kind", "pad_sen_id", "domains")
 
 
 _FN = f"SELECT pad_sen_id, domains AS gold FROM ({_L}) WHERE labels = 1 AND preds = 0"

@@ -36,7 +36,8 @@ def _batch(spark, d):
     return S.select_notes(_searched_notes(spark, d), seed=SEED, allow_short=True, **BATCH)
 
 
-def _select_sql() -> str:
+def select_sql(notes: str | None = None) -> str:
+    """The draw as SQL, over all notes or over those that ``notes`` selects."""
     q = S.batch_quotas(BATCH["sources_other"], BATCH["source_covid"], BATCH["n_files"], BATCH["pct_covid"],
                        BATCH["pct_kwd"], BATCH["n_iaa"], BATCH["iaa_sources"])
 
@@ -47,7 +48,7 @@ def _select_sql() -> str:
     nm = " + ".join(f"CAST(len({dm}) > 0 AS INTEGER)" for dm in DOMAINS)
     anym = " OR ".join(f"len({dm}) > 0" for dm in BATCH["matched_domains"])
     src = "[" + ", ".join(f"'{s}'" for s in TK.SOURCES) + "]"
-    return _MATCH_CTE + f""", ms AS (SELECT *, {src}[CAST({H('NotitieID', chr(39) + 'src' + chr(39))} % 4 AS INTEGER) + 1] AS source,
+    return (_MATCH_CTE.replace(b.NOTES_SQL, notes) if notes else _MATCH_CTE) + f""", ms AS (SELECT *, {src}[CAST({H('NotitieID', chr(39) + 'src' + chr(39))} % 4 AS INTEGER) + 1] AS source,
     {nm} AS n_matched_domains FROM m),
 el AS (SELECT * FROM ms WHERE ({anym}) AND n_matched_domains >= {BATCH['min_matched_domains']}),
 iaa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {H(str(SEED), 'NotitieID')}, NotitieID) - 1 AS r FROM el)
@@ -62,7 +63,7 @@ batch AS (SELECT NotitieID, source, unnest({anns}) AS annotator, 'kwd_iaa' AS sa
           UNION ALL SELECT NotitieID, source, annotator, 'kwd' FROM kwd UNION ALL SELECT NotitieID, source, annotator, 'rndm' FROM rnd)"""
 
 
-_SEL = _select_sql()
+_SEL = select_sql()
 
 
 @register("select_notes", _SEL + " SELECT * FROM batch")

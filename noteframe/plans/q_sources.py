@@ -64,11 +64,12 @@ def parse_filename_legacy8_q(spark, d):
           "|| '.conll/ann_a.tsv' AS path FROM documents) d")
 def parse_filename_legacy_rowref_q(spark, d):
     """A8: 'rawfile---idx+1' names resolved through the raw row numbers."""
-    from pyspark.sql import Window
-    doc = b.table(spark, d, "documents")
-    raw = doc.select(F.concat(F.lit("notes_"), "source", F.lit(".csv")).alias("rawfile"),
-                     (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("row_no"),
-                     F.col("doc_id").alias("notitieID"))
+    from noteframe.operators.sampling import global_rank
+    # row numbers within a source: global ranks in (source, id) order less the source's first
+    doc = global_rank(b.table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"], "_rank")
+    first = doc.groupBy("source").agg(F.min("_rank").alias("_first"))
+    raw = doc.join(first, "source").select(F.concat(F.lit("notes_"), "source", F.lit(".csv")).alias("rawfile"),
+                                           (F.col("_rank") - F.col("_first")).alias("row_no"), F.col("doc_id").alias("notitieID"))
     files = raw.select(F.concat(F.lit("x/"), "rawfile", F.lit("---"), (F.col("row_no") + 1).cast("string"),
                                 F.lit(".conll/ann_a.tsv")).alias("path"))
     out = AN.parse_filename_legacy_rowref(files, raw)
@@ -76,13 +77,14 @@ def parse_filename_legacy_rowref_q(spark, d):
 
 
 @register("concat_core_external", f"""WITH t AS ({TK.PARSED_SQL}), core AS (SELECT * FROM t WHERE institution IN ('inst0', 'inst1')),
-ext AS (SELECT * FROM t WHERE annotator = 'ann_b' AND NotitieID NOT IN (SELECT NotitieID FROM core))
+ext AS (SELECT * FROM t WHERE (institution NOT IN ('inst0', 'inst1') OR annotator = 'ann_b') AND NotitieID NOT IN (SELECT NotitieID FROM core))
 SELECT NotitieID, annotator, count(*) AS n_tokens FROM (SELECT * FROM core UNION ALL SELECT * FROM ext) GROUP BY ALL""")
 def concat_core_external_q(spark, d):
     """Core annotations + external ones for notes the core lacks."""
     t = TK.parsed(spark, d)
     core = t.filter(F.col("institution").isin("inst0", "inst1"))
-    ext = t.filter(F.col("annotator") == "ann_b")
+    # the external team annotated its own notes and, by ann_b, some of the core's
+    ext = t.filter(~F.col("institution").isin("inst0", "inst1") | (F.col("annotator") == "ann_b"))
     return AN.concat_core_external(core, ext).groupBy("NotitieID", "annotator").agg(F.count("*").alias("n_tokens"))
 
 
@@ -104,12 +106,14 @@ def update_register_q(spark, d):
     return RG.update_register(reg, new).select("institution", "year", "MDN", "NotitieID", "batch")
 
 
-@register("concat_sources_labelled", "SELECT source, count(*) AS n FROM (SELECT lang AS source FROM documents WHERE lang IN ('en', 'de') "
-          "UNION ALL SELECT 'pages' FROM pages) GROUP BY 1")
+@register("concat_sources_labelled", "SELECT source, count(*) AS n FROM (SELECT CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS source "
+          "FROM documents UNION ALL SELECT 'pages' FROM pages) GROUP BY 1")
 def concat_sources_labelled_q(spark, d):
     """Named frames -> one frame with a source column."""
-    frames = {"en": b.table(spark, d, "documents").filter("lang = 'en'").select("doc_id"),
-              "de": b.table(spark, d, "documents").filter("lang = 'de'").select("doc_id"),
+    doc = b.table(spark, d, "documents")
+    named = ["en", "de", "fr", "es"]
+    known = F.coalesce(F.col("lang").isin(named), F.lit(False))
+    frames = {**{x: doc.filter(F.col("lang") == x).select("doc_id") for x in named}, "other": doc.filter(~known).select("doc_id"),
               "pages": b.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))}
     return SN.concat_sources_labelled(frames).groupBy("source").agg(F.count("*").alias("n"))
 
@@ -118,8 +122,11 @@ _CONLL_SQL = ("array_to_string(list_transform(" + _sents("trim(all_text)") + ",
               f"regexp_extract_all(s, '{_TOK_SQL_RX}'), lambda t: t || ' O'), chr(10))), chr(10) || chr(10))")
 
 
-@register("export_conll", f"""SELECT annotator, concat_ws('--', institution, substr(Notitiedatum, 1, 4), MDN, NotitieID, 'week_14') || '.conll' AS file_name,
-  md5({_CONLL_SQL}) AS conll_md5 FROM ({_N}) n JOIN (SELECT DISTINCT NotitieID, annotator FROM ({TK.info_sql(b.TOKENS_RAW_SQL)})) a USING (NotitieID)""")
+CONLL_SQL = f"""SELECT annotator, concat_ws('--', institution, substr(Notitiedatum, 1, 4), MDN, NotitieID, 'week_14') || '.conll' AS file_name,
+  md5({_CONLL_SQL}) AS conll_md5 FROM ({_N}) n JOIN (SELECT DISTINCT NotitieID, annotator FROM ({TK.info_sql(b.TOKENS_RAW_SQL)})) a USING (NotitieID)"""
+
+
+@register("export_conll", CONLL_SQL)
 def export_conll_q(spark, d):
     """A13 layout: CoNLL body per (annotator, note file), hashed."""
     batch = b.notes(spark, d).join(b.tokens_raw(spark, d).select("NotitieID", "annotator").distinct(), "NotitieID")
@@ -167,14 +174,15 @@ def split_sentences_q(spark, d):
     return NL.split_sentences(b.table(spark, d, "documents"), "doc_id", "text")
 
 
-@register("tokenize", f"""SELECT doc_id, sen_no, len(t) AS n_tokens, t[1] AS first_token FROM (
+@register("tokenize", f"""SELECT doc_id, sen_no, len(t) AS n_tokens, t[1] AS first_token, md5(array_to_string(t, chr(9))) AS tokens_md5 FROM (
   SELECT doc_id, sen_no, regexp_extract_all(sentence, '{_TOK_SQL_RX}') AS t FROM (
     SELECT doc_id, unnest(range(len(s))) AS sen_no, unnest(s) AS sentence FROM (SELECT doc_id, {_sents('text')} AS s FROM documents)))""")
 def tokenize_q(spark, d):
-    """Tokens per sentence (count and first token)."""
+    """Tokens per sentence: count, first one, and a hash of all in order."""
     t = NL.tokenize(b.table(spark, d, "documents"), "doc_id", "text")
-    return t.groupBy("doc_id", "sen_no").agg(F.count("*").alias("n_tokens"),
-                                             F.min_by("token", "tok").alias("first_token"))
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("tok", "token"))), lambda x: x["token"])  # one sentence
+    return t.groupBy("doc_id", "sen_no").agg(F.count("*").alias("n_tokens"), F.min_by("token", "tok").alias("first_token"),
+                                             F.md5(F.array_join(inside, "\t")).alias("tokens_md5"))
 
 
 _RULES = {"PERSON": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ID": r"[0-9]{12,19}"}
@@ -186,8 +194,7 @@ def anonymize_text_q(spark, d):
     """Detected e-mail addresses and long id numbers replaced by their
     entity type; token count of the result."""
     doc = b.table(spark, d, "documents").select("doc_id", "text")
-    ents = NL.regex_entities(doc, "doc_id", "text", _RULES)
-    a = NL.anonymize_text(doc, ents, "doc_id", "text")
+    a = NL.anonymize_by_rules(doc, _RULES, "text")
     return a.select("doc_id", F.md5("text").alias("text_md5"), "len_text")
 
 

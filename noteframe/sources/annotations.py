@@ -57,14 +57,15 @@ def parse_filename_legacy_rowref(df: DataFrame, raw: DataFrame, path: str = "pat
 
 
 def scan_annotation_tsv(spark: SparkSession, path: str,
-                        parser: Callable[[Column], Column] | None = parse_filename_default) -> DataFrame:
+                        parser: Callable[[Column], Column] | None = parse_filename_default,
+                        glob: str = "*.tsv") -> DataFrame:
     """A5: every ``*.tsv`` under ``path`` (recursive) -> one row per token.
 
     Header, '#' comment and blank lines are dropped by content (not by line
     number); fields are tab-split without quote handling, so a quote
     character is an ordinary token; token text such as 'NA' stays text
     (quirk Q3b). Metadata columns come from the file path via ``parser``."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv")
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
                   .text(path).select("value", decoded_path(F.col("_metadata.file_path")).alias("path")))
     lines = drop_comment_blank_lines(lines)
     parts = F.split(F.col("value"), "\t")

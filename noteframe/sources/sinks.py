@@ -38,10 +38,10 @@ def per_patient_layout(df: DataFrame, n_cols: int = 7, empty_cols: Sequence[str]
 
 
 def export_per_patient(df: DataFrame, path: str, n_cols: int = 7, empty_cols: Sequence[str] = (),
-                       id_col: str = "MDN", date: str = "Notitiedatum") -> None:
+                       id_col: str = "MDN", date: str | Sequence[str] = "Notitiedatum") -> None:
     """Chronological notes of each patient, one folder per patient."""
-    (per_patient_layout(df, n_cols, empty_cols, id_col, date).repartition(id_col)
-        .sortWithinPartitions(id_col, date).write.mode("overwrite").partitionBy(id_col)
+    (per_patient_layout(df, n_cols, empty_cols, id_col).repartition(id_col)
+        .sortWithinPartitions(id_col, *([date] if isinstance(date, str) else date)).write.mode("overwrite").partitionBy(id_col)
         .option("header", True).csv(path))
 
 
