@@ -19,3 +19,29 @@ def test_notes_per_patient_hist_right_closed(spark):
     df = spark.createDataFrame(rows, "MDN string")
     h = {(r["bin_lo"], r["bin_hi"]): r["n_patients"] for r in R.notes_per_patient_hist(df).collect()}
     assert h[(0, 25)] == 1 and h[(25, 50)] == 1 and h[(475, 500)] == 1 and len(h) == 20
+
+
+def test_bins_reach_a_cap_that_is_no_multiple(spark):
+    df = spark.createDataFrame([("p1",)] * 600 + [("p2",)] * 505, "MDN string")
+    h = {(r["bin_lo"], r["bin_hi"]): r["n_patients"] for r in R.notes_per_patient_hist(df, width=25, cap=510).collect()}
+    assert h[(500, 525)] == 2 and sum(h.values()) == 2 and len(h) == 21
+
+
+def test_histogram_of_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(2.0, None)] * 3, "a double, b double")
+    got = {(r["column"], r["bin"]): r["n"] for r in R.value_histogram(df, ["a", "b"]).collect()}
+    assert [got["a", i] for i in range(10)] == np.histogram([2.0] * 3, bins=10)[0].tolist()
+    assert [got["b", i] for i in range(10)] == [0] * 10
+
+
+def test_tiers_without_patients_have_zeros(spark):
+    df = spark.createDataFrame([("p", True)] * 3, "MDN string, annotated boolean")
+    got = {r["tier"]: tuple(r)[1:] for r in R.activity_tier_summary(df, [2, 5]).collect()}
+    assert got == {2: (1, 3, 0, 3), 5: (0, 0, 0, 0)}
+
+
+def test_kappa_leaves_single_rater_notes_out(spark):
+    from noteframe.operators.agreement import fleiss_kappa
+    votes = [("n1", "a", True), ("n1", "b", True), ("n2", "a", False), ("n2", "b", False), ("n3", "a", True)]
+    df = spark.createDataFrame(votes, "NotitieID string, annotator string, D boolean")
+    assert fleiss_kappa(df, ["D"]).first()["kappa"] == 1.0

@@ -68,3 +68,18 @@ def test_cap_sample_is_exact_and_seeded(spark):
     b = [r[0] for r in S.cap_sample(df, "NotitieID", 50, 45).collect()]
     assert len(a) == 50 and sorted(a) == sorted(b)
     assert S.cap_sample(df.limit(10), "NotitieID", 50, 45).count() == 10
+
+
+def test_cap_is_per_source(spark):
+    df = spark.range(0, 300).select(F.col("id").cast("string").alias("NotitieID"), (F.col("id") % 3).cast("string").alias("s"))
+    n = {r["s"]: r["count"] for r in S.cap_sample(df, "NotitieID", 20, 45, source="s").groupBy("s").count().collect()}
+    assert n == {"0": 20, "1": 20, "2": 20}
+
+
+def test_short_pool_is_an_error_unless_allowed(spark):
+    import pytest
+    df = spark.createDataFrame([(str(i), "cov", ["x"]) for i in range(6)], "NotitieID string, source string, D1 array<string>")
+    args = (df, ["x1"], ["a"], "cov", 20, 0.5, 0.5, ["D1"], ["D1"], 1, 2, ["cov"])
+    with pytest.raises(ValueError, match="too few notes"):
+        S.select_notes(*args)
+    assert 0 < S.select_notes(*args, allow_short=True).count() <= 6

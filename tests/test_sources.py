@@ -102,3 +102,21 @@ def test_register_stream(spark):
     q.awaitTermination(120)
     ids = sorted(r["NotitieID"] for r in spark.read.parquet(reg).collect())
     assert ids == ["n1", "n2", "n3"]
+
+
+def test_equal_rows_of_two_sources_stay_two(spark, tmp_path):
+    from noteframe.sources.notes import scan_notes_csv
+    for name in ("source=hosp a", "source=b%20c"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "notes.csv").write_text("1;9;x;2020-01-01;some text\n1;9;x;2020-01-01;some text\n")
+    n = scan_notes_csv(spark, str(tmp_path), "any", source_pattern=r"source=([^/]+)")
+    assert sorted(r["institution"] for r in n.collect()) == ["b%20c", "hosp a"]
+
+
+def test_annotation_paths_are_decoded(spark, tmp_path):
+    from noteframe.sources.annotations import scan_annotation_tsv
+    folder = tmp_path / "hosp a--2020--p1--1%2--week_14.conll"
+    folder.mkdir()
+    (folder / "ann_a.tsv").write_text("#x\n\n1-1\t0-3\tabc\t_\t_\n")
+    r = scan_annotation_tsv(spark, str(tmp_path)).first()
+    assert (r["institution"], r["NotitieID"], r["annotator"]) == ("hosp a", "1%2", "ann_a")
