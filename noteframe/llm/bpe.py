@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .common import U64
 
-BLOCK_BYTES = 4 << 20
+#: Text of a block, whose distinct words travel once; texts are split a chunk at a time.
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 
@@ -153,40 +154,47 @@ def _words_table(docs: DataFrame, path: str, n_buckets: int, n_bytes: int) -> Da
     """Bucketed by block: the positions of a block (kind 0) and its distinct words per bucket (kind 1)."""
     spark = docs.sparkSession
 
+    def block_rows(block, held):
+        ids, valid, per_doc, h, special, size, buf = (np.concatenate(x) for x in zip(*held))
+        start = C.offsets(size)[:-1]
+        _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        end = start + size
+        bucket = C.to_bucket(h[at], n_buckets).astype(np.int64)
+        order = np.lexsort((_first_bytes(buf, start[at], end[at]), bucket))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        at, bucket = at[order], bucket[order]
+        seq = C.pack(ids, valid, per_doc, rank[inverse])
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+        blobs = []
+        for a, z in zip(edge, np.r_[edge[1:], len(bucket)].astype(int)):
+            w = at[a:z]
+            blobs.append(C.pack(size[w].astype(np.uint32), special[w].astype(np.uint8), _gather(buf, start[w], size[w])))
+        n = len(blobs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * (n + 1)), pa.array([None] + bucket[edge].tolist(), pa.int64()),
+             pa.array([seq] + [None] * n, pa.binary()), pa.array([None] + blobs, pa.binary())],
+            ["block_id", "bucket", "seq", "words"])
+
     def run(batches):
-        first = TaskContext.get().partitionId() << 32
-        for i, ch in enumerate(C.chunks(batches, "_text", BLOCK_BYTES)):
+        block, held, n_held = TaskContext.get().partitionId() << 32, [], 0
+        for ch in C.chunks(batches, "_text"):
             start, end, special = split(ch.buf, ch.off, tuple(_specials(path)))
             h = C.span_hashes(ch.buf, start, end, lower=False)
             h[special] ^= U64(0x5BD1E995)
-            _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            bucket = C.to_bucket(h[at], n_buckets).astype(np.int64)
-            order = np.lexsort((_first_bytes(ch.buf, start[at], end[at]), bucket))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            at, bucket = at[order], bucket[order]
-            per_doc = np.diff(np.searchsorted(start, ch.off))
-            block = first + i
             ids = ch.arrow("_id")
-            seq = C.pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
+            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
                          ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
-                         per_doc.astype(np.uint32), rank[inverse].astype(np.uint32))
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-            blobs, names = [], []
-            for a, z in zip(edge, np.r_[edge[1:], len(bucket)].astype(int)):
-                w = at[a:z]
-                size = end[w] - start[w]
-                blobs.append(C.pack(size.astype(np.uint32), special[w].astype(np.uint8),
-                                    _gather(ch.buf, start[w], size)))
-                names.append(int(bucket[a]))
-            n = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * (n + 1)), pa.array([None] + names, pa.int64()),
-                 pa.array([seq] + [None] * n, pa.binary()), pa.array([None] + blobs, pa.binary())],
-                ["block_id", "bucket", "seq", "words"])
+                         np.diff(np.searchsorted(start, ch.off)).astype(np.uint32), h, special, end - start, ch.buf.copy()))
+            n_held += len(ch.buf) + 64 * ch.n
+            if n_held >= BLOCK_BYTES:
+                yield block_rows(block, held)
+                block, held, n_held = block + 1, [], 0
+        if held:
+            yield block_rows(block, held)
 
     table = f"llm_words_{uuid.uuid4().hex}"
-    (docs.mapInArrow(run, "block_id long, bucket long, seq binary, words binary")
+    (docs.mapInArrow(C.tidy(run), "block_id long, bucket long, seq binary, words binary")
          .write.option("compression", "uncompressed").option("path", C.shared_path(spark, "words"))
          .bucketBy(C.bucket_count(n_bytes, BUCKET_BYTES), "block_id").saveAsTable(table))
     return spark.table(table)
@@ -223,7 +231,7 @@ def _encode_words(table: DataFrame, path: str) -> DataFrame:
         return pa.table({"block_id": rows.column("block_id"), "bucket": rows.column("bucket"),
                          "ids": pa.array(out, pa.binary())})
     return (table.where("words IS NOT NULL").select("block_id", "bucket", "words")
-            .groupBy("bucket").applyInArrow(run, "block_id long, bucket long, ids binary"))
+            .groupBy("bucket").applyInArrow(C.tidy(run), "block_id long, bucket long, ids binary"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +261,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 docs_off = C.offsets(per_doc.astype(np.int64))
                 d = 0
                 while d < len(ids):  # some documents at a time
-                    z = max(d + 1, int(np.searchsorted(docs_off, docs_off[d] + 500_000, side="right")) - 1)
+                    z = max(d + 1, int(np.searchsorted(docs_off, docs_off[d] + 250_000, side="right")) - 1)
                     w = seq[docs_off[d]:docs_off[z]]
                     n = count[w]
                     out_off = C.offsets(n)
@@ -265,7 +273,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         ["doc_id", "n_tokens", "ids"])
                     d = z
     return (table.where("seq IS NOT NULL").select("block_id", "seq").join(replies, "block_id", "left")
-            .select("seq", "words").mapInArrow(place, "doc_id long, n_tokens long, ids binary"))
+            .select("seq", "words").mapInArrow(C.tidy(place), "doc_id long, n_tokens long, ids binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -291,4 +299,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ids = ids[ids < len(off) - 1]
                 text.append(_gather(pieces, off[ids], off[ids + 1] - off[ids]).tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], schema.names)
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(C.tidy(run), schema)

@@ -12,6 +12,9 @@ Tables that a later job reads again are written to the shared folder that
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
@@ -29,6 +32,8 @@ from noteframe.session import ensure_checkpoint_dir
 
 #: Text bytes that one numpy step works on at once.
 CHUNK_BYTES = 1 << 20
+#: Text bytes of a stored block.
+BLOCK_BYTES = 2 << 20
 #: Entries that a task collects before it writes its packed rows.
 FLUSH_ENTRIES = 1_000_000
 #: Text bytes that one bucket of a packed exchange stands for.
@@ -37,6 +42,46 @@ BUCKET_TEXT_BYTES = 8 << 20
 U64 = np.uint64
 
 
+def _own_heap() -> None:
+    """Keep Python workers' arrays on one heap, which :func:`tidy` can give back (glibc; elsewhere nothing changes)."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    for option, value in ((-3, 32 << 20), (-1, 256 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+        mallopt(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_own_heap()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow (a generator) or applyInArrow, which gives its memory back at its end.
+
+    Idle workers stay for later tasks and would otherwise hold the most that
+    any task needed."""
+    if inspect.isgeneratorfunction(fn):
+        @functools.wraps(fn)
+        def run(batches):
+            yield from fn(batches)
+            _trim()
+    else:
+        @functools.wraps(fn)
+        def run(table):
+            out = fn(table)
+            _trim()
+            return out
+    return run
+
+
 # ---------------------------------------------------------------- tables
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +122,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_blocks(docs: DataFrame, name: str, n_buckets: int, text_col: str = "text") -> DataFrame:
-    """(block_id, data): the rows of ``docs`` as compressed record batches of ``CHUNK_BYTES`` of text.
+    """(block_id, data): the rows of ``docs`` as compressed record batches of ``BLOCK_BYTES`` of text.
 
     The table is bucketed by block, so joins that send something back to the
     texts move only what is sent, not the texts.
@@ -87,11 +132,11 @@ def write_blocks(docs: DataFrame, name: str, n_buckets: int, text_col: str = "te
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
-        for i, ch in enumerate(chunks(batches, text_col)):
+        for i, ch in enumerate(chunks(batches, text_col, BLOCK_BYTES)):
             yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int64()), pa.array([to_blob(ch.batch)], pa.binary())],
                                              ["block_id", "data"])
 
-    (docs.mapInArrow(run, "block_id long, data binary").repartition(n_buckets, "block_id")
+    (docs.mapInArrow(tidy(run), "block_id long, data binary")
          .write.option("compression", "uncompressed").option("path", path)
          .bucketBy(n_buckets, "block_id").saveAsTable(table))
     return spark.table(table)
@@ -325,18 +370,12 @@ def unpack_rows(blobs) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate([unpack_keys(p[0]) for p in parts]), cols
 
 
-def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_buckets: int,
-                item: int = 1) -> DataFrame:
-    """Entries whose key also occurs with another item.
-
-    ``emit(batches)`` yields ``(keys, [column arrays])``; the first ``item``
-    columns name the item. (With ``emit=None``, ``df`` holds rows that
-    :func:`pack_rows` made.) Keys travel packed, sorted and compressed, one row
-    per task and bucket, so that the many keys which occur once never become
-    rows. A bucket stands for ``BUCKET_TEXT_BYTES`` of text at any input size.
-    Of entries that repeat a key and item the least by columns is returned.
-    Returns (key, *columns); a key is unique within 32 bits and its bucket, so
-    that now and then two keys meet: callers verify what they find.
+def packed(df: DataFrame, emit: Callable, n_buckets: int) -> DataFrame:
+    """(bucket, data): what ``emit(batches)`` yields as ``(keys, [column arrays])``, packed per task and bucket.
+
+    Keys travel sorted and compressed, so that the many that occur once never
+    become rows. A bucket stands for ``BUCKET_TEXT_BYTES`` of text at any
+    input size.
     """
     def to_rows(batches):
         held, n = [], 0
@@ -348,31 +387,48 @@ def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_bucket
                 held, n = [], 0
         if n:
             yield _flush(held, n_buckets)
+    return df.mapInArrow(tidy(to_rows), "bucket long, data binary")
+
+
+def shared_entries(blobs, item: int):
+    """(keys, columns, run number) of the entries in a bucket whose key also occurs with another item, sorted.
+
+    The first ``item`` columns name the item; of entries that repeat a key and
+    an item the least by columns stays.
+    """
+    keys, cols = unpack_rows(blobs)
+    order = np.lexsort((*reversed(cols), keys))
+    keys, cols = keys[order], [c[order] for c in cols]
+    again = np.r_[False, keys[1:] == keys[:-1]]
+    same = again.copy()
+    for c in cols[:item]:
+        same &= np.r_[False, c[1:] == c[:-1]]
+    run = np.cumsum(~again) - 1
+    items = np.bincount(run, ~same) if len(keys) else np.zeros(0)
+    keep = (items[run] > 1) & ~same
+    return keys[keep], [c[keep] for c in cols], run[keep]
 
+
+def shared_keys(df: DataFrame, emit: Callable, columns: dict[str, str], n_buckets: int,
+                item: int = 1) -> DataFrame:
+    """Entries of :func:`packed` whose key also occurs with another item: (key, *columns).
+
+    A key is unique within 32 bits and its bucket, so that now and then two
+    keys meet: callers verify what they find.
+    """
     names = list(columns)
 
     def reduce(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, cols = unpack_rows(table.column("data").to_pylist())
-        order = np.lexsort((*reversed(cols), keys))
-        keys, cols = keys[order], [c[order] for c in cols]
-        again = np.r_[False, keys[1:] == keys[:-1]]
-        same = again.copy()
-        for c in cols[:item]:
-            same &= np.r_[False, c[1:] == c[:-1]]
-        head = ~again
-        run = np.cumsum(head) - 1
-        items = np.bincount(run, ~same) if len(keys) else np.zeros(0)
-        keep = (items[run] > 1) & ~same
-        full = (U64(bucket) << U64(KEY_BITS)) | keys[keep]
-        arrays = [pa.array(full.astype(np.int64))] + [pa.array(c[keep]) for c in cols]
+        keys, cols, _ = shared_entries(table.column("data").to_pylist(), item)
+        full = (U64(bucket) << U64(KEY_BITS)) | keys
+        arrays = [pa.array(full.astype(np.int64))] + [pa.array(c) for c in cols]
         return pa.Table.from_arrays(arrays, ["key", *names]).cast(out_arrow)
 
     kinds = {"long": pa.int64(), "int": pa.int32()}
     out_arrow = pa.schema([("key", pa.int64())] + [(c, kinds[t]) for c, t in columns.items()])
     schema = "key long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
-    packed = df if emit is None else df.mapInArrow(to_rows, "bucket long, data binary")
-    return packed.groupBy("bucket").applyInArrow(reduce, schema)
+    return packed(df, emit, n_buckets).groupBy("bucket").applyInArrow(tidy(reduce), schema)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int):

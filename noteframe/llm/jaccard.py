@@ -7,8 +7,9 @@ part at most, so the number of unlike parts is a lower bound of the symmetric
 difference, and two sets within Jaccard ``t`` differ in at most
 ``(1-t)/(1+t) * (|A|+|B|)`` parts. Sketches therefore have more parts than
 that bound per size band, and linked sets agree in at least one part
-(pigeonhole). Documents that share a part are candidates; a 512-bit parity
-sketch bounds the difference again; the sets decide.
+(pigeonhole). Documents that share a part are candidates; a parity sketch of
+single bits, about as many as the set has shingles, bounds the difference
+again (of two widths, the wider folds onto the other); the sets decide.
 
 Equal sets are one class from the start. Each class is first compared with
 the one partner that shares most parts with it; then every pair that shares a
@@ -30,6 +31,7 @@ from .common import U64, mix
 WORDS = 5
 #: Sizes from one bound to the next are a band.
 BANDS = np.unique(np.ceil(1.3 ** np.arange(0, 80)).astype(np.int64))
+#: Least width of a bit sketch.
 SKETCH_BITS = 512
 #: Members of one side of a block when untested pairs of a part are compared.
 BLOCK = 1000
@@ -63,13 +65,20 @@ def shingle_sets(chunk: C.Chunk, words: int = WORDS):
     return values[keep], C.offsets(sizes)
 
 
-def parity_bits(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """512-bit parity sketch per set: each shingle flips one bit."""
-    n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
-    bits = np.bincount(doc * SKETCH_BITS + (sets & U64(SKETCH_BITS - 1)).astype(np.int64),
-                       minlength=n * SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def parity_bits(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Parity sketch per set: each shingle flips one bit. The width is a power of two from the set's size on."""
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        width = max(SKETCH_BITS, 1 << max(b - a - 1, 1).bit_length())
+        bits = np.bincount((sets[a:b] & U64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(bits.astype(np.uint8)).tobytes())
+    return out
+
+
+def fold(sketch: bytes, n_bytes: int) -> np.ndarray:
+    """The sketch at a smaller width: bits that share their low position are added modulo 2."""
+    x = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, n_bytes), axis=0) if len(x) > n_bytes else x
 
 
 def band_of(size: int) -> int:
@@ -116,10 +125,10 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -
             sk = parity_bits(u, off)
             yield pa.RecordBatch.from_arrays(
                 [ch.arrow("_id"), pa.array(np.diff(off)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)),
-                 pa.array([r.tobytes() for r in sk], pa.binary())],
+                 pa.array(sk, pa.binary())],
                 ["id", "n_shingles", "fp1", "fp2", "sketch"])
     return _id_text(docs, id_col, text_col).mapInArrow(
-        run, "id long, n_shingles long, fp1 long, fp2 long, sketch binary")
+        C.tidy(run), "id long, n_shingles long, fp1 long, fp2 long, sketch binary")
 
 
 def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,9 +184,9 @@ def candidate_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: st
                         [ch.arrow("_id"), pa.array([small[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())],
                         ["id", "shingles"])
 
-    source = _id_text(docs, id_col, text_col).where("_id IS NOT NULL").mapInArrow(squeeze, "id long, squeezed binary")
+    source = _id_text(docs, id_col, text_col).where("_id IS NOT NULL").mapInArrow(C.tidy(squeeze), "id long, squeezed binary")
     return (source.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-            .mapInArrow(to_sets, "id long, shingles binary"))
+            .mapInArrow(C.tidy(to_sets), "id long, shingles binary"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +211,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     return (pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-            .mapInArrow(verify, "a long, b long"))
+            .mapInArrow(C.tidy(verify), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -259,26 +268,29 @@ def _can_link(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             n1, n2 = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            s1, s2 = (_sketches(batch.column(i).to_pylist()) for i in (3, 5))
-            keep = pa.array(_within(n1, n2, s1, s2, percent))
+            keep = [bool(_within(x, y, *_same_width([p, q]), percent)) for x, y, p, q in
+                    zip(n1, n2, batch.column(3).to_pylist(), batch.column(5).to_pylist())]
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
     return (pairs.join(about.toDF("a", "n1", "s1"), "a").join(about.toDF("b", "n2", "s2"), "b")
-            .select("a", "b", "n1", "s1", "n2", "s2").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "n1", "s1", "n2", "s2").mapInArrow(C.tidy(run), "a long, b long"))
 
 
-def _sketches(blobs: list) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), U64).reshape(len(blobs), SKETCH_BITS // 64)
+def _same_width(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, folded to the least width among them."""
+    least = min(map(len, sketches))
+    return np.stack([fold(s, least) for s in sketches]).view(U64)
 
 
-def _within(n1, n2, s1, s2, percent: int) -> np.ndarray:
+def _within(n1, n2, s1, s2, percent: int):
     """Whether sizes and sketches (the Hamming distance is at most the difference) allow a link."""
-    apart = np.bitwise_count(s1 ^ s2).sum(axis=1, dtype=np.int64)
+    apart = np.bitwise_count(s1 ^ s2).sum(axis=-1, dtype=np.int64)
     return ((100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
             & (apart * (100 + percent) <= (n1 + n2) * (100 - percent)))
 
 
 def _bounded_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unlike components within a part that sizes and 512-bit sketches let pass.
+    """Pairs of unlike components within a part that sizes and bit sketches let pass.
 
     A part with many members is dealt out as pairs of blocks, so that no task
     holds more than two blocks of it.
@@ -294,11 +306,11 @@ def _bounded_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for _, _, _, ids, n, comp, sketch in C.sorted_groups(batches, 3):
             if (comp == comp[0]).all():
                 continue
-            n, sk = n.astype(np.int64), _sketches(sketch)
+            n, sk = n.astype(np.int64), _same_width(sketch)  # a part's sets are of near sizes
             for i in range(len(ids) - 1):
                 ok = _within(n[i], n[i + 1:], sk[i], sk[i + 1:], percent) & (comp[i + 1:] != comp[i])
                 if ok.any():
                     other = ids[i + 1:][ok]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))],
                                                      ["a", "b"])
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(C.tidy(compare), "a long, b long")

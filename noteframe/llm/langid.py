@@ -192,7 +192,7 @@ def _windows(docs: DataFrame) -> dict[str, list[str]]:
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary())], ["lang", "piece"])
     rows = (docs.where(F.col("id").isin([r["id"] for r in chosen]) & F.col("lang").isNotNull())
-            .select("id", "lang", "text").mapInArrow(cut, "lang string, piece binary").collect())
+            .select("id", "lang", "text").mapInArrow(C.tidy(cut), "lang string, piece binary").collect())
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows):
         out.setdefault(r["lang"], []).append(bytes(r["piece"]))
@@ -320,4 +320,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                                               pa.array(np.clip(score, 0, 1)), pa.array(n)],
                                              ["doc_id", "held_out", "lang_pred", "score", "n_words"])
     return (rows.select("id", held_out().alias("held_out"), "text")
-            .mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, n_words long"))
+            .mapInArrow(C.tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double, n_words long"))

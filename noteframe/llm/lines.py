@@ -8,7 +8,10 @@ What passes is verified on the sets. A line goes if an earlier one, by
 (doc_id, line number), matches it.
 
 Lines with equal sets are one class that its earliest line stands for, so
-copies are settled by a minimum per class and only classes are joined.
+copies are settled by a minimum per class and only classes are joined. A line
+is first compared with the ``FIRST`` earliest partners that a word gives it,
+and with all the others only if none of these matches: groups of near copies
+are not expanded into pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MIN_WORDS = 5
 #: Counters for word frequencies: fixed, so the table that tasks receive never grows.
 COUNTERS = 1 << 20
 SLICES = 16
+#: Partners by one word that a line is compared with before all others are tried.
+FIRST = 4
 BLOCK = 2000
 
 
@@ -78,8 +83,11 @@ class _Sets:
         self.line = number[good].astype(np.int32)
 
     def prints(self) -> np.ndarray:
+        """64 bits per set: a 32-bit parity sketch (low), which bounds differences, and 32 bits of hash."""
         a = C.reduce_segments(np.add, mix(self.words), self.off, U64(0))
-        return mix(a + self.n.astype(U64))
+        bit = np.left_shift(U64(1), self.words & U64(31))
+        parity = C.reduce_segments(np.bitwise_xor, bit, self.off, U64(0))
+        return (mix(a + self.n.astype(U64)) << U64(32)) | parity
 
 
 def _survey(blocks: DataFrame, id_col: str, text_col: str, n_buckets: int, min_words: int) -> DataFrame:
@@ -120,7 +128,7 @@ def _survey(blocks: DataFrame, id_col: str, text_col: str, n_buckets: int, min_w
             parts = [C.pack(x) for x in counters.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(SLICES, np.int32)), pa.array(np.arange(SLICES)),
                                               pa.array(parts, pa.binary())], ["kind", "bucket", "data"])
-    return C.write_table(blocks.mapInArrow(run, "kind int, bucket long, data binary"), "survey")
+    return C.write_table(blocks.mapInArrow(C.tidy(run), "kind int, bucket long, data binary"), "survey")
 
 
 def _frequencies(survey: DataFrame) -> np.ndarray:
@@ -129,7 +137,7 @@ def _frequencies(survey: DataFrame) -> np.ndarray:
         total = sum(C.unpack(b)[0] for b in table.column("data").to_pylist())
         return pa.table({"bucket": table.column("bucket")[:1], "data": pa.array([C.pack(total)], pa.binary())})
     rows = (survey.where("kind = 0").select("bucket", "data").groupBy("bucket")
-            .applyInArrow(add, "bucket long, data binary").collect())
+            .applyInArrow(C.tidy(add), "bucket long, data binary").collect())
     out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for r in rows:
         out[r["bucket"]] = C.unpack(r["data"])[0]
@@ -145,7 +153,7 @@ def _unpack_lines(batches):
 
 def _copies(survey: DataFrame) -> DataFrame:
     """(doc_id, line) of lines with an earlier line of the same words."""
-    local = survey.where("kind = 2").select("data").mapInArrow(_unpack_lines, "doc_id long, line int")
+    local = survey.where("kind = 2").select("data").mapInArrow(C.tidy(_unpack_lines), "doc_id long, line int")
 
     # each task sent a class once: what a bucket gathers is bounded by tasks, not by copies
     def later(table: pa.Table) -> pa.Table:
@@ -155,7 +163,7 @@ def _copies(survey: DataFrame) -> DataFrame:
         again = np.r_[False, fp[1:] == fp[:-1]]
         return pa.table({"doc_id": doc[again], "line": line[again]})
     across = (survey.where("kind = 1").select("bucket", "data").groupBy("bucket")
-              .applyInArrow(later, "doc_id long, line int"))
+              .applyInArrow(C.tidy(later), "doc_id long, line int"))
     return local.unionByName(across)
 
 
@@ -167,13 +175,16 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
     counters = spark.sparkContext.broadcast(_frequencies(survey))
 
     def emit(batches):
-        seen: set[int] = set()
+        sent: dict[int, tuple[int, int]] = {}  # a class again only from an earlier line
         for _, ch, _ in C.block_chunks(batches, text_col):
             s = _Sets(ch, id_col, min_words=min_words)
             fp = s.prints()
-            fresh = np.array([f not in seen and not seen.add(f) for f in fp.tolist()], bool)
-            if len(seen) > 1_000_000:
-                seen.clear()
+            fresh = np.zeros(len(fp), bool)
+            for i, x in enumerate(zip(fp.tolist(), s.doc_id.tolist(), s.line.tolist())):
+                if x[0] not in sent or x[1:] < sent[x[0]]:
+                    sent[x[0]], fresh[i] = x[1:], True
+            if len(sent) > 500_000:
+                sent.clear()
             s = _Sets(ch, id_col, counters.value, min_words)
             prefix = s.n - -(-percent * s.n // 100) + 1
             row = np.repeat(np.arange(len(s.n)), s.n)
@@ -183,67 +194,91 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
             yield mix(s.words[take]), [fp[row].view(np.int64), s.doc_id[row], s.line[row], s.n[row].astype(np.int32),
                                        pos.astype(np.int32)]
 
-    near = C.write_table(C.shared_keys(blocks.select("block_id", "data"), emit,
-                                       {"fp": "long", "doc_id": "long", "line": "int", "n": "int", "pos": "int"},
-                                       n_buckets), "prefixes")
-    # the earliest line of a class may have been sent by another task than the one that a key kept
-    classes = near.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"))
-    rows = near.select("key", "fp", "n", "pos").join(classes.select("fp", "at"), "fp")
-
-    first = rows.groupBy("key").agg(F.min(F.struct("at", "fp", "n", "pos")).alias("f"))
-    need = f"ceil({percent} * (n + n2) / {100 + percent})"
-    passes = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
-                    f"AND 1 + least(n - pos, n2 - pos2) - 1 >= {need}")
-    star = (rows.join(first, "key").where("at > f.at")
-            .select("fp", "at", "n", "pos", F.col("f.fp").alias("fp2"), F.col("f.at").alias("at2"),
-                    F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"))
-            .where(passes).select("fp", "at", "fp2", "at2").distinct())
-    star = C.write_table(star, "pairs")
-    gone = C.write_table(_verified(star, blocks, id_col, text_col, percent, min_words), "gone")
-
-    # lines that their keys' first line does not match meet every earlier one there
-    open_rows = rows.join(gone, "fp", "left_anti").select("key").distinct()
-    left = (rows.join(open_rows, "key").join(gone.withColumn("done", F.lit(True)), "fp", "left")
-            .withColumn("done", F.col("done").isNotNull()))
-    sizes = left.groupBy("key").agg(F.count("*").alias("members")).where("members > 2")
-    more = _earlier_pairs(left.join(sizes, "key"), percent)
-    more = C.write_table(more.distinct().join(star.select("fp", "fp2"), ["fp", "fp2"], "left_anti"), "pairs")
+    def meet(table: pa.Table) -> pa.Table:
+        keys, cols, run = C.shared_entries(table.column("data").to_pylist(), 1)
+        fp, doc, line, n, pos = cols
+        order = np.lexsort((line, doc, run))
+        run, fp, doc, line, n, pos = (x[order] for x in (run, fp, doc, line, n.astype(np.int64), pos.astype(np.int64)))
+        head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
+        first = np.repeat(head, np.diff(np.r_[head, len(run)]))
+        ordinal = np.arange(len(run)) - first
+        found = np.zeros(len(run), np.int64)
+        xs, ys, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(run), bool)
+        x, j = np.flatnonzero(ordinal > 0), 0
+        while len(x):  # the j-th earliest of a key against all later ones that are still short of partners
+            y = first[x] + j
+            ok = _may_match(n[x], n[y], pos[x], pos[y], fp[x], fp[y], percent)
+            many[x[ok & (found[x] == FIRST)]] = True
+            hit = ok & (found[x] < FIRST)
+            xs.append(x[hit])
+            ys.append(y[hit])
+            found[x[hit]] += 1
+            j += 1
+            x = x[(ordinal[x] > j) & ~many[x]]
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        rest = np.isin(run, run[many])  # keys with a line that has more partners
+        bucket = table.column("bucket")[0].as_py()
+        key = ((U64(bucket) << U64(C.KEY_BITS)) | keys[order]).astype(np.int64)
+        k = np.flatnonzero(rest)
+        kind = np.r_[np.zeros(len(x), np.int32), np.ones(len(k), np.int32)]
+        at, to = np.r_[x, k], np.r_[y, k]
+        return pa.table({"kind": kind, "key": key[at], "fp": fp[at], "doc_id": doc[at], "line": line[at], "n": n[at].astype(np.int32),
+                         "pos": pos[at].astype(np.int32), "fp2": fp[to], "doc_id2": doc[to], "line2": line[to]})
+
+    found = C.write_table(C.packed(blocks.select("block_id", "data"), emit, n_buckets).groupBy("bucket").applyInArrow(
+        C.tidy(meet), "kind int, key long, fp long, doc_id long, line int, n int, pos int, fp2 long, doc_id2 long, line2 int"), "prefixes")
+    at, at2 = F.struct("doc_id", "line").alias("at"), F.struct(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line")).alias("at2")
+    pairs = C.write_table(found.where("kind = 0").select("fp", at, "fp2", at2).distinct(), "pairs")
+    gone = C.write_table(_verified(pairs, blocks, id_col, text_col, percent, min_words), "gone")
+
+    # lines that no first partner matches meet every earlier one
+    members = found.where("kind = 1").select("key", "fp", at, "n", "pos")
+    left = (members.join(gone.withColumn("done", F.lit(True)), "fp", "left").withColumn("done", F.col("done").isNotNull()))
+    sizes = left.groupBy("key").agg(F.count("*").alias("members"), F.sum((~F.col("done")).cast("int")).alias("short")).where("short > 0")
+    more = _earlier_pairs(left.join(sizes.drop("short"), "key"), percent)
+    more = C.write_table(more.distinct().join(pairs.select("fp", "fp2"), ["fp", "fp2"], "left_anti"), "pairs")
+    every = pairs.select("fp", "at")
     if not more.isEmpty():
         gone = gone.unionByName(_verified(more, blocks, id_col, text_col, percent, min_words)).distinct()
-    unlike = classes.join(gone, "fp").select(F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
+        every = every.unionByName(more.select("fp", "at"))
+    unlike = every.distinct().join(gone, "fp").select(F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
     return _copies(survey).unionByName(unlike).distinct()
 
 
+def _may_match(n, n2, pos, pos2, fp, fp2, percent: int) -> np.ndarray:
+    """Length and positional filters and the sketches' bound for lines that share the words at ``pos`` and ``pos2``.
+
+    Words are in one order in both, so what the two can share are words from
+    the shared one on, if it is the first; and a pair that shares an earlier
+    word too is also met there, where this bound is no tighter.
+    """
+    need = -(-percent * (n + n2) // (100 + percent))
+    apart = np.bitwise_count((fp ^ fp2) & 0xFFFFFFFF).astype(np.int64)
+    return ((100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)) & (np.minimum(n - pos, n2 - pos2) >= need)
+            & (apart * (100 + percent) <= (100 - percent) * (n + n2)) & (fp != fp2))
+
+
 def _earlier_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(fp, at, fp2, at2): lines still in question with the earlier ones of a key that the filters pass.
 
     Large keys are dealt out as pairs of blocks.
     """
-    side = F.ceil(F.col("members") / BLOCK).cast("long")
-    dealt = (rows.withColumn("s", side).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("s")))
+    dealt = (rows.withColumn("s", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("s")))
              .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
              .select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "fp",
-                     F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "pos", "done"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("line", "ascending")])
-        fp, doc, line, n, pos, done = (table.column(c).to_numpy() for c in ("fp", "doc_id", "line", "n", "pos", "done"))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(~done):
-            j = np.arange(i)
-            need = -(-percent * (n[i] + n[:i]) // (100 + percent))
-            ok = (100 * np.minimum(n[i], n[:i]) >= percent * np.maximum(n[i], n[:i])) \
-                & (np.minimum(n[i] - pos[i], n[:i] - pos[:i]) >= need) & (fp[:i] != fp[i])
-            j = j[ok]
-            xs.append(np.full(len(j), i))
-            ys.append(j)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        at = pa.StructArray.from_arrays
-        return pa.table({"fp": fp[x], "at": at([pa.array(doc[x]), pa.array(line[x])], ["doc_id", "line"]),
-                         "fp2": fp[y], "at2": at([pa.array(doc[y]), pa.array(line[y])], ["doc_id", "line"])})
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(
-        compare, "fp long, at struct<doc_id: long, line: int>, fp2 long, at2 struct<doc_id: long, line: int>")
+                     F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "pos", "done")
+             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc_id", "line"))
+
+    def compare(batches):
+        for _, _, _, fp, doc, line, n, pos, done in C.sorted_groups(batches, 3):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            for i in np.flatnonzero(~done.astype(bool)):
+                j = np.flatnonzero(_may_match(n[i], n[:i], pos[i], pos[:i], fp[i], fp[:i], percent))
+                if len(j):
+                    i_s = np.full(len(j), i)
+                    at = [pa.StructArray.from_arrays([pa.array(doc[k]), pa.array(line[k])], ["doc_id", "line"]) for k in (i_s, j)]
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[i_s]), at[0], pa.array(fp[j]), at[1]], ["fp", "at", "fp2", "at2"])
+    return dealt.mapInArrow(C.tidy(compare), "fp long, at struct<doc_id: long, line: int>, fp2 long, at2 struct<doc_id: long, line: int>")
 
 
 def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, percent: int,
@@ -269,7 +304,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, p
                  pa.array([s.words[s.off[i]:s.off[i + 1]].tobytes() for i in rows], pa.binary())], ["fp", "words"])
 
     sets = (blocks.join(wanted, "block_id").select("block_id", "data", "wanted")
-            .mapInArrow(to_sets, "fp long, words binary").dropDuplicates(["fp"]))
+            .mapInArrow(C.tidy(to_sets), "fp long, words binary").dropDuplicates(["fp"]))
     sets = C.write_table(sets, "sets")
 
     def verify(batches):
@@ -281,7 +316,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, p
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["fp"])
     return (pairs.join(sets.toDF("fp", "x"), "fp").join(sets.toDF("fp2", "y"), "fp2")
-            .select("fp", "x", "y").mapInArrow(verify, "fp long").distinct())
+            .select("fp", "x", "y").mapInArrow(C.tidy(verify), "fp long").distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -337,4 +372,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.types import LongType, StructType
     out = StructType(list(schema.fields)).add("n_lines", LongType()).add("n_removed", LongType())
     return (blocks.join(sent, "block_id", "left").select("block_id", "data", "_docs", "_lines")
-            .mapInArrow(rewrite, out))
+            .mapInArrow(C.tidy(rewrite), out))

@@ -126,7 +126,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                         ["rep", "label", "dims", "copies", "filter", "asks", "unit"])
 
     stored = C.write_table(classes.select("rep", "label", "dims", "u", "copies").mapInArrow(
-        place, "rep long, label string, dims int, copies long, filter long, asks boolean, unit binary"), "filters")
+        C.tidy(place), "rep long, label string, dims int, copies long, filter long, asks boolean, unit binary"), "filters")
     key = ["label", "dims", "filter"]
     groups = (stored.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"))
               .where("n > 1 AND q > 0")
@@ -171,7 +171,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                          "n": np.r_[n_links, np.zeros(len(a), np.int64)], "edge": np.r_[np.zeros(len(q), bool), np.ones(len(a), bool)]})
 
     out = C.write_table(members.select(*columns).unionByName(askers.select(*columns))
-                        .groupBy(*key, "s", "t").applyInArrow(compare, "a long, b long, n long, edge boolean"), "links")
+                        .groupBy(*key, "s", "t").applyInArrow(C.tidy(compare), "a long, b long, n long, edge boolean"), "links")
     counts = out.where("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = C.connected_components(out.where("edge").select("a", "b")).toDF("rep", "component")
     known = (single.drop("dims").join(classes.select("label", "print", "u", "rep", "copies"), ["label", "print", "u"])

@@ -71,7 +71,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
                                              ["id", "source", "words", "cluster"])
     return (docs.select(docs[id_col].cast("long").alias("_id"), docs[source_col].cast("string").alias("_source"),
                         C.text_column(docs, text_col).alias("_text"))
-            .mapInArrow(run, "id long, source string, words long, cluster long"))
+            .mapInArrow(C.tidy(run), "id long, source string, words long, cluster long"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
                 used += 1
         return pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
 
-    packed = sharded.groupBy("shard").applyInArrow(run, "doc_id long, piece long, bin_id long, start long, n_words long")
+    packed = sharded.groupBy("shard").applyInArrow(C.tidy(run), "doc_id long, piece long, bin_id long, start long, n_words long")
     empty = sizes.where("words = 0").selectExpr("id AS doc_id", "0L AS piece", "cast(null AS bigint) AS bin_id",
                                                 "0L AS start", "words AS n_words")
     return packed.unionByName(empty)

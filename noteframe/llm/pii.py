@@ -219,7 +219,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [ch.arrow("_id"), pa.array([[dict(zip(("start", "kind", "end", "pattern", "base"), s)) for s in c]
                                             for c in _chunk_candidates(ch)], pa.list_(span))], ["id", "spans"])
     return (docs.select(docs[id_col].cast("long").alias("_id"), C.text_column(docs, text_col).alias("_text"))
-            .mapInArrow(run, "id long, spans array<struct<start: long, kind: int, end: long, pattern: int, base: boolean>>"))
+            .mapInArrow(C.tidy(run), "id long, spans array<struct<start: long, kind: int, end: long, pattern: int, base: boolean>>"))
 
 
 def _chunk_candidates(ch: C.Chunk):
@@ -291,4 +291,4 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             columns = list(ch.batch.columns)
             columns[at] = pa.array(column, pa.string())
             yield pa.RecordBatch.from_arrays(columns, ch.batch.schema.names)
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(C.tidy(run), source.schema)

@@ -131,7 +131,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [ch.arrow("_id"), pa.ListArray.from_arrays(np.arange(ch.n + 1, dtype=np.int32) * f.shape[1], f.reshape(-1))],
                 ["id", "f"])
     return (docs.select(docs[id_col].cast("long").alias("_id"), C.text_column(docs, text_col).alias("_text"))
-            .mapInArrow(run, "id long, f array<double>"))
+            .mapInArrow(C.tidy(run), "id long, f array<double>"))
 
 
 @dataclass
@@ -169,7 +169,7 @@ def fit(labelled: DataFrame, pooled: float = POOLED, identity: float = IDENTITY)
         for c in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(total.shape[1], c)), pa.array(np.arange(total.shape[1])),
                                               pa.array(total[c])], ["c", "i", "v"])
-    rows = (labelled.select("f", F.col("quality").cast("int")).mapInArrow(moments, "c long, i long, v double")
+    rows = (labelled.select("f", F.col("quality").cast("int")).mapInArrow(C.tidy(moments), "c long, i long, v double")
             .groupBy("c", "i").agg(F.sum("v").alias("v")).collect())
     m = np.zeros((2, 1 + d + d * d))
     for r in rows:
@@ -217,7 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
     return (rows.select("id", "f", held_out().alias("held_out"))
-            .mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int"))
+            .mapInArrow(C.tidy(score), "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -235,4 +235,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def run(batches):
         for ch in C.chunks(batches, text_col):
             yield ch.batch.filter(pa.array(model.score(statistics(ch)) >= threshold))
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(C.tidy(run), source.schema)

@@ -49,7 +49,7 @@ def _blocks(rows: DataFrame, per_block: int, n: int, name: str) -> DataFrame:
                       v.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         return pa.table({"block": t.column("block")[:1], name: pa.array([data], pa.binary())})
     return (rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-            .groupBy("block").applyInArrow(run, f"block long, {name} binary"))
+            .groupBy("block").applyInArrow(C.tidy(run), f"block long, {name} binary"))
 
 
 def _matrix(blob: bytes):
@@ -122,7 +122,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
                                                      ["query_id", "vec_id", "part", "total"])
 
     found = (meet(query_blocks).select("quer", "cand")
-             .mapInArrow(local_lists, "query_id long, vec_id long, part long, total long"))
+             .mapInArrow(C.tidy(local_lists), "query_id long, vec_id long, part long, total long"))
     in_order = Window.partitionBy("query_id").orderBy(F.desc("total"), "vec_id")
     seen = (found.groupBy("query_id", "vec_id").agg(F.max("total").alias("total"))
             .withColumn("r", F.row_number().over(in_order)).where(f"r <= {k}"))
@@ -152,7 +152,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
                                                  ["query_id", "vec_id", "known", "missing"])
 
     kept = (meet(query_blocks.join(per_block, "qb")).select("quer", "cand", "cuts")
-            .mapInArrow(entries, "query_id long, vec_id long, known long, missing long"))
+            .mapInArrow(C.tidy(entries), "query_id long, vec_id long, known long, missing long"))
 
     def resolve(batches):  # phase 3
         edges = _groups(width, lists)
@@ -170,7 +170,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     exact = (open_rows.join(vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id")
              .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
              .select("query_id", "vec_id", "known", "missing", "q", "c")
-             .mapInArrow(resolve, "query_id long, vec_id long, score long"))
+             .mapInArrow(C.tidy(resolve), "query_id long, vec_id long, score long"))
     scores = done.select("query_id", "vec_id", F.col("known").alias("score")).unionByName(exact)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (scores.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
