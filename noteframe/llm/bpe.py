@@ -33,6 +33,8 @@ from .common import U64
 #: Text of a block, whose distinct words travel once; texts are split a chunk at a time.
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
+#: Compression of what is stored and sent.
+LEVEL = 6
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 
 # fixed values: the code points with the White_Space property
@@ -157,19 +159,23 @@ def _words_table(docs: DataFrame, path: str, n_buckets: int, n_bytes: int) -> Da
     def block_rows(block, held):
         ids, valid, per_doc, h, special, size, buf = (np.concatenate(x) for x in zip(*held))
         start = C.offsets(size)[:-1]
-        _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        _, at, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         end = start + size
         bucket = C.to_bucket(h[at], n_buckets).astype(np.int64)
         order = np.lexsort((_first_bytes(buf, start[at], end[at]), bucket))
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         at, bucket = at[order], bucket[order]
-        seq = C.pack(ids, valid, per_doc, rank[inverse])
+        # positions name words by frequency, which compresses; ``often`` leads to the words as they are sent
+        often = np.argsort(-count[order], kind="stable").astype(np.uint32)
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often), dtype=np.uint32)
+        seq = C.pack(ids, valid, per_doc, place[rank[inverse]], often, level=LEVEL)
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
         blobs = []
         for a, z in zip(edge, np.r_[edge[1:], len(bucket)].astype(int)):
             w = at[a:z]
-            blobs.append(C.pack(size[w].astype(np.uint32), special[w].astype(np.uint8), _gather(buf, start[w], size[w])))
+            blobs.append(C.pack(size[w].astype(np.uint32), special[w].astype(np.uint8), _gather(buf, start[w], size[w]), level=LEVEL))
         n = len(blobs)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * (n + 1)), pa.array([None] + bucket[edge].tolist(), pa.int64()),
@@ -227,7 +233,7 @@ def _encode_words(table: DataFrame, path: str) -> DataFrame:
             w = inverse[a:a + len(p[0])]
             a += len(p[0])
             out.append(C.pack(count[w].astype(np.uint32),
-                              ids[np.arange(count[w].sum()) + np.repeat(start[:-1][w] - C.offsets(count[w])[:-1], count[w])]))
+                              ids[np.arange(count[w].sum()) + np.repeat(start[:-1][w] - C.offsets(count[w])[:-1], count[w])], level=LEVEL))
         return pa.table({"block_id": rows.column("block_id"), "bucket": rows.column("bucket"),
                          "ids": pa.array(out, pa.binary())})
     return (table.where("words IS NOT NULL").select("block_id", "bucket", "words")
@@ -252,7 +258,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def place(batches):
         for rows in batches:
             for i in range(rows.num_rows):
-                ids, valid, per_doc, seq = C.unpack(rows.column(0)[i].as_py())
+                ids, valid, per_doc, seq, often = C.unpack(rows.column(0)[i].as_py())
                 words = sorted(rows.column(1)[i].as_py() or (), key=lambda r: r["bucket"])
                 parts = [C.unpack(w["ids"]) for w in words] or [[np.zeros(0, np.uint32)] * 2]
                 count = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -262,7 +268,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 d = 0
                 while d < len(ids):  # some documents at a time
                     z = max(d + 1, int(np.searchsorted(docs_off, docs_off[d] + 250_000, side="right")) - 1)
-                    w = seq[docs_off[d]:docs_off[z]]
+                    w = often[seq[docs_off[d]:docs_off[z]]]
                     n = count[w]
                     out_off = C.offsets(n)
                     flat = values[np.arange(out_off[-1]) + np.repeat(start[w] - out_off[:-1], n)].astype("<u4")

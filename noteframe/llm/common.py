@@ -73,6 +73,12 @@ def tidy(fn: Callable) -> Callable:
         def run(batches):
             yield from fn(batches)
             _trim()
+    elif len(inspect.signature(fn).parameters) == 2:  # cogrouped
+        @functools.wraps(fn)
+        def run(left, right):
+            out = fn(left, right)
+            _trim()
+            return out
     else:
         @functools.wraps(fn)
         def run(table):
@@ -309,13 +315,13 @@ def reduce_segments(ufunc, values: np.ndarray, off: np.ndarray, empty) -> np.nda
 
 # ---------------------------------------------------------------- packed columns
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Columns as one compressed blob, byte plane by byte plane."""
     head = np.array([len(arrays)] + [len(a) for a in arrays], "<i8").tobytes()
     kinds = b"".join(a.dtype.str.encode().ljust(8) for a in arrays)
     planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
               for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(head + kinds + b"".join(planes))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -31,8 +31,7 @@ MIN_WORDS = 5
 COUNTERS = 1 << 20
 SLICES = 16
 #: Partners by one word that a line is compared with before all others are tried.
-FIRST = 4
-BLOCK = 2000
+FIRST = 2
 
 
 def _lines(ch: C.Chunk):
@@ -194,16 +193,26 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
             yield mix(s.words[take]), [fp[row].view(np.int64), s.doc_id[row], s.line[row], s.n[row].astype(np.int32),
                                        pos.astype(np.int32)]
 
-    def meet(table: pa.Table) -> pa.Table:
-        keys, cols, run = C.shared_entries(table.column("data").to_pylist(), 1)
+    def in_order(blobs):
+        """(bucket's keys, run, ordinal, first of run, columns): entries of shared keys, earlier lines first."""
+        keys, cols, run = C.shared_entries(blobs, 1)
         fp, doc, line, n, pos = cols
         order = np.lexsort((line, doc, run))
-        run, fp, doc, line, n, pos = (x[order] for x in (run, fp, doc, line, n.astype(np.int64), pos.astype(np.int64)))
+        run, keys, cols = run[order], keys[order], [c[order] for c in (fp, doc, line, n.astype(np.int64), pos.astype(np.int64))]
         head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
         first = np.repeat(head, np.diff(np.r_[head, len(run)]))
-        ordinal = np.arange(len(run)) - first
-        found = np.zeros(len(run), np.int64)
-        xs, ys, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(run), bool)
+        return keys.astype(np.int64), first, np.arange(len(run)) - first, cols
+
+    def rows_of(kind, key, bucket, cols, x, y):
+        fp, doc, line, _, _ = cols
+        return pa.table({"kind": kind, "bucket": np.full(len(x), bucket), "key": key[x], "fp": fp[x], "doc_id": doc[x], "line": line[x],
+                         "fp2": fp[y], "doc_id2": doc[y], "line2": line[y]})
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, first, ordinal, cols = in_order(table.column("data").to_pylist())
+        fp, _, _, n, pos = cols
+        found, many = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         x, j = np.flatnonzero(ordinal > 0), 0
         while len(x):  # the j-th earliest of a key against all later ones that are still short of partners
             y = first[x] + j
@@ -215,32 +224,41 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
             found[x[hit]] += 1
             j += 1
             x = x[(ordinal[x] > j) & ~many[x]]
+        x, y, more = np.concatenate(xs), np.concatenate(ys), np.flatnonzero(many)
+        kind = np.r_[np.zeros(len(x), np.int32), np.ones(len(more), np.int32)]
+        return rows_of(kind, key, table.column("bucket")[0].as_py(), cols, np.r_[x, more], np.r_[y, more])
+
+    def meet_all(table: pa.Table, open_lines: pa.Table) -> pa.Table:
+        key, first, ordinal, cols = in_order(table.column("data").to_pylist())
+        fp, _, _, n, pos = cols
+        wanted = set(zip(open_lines.column("key").to_pylist(), open_lines.column("fp").to_pylist()))
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(np.isin(fp, open_lines.column("fp").to_numpy())):
+            if (int(key[i]), int(fp[i])) in wanted:
+                y = np.arange(first[i], i)
+                y = y[_may_match(n[i], n[y], pos[i], pos[y], fp[i], fp[y], percent)]
+                xs.append(np.full(len(y), i))
+                ys.append(y)
         x, y = np.concatenate(xs), np.concatenate(ys)
-        rest = np.isin(run, run[many])  # keys with a line that has more partners
-        bucket = table.column("bucket")[0].as_py()
-        key = ((U64(bucket) << U64(C.KEY_BITS)) | keys[order]).astype(np.int64)
-        k = np.flatnonzero(rest)
-        kind = np.r_[np.zeros(len(x), np.int32), np.ones(len(k), np.int32)]
-        at, to = np.r_[x, k], np.r_[y, k]
-        return pa.table({"kind": kind, "key": key[at], "fp": fp[at], "doc_id": doc[at], "line": line[at], "n": n[at].astype(np.int32),
-                         "pos": pos[at].astype(np.int32), "fp2": fp[to], "doc_id2": doc[to], "line2": line[to]})
-
-    found = C.write_table(C.packed(blocks.select("block_id", "data"), emit, n_buckets).groupBy("bucket").applyInArrow(
-        C.tidy(meet), "kind int, key long, fp long, doc_id long, line int, n int, pos int, fp2 long, doc_id2 long, line2 int"), "prefixes")
+        bucket = open_lines.column("bucket")[0].as_py() if open_lines.num_rows else 0
+        return rows_of(np.zeros(len(x), np.int32), key, bucket, cols, x, y)
+
+    schema = "kind int, bucket long, key long, fp long, doc_id long, line int, fp2 long, doc_id2 long, line2 int"
+    entries = C.packed(blocks.select("block_id", "data"), emit, n_buckets)
+    found = C.write_table(entries.groupBy("bucket").applyInArrow(C.tidy(meet), schema), "prefixes")
     at, at2 = F.struct("doc_id", "line").alias("at"), F.struct(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line")).alias("at2")
     pairs = C.write_table(found.where("kind = 0").select("fp", at, "fp2", at2).distinct(), "pairs")
     gone = C.write_table(_verified(pairs, blocks, id_col, text_col, percent, min_words), "gone")
-
-    # lines that no first partner matches meet every earlier one
-    members = found.where("kind = 1").select("key", "fp", at, "n", "pos")
-    left = (members.join(gone.withColumn("done", F.lit(True)), "fp", "left").withColumn("done", F.col("done").isNotNull()))
-    sizes = left.groupBy("key").agg(F.count("*").alias("members"), F.sum((~F.col("done")).cast("int")).alias("short")).where("short > 0")
-    more = _earlier_pairs(left.join(sizes.drop("short"), "key"), percent)
-    more = C.write_table(more.distinct().join(pairs.select("fp", "fp2"), ["fp", "fp2"], "left_anti"), "pairs")
     every = pairs.select("fp", "at")
-    if not more.isEmpty():
-        gone = gone.unionByName(_verified(more, blocks, id_col, text_col, percent, min_words)).distinct()
-        every = every.unionByName(more.select("fp", "at"))
+
+    # lines that no first partner matches meet every earlier one of their words
+    short = C.write_table(found.where("kind = 1").select("bucket", "key", "fp").join(gone, "fp", "left_anti").distinct(), "short")
+    if not short.isEmpty():
+        rest = (entries.groupBy("bucket").cogroup(short.groupBy("bucket")).applyInArrow(C.tidy(meet_all), schema)
+                .select("fp", at, "fp2", at2).distinct().join(pairs.select("fp", "fp2"), ["fp", "fp2"], "left_anti"))
+        rest = C.write_table(rest, "pairs")
+        gone = gone.unionByName(_verified(rest, blocks, id_col, text_col, percent, min_words)).distinct()
+        every = every.unionByName(rest.select("fp", "at"))
     unlike = every.distinct().join(gone, "fp").select(F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
     return _copies(survey).unionByName(unlike).distinct()
 
@@ -258,29 +276,6 @@ def _may_match(n, n2, pos, pos2, fp, fp2, percent: int) -> np.ndarray:
             & (apart * (100 + percent) <= (100 - percent) * (n + n2)) & (fp != fp2))
 
 
-def _earlier_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(fp, at, fp2, at2): lines still in question with the earlier ones of a key that the filters pass.
-
-    Large keys are dealt out as pairs of blocks.
-    """
-    dealt = (rows.withColumn("s", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("s")))
-             .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-             .select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "fp",
-                     F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "pos", "done")
-             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc_id", "line"))
-
-    def compare(batches):
-        for _, _, _, fp, doc, line, n, pos, done in C.sorted_groups(batches, 3):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            for i in np.flatnonzero(~done.astype(bool)):
-                j = np.flatnonzero(_may_match(n[i], n[:i], pos[i], pos[:i], fp[i], fp[:i], percent))
-                if len(j):
-                    i_s = np.full(len(j), i)
-                    at = [pa.StructArray.from_arrays([pa.array(doc[k]), pa.array(line[k])], ["doc_id", "line"]) for k in (i_s, j)]
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[i_s]), at[0], pa.array(fp[j]), at[1]], ["fp", "at", "fp2", "at2"])
-    return dealt.mapInArrow(C.tidy(compare), "fp long, at struct<doc_id: long, line: int>, fp2 long, at2 struct<doc_id: long, line: int>")
-
-
 def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, percent: int,
               min_words: int) -> DataFrame:
     """(fp) of the classes whose later line in a pair reaches the similarity."""
@@ -299,9 +294,10 @@ def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, p
             fps = {w["fp"] for w in row["wanted"].as_py()}
             mine = s.prints().view(np.int64).tolist()
             rows = [i for i, f in enumerate(mine) if f in fps]
+            short = (s.words >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits a word
             yield pa.RecordBatch.from_arrays(
                 [pa.array([mine[i] for i in rows], pa.int64()),
-                 pa.array([s.words[s.off[i]:s.off[i + 1]].tobytes() for i in rows], pa.binary())], ["fp", "words"])
+                 pa.array([short[s.off[i]:s.off[i + 1]].tobytes() for i in rows], pa.binary())], ["fp", "words"])
 
     sets = (blocks.join(wanted, "block_id").select("block_id", "data", "wanted")
             .mapInArrow(C.tidy(to_sets), "fp long, words binary").dropDuplicates(["fp"]))
@@ -311,8 +307,8 @@ def _verified(pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, p
         for b in batches:
             keep = []
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                inter = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = (np.frombuffer(w, "V5") for w in (x, y))
+                inter = len(set(x.tolist()) & set(y.tolist()))
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["fp"])
     return (pairs.join(sets.toDF("fp", "x"), "fp").join(sets.toDF("fp2", "y"), "fp2")
