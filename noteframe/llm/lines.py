@@ -89,6 +89,12 @@ class _Sets:
         return (mix(a + self.n.astype(U64)) << U64(32)) | parity
 
 
+def _after_first(first: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which entries lie behind the first of their run; the same line of a repeated row does not."""
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return (doc != doc[head]) | (line != line[head])
+
+
 def _survey(blocks: DataFrame, id_col: str, text_col: str, n_buckets: int, min_words: int) -> DataFrame:
     """One pass: (kind, bucket, data) with 0 word counters, 1 set classes, 2 later copies within a task."""
     def run(batches):
@@ -104,8 +110,9 @@ def _survey(blocks: DataFrame, id_col: str, text_col: str, n_buckets: int, min_w
             first = np.r_[True, fp[1:] != fp[:-1]] if len(fp) else np.zeros(0, bool)
             rows = C.pack_rows(fp[first], [fp[first].view(np.int64), doc[first], line[first]], n_buckets)
             yield "class", rows
-            if (~first).any():
-                yield "copy", C.pack(doc[~first], line[~first])
+            again = _after_first(first, doc, line)
+            if again.any():
+                yield "copy", C.pack(doc[again], line[again])
 
         def out(kind, rows):
             if kind == "copy":
@@ -159,7 +166,7 @@ def _copies(survey: DataFrame) -> DataFrame:
         keys, (fp, doc, line) = C.unpack_rows(table.column("data").to_pylist())
         order = np.lexsort((line, doc, fp))
         fp, doc, line = fp[order], doc[order], line[order]
-        again = np.r_[False, fp[1:] == fp[:-1]]
+        again = _after_first(np.r_[True, fp[1:] != fp[:-1]], doc, line)
         return pa.table({"doc_id": doc[again], "line": line[again]})
     across = (survey.where("kind = 1").select("bucket", "data").groupBy("bucket")
               .applyInArrow(C.tidy(later), "doc_id long, line int"))
@@ -210,13 +217,13 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
 
     def meet(table: pa.Table) -> pa.Table:
         key, first, ordinal, cols = in_order(table.column("data").to_pylist())
-        fp, _, _, n, pos = cols
+        fp, doc, line, n, pos = cols
         found, many = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         x, j = np.flatnonzero(ordinal > 0), 0
         while len(x):  # the j-th earliest of a key against all later ones that are still short of partners
             y = first[x] + j
-            ok = _may_match(n[x], n[y], pos[x], pos[y], fp[x], fp[y], percent)
+            ok = _may_match(n[x], n[y], pos[x], pos[y], fp[x], fp[y], percent) & ((doc[x] != doc[y]) | (line[x] != line[y]))
             many[x[ok & (found[x] == FIRST)]] = True
             hit = ok & (found[x] < FIRST)
             xs.append(x[hit])
@@ -230,12 +237,13 @@ def removed_lines(blocks: DataFrame, id_col: str, text_col: str, percent: int, n
 
     def meet_all(table: pa.Table, open_lines: pa.Table) -> pa.Table:
         key, first, ordinal, cols = in_order(table.column("data").to_pylist())
-        fp, _, _, n, pos = cols
+        fp, doc, line, n, pos = cols
         wanted = set(zip(open_lines.column("key").to_pylist(), open_lines.column("fp").to_pylist()))
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(np.isin(fp, open_lines.column("fp").to_numpy())):
             if (int(key[i]), int(fp[i])) in wanted:
                 y = np.arange(first[i], i)
+                y = y[(doc[y] != doc[i]) | (line[y] != line[i])]
                 y = y[_may_match(n[i], n[y], pos[i], pos[y], fp[i], fp[y], percent)]
                 xs.append(np.full(len(y), i))
                 ys.append(y)

@@ -1,5 +1,6 @@
 """The pipeline against its brute-force twin, stage by stage and as a whole."""
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noteframe.llm import common, pii
@@ -58,3 +59,16 @@ def test_stages_take_odd_rows(spark, odd_documents, no_documents):
             out = common.write_table(stage(spark, out, SF), "t")
             assert out.columns == docs.columns, name
         corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+
+
+def test_repeated_rows_keep_one_copy(spark):
+    """A text found nowhere else stays when its row is repeated: twice after line dedup, once after near dedup."""
+    only = " ".join(f"only{i}" for i in range(40))
+    docs = common.documents(spark, SF).where("doc_id < 20")
+    row = docs.where("doc_id = 3").withColumn("text", F.lit(only)).withColumn("doc_id", F.lit(1_000_000).cast("long"))
+    docs = docs.unionByName(row).unionByName(row)
+    steps = dict(corpus_pipeline.STAGES)
+    once = common.write_table(steps["line_dedup"](spark, docs, SF), "t")
+    assert [r["text"] for r in once.where("doc_id = 1000000").collect()] == [only, only]
+    single = common.write_table(steps["near_dedup"](spark, once, SF), "t")
+    assert [r["text"] for r in single.where("doc_id = 1000000").collect()] == [only]

@@ -140,6 +140,16 @@ def test_line_dedup_odd_rows(odd_documents, no_documents):
     assert lines.dedup_lines(no_documents).collect() == []
 
 
+def test_line_dedup_repeated_rows(spark):
+    """A repeated row is no copy of itself, within a task and across tasks; other rows' copies of it go."""
+    only, first, near = (" ".join(f"{w}{i}" for i in range(10)) for w in ("only", "first", "near"))
+    text = {4: first, 5: f"{only}\n{near}", 8: f"{first}\n{near} more\nshort", 9: only}
+    df = spark.createDataFrame([(d, text[d]) for d in (5, 5, 4, 8, 9, 8, 5, 4)], "doc_id long, text string")
+    for parts in (1, 8):
+        got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(df.repartition(parts)).collect())
+        assert got == [(4, first, 0)] * 2 + [(5, text[5], 0)] * 3 + [(8, "short", 2)] * 2 + [(9, "", 1)]
+
+
 # ---- 6
 
 def brute_repeats(texts):
