@@ -25,6 +25,7 @@ from noteframe.sources import annotations as AN
 from noteframe.sources import sinks as SK
 
 # ---- a batch from the raw notes: exclusions, cap per source, search, draw --
+#: The SQL's cap. The query has the reference's 50,000, so the two agree while no source has more than 400 notes left.
 CAP = 400
 _REG = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1"
 _OUT = f"SELECT NotitieID FROM ({b.NOTES_SQL}) WHERE {H('NotitieID', chr(39) + 'out' + chr(39))} % 20 = 0"
@@ -32,11 +33,11 @@ _POOL_SQL = f"""SELECT * FROM ({b.NOTES_SQL}) WHERE NotitieID NOT IN ({_REG}) AN
   QUALIFY row_number() OVER (PARTITION BY institution ORDER BY {H('45', 'NotitieID')}, NotitieID) <= {CAP}"""
 
 
-def _prepared(spark, d):
+def _prepared(spark, d, cap=50_000):
     n = b.notes(spark, d)
     register_ids = b.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("NotitieID"))
     out = n.filter(md5_bucket("NotitieID", F.lit("out")) % 20 == 0).select("NotitieID")
-    pool = S.cap_sample(CO.exclude_annotated(n, register_ids, out), "NotitieID", CAP, 45, source="institution")
+    pool = S.cap_sample(CO.exclude_annotated(n, register_ids, out), "NotitieID", cap, 45, source="institution")
     pool = pool.select("institution", "MDN", "NotitieID", normalize_whitespace("all_text").alias("all_text"))
     found = KW.find_keywords(TK.with_info(pool).drop("samp_meth"), KW.domain_regex(b.KEYWORDS))
     return S.select_notes(found, seed=SEED, allow_short=True, **BATCH)

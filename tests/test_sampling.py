@@ -76,6 +76,20 @@ def test_cap_is_per_source(spark):
     assert n == {"0": 20, "1": 20, "2": 20}
 
 
+def test_batch_preparation_searches_up_to_the_cap(spark, tmp_path, monkeypatch):
+    from noteframe.plans import q_pipelines as Q
+    docs = spark.range(0, 1100).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("en").alias("lang"),
+                                       F.when(F.col("id") < 1000, "hot").otherwise("other").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 1100).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(S, "select_notes", lambda found, **_: found)  # what the draw sees
+    left = lambda *cap: {r["institution"]: r["count"] for r in Q._prepared(spark, str(tmp_path), *cap).groupBy("institution").count().collect()}
+    out = Q.md5_bucket("doc_id", F.lit("out")) % 20 == 0
+    want = {r["source"]: r["count"] for r in docs.where((F.col("doc_id") % 10 != 0) & ~out).groupBy("source").count().collect()}
+    assert want["hot"] > 800 and left() == want
+    assert left(10) == {"hot": 10, "other": 10}
+
+
 def test_short_pool_is_an_error_unless_allowed(spark):
     import pytest
     df = spark.createDataFrame([(str(i), "cov", ["x"]) for i in range(6)], "NotitieID string, source string, D1 array<string>")
