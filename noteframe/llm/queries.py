@@ -160,6 +160,42 @@ def op8(spark, sf_dir):
         F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+@register("op13_filter_audit", r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+m AS (SELECT doc_id, part,
+        CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN coalesce(doc_id > first_id, false) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o(filter_order, used) AS (SELECT letter, bit FROM f UNION ALL
+  SELECT o.filter_order || f.letter, o.used | f.bit FROM o JOIN f ON o.used & f.bit = 0),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5),
+b AS (SELECT s.filter_order, s.step, any_value(substr(s.filter_order, s.step, 1)) AS letter,
+             coalesce(sum(f.bit) FILTER (strpos(s.filter_order, f.letter) < s.step), 0) AS prior,
+             sum(f.bit) FILTER (strpos(s.filter_order, f.letter) = s.step) AS bit FROM s, f GROUP BY ALL),
+r AS (SELECT c.part, b.filter_order, CAST(b.step AS INTEGER) AS step, any_value(b.letter) AS letter,
+        sum(CASE WHEN mask & CAST(prior + bit AS INTEGER) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & CAST(bit AS INTEGER) > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & CAST(prior AS INTEGER) > 0 AND mask & CAST(bit AS INTEGER) > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & CAST(bit AS INTEGER) > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & CAST(prior AS INTEGER) = 0 AND mask & CAST(bit AS INTEGER) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, b GROUP BY c.part, b.filter_order, b.step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+""")
+def op13(spark, sf_dir):
+    from .audit import audit
+    return audit(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register("op2_packing")
 def op2(spark, sf_dir):
     from .packing import pack
