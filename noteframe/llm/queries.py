@@ -196,6 +196,33 @@ def op13(spark, sf_dir):
     return audit(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@register("op12_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS t(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+b AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS a
+      FROM (SELECT lang, ws, a, unnest([1, 2]) AS i FROM c WHERE m = 3) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN b USING (lang, phrase) WHERE b.a IS NULL OR 100 * b.a < 50 * c.a),
+u AS (SELECT k.lang, k.phrase, k.a, x.a AS l, y.a AS r, (1000000 * k.a * k.a) // (x.a * y.a) AS score, t.i
+      FROM k JOIN (VALUES (1), (2)) AS t(i) ON t.i < k.m
+      JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:t.i], ' ')
+      JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[t.i + 1:k.m], ' ')),
+s AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op12(spark, sf_dir):
+    from .phrases import collocations
+    return collocations(C.documents(spark, sf_dir))
+
+
 @register("op2_packing")
 def op2(spark, sf_dir):
     from .packing import pack
