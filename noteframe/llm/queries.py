@@ -196,6 +196,12 @@ def op13(spark, sf_dir):
     return audit(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@register("op11_quality_rules")
+def op11(spark, sf_dir):
+    from .rules import rate
+    return rate(C.documents(spark, sf_dir))
+
+
 @register("op12_collocations", r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang,
              unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
