@@ -39,7 +39,7 @@ ABSORBED = 50
 SHARDS = 4
 FILTER_BITS = 27
 #: Text bytes whose phrases a task counts at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Phrases of a block that are spelled out at once.
 SPELL = 100_000
 #: Parts of a language in which the best phrases are taken before they meet.
@@ -95,14 +95,41 @@ def same_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.nd
     return True
 
 
-def word_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each span, first span of each number): equal numbers for equal bytes only."""
-    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
-    if not same_bytes(buf, start, end, first[ids]):
+def number(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense number of each value, a position of each number, how often it occurs)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    ids = np.empty(len(x), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ids, order[first], np.diff(np.append(first, len(x)))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans, a stretch of the text at a time."""
+    out = np.empty(len(start), U64)
+    a = 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(end, start[a] + C.CHUNK_BYTES, side="right")))
+        first = start[a]
+        out[a:z] = C.span_hashes(buf[first:end[z - 1]], start[a:z] - first, end[a:z] - first, lower=False)
+        a = z
+    return out
+
+
+def word_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray,
+             group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span, a span of each number, count): equal numbers for equal bytes of a group only."""
+    ids, at, count = number(h if group is None else mix(h + group.astype(U64)))
+    of = at[ids]
+    if not same_bytes(buf, start, end, of) or (group is not None and (group != group[of]).any()):
         raw, seen = buf.tobytes(), {}
-        ids = np.array([seen.setdefault(raw[a:z], len(seen)) for a, z in zip(start.tolist(), end.tolist())], np.int64)
-        _, first = np.unique(ids, return_index=True)
-    return ids, first
+        groups = [0] * len(start) if group is None else group.tolist()
+        ids = np.array([seen.setdefault((g, raw[a:z]), len(seen)) for g, a, z in zip(groups, start.tolist(), end.tolist())], np.int64)
+        ids, at, count = number(ids)
+    return ids, at, count
 
 
 class Phrases:
@@ -127,17 +154,11 @@ class Phrases:
         piece = np.cumsum(BREAK[buf], dtype=np.int32)[self.start]
         #: whether a word and the next are of one piece
         self.joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
-        h = C.span_hashes(buf, self.start, self.end, lower=False)
-        ids, of = word_ids(buf, self.start, self.end, h)
-        self._number(np.arange(len(ids)), ids, self.group, max(int(group.max()) + 1, 1) if len(group) else 1)
-        key = mix(h[of][ids[self.at]] + lang_key[doc[self.at]])
-        self.words, self.word_key, self.key, self.size = self.ids, key, key, 1
-
-    def _number(self, pos: np.ndarray, left: np.ndarray, right: np.ndarray, n_right: int) -> None:
-        """Number the pairs (left, right) at the positions: ids by position, count and first position by id."""
-        _, first, ids, self.count = np.unique(left.astype(np.int64) * n_right + right, return_index=True, return_inverse=True,
-                                              return_counts=True)
-        self.pos, self.ids, self.at = pos, ids, pos[first]
+        h = word_hashes(buf, self.start, self.end)
+        self.ids, self.at, self.count = word_ids(buf, self.start, self.end, h, self.group)
+        self.pos = np.arange(len(h))
+        self.key = mix(h[self.at] + lang_key[doc[self.at]])
+        self.words, self.word_key, self.size = self.ids, self.key, 1
 
     def keep(self, mask: np.ndarray) -> None:
         """Only the phrases of ``mask`` may be parts of longer ones."""
@@ -152,10 +173,9 @@ class Phrases:
         here[self.pos] = self.ids
         pos = self.pos[here[self.pos + 1] >= 0]
         pos = pos[self.joined[pos]]
-        left, last = here[pos], self.words[pos + self.size]
-        key = self.key
-        self._number(pos, left, last, max(len(self.word_key), 1))
-        self.key = mix(key[here[self.at]] * U64(3) + self.word_key[self.words[self.at + self.size]])
+        self.ids, at, self.count = number(here[pos] * len(self.word_key) + self.words[pos + self.size])
+        self.pos, self.at = pos, pos[at]
+        self.key = mix(self.key[here[self.at]] * U64(3) + self.word_key[self.words[self.at + self.size]])
         self.size += 1
 
     def spelled(self, chosen: np.ndarray) -> pa.Array:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .phrases import word_ids
+from .phrases import number, word_hashes, word_ids
 
 #: Base rules: fewest words, and the largest share, in percent, of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -52,7 +52,7 @@ def _per_document(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _number(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Dense numbers of pairs of dense numbers."""
-    return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+    return number(left * (int(right.max(initial=0)) + 1) + right)[0]
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, off: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -82,11 +82,10 @@ def statistics(ch: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     chars = _per_document(((buf & 0xC0) != 0x80) & ~GAP[buf], off)
     signs = _per_document(SIGN[buf], off)
 
-    ids, _ = word_ids(buf, ws, we, C.span_hashes(buf, ws, we, lower=False))
-    ids = _number(doc, ids) if len(ids) else ids  # words of two documents are different ones
+    # words of two documents are different ones
+    ids, first, _ = word_ids(buf, ws, we, word_hashes(buf, ws, we), doc)
     repeated = repeated_words(ids, doc, w_off)
-    _, first = np.unique(ids, return_index=True)
-    distinct = np.bincount(doc[first], minlength=n) if len(ids) else np.zeros(n, np.int64)
+    distinct = np.bincount(doc[first], minlength=n)
     next_same = np.r_[False, ids[1:] == ids[:-1]] if len(ids) else np.zeros(0, bool)
 
     newline = np.flatnonzero(buf == 10)
@@ -98,8 +97,7 @@ def statistics(ch: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     full = np.searchsorted(ws, end) > np.searchsorted(ws, begin)
     begin, end, line_doc = begin[full], end[full], line_doc[full]
     lines = np.bincount(line_doc, minlength=n)
-    line, _ = word_ids(buf, begin, end, C.span_hashes(buf, begin, end, lower=False))
-    _, first = np.unique(_number(line_doc, line), return_index=True) if len(line) else (None, np.zeros(0, int))
+    _, first, _ = word_ids(buf, begin, end, word_hashes(buf, begin, end), line_doc)
     again = lines - np.bincount(line_doc[first], minlength=n)
 
     counts = np.stack([words, chars, signs, again, repeated], axis=1).astype(np.int64)

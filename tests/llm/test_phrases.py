@@ -96,8 +96,10 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
 
 def test_words_with_equal_hashes_stay_apart():
     buf = np.frombuffer(b"ab cd ab", np.uint8)
-    ids, first = phrases.word_ids(buf, np.array([0, 3, 6]), np.array([2, 5, 8]), np.zeros(3, np.uint64))
-    assert ids.tolist() == [0, 1, 0] and first.tolist() == [0, 1]
+    start, end, h = np.array([0, 3, 6]), np.array([2, 5, 8]), np.zeros(3, np.uint64)
+    ids, at, count = phrases.word_ids(buf, start, end, h)
+    assert ids.tolist() == [0, 1, 0] and at[1] == 1 and count.tolist() == [2, 1]
+    assert phrases.word_ids(buf, start, end, h, np.array([0, 0, 1]))[0].tolist() == [0, 1, 2]
 
 
 def test_filter_holds_its_keys(spark):
