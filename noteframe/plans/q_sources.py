@@ -63,17 +63,26 @@ def parse_filename_legacy8_q(spark, d):
           "FROM (SELECT doc_id, source, 'x/notes_' || source || '.csv---' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) "
           "|| '.conll/ann_a.tsv' AS path FROM documents) d")
 def parse_filename_legacy_rowref_q(spark, d):
-    """A8: 'rawfile---idx+1' names resolved through the raw row numbers."""
+    """A8: 'rawfile---idx+1' names resolved through the rows of raw files: the
+    documents, texts with line breaks and all, are written as one raw file per
+    source (in parts, in id order) and scanned in ranges, which number the rows."""
     from noteframe.operators.sampling import global_rank
-    # row numbers within a source: global ranks in (source, id) order less the source's first
-    doc = global_rank(b.table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"], "_rank")
-    first = doc.groupBy("source").agg(F.min("_rank").alias("_first"))
-    raw = doc.join(first, "source").select(F.concat(F.lit("notes_"), "source", F.lit(".csv")).alias("rawfile"),
-                                           (F.col("_rank") - F.col("_first")).alias("row_no"), F.col("doc_id").alias("notitieID"))
-    files = raw.select(F.concat(F.lit("x/"), "rawfile", F.lit("---"), (F.col("row_no") + 1).cast("string"),
-                                F.lit(".conll/ann_a.tsv")).alias("path"))
-    out = AN.parse_filename_legacy_rowref(files, raw)
-    return out.select("path", F.col("NotitieID").cast("bigint").alias("NotitieID"), "institution", "legacy_rawfile")
+    from noteframe.sources.quoted_csv import read_quoted_csv
+    doc = b.table(spark, d, "documents").select("source", "doc_id", "text")
+    out = _scratch(spark, "raw_notes")
+    (doc.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+        .select(F.col("doc_id").cast("string"), "text", "source")
+        .write.partitionBy("source").option("sep", ";").option("header", False).option("escape", '"').csv(out))
+    name = F.concat(F.lit("notes_"), F.regexp_extract(SN.decoded_path(F.col("file")), "source=([^/]+)", 1), F.lit(".csv"))
+    raw = read_quoted_csv(spark, out, n_columns=2, name=name).selectExpr("name AS rawfile", "row AS row_no", "_c0 AS notitieID")
+    # the names that an annotation tool gave: places within a source are global ranks less the source's first
+    ranked = global_rank(doc.select("source", "doc_id"), ["source", "doc_id"], "_rank")
+    first = ranked.groupBy("source").agg(F.min("_rank").alias("_first"))
+    files = ranked.join(first, "source").select(F.concat(F.lit("x/notes_"), "source", F.lit(".csv---"),
+                                                         (F.col("_rank") - F.col("_first") + 1).cast("string"),
+                                                         F.lit(".conll/ann_a.tsv")).alias("path"))
+    found = AN.parse_filename_legacy_rowref(files, raw)
+    return found.select("path", F.col("NotitieID").cast("bigint").alias("NotitieID"), "institution", "legacy_rawfile")
 
 
 @register("concat_core_external", f"""WITH t AS ({TK.PARSED_SQL}), core AS (SELECT * FROM t WHERE institution IN ('inst0', 'inst1')),
@@ -221,7 +230,7 @@ def scan_notes_csv_q(spark, d):
     (doc.select(F.concat(F.lit("p"), (F.col("doc_id") / 8).cast("bigint").cast("string")).alias("mdn"),
                 F.col("doc_id").cast("string").alias("id"), F.col("lang"), F.lit("2020-01-01").alias("dt"),
                 F.lit("x").alias("unused"), *text_parts("text"), "source")
-        .write.partitionBy("source").option("sep", ";").option("header", False).csv(out))
+        .write.partitionBy("source").option("sep", ";").option("header", False).option("escape", '"').csv(out))
     n = SN.scan_notes_csv(spark, out, "any", sep=";", positions=[0, 1, 2, 3, 5, 6, 7], source_pattern=r"source=([^/]+)")
     return n.select("NotitieID", "institution", "MDN", "all_text")
 

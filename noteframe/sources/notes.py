@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteframe.operators.clean import combine_text_columns, drop_exact_duplicates
+from noteframe.sources.quoted_csv import read_quoted_csv
 
 NOTE_KEYS = ["MDN", "NotitieID", "Typenotitie", "Notitiedatum"]
 
@@ -22,19 +23,17 @@ def scan_notes_csv(spark: SparkSession, path: str, institution: str, sep: str =
                    quote: str = '"', escape: str | None = None, source_pattern: str | None = None) -> DataFrame:
     """A1: headerless delimited note files of one source -> M1.
 
-    Every column is read as a string (ids keep leading zeros, quirk Q3);
-    multi-line quoted fields are supported. Exact duplicate rows of a source
-    are dropped before the text parts (columns 5..) are merged (B1, B2). With
-    ``source_pattern`` the source is taken from each file's path first (A4),
-    so equal rows of two sources stay two rows."""
-    r = spark.read.option("header", False).option("sep", sep).option("multiLine", True) \
-             .option("encoding", encoding).option("quote", quote)
-    if escape:
-        r = r.option("escape", escape)
-    raw = r.csv(path)
-    cols = raw.columns if positions is None else [raw.columns[i] for i in positions]
+    Every column is read as a string (ids keep leading zeros, quirk Q3). Line
+    breaks may stand in quotes, and large files are still read in ranges
+    (``read_quoted_csv``); without ``escape`` a doubled quote is a quote. Exact
+    duplicate rows of a source are dropped before the text parts (columns 5..)
+    are merged (B1, B2). With ``source_pattern`` the source is taken from each
+    file's path first (A4), so equal rows of two sources stay two rows."""
+    raw = read_quoted_csv(spark, path, sep, quote, escape, encoding)
+    names = [c for c in raw.columns if c.startswith("_c")]
+    cols = names if positions is None else [names[i] for i in positions]
     if source_pattern:
-        raw = source_from_filename(raw, source_pattern, "institution", full_path=True)
+        raw = raw.withColumn("institution", F.lower(F.regexp_extract(decoded_path(F.col("file")), source_pattern, 1)))
     else:
         raw = raw.withColumn("institution", F.lit(institution))
     raw = drop_exact_duplicates(raw.select(*cols, "institution"))
