@@ -5,10 +5,8 @@ sizes) are hash aggregations joined back, not whole-partition windows, so
 a very active patient is pre-aggregated map-side and the join can be split
 by AQE's skew handling. Gap logic runs on *distinct* (patient, date) rows,
 which a calendar bounds per patient no matter how many notes there are.
-Row-order features (lag, rolling, expanding, fills) work on slices: ranges
-over (patient, order) that cut a patient of any size into balanced pieces.
-Within a slice they are plain windows; across slices the patient's earlier
-or later slices hand over a few values (:func:`_with_carry`).
+Row-order features (lag, rolling, expanding, fills) are one segmented scan
+(:mod:`noteframe.operators.segments`), whatever the size of a patient.
 """
 
 from __future__ import annotations
@@ -17,9 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _w(part, order):
-    return Window.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(*order)
+from noteframe.operators.segments import (Frames, Tail, any_so_far, bring, expanding, interpolated, known, lag_of, last_of_earlier,
+                                          next_known, on_line, rolling_of, segmented_scan, shifted, slices)
 
 
 def next_note_gap(df: DataFrame, id_col: str = "MDN", date: str = "Notitiedatum") -> DataFrame:
@@ -74,79 +71,13 @@ def align_time(df: DataFrame, id_col: str = "MDN", date: str = "Notitiedatum", o
     return df.join(first, id_col).withColumn(out, F.datediff(date, "_first")).drop("_first")
 
 
-def slices(df: DataFrame, part: str, order: Sequence[str]) -> DataFrame:
-    """Rows tagged with a slice number ``_pid``: ranges over (patient, order).
-
-    A patient of any size is cut into slices of balanced size, so no patient
-    is one task's work; nearly all patients lie within one slice. The rows are
-    materialised in the shared checkpoint folder, because every use below must
-    see the same slices, also after a lost executor. Rows that already carry
-    ``_pid`` keep their slices: features chained on them cut once."""
-    from noteframe.session import cut_lineage
-    if "_pid" in df.columns:
-        return df
-    return cut_lineage(df.repartitionByRange(part, *order).withColumn("_pid", F.spark_partition_id()))
-
-
-def _own(df: DataFrame) -> list[str]:
-    """The slice column, if the caller's rows came without: dropped at the end."""
-    return [] if "_pid" in df.columns else ["_pid"]
-
-
-def _local(part: str, order: Sequence[str]):
-    """Window over a patient's rows within a slice."""
-    return Window.partitionBy("_pid", part).orderBy(*order)
-
-
-def _with_carry(rows: DataFrame, per_slice: DataFrame, part: str, carry: dict) -> DataFrame:
-    """Adds what a patient's other slices hand over, as columns.
-
-    ``per_slice`` has one row per (patient, slice) and ``carry`` expressions
-    over the patient's slices in order. Only patients that span slices hand
-    anything over: two at most end or begin in a slice, so this table has no
-    more than two rows per slice, and is broadcast on that bound."""
-    whole = Window.partitionBy(part)
-    spans = (per_slice.withColumns({**carry, "_k": F.count("*").over(whole)}).filter("_k > 1")
-             .select(F.col(part).alias("_cp"), F.col("_pid").alias("_cs"), *carry))
-    return (rows.join(F.broadcast(spans), (F.col("_cs") == F.col("_pid")) & F.col("_cp").eqNullSafe(F.col(part)), "left")
-            .drop("_cp", "_cs"))
-
-
-def _across(part: str):
-    """Windows over a patient's slices: those before, those after, all in order."""
-    w = Window.partitionBy(part).orderBy("_pid")
-    return (w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing), w)
-
-
-def _last_values(numbered: DataFrame, part: str, col: str, n: int) -> DataFrame:
-    """(patient, slice, _tail): the last ``n`` values of the patient in the slice, in order."""
-    tail = numbered.filter(F.col("_n") - F.col("_r") < n)
-    return tail.groupBy(part, "_pid").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(col).alias("v")))), lambda x: x["v"]).alias("_tail"))
-
-
-def _numbered_with_tail(df: DataFrame, part: str, order: Sequence[str], col: str, n: int):
-    """Rows with local number ``_r`` and ``_before``: the patient's last ``n`` values of earlier slices.
-
-    Every slice that a patient touches holds a row of it, so ``n`` slices
-    back are enough."""
-    sl = slices(df, part, order)
-    w = _local(part, order)
-    rows = sl.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("_pid", part))})
-    ordered = _across(part)[2]
-    empty = F.array().cast(f"array<{df.schema[col].dataType.simpleString()}>")
-    earlier = F.concat(*[F.coalesce(F.lag("_tail", k).over(ordered), empty) for k in range(n, 0, -1)])
-    return _with_carry(rows, _last_values(rows, part, col, n), part, {"_before": F.reverse(F.slice(F.reverse(earlier), 1, n))})
-
-
 def lag_features(df: DataFrame, part: str, order: Sequence[str], col: str, lags: Sequence[int] = (1, 2, 3),
                  prefix: str = "lag") -> DataFrame:
     """Lag k of a column within the patient."""
-    rows = _numbered_with_tail(df, part, order, col, max(lags))
-    w = _local(part, order)
-    return rows.withColumns({f"{prefix}{k}": F.when(F.col("_r") > k, F.lag(col, k).over(w)).otherwise(
-        F.get("_before", (F.size("_before") - (k - F.col("_r") + 1)).cast("int"))) for k in lags}) \
-        .drop("_r", "_n", "_before", *_own(df))
+    f = Frames(part, order)
+    tail = Tail(f, col, df.schema[col].dataType.simpleString(), max(lags), "lag")
+    made = {f"{prefix}{k}": lag_of(f, col, tail.number, tail.before, k) for k in lags}
+    return segmented_scan(df, part, order, [tail.feature(made)])
 
 
 def rolling_stats(df: DataFrame, part: str | None, order: Sequence[str], col: str, windows: Sequence[int] = (3, 7),
@@ -156,27 +87,20 @@ def rolling_stats(df: DataFrame, part: str | None, order: Sequence[str], col: st
     ``part=None`` reproduces quirk Q15 (rolling across patients)."""
     if part is None:
         return rolling_stats(df.withColumn("_all", F.lit(0)), "_all", order, col, windows, aggs).drop("_all")
-    rows = _numbered_with_tail(df, part, order, col, max(windows) - 1)
-    before = F.coalesce("_before", F.array().cast(f"array<{df.schema[col].dataType.simpleString()}>"))
-    cols = {}
-    for n in windows:
-        w = _local(part, order).rowsBetween(-(n - 1), 0)
-        missing = F.greatest(n - F.col("_r"), F.lit(0))  # rows that the window takes from earlier slices
-        past = F.filter(F.reverse(F.slice(F.reverse(before), F.lit(1), missing)), lambda x: x.isNotNull())
-        full = F.count(col).over(w) + F.size(past) == n
-        total = F.sum(col).over(w) + F.aggregate(past, F.lit(0).cast("double"), lambda a, x: a + x)
-        made = {"sum": total, "mean": total / n, "min": F.least(F.min(col).over(w), F.array_min(past)),
-                "max": F.greatest(F.max(col).over(w), F.array_max(past))}
-        cols |= {f"rolling_{a}_{n}": F.when(full, made[a]) for a in aggs}
-    return rows.withColumns(cols).drop("_r", "_n", "_before", *_own(df))
+    f = Frames(part, order)
+    tail = Tail(f, col, df.schema[col].dataType.simpleString(), max(windows) - 1, "roll")
+    made = {k: v for n in windows for k, v in rolling_of(f, col, tail.number, tail.before, n, aggs).items()}
+    return segmented_scan(df, part, order, [tail.feature(made)])
 
 
 def day_difference(df: DataFrame, order: Sequence[str], id_col: str = "MDN", days: str = "Days_count",
                    out: str = "Dif") -> DataFrame:
     """Day number minus the previous row's, within the patient; first
     row 0, negatives clipped to 0."""
-    lagged = lag_features(df, id_col, order, days, [1], "_prev")
-    return lagged.withColumn(out, F.greatest(F.coalesce(F.col(days) - F.col("_prev1"), F.lit(0)), F.lit(0))).drop("_prev1")
+    f = Frames(id_col, order)
+    tail = Tail(f, days, df.schema[days].dataType.simpleString(), 1, "dif")
+    step = F.col(days) - lag_of(f, days, tail.number, tail.before, 1)
+    return segmented_scan(df, id_col, order, [tail.feature({out: F.greatest(F.coalesce(step, F.lit(0)), F.lit(0))})])
 
 
 def trim_first_admission(df: DataFrame, order: Sequence[str], id_col: str = "MDN", dif: str = "Dif",
@@ -185,75 +109,31 @@ def trim_first_admission(df: DataFrame, order: Sequence[str], id_col: str = "MDN
     ``mode='first_admission'`` drops everything from the first such gap."""
     if mode == "row":
         return df.filter(F.col(dif) < max_gap)
-    sl = slices(df, id_col, order)
     flag = F.coalesce((F.col(dif) >= max_gap).cast("int"), F.lit(0))
-    so_far = _local(id_col, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sl.withColumn("_m", F.max(flag).over(so_far))
-    per = sl.groupBy(id_col, "_pid").agg(F.max(flag).alias("_sm"))
-    rows = _with_carry(rows, per, id_col, {"_pm": F.max("_sm").over(_across(id_col)[0])})
-    return rows.filter(F.greatest("_m", F.coalesce("_pm", F.lit(0))) == 0).drop("_m", "_pm", *_own(df))
+    seen = segmented_scan(df, id_col, order, [any_so_far(Frames(id_col, order), flag, "gap", "_gap")])
+    return seen.filter("_gap = 0").drop("_gap")
 
 
 def interpolate_linear(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """Linear fill by row position; leading NULLs stay, trailing NULLs
     take the last value (pandas ``interpolate()``)."""
-    out = out or col
-    sl = slices(df, part, order)
-    w = _local(part, order)
-    rows = sl.withColumn("_i", F.row_number().over(w))
-    known = F.when(F.col(col).isNotNull(), F.struct(F.col("_i").alias("p"), F.col(col).cast("double").alias("v")))
-    rows = rows.withColumns({
-        "_lp": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_ln": F.first(known, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
-    # positions are local; slices hand over their distance
-    per = rows.groupBy(part, "_pid").agg(F.count("*").alias("_c"), F.max(known).alias("_sl"), F.min(known).alias("_sf"))
-    before, after, ordered = _across(part)
-    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    at = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + F.col("_off")).alias("p"), F.col(c)["v"].alias("v")))
-    per = per.withColumns({"_sl": at("_sl"), "_sf": at("_sf")})
-    rows = _with_carry(rows, per, part, {"_o": F.first("_off").over(ordered.rowsBetween(0, 0)),
-                                         "_pp": F.last("_sl", ignorenulls=True).over(before),
-                                         "_nn": F.first("_sf", ignorenulls=True).over(after)})
-    shift = F.coalesce("_o", F.lit(0))
-    here = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + shift).alias("p"), F.col(c)["v"].alias("v")))
-    rows = rows.withColumns({"_p": F.coalesce(here("_lp"), F.col("_pp")), "_q": F.coalesce(here("_ln"), F.col("_nn"))})
-    p, q = F.col("_p"), F.col("_q")
-    between = p["v"] + (q["v"] - p["v"]) * (F.col("_i") + shift - p["p"]) / (q["p"] - p["p"])
-    value = (F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(p.isNull(), F.lit(None))
-             .when(q.isNull(), p["v"]).otherwise(between))
-    return rows.withColumn(out, value.cast("double")).drop("_i", "_lp", "_ln", "_o", "_pp", "_nn", "_p", "_q", *_own(df))
+    return segmented_scan(df, part, order, [interpolated(Frames(part, order), col, "lin", out or col)])
 
 
 def backfill(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """Next non-NULL value (current row included)."""
-    sl = slices(df, part, order)
-    w = _local(part, order)
-    rows = sl.withColumn("_loc", F.first(col, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    rank = F.struct(*[F.col(c) for c in order])
-    per = sl.groupBy(part, "_pid").agg(F.min_by(col, F.when(F.col(col).isNotNull(), rank)).alias("_sf"))
-    rows = _with_carry(rows, per, part, {"_nx": F.first("_sf", ignorenulls=True).over(_across(part)[1])})
-    return rows.withColumn(out or col, F.coalesce("_loc", "_nx")).drop("_loc", "_nx", *_own(df))
+    return segmented_scan(df, part, order, [next_known(Frames(part, order), col, "next", out or col)])
 
 
 def fill_levels(df: DataFrame, part: str, order: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """E9 then E10: linear interpolation, then the leading gap takes the first value."""
-    out = out or col
-    sl = slices(df, part, order)
-    return backfill(interpolate_linear(sl, part, order, col, out), part, order, out).drop(*_own(df))
+    return segmented_scan(df, part, order, [interpolated(Frames(part, order), col, "fill", out or col, leading=True)])
 
 
 def expanding_mean(df: DataFrame, part: str, order: Sequence[str], col: str, min_n: int = 2,
                    out: str = "expanding_mean") -> DataFrame:
     """Mean of all rows so far, NULL until ``min_n`` non-NULL values."""
-    sl = slices(df, part, order)
-    w = _local(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sl.withColumns({"_s": F.sum(col).over(w), "_c": F.count(col).over(w)})
-    per = sl.groupBy(part, "_pid").agg(F.sum(col).alias("_ts"), F.count(col).alias("_tc"))
-    before = _across(part)[0]
-    rows = _with_carry(rows, per, part, {"_os": F.sum("_ts").over(before), "_oc": F.sum("_tc").over(before)})
-    total = F.coalesce("_s", F.lit(0)) + F.coalesce("_os", F.lit(0))
-    n = F.col("_c") + F.coalesce("_oc", F.lit(0))
-    return rows.withColumn(out, F.when(n >= min_n, total / n)).drop("_s", "_c", "_os", "_oc", *_own(df))
+    return segmented_scan(df, part, order, [expanding(Frames(part, order), col, "exp", min_n, out)])
 
 
 def daily_resample(df: DataFrame, part: str, date: str, col: str, out: str = "value") -> DataFrame:
@@ -288,19 +168,90 @@ def patients_by_min_notes(df: DataFrame, col: str, n: int, id_col: str = "MDN")
     return df.groupBy(id_col).agg(F.count(col).alias("_n")).filter(F.col("_n") >= n).select(id_col)
 
 
+def _line_sum(a, b, p, q):
+    """Sum over the positions ``a`` to ``b`` of what a gap between the known places ``p`` and ``q`` is filled with."""
+    n = F.greatest(b - a + 1, F.lit(0))
+    slope = (q["v"] - p["v"]) / (q["p"] - p["p"])
+    between = n * p["v"] + slope * ((a + b) * n / 2 - n * p["p"])
+    return F.when(n == 0, F.lit(0.0)).when(p.isNull(), n * q["v"]).when(q.isNull(), n * p["v"]).otherwise(between)
+
+
 def feature_table(df: DataFrame, levels: Sequence[str], order: Sequence[str], target: str = "ADM_lvl",
-                  id_col: str = "MDN", date: str = "Notitiedatum", max_gap: int = 3) -> DataFrame:
-    """E6-E13 and E15 composed: days since the first note and since the
-    previous one, notes of the first admission only, the target's gaps
-    filled, its lags, the mean of all levels, rolling and expanding values.
-    The rows are cut into slices twice: before and after the trim."""
-    days = day_difference(align_time(df, id_col, date), order, id_col)
-    stay = slices(trim_first_admission(days, order, id_col, max_gap=max_gap), id_col, order)
-    t = fill_levels(stay, id_col, order, target)
-    t = lag_features(t, id_col, order, target)
-    t = row_mean_levels(t, levels)
-    t = rolling_stats(t, id_col, order, target)
-    return expanding_mean(t, id_col, order, target).drop("_pid")
+                  id_col: str = "MDN", date: str = "Notitiedatum", max_gap: int = 3, lags: Sequence[int] = (1, 2, 3),
+                  windows: Sequence[int] = (3, 7)) -> DataFrame:
+    """E6-E13 and E15 as one segmented scan: days since the first note and
+    since the previous one, notes of the first admission only, the target's
+    gaps filled, its lags, the mean of all levels, rolling and expanding values.
+
+    Rows are cut into slices once. A slice hands over its dates, whether a gap
+    ends the admission in it, its first and last known value, the sum of what
+    it can fill itself and its last rows with the known places around them; so
+    one aggregation and one join serve all features, though lags and means are
+    of filled values that may depend on later slices."""
+    f = Frames(id_col, order)
+    keep_n = max(max(lags), max(windows) - 1)
+    flag = lambda d: F.coalesce((d >= max_gap).cast("int"), F.lit(0))
+    rows = slices(df, id_col, order)
+    rows = rows.withColumns({"_r": F.row_number().over(f.rows), "_prev": F.lag(date).over(f.rows), "_low": F.min(date).over(f.whole)})
+    rows = rows.withColumn("_dif", F.when(F.col("_r") > 1, F.greatest(F.coalesce(F.datediff(date, "_prev"), F.lit(0)), F.lit(0))))
+    rows = rows.withColumn("_cut", F.max(flag(F.col("_dif"))).over(f.so_far))
+    stays = F.col("_cut") == 0
+    here = F.when(stays, known("_r", F.col(target)))
+    rows = rows.withColumns({"_lp": F.last(here, ignorenulls=True).over(f.so_far), "_ln": F.last(here, ignorenulls=True).over(f.from_end),
+                             "_size": F.sum(stays.cast("int")).over(f.whole)})
+    own = F.when(F.col(target).isNotNull(), F.col(target).cast("double")).when(
+        F.col("_lp").isNotNull() & F.col("_ln").isNotNull(), on_line(F.col("_r"), F.col("_lp"), F.col("_ln")))
+    last_rows = F.when(stays & (F.col("_size") - F.col("_r") < keep_n),
+                       F.struct(F.col("_r").cast("long").alias("r"), F.col("_lp").alias("p"), F.col("_ln").alias("q")))
+    rank = F.struct(*[F.col(c) for c in order])
+    per = rows.groupBy(id_col, "_pid").agg(
+        F.min("_low").alias("_low1"), F.min_by(date, rank).alias("_date1"), F.max_by(date, rank).alias("_dateN"), F.max("_cut").alias("_cut1"),
+        F.max("_size").cast("long").alias("_n"), F.min(here).alias("_kf"), F.max(here).alias("_kl"), F.sum(F.when(stays, own)).alias("_sum"),
+        F.array_sort(F.collect_list(last_rows)).alias("_last"))
+    # what the slice's first row lacked: the date before it
+    per = per.withColumns({"_date0": F.lag("_dateN").over(f.slices), "_low0": F.min("_low1").over(Window.partitionBy(id_col))})
+    per = per.withColumn("_gap0", flag(F.greatest(F.coalesce(F.datediff("_date1", "_date0"), F.lit(0)), F.lit(0))))
+    per = per.withColumn("_dead", F.greatest("_gap0", F.coalesce(F.max(F.greatest("_gap0", "_cut1")).over(f.earlier), F.lit(0))))
+    alive = F.col("_dead") == 0
+    per = per.withColumns({"_n": F.when(alive, F.col("_n")).otherwise(0), "_kf": F.when(alive, F.col("_kf")), "_kl": F.when(alive, F.col("_kl")),
+                           "_last": F.when(alive, F.col("_last")).otherwise(F.slice("_last", 1, 0))})
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(f.earlier), F.lit(0)))
+    per = per.withColumns({"_kf": shifted(F.col("_kf"), F.col("_off")), "_kl": shifted(F.col("_kl"), F.col("_off"))})
+    per = per.withColumns({"_pp": F.last("_kl", ignorenulls=True).over(f.earlier), "_nn": F.last("_kf", ignorenulls=True).over(f.later)})
+    start, end = F.col("_off") + 1, F.col("_off") + F.col("_n")
+    pp, nn, kf, kl = (F.col(c) for c in ("_pp", "_nn", "_kf", "_kl"))
+    filled_sum = (F.when(kf.isNotNull(), F.col("_sum") + _line_sum(start, kf["p"] - 1, pp, kf) + _line_sum(kl["p"] + 1, end, kl, nn))
+                  .when(pp.isNotNull() | nn.isNotNull(), _line_sum(start, end, pp, nn)))
+
+    def value(at, p, q):
+        return (F.when(p.isNull(), q["v"]).when(q.isNull() | (q["p"] == p["p"]), p["v"]).otherwise(on_line(at, p, q)))
+
+    def tail_value(x):
+        p, q = F.coalesce(shifted(x["p"], F.col("_off")), pp), F.coalesce(shifted(x["q"], F.col("_off")), nn)
+        return value(x["r"] + F.col("_off"), p, q)
+    empty = F.array().cast("array<double>")
+    per = per.withColumns({"_fs": filled_sum, "_fc": F.when(filled_sum.isNotNull(), F.col("_n")).otherwise(0),
+                           "_tail": F.transform("_last", tail_value)})
+    per = per.withColumns({"_os": F.coalesce(F.sum("_fs").over(f.earlier), F.lit(0.0)), "_oc": F.coalesce(F.sum("_fc").over(f.earlier), F.lit(0)),
+                           "_before": last_of_earlier(f, "_tail", keep_n, empty)})
+    none = F.lit(None)
+    rows = bring(rows, per, id_col, {"_low0": F.col("_low"), "_date0": none, "_dead": F.lit(0), "_off": F.lit(0), "_pp": none, "_nn": none,
+                                     "_os": F.lit(0.0), "_oc": F.lit(0), "_before": empty})
+    rows = rows.filter((F.col("_dead") == 0) & stays)
+    p, q = F.coalesce(shifted(F.col("_lp"), F.col("_off")), pp), F.coalesce(shifted(F.col("_ln"), F.col("_off")), nn)
+    rows = rows.withColumns({
+        "Days_count": F.datediff(date, "_low0"),
+        "Dif": F.coalesce("_dif", F.greatest(F.coalesce(F.datediff(date, "_date0"), F.lit(0)), F.lit(0))),
+        target: F.when(F.col(target).isNotNull(), F.col(target).cast("double")).otherwise(value(F.col("_r") + F.col("_off"), p, q))})
+    total = F.coalesce(F.sum(target).over(f.so_far), F.lit(0.0)) + F.col("_os")
+    count = F.count(target).over(f.so_far) + F.col("_oc")
+    made = {f"lag{k}": lag_of(f, target, "_r", "_before", k) for k in lags}
+    for n in windows:
+        made |= rolling_of(f, target, "_r", "_before", n, ("mean", "sum", "min", "max"))
+    made["expanding_mean"] = F.when(count >= 2, total / count)
+    out = row_mean_levels(rows.withColumns(made), levels)
+    return out.select(*df.columns, "Days_count", "Dif", *[c for c in made if c.startswith("lag")], "avg_domains",
+                      *[c for c in made if not c.startswith("lag")])
 
 
 FEATURES = (["Days_count", "Dif", "lag1", "lag2", "lag3", "avg_domains"]

@@ -85,3 +85,52 @@ def test_every_slicing_matches_pandas(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def features_by_hand(pdf, max_gap):
+    """The feature table per patient with pandas; rows come in order."""
+    out = []
+    for _, g in pdf.groupby("MDN", sort=False):
+        days = (pd.to_datetime(g.Notitiedatum) - pd.to_datetime(g.Notitiedatum).min()).dt.days
+        dif = days.diff().fillna(0).clip(lower=0)
+        stays = ~(dif >= max_gap).cummax()
+        g = g.assign(Days_count=days, Dif=dif)[stays]
+        v = g.v.interpolate().bfill()
+        g = g.assign(v=v, avg_domains=pd.concat([v, g.w], axis=1).mean(axis=1), expanding_mean=v.expanding(2).mean(),
+                     **{f"lag{k}": v.shift(k) for k in (1, 2, 3)},
+                     **{f"rolling_{a}_{n}": getattr(v.rolling(n), a)() for n in (3, 7) for a in ("mean", "sum", "min", "max")})
+        out.append(g)
+    return pd.concat(out)
+
+
+def test_feature_table_is_one_scan_over_any_slices(spark):
+    """Long runs without values over several slices, admissions that end in another slice, patients in every slicing."""
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for p, n, step, empty in (("a1", 160, 2, (0, 40)), ("a2", 160, 2, (30, 90)), ("a3", 120, 1, (60, 120)), ("b", 90, 3, (10, 20)), ("c", 60, 1, (0, 60)),
+                              *((f"s{i}", 1 + i % 4, 2, (0, i % 3)) for i in range(25))):
+        day = 0
+        for i in range(n):
+            day += rnd.choice([0, 0, 1, step]) if i != n * 2 // 3 else 9
+            v = None if rnd.random() < 0.3 or empty[0] <= i < empty[1] else float(rnd.randint(0, 4))
+            rows.append((p, dt.date(2020, 1, 1) + dt.timedelta(day), i, v, None if rnd.random() < 0.5 else float(i % 5)))
+    rows = [(*r, "x") for r in rows]
+    df = spark.createDataFrame(rows, "MDN string, Notitiedatum date, k int, v double, w double, note string")
+    want = features_by_hand(pd.DataFrame(rows, columns=df.columns), 3).sort_values(["MDN", "k"])
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for n in (1, 60):
+            spark.conf.set(keys[0], n)
+            spark.conf.set(keys[1], "false")
+            table = E.feature_table(df, ["v", "w"], ["Notitiedatum", "k"], target="v")
+            got = table.toPandas().sort_values(["MDN", "k"])
+            assert list(zip(got.MDN, got.k)) == list(zip(want.MDN, want.k)) and set(got.note) == {"x"}
+            for c in ("v", *E.FEATURES):
+                assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True), c
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") - plan.count("ReusedExchange") < 15
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
