@@ -7,17 +7,17 @@ orders by ``(md5_bucket(seed, id), id)``.
 
 Scale notes: per-source top-k draws use ``row_number() <= k`` with a
 constant k, which Spark plans as a partial WindowGroupLimit before the
-shuffle (each task ships at most k rows per source). Global ranks (group
-splits) use a distributed sort + ``zipWithIndex`` (per-partition offsets),
-never a window without ``partitionBy``.
+shuffle (each task ships at most k rows per source). Group splits need two
+order statistics, found by counting; global ranks use a distributed sort
+(per-partition offsets), never a window without ``partitionBy``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteframe.functions.hashing import md5_bucket
@@ -229,33 +229,83 @@ def _split_counts(n_groups: int, train: float) -> tuple[int, int]:
     return rest, test
 
 
+def order_statistics(ids: DataFrame, id_col: str, key: Column, ranks: Callable[[int], Sequence[int]],
+                     few: int = 10_000) -> list[tuple | None]:
+    """The (key, id) at each 0-based rank of the distinct ids in (key, id) order; None past the end.
+
+    ``key`` is a number of 32 bits. No id is sorted or moved: the distinct ids
+    are counted by the leading half of their key (at most 65,536 numbers), then
+    only those of the half that holds the rank by the whole key, unless they
+    are ``few`` and are looked at themselves. ``ranks`` gives the ranks for the
+    number of ids, which the first count tells.
+    """
+    keyed = ids.select(F.col(id_col).alias("id"), key.alias("key")).where("id IS NOT NULL").distinct()
+    half = F.shiftright("key", 16)
+
+    def counts(at: Column, held: DataFrame) -> list[tuple[int, int]]:
+        return sorted((r["at"], r["n"]) for r in held.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect())
+
+    def place(table: list[tuple[int, int]], rank: int) -> tuple[int, int, int] | None:
+        """(value, its count, the rank within it)"""
+        for at, n in table:
+            if rank < n:
+                return at, n, rank
+            rank -= n
+        return None
+
+    halves = counts(half, keyed)
+    found = [place(halves, r) for r in ranks(sum(n for _, n in halves))]
+    full = sorted({f[0] for f in found if f and f[1] > few})
+    by_key = counts(F.col("key"), keyed.where(half.isin(full))) if full else []
+    # (whether by key, value) of what is looked at, the rank within it
+    at = [f and ((False, f[0], f[2]) if f[1] <= few else (True, *place([k for k in by_key if k[0] >> 16 == f[0]], f[2])[::2])) for f in found]
+    held = dict(by_key)
+    small = {a[:2] for a in at if a and not (a[0] and held[a[1]] > few)}
+    rows = []
+    if small:
+        wanted = half.isin([v for whole, v in small if not whole]) | F.col("key").isin([v for whole, v in small if whole])
+        rows = sorted((r["key"], r["id"]) for r in keyed.where(wanted).collect())
+    out = []
+    for a in at:
+        if a is None:
+            out.append(None)
+        elif a[:2] in small:
+            out.append([r for r in rows if (r[0] if a[0] else r[0] >> 16) == a[1]][a[2]])
+        else:  # more ids of one key than that: the least of them, which Spark takes per task
+            row = keyed.where(F.col("key") == a[1]).orderBy("id").offset(a[2]).limit(1).first()
+            out.append((row["key"], row["id"]))
+    return out
+
+
+def _below(key: Column, id_col: str, limit: tuple | None) -> Column:
+    """Whether a row's (key, id) comes before ``limit``."""
+    if limit is None:
+        return F.lit(True)
+    return (key < limit[0]) | ((key == limit[0]) & (F.col(id_col) < F.lit(limit[1])))
+
+
 def group_split_3way(df: DataFrame, group: str = "NotitieID", train: float = 0.8,
                      seed: int = 19, out: str = "split") -> DataFrame:
     """train/dev/test by group; proportions are of groups. The non-train
     part is ceil(G * (1 - train)) groups, split in half with the test half
-    rounded up (first part dev, second part test)."""
-    # the distinct groups are materialised once (shared checkpoint folder):
-    # counting and ranking then re-read them instead of the whole input
-    from noteframe.session import cut_lineage
-    groups = cut_lineage(df.select(group).distinct())
-    n = groups.count()
-    rest, test = _split_counts(n, train)
-    dev = rest - test
-    ranked = global_rank(groups.withColumn("_k", _key(group, seed)), ["_k", group], "_r")
-    lab = (ranked.select(group, F.when(F.col("_r") < dev, "dev")
-                                  .when(F.col("_r") < rest, "test").otherwise("train").alias(out)))
-    return df.join(lab, group, "left")
+    rounded up (first part dev, second part test). Rows without group have no
+    split. The two limits are order statistics that jobs find when this is
+    called; a row's split then follows from its own group, without a join."""
+    def ranks(n):
+        rest, test = _split_counts(n, train)
+        return rest - test, rest
+    key = _key(group, seed)
+    dev, rest = order_statistics(df, group, key, ranks)
+    label = F.when(F.col(group).isNull(), None).when(_below(key, group, dev), "dev").when(_below(key, group, rest), "test").otherwise("train")
+    return df.withColumn(out, label)
 
 
 def group_split_2way(df: DataFrame, group: str = "MDN", test: float = 0.2,
                      seed: int = 19, out: str = "split") -> DataFrame:
-    """train/test by group, ceil(G * test) test groups."""
-    from noteframe.session import cut_lineage
-    groups = cut_lineage(df.select(group).distinct())
-    n_test = math.ceil(test * groups.count())
-    ranked = global_rank(groups.withColumn("_k", _key(group, seed)), ["_k", group], "_r")
-    lab = ranked.select(group, F.when(F.col("_r") < n_test, "test").otherwise("train").alias(out))
-    return df.join(lab, group, "left")
+    """train/test by group, ceil(G * test) test groups; found as in :func:`group_split_3way`."""
+    key = _key(group, seed)
+    limit, = order_statistics(df, group, key, lambda n: (math.ceil(test * n),))
+    return df.withColumn(out, F.when(F.col(group).isNull(), None).when(_below(key, group, limit), "test").otherwise("train"))
 
 
 def example_sample(long: DataFrame, domain: str | None, kind: str, n: int = 1, seed: int = 0,

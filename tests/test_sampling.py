@@ -1,6 +1,7 @@
 """S-rows: quotas, disjoint draws, exact group-split counts, ranks."""
 
 import math
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,29 @@ def test_short_pool_is_an_error_unless_allowed(spark):
     with pytest.raises(ValueError, match="too few notes"):
         S.select_notes(*args)
     assert 0 < S.select_notes(*args, allow_short=True).count() <= 6
+
+
+def test_order_statistics_at_every_depth(spark):
+    """Ranks found by half keys, by whole keys and among ids of one key; repeated ids count once, nulls not at all."""
+    ids = [f"id{i % 300}" for i in range(900)] + [None] * 5
+    df = spark.createDataFrame([(i,) for i in ids], "g string").repartition(3)
+    ranks = [0, 1, 37, 150, 298, 299, 300]
+    for key, number in ((F.crc32("g"), lambda g: zlib.crc32(g.encode())), (F.crc32("g") % 7, lambda g: zlib.crc32(g.encode()) % 7),
+                        (F.crc32("g") % 7 * 65536, lambda g: zlib.crc32(g.encode()) % 7 * 65536)):
+        want = sorted((number(g), g) for g in set(ids) - {None}) + [None]
+        for few in (10_000, 20, 0):
+            assert S.order_statistics(df, "g", key, lambda n: ranks, few) == [want[r] for r in ranks]
+    assert S.order_statistics(df.limit(0), "g", F.crc32("g"), lambda n: (n,)) == [None]
+
+
+def test_split_of_every_row_follows_its_group(spark):
+    df = spark.createDataFrame([(None if i % 11 == 0 else f"n{i % 50}", i) for i in range(400)], "g string, k int")
+    for made in (S.group_split_3way(df, "g", 0.7), S.group_split_2way(df, "g", 0.3)):
+        rows = made.collect()
+        by_group = {}
+        for r in rows:
+            by_group.setdefault(r["g"], set()).add(r["split"])
+        assert len(rows) == 400 and by_group.pop(None) == {None} and all(len(v) == 1 for v in by_group.values())
+        assert sum("test" in v for v in by_group.values()) == (8 if "dev" in {x for v in by_group.values() for x in v} else 15)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
