@@ -36,10 +36,12 @@ from .common import U64, mix
 SUPPORT, MAX_WORDS, TOP = 10, 3, 2000
 #: A candidate goes if a longer one that contains it has this share, in percent, of its occurrences.
 ABSORBED = 50
-SHARDS = 4
+SHARDS = 2
 FILTER_BITS = 27
 #: Text bytes whose phrases a task counts at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+#: Bytes of a word from which on it is hashed on its own.
+LONG_WORD = 256
 #: Phrases of a block that are spelled out at once.
 SPELL = 100_000
 #: Parts of a language in which the best phrases are taken before they meet.
@@ -108,21 +110,29 @@ def number(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans, a stretch of the text at a time."""
-    out = np.empty(len(start), U64)
-    a = 0
-    while a < len(start):
-        z = max(a + 1, int(np.searchsorted(end, start[a] + C.CHUNK_BYTES, side="right")))
-        first = start[a]
-        out[a:z] = C.span_hashes(buf[first:end[z - 1]], start[a:z] - first, end[a:z] - first, lower=False)
-        a = z
+    """64-bit hashes of the spans, eight bytes at a time; long ones by the sums of :func:`common.span_hashes`."""
+    size = end - start
+    out = size.astype(U64) * U64(0x9E3779B97F4A7C15)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    now, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(now):
+        left = size[now] - k
+        bits = eight[start[now] + k] & ~U64(0) >> (np.maximum(8 - left, 0) * 8).astype(U64)
+        out[now] = mix(out[now] ^ bits)
+        now, k = now[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        one = buf[start[i]:end[i]]
+        out[i] = C.span_hashes(one, np.array([0]), np.array([len(one)]), lower=False)[0]
     return out
 
 
 def word_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray,
-             group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each span, a span of each number, count): equal numbers for equal bytes of a group only."""
+             group: np.ndarray | None = None, exact: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span, a span of each number, count): equal numbers for equal bytes of a group, if ``exact`` only for them."""
     ids, at, count = number(h if group is None else mix(h + group.astype(U64)))
+    if not exact:
+        return ids, at, count
     of = at[ids]
     if not same_bytes(buf, start, end, of) or (group is not None and (group != group[of]).any()):
         raw, seen = buf.tobytes(), {}
@@ -133,12 +143,13 @@ def word_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray,
 
 
 class Phrases:
-    """Phrases of one chunk by length, numbered exactly, with counts and 64-bit keys.
+    """Phrases of one chunk by length, with counts and 64-bit keys.
 
     Equal phrases of different groups (language and shard) are different ones.
+    Unless ``exact``, words with equal hashes may count as one.
     """
 
-    def __init__(self, ch: C.Chunk, lang_key: np.ndarray, group: np.ndarray):
+    def __init__(self, ch: C.Chunk, lang_key: np.ndarray, group: np.ndarray, exact: bool = True):
         buf, off = LOWER[ch.buf], ch.off
         n = len(buf)
         word = ~BLANK[buf]
@@ -149,13 +160,13 @@ class Phrases:
             first[1:] &= ~word[:-1] | cut[1:n]
             last[:-1] &= ~word[1:] | cut[1:n]
         self.buf, self.start, self.end = buf, np.flatnonzero(first), np.flatnonzero(last) + 1
-        doc = np.searchsorted(off, self.start, side="right") - 1
+        doc = np.repeat(np.arange(ch.n), np.diff(np.searchsorted(self.start, off)))
         self.group = group[doc]
         piece = np.cumsum(BREAK[buf], dtype=np.int32)[self.start]
         #: whether a word and the next are of one piece
         self.joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
         h = word_hashes(buf, self.start, self.end)
-        self.ids, self.at, self.count = word_ids(buf, self.start, self.end, h, self.group)
+        self.ids, self.at, self.count = word_ids(buf, self.start, self.end, h, self.group, exact)
         self.pos = np.arange(len(h))
         self.key = mix(h[self.at] + lang_key[doc[self.at]])
         self.words, self.word_key, self.size = self.ids, self.key, 1
@@ -192,13 +203,13 @@ class Phrases:
         return pa.StringArray.from_buffers(len(chosen), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[inside].tobytes()))
 
 
-def blocks(batches, shards: bool):
+def blocks(batches, shards: bool, exact: bool = True):
     """(phrases, language by group, shard by group) of each chunk; one shard if not ``shards``."""
     for ch in C.chunks(batches, "_text", BLOCK_BYTES):
         langs = ch.arrow("_lang").dictionary_encode()
         shard = ch.column("_shard").astype(np.int64) if shards else np.zeros(ch.n, np.int64)
         both, group = np.unique(np.stack([langs.indices.to_numpy(), shard]), axis=1, return_inverse=True)
-        yield (Phrases(ch, ch.column("_lang_key").astype(np.int64).view(U64), group.reshape(-1)),
+        yield (Phrases(ch, ch.column("_lang_key").astype(np.int64).view(U64), group.reshape(-1), exact),
                langs.dictionary.take(pa.array(both[0])), both[1])
 
 
@@ -242,7 +253,7 @@ def mine(texts: DataFrame, size: int, frequent: list[KeyFilter], least: list[int
     ``frequent``: filters of the shorter lengths, words first.
     """
     def run(batches):
-        for p, _, shard in blocks(batches, True):
+        for p, _, shard in blocks(batches, True, exact=False):
             p.keep(frequent[0].has(p.key))
             for n in range(2, size + 1):
                 p.longer()
@@ -252,8 +263,9 @@ def mine(texts: DataFrame, size: int, frequent: list[KeyFilter], least: list[int
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array((p.key ^ shard_bits(s)).view(np.int64)),
                                               pa.array(p.count, pa.int32())], ["shard", "key", "n"])
     asked = F.element_at(F.array(*map(F.lit, least)), F.col("shard") + 1)
-    return C.write_table(texts.mapInArrow(C.tidy(run), "shard int, key long, n int").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-                         .where(F.col("n") >= asked).select("shard", "key"), "frequent")
+    # blocks have counted; most keys of a task are its own, so it sends them as they are
+    counted = texts.mapInArrow(C.tidy(run), "shard int, key long, n int").repartition("key").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+    return C.write_table(counted.where(F.col("n") >= asked).select("shard", "key"), "frequent")
 
 
 def count_phrases(texts: DataFrame, candidates: list[KeyFilter], support: int) -> DataFrame:
@@ -270,10 +282,11 @@ def count_phrases(texts: DataFrame, candidates: list[KeyFilter], support: int) -
                 g = p.group[p.at]
                 for a in range(0, len(p.at), SPELL):
                     some = np.arange(a, min(a + SPELL, len(p.at)))
-                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(g[some])), p.spelled(some), pa.array(np.full(len(some), n, np.int32)),
-                                                      pa.array(p.count[some])], ["lang", "phrase", "size", "n"])
-    return C.write_table(texts.mapInArrow(C.tidy(run), "lang string, phrase string, size int, n long")
-                         .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "phrases")
+                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(g[some])), p.spelled(some), pa.array(p.count[some])],
+                                                     ["lang", "phrase", "n"])
+    counted = texts.mapInArrow(C.tidy(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    return C.write_table(counted.where(F.col("a") >= support)
+                         .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a"), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, max_words: int = MAX_WORDS, shards: int = SHARDS,

@@ -122,3 +122,15 @@ def test_local_support_misses_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for shards in (1, 4, 9):
         assert as_dict(phrases.collocations(docs, shards=shards)) == {("en", 1): ("only here", 10, 10, 10, 10 * 4 + 290 * 3, 1000000)}
+
+
+def test_word_hashes_name_the_bytes():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("ab") for _ in range(n)) for n in (*range(1, 40), 255, 256, 257, 3000) for _ in range(6)]
+    text = " ".join(words).encode()
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    start = end - np.array([len(w) for w in words])
+    h = phrases.word_hashes(np.frombuffer(text, np.uint8), start, end).tolist()
+    assert len(dict(zip(words, h))) == len(set(h)) == len(set(words)) == len(set(zip(words, h)))
+    shifted = phrases.word_hashes(np.frombuffer(b"x, " + text + b"yz", np.uint8), start + 3, end + 3)
+    assert shifted.tolist() == h
