@@ -13,7 +13,7 @@ _SQL: dict[str, str] = {}
 
 _MODULES = ["q_text", "q_clean", "q_cohort", "q_tokens", "q_reports",
             "q_timeline", "q_sampling", "q_evaluate", "q_agreement",
-            "q_sources", "q_model", "q_pipelines", "q_keywords"]
+            "q_sources", "q_model", "q_pipelines", "q_keywords", "q_language"]
 
 
 def register(name: str, sql: str | None = None):
