@@ -74,7 +74,7 @@ MAX_FIT_ROWS = 20_000
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "id", vec: str = "vec",
-                 label: str = "label", max_fit_rows: int = MAX_FIT_ROWS, seed: int = 0) -> DataFrame:
+                 label: str = "label", max_fit_rows: int | None = MAX_FIT_ROWS, seed: int = 0) -> DataFrame:
     """K nearest neighbours (Euclidean) and majority vote (ties:
     smallest label; neighbour ties: smallest train id).
 
@@ -82,8 +82,12 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, id_col: str = "i
     ``max_fit_rows`` of them, so its size is known; it goes to the workers
     once. Queries stream past it: each Arrow batch takes one matrix product
     to find candidates, whose distances are then taken exactly. No join, no
-    shuffle, no pairs."""
+    shuffle, no pairs. Without a bound (``max_fit_rows=None``) all rows are
+    fitted, in blocks (:mod:`noteframe.operators.knn`)."""
     from noteframe.operators.sampling import cap_sample
+    if max_fit_rows is None:
+        from noteframe.operators.knn import classify_exact
+        return classify_exact(train, test, k, id_col, vec, label)
     fitted = cap_sample(train.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("l")),
                         "i", max_fit_rows, seed).orderBy("i").collect()
     points = np.array([r["v"] for r in fitted], dtype="float64").reshape(len(fitted), -1)

@@ -1,10 +1,10 @@
 """Persons and places by a name table (G6): a longest-match dictionary join.
 
 Names are sequences of tokens, of any number of names and any length. A text
-meets the table in two joins: its tokens meet the first tokens of names, and
-only at those places its phrases, of the lengths that such names have, meet the
-names. Of overlapping matches the leftmost stays, of those at one place the
-longest. Every match is replaced where it stands, so that a name inside a
+meets the table in two joins: its distinct tokens meet the first tokens of
+names, and only at their places its phrases, of the lengths that such names
+have, meet the names. Of overlapping matches the leftmost stays, of those at
+one place the longest. Every match is replaced where it stands, so that a name inside a
 longer word is left alone.
 """
 
@@ -41,33 +41,41 @@ def name_table(names: DataFrame, ignore_case: bool = False) -> DataFrame:
             .groupBy("first", "n", "phrase").agg(F.min("label").alias("label")))
 
 
-def find_names(texts: DataFrame, names: DataFrame, key: str, text: str, ignore_case: bool = False) -> DataFrame:
-    """(key, start, end, label): matches as places of pieces, none overlapping.
+def mark_names(df: DataFrame, names: DataFrame, text: str, ignore_case: bool = False) -> DataFrame:
+    """``df`` with ``_m``, the matches (start, end, label) as places of the text's pieces, in order and none overlapping; null without any.
 
-    ``key`` tells texts apart; equal rows of a key are searched once.
+    Equal texts are searched under one key. Shuffled are each text once, its
+    distinct tokens, and the phrases that begin like a name.
     """
+    token = fold_case if ignore_case else (lambda t: t)
     table = name_table(names, ignore_case)
-    longest = table.agg(F.max("n")).first()[0] or 0  # a number
-    token = (lambda t: fold_case(t)) if ignore_case else (lambda t: t)
-    # each token with the next ones that a name may have, so that a row stays small whatever the text
-    ahead = F.transform("_t", lambda x, i: F.slice(F.col("_t"), i + 1, max(longest, 1)))
-    places = (texts.select(key, _tokens(F.col(text)).alias("_t")).select(key, F.explode(ahead).alias("a"))
-              .withColumn("first", token(F.col("a")[0]["t"])))
-    lengths = table.groupBy("first").agg(F.collect_set("n").alias("ns"))  # at most `longest` numbers
-    phrases = (places.join(lengths, "first")
-               .select(key, "a", F.explode(F.filter("ns", lambda n: n <= F.size("a"))).alias("n"))
-               .select(key, F.col("a")[0]["i"].alias("start"), F.col("a")[F.col("n") - 1]["i"].alias("end"),
-                       F.array_join(F.transform(F.slice("a", F.lit(1), F.col("n")), lambda x: token(x["t"])), " ").alias("phrase")))
-    found = phrases.join(table.select("phrase", "label"), "phrase").groupBy(key, "start").agg(F.max(F.struct("end", "label")).alias("m"))
+    keyed = df.withColumn("_key", F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TOKEN_RX), 0))
+    own = keyed.select("_key", F.explode(F.array_distinct(F.transform(tokens, token))).alias("first"))
+    lengths = table.groupBy("first").agg(F.collect_set("n").alias("ns"))
+    firsts = (own.join(lengths, "first").distinct().groupBy("_key")
+              .agg(F.map_from_entries(F.collect_list(F.struct("first", "ns"))).alias("_firsts")))
+    marked = keyed.join(firsts, "_key", "left")
+    some = marked.where("_firsts IS NOT NULL").select("_key", "_firsts", _tokens(F.col(text)).alias("_t"))
+    at = F.transform("_t", lambda x, i: F.struct(i.alias("i"), F.element_at("_firsts", token(x["t"])).alias("ns")))
+    # within the row: an exploded row must not carry the whole text
+    begun = F.flatten(F.transform(F.filter(at, lambda x: x["ns"].isNotNull()), lambda x: F.transform(
+        F.filter(x["ns"], lambda n: x["i"] + n <= F.size("_t")), lambda n: F.slice(F.col("_t"), x["i"] + 1, n))))
+    phrases = (some.select("_key", F.explode(begun).alias("a"))
+               .select("_key", F.col("a")[0]["i"].alias("start"), F.element_at("a", -1)["i"].alias("end"),
+                       F.array_join(F.transform("a", lambda x: token(x["t"])), " ").alias("phrase")))
+    found = phrases.join(table.select("phrase", "label"), "phrase").groupBy("_key", "start").agg(F.max(F.struct("end", "label")).alias("m"))
     # matches are chosen from left to right within runs that overlap
-    past = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    flat = found.select(key, "start", "m.end", "m.label").withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(past), F.lit(True)))
-    runs = (flat.withColumn("_run", F.sum(F.col("_new").cast("int")).over(upto)).groupBy(key, "_run")
+    past = Window.partitionBy("_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_key").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    flat = found.select("_key", "start", "m.end", "m.label").withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(past), F.lit(True)))
+    runs = (flat.withColumn("_run", F.sum(F.col("_new").cast("int")).over(upto)).groupBy("_key", "_run")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("all")))
     chosen = F.expr("aggregate(all, struct(-1 AS last, filter(all, m -> false) AS taken), "
                     "(t, m) -> if(m.start > t.last, struct(m.end AS last, concat(t.taken, array(m)) AS taken), t)).taken")
-    return runs.select(key, F.explode(chosen).alias("m")).select(key, "m.start", "m.end", "m.label")
+    kept = (runs.select("_key", F.explode(chosen).alias("m")).groupBy("_key")
+            .agg(F.array_sort(F.collect_list(F.struct("m.start", "m.end", "m.label"))).alias("_m")))
+    return marked.join(kept, "_key", "left").drop("_key", "_firsts")
 
 
 def anonymize_names(df: DataFrame, names: DataFrame, text: str = "text", out: str = "text", len_out: str = "len_text",
@@ -78,10 +86,7 @@ def anonymize_names(df: DataFrame, names: DataFrame, text: str = "text", out: st
     follow each other, whatever white space is between them. A null text stays
     null, with a null count.
     """
-    keyed = df.withColumn("_key", F.sha2(text, 256))
-    found = (find_names(keyed.where(F.col(text).isNotNull()), names, "_key", text, ignore_case)
-             .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_m")))
-    j = keyed.join(found, "_key", "left").withColumn("_p", _pieces(F.col(text)))
+    j = mark_names(df, names, text, ignore_case).withColumn("_p", _pieces(F.col(text)))
     # what stands between two matches, then the label
     begin = "if(k = 0, 0, _m[k - 1].end + 1)"
     parts = F.expr(f"transform(_m, (m, k) -> concat(array_join(slice(_p, {begin} + 1, m.start - {begin}), ''), m.label))")
