@@ -4,7 +4,7 @@ A full stop after a word ends a sentence unless the word is an abbreviation, an
 initial or an ordinal number. Which words are abbreviations, and which ones
 begin sentences, is read from counts over the whole corpus by log-likelihood
 ratios; no word list is given. The counts are aggregations with map-side
-combine; the learned words meet a text only where it has a full stop that could
+combine, whose results, rows per distinct word, are written to the shared folder; the learned words meet a text only where it has a full stop that could
 be one of an abbreviation.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteframe.operators.nlp import WORD
+from noteframe.session import write_shared
 
 #: least scores of an abbreviation and of a sentence starter
 ABBREVIATION, STARTER = 0.3, 30.0
@@ -26,9 +27,15 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), 0)
 
 
+def _once(c: Column) -> Column:
+    """``c`` behind a generator, so that Catalyst does not write it into every expression that uses it."""
+    return F.explode(F.array(c))
+
+
 def word_type(token: Column) -> Column:
     """A token without what opens or closes it, lower case; its last full stop stays."""
-    return F.lower(F.regexp_replace(F.regexp_replace(token, _OPENING, ""), _CLOSING, ""))
+    bare = F.regexp_replace(F.regexp_replace(token, _OPENING, ""), _CLOSING, "")
+    return F.lower(F.when(token.rlike(r"^[A-Za-z]+\.?$"), token).otherwise(bare))
 
 
 def _plain(word: Column) -> Column:
@@ -37,13 +44,17 @@ def _plain(word: Column) -> Column:
 
 def stops(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(*keep, k, word, next, upper): full stops within a line that another stretch follows, with the words around them."""
-    pairs = F.transform(F.col("_c"), lambda c, k: F.struct(k.alias("k"), c.alias("c"), F.get(F.col("_c"), k + 1).alias("d")))
-    at = (df.select(*keep, chunks(F.col(text)).alias("_c")).select(*keep, F.explode(pairs).alias("x"))
-          .where(F.col("x.d").isNotNull() & F.col("x.c").rlike(r"\.[^\S\n]+$")))
+    # looked at from the end, where a pattern has one place to begin
+    back = lambda c: F.reverse(c)
+    pairs = F.transform(F.col("_c"), lambda c, k: F.when(
+        (k + 1 < F.size("_c")) & back(F.substring(c, -40, 40)).rlike(r"^[^\S\n]+\.") | back(c).rlike(r"^[^\S\n]{40}"),
+        F.struct(k.alias("k"), c.alias("c"), F.get(F.col("_c"), k + 1).alias("d"))))
+    at = (df.select(*keep, chunks(F.col(text)).alias("_c")).select(*keep, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x"))
+          .where(F.col("x.d").isNotNull() & back(F.col("x.c")).rlike(r"^[^\S\n]+\.")))
     first = F.regexp_extract("x.d", rf"^[^{WORD}]*([{WORD}]+)", 1)
-    word = word_type(F.regexp_extract("x.c", r"(\S+)\s*$", 1))
-    return at.select(*keep, F.col("x.k").alias("k"), _plain(word).alias("word"), F.lower(first).alias("next"),
-                     (first.rlike(r"^\p{Lu}")).alias("upper"))
+    word = word_type(F.reverse(F.regexp_extract(back(F.col("x.c")), r"^\s*(\S+)", 1)))
+    return at.select(*keep, F.col("x.k").alias("k"), _once(F.struct(_plain(word).alias("w"), first.alias("f"))).alias("y")).select(
+        *keep, "k", F.col("y.w").alias("word"), F.lower("y.f").alias("next"), F.col("y.f").rlike(r"^\p{Lu}").alias("upper"))
 
 
 def _log_likelihood(ab, a, b, n):
@@ -54,18 +65,24 @@ def _log_likelihood(ab, a, b, n):
     return -2 * (term(ab, a, p) + term(b - ab, n - a, p) - term(ab, a, p1) - term(b - ab, n - a, p2))
 
 
-def learn_abbreviations(df: DataFrame, text: str, least: float = ABBREVIATION) -> DataFrame:
+def count_tokens(df: DataFrame, text: str) -> DataFrame:
+    """(t, n): the tokens between white space as they stand, so that each distinct one is looked at once."""
+    tokens = df.select(F.explode(F.split(F.col(text), r"\s+")).alias("t")).where("t <> ''")
+    return write_shared(tokens.groupBy("t").agg(F.count("*").alias("n")), "tokens")
+
+
+def learn_abbreviations(tokens: DataFrame, least: float = ABBREVIATION) -> DataFrame:
     """(word, score): words that stand before a full stop so much more often than others that it is theirs.
 
-    The log-likelihood of the word's full stops against the corpus's share of
-    full stops, times the number of its inner full stops and one, over e to its
-    length, and over its length to the power of its occurrences without stop.
-    Numbers and words of one letter are judged by their form instead.
+    ``tokens`` as :func:`count_tokens` gives them. The log-likelihood of the
+    word's full stops against the corpus's share of full stops, times the
+    number of its inner full stops and one, over e to its length, and over its
+    length to the power of its occurrences without stop. Numbers and words of
+    one letter are judged by their form instead.
     """
-    token = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), 0))
-    words = df.select(token.alias("t")).select(word_type(F.col("t")).alias("w")).where("w <> ''")
-    counts = (words.select(_plain(F.col("w")).alias("word"), F.col("w").endswith(".").cast("long").alias("stop")).where("word <> ''")
-              .groupBy("word").agg(F.count("*").alias("n"), F.sum("stop").alias("stops")))
+    words = tokens.select(_once(word_type(F.col("t"))).alias("w"), "n").where("w <> ''")
+    counts = write_shared(words.select(_plain(F.col("w")).alias("word"), "n", F.when(F.col("w").endswith("."), F.col("n")).otherwise(0).alias("k"))
+                          .where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("stops")), "word-stops")
     all_n, all_stops = counts.agg(F.sum("n"), F.sum("stops")).first()
     if not all_stops:
         return counts.select("word", F.lit(0.0).alias("score")).limit(0)
@@ -76,18 +93,18 @@ def learn_abbreviations(df: DataFrame, text: str, least: float = ABBREVIATION) -
     size = F.length(F.replace("word", F.lit("."), F.lit("")))
     score = likelier * inner * F.exp(-size.cast("double")) * F.pow(size.cast("double"), -(n - k).cast("double"))
     fits = F.col("word").rlike(r"\p{L}") & (F.length("word") > 1) & (k > 0)
-    return counts.where(fits).select("word", score.alias("score")).where(F.col("score") >= least)
+    return write_shared(counts.where(fits).select("word", score.alias("score")).where(F.col("score") >= least), "abbreviations")
 
 
-def learn_starters(df: DataFrame, text: str, abbreviations: DataFrame, least: float = STARTER) -> DataFrame:
+def learn_starters(df: DataFrame, text: str, tokens: DataFrame, abbreviations: DataFrame, least: float = STARTER) -> DataFrame:
     """(word, score): words that follow sure sentence ends more often than chance has it.
 
     Sure ends are full stops after a word that is no abbreviation, initial or number."""
     sure = (stops(df, text).where(~F.col("word").rlike(r"^(\p{L}|[\p{Nd}.,]+)$") & (F.col("next") != ""))
             .join(abbreviations.select("word"), "word", "left_anti"))
-    after = sure.groupBy(F.col("next").alias("word")).agg(F.count("*").alias("ab"))
-    runs = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"[{WORD}]+"), 0)).alias("w"))
-    every = runs.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("b"))
+    after = write_shared(sure.groupBy(F.col("next").alias("word")).agg(F.count("*").alias("ab")), "after-stops")
+    runs = tokens.select(F.explode(F.split("t", f"[^{WORD}]+")).alias("w"), "n").where("w <> ''")
+    every = write_shared(runs.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("b")), "words")
     both = after.join(every, "word")
     ends = after.agg(F.sum("ab")).first()[0]
     n = every.agg(F.sum("b")).first()[0]
@@ -95,7 +112,15 @@ def learn_starters(df: DataFrame, text: str, abbreviations: DataFrame, least: fl
         return both.select("word", F.lit(0.0).alias("score")).limit(0)
     a, total = F.lit(float(ends)), F.lit(float(n))
     score = _log_likelihood(F.col("ab").cast("double"), a, F.col("b").cast("double"), total)
-    return both.where(F.col("ab") / a > F.col("b") / total).select("word", score.alias("score")).where(F.col("score") >= least)
+    found = both.where(F.col("ab") / a > F.col("b") / total).select("word", score.alias("score")).where(F.col("score") >= least)
+    return write_shared(found, "starters")
+
+
+def learn(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(abbreviations, starters) of a corpus; jobs run when this is called."""
+    tokens = count_tokens(df, text)
+    abbreviations = learn_abbreviations(tokens)
+    return abbreviations, learn_starters(df, text, tokens, abbreviations)
 
 
 def learned_sentences(df: DataFrame, text: str, abbreviations: DataFrame, starters: DataFrame, out: str = "sentences") -> DataFrame:
@@ -109,14 +134,13 @@ def learned_sentences(df: DataFrame, text: str, abbreviations: DataFrame, starte
 
     A null text has a null array; equal texts are looked at under one key.
     """
-    keyed = df.withColumn("_key", F.sha2(text, 256))
-    at = (stops(keyed, text, "_key").distinct()
-          .join(abbreviations.select("word", F.lit(True).alias("_abbr")), "word", "left")
-          .join(starters.select(F.col("word").alias("next"), F.lit(True).alias("_starts")), "next", "left"))
+    keyed = df.withColumn("_key", F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
     own = F.coalesce("_abbr", F.lit(False)) | F.col("word").rlike(r"^\p{L}$")
+    number = F.col("word").rlike(r"^\p{Nd}+$") & ~F.col("upper") & (F.col("next") != "")
+    at = (stops(keyed, text, "_key").join(abbreviations.select("word", F.lit(True).alias("_abbr")), "word", "left").where(own | number)
+          .join(starters.select(F.col("word").alias("next"), F.lit(True).alias("_starts")), "next", "left"))
     begins = F.col("upper") & F.coalesce("_starts", F.lit(False))
-    number = F.col("word").rlike(r"^\p{Nd}+$")
-    inside = at.where((own & ~begins) | (number & ~F.col("upper") & (F.col("next") != "")))
+    inside = at.where(~begins | number)
     marks = inside.groupBy("_key").agg(F.collect_set("k").alias("_inside"))
     joined = keyed.join(marks, "_key", "left")
     none = F.array().cast("array<int>")
@@ -132,7 +156,5 @@ def split_sentences_learned(df: DataFrame, id_col: str, text: str, corpus: DataF
     """Note -> one row per sentence (id, sen_no from 0, sentence), with ends learned from ``corpus`` (default: ``df``).
 
     ``nlp.split_sentences`` is the form without learning."""
-    corpus = df if corpus is None else corpus
-    abbreviations = learn_abbreviations(corpus, text)
-    made = learned_sentences(df.select(id_col, text), text, abbreviations, learn_starters(corpus, text, abbreviations))
+    made = learned_sentences(df.select(id_col, text), text, *learn(df if corpus is None else corpus, text))
     return made.select(id_col, F.posexplode("sentences").alias("sen_no", "sentence"))

@@ -128,8 +128,8 @@ sr AS (SELECT * FROM start WHERE score >= 30)"""
 def learned_words_q(spark, d):
     """Abbreviations and sentence starters of the corpus with their scores."""
     t = stop_notes(spark, d)
-    a = S.learn_abbreviations(t, "text")
-    made = a.withColumn("kind", F.lit("abbreviation")).unionByName(S.learn_starters(t, "text", a).withColumn("kind", F.lit("starter")))
+    a, starters = S.learn(t, "text")
+    made = a.withColumn("kind", F.lit("abbreviation")).unionByName(starters.withColumn("kind", F.lit("starter")))
     return made.select("kind", "word", F.round("score", 3).alias("score"))
 
 
@@ -146,6 +146,5 @@ SELECT doc_id, CAST(len(ss) AS INTEGER) AS n_sentences, md5(array_to_string(ss,
 def split_sentences_learned_q(spark, d):
     """Notes split into sentences at the learned ends: number of sentences and digest per note."""
     t = stop_notes(spark, d)
-    a = S.learn_abbreviations(t, "text")
-    s = S.learned_sentences(t, "text", a, S.learn_starters(t, "text", a))
+    s = S.learned_sentences(t, "text", *S.learn(t, "text"))
     return s.select("doc_id", F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("md5"))

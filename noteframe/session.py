@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,11 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_shared(df, name: str):
+    """Write to the shared folder and read back: cuts the lineage durably, and
+    the size is known, so that Spark can tell whether a join may broadcast it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

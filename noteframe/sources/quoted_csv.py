@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteframe.session import cut_lineage
+from noteframe.session import write_shared
 
 # states of the reader within a line
 _FIELD, _PLAIN, _QUOTED, _CLOSED = range(4)
@@ -237,12 +237,13 @@ def scan_records(spark: SparkSession, path: str, sep: str = ";", quote: str = '"
     file its own). ``escape`` is a sign that takes the meaning of the next one
     away; without it a doubled quote is a quote. The encoding must keep ASCII
     bytes as they are. The first pass, a job over the files that leaves a row a
-    range, runs when this is called; its result is checkpointed.
+    range, runs when this is called; its result is written to the shared folder.
     """
     if len(sep) != 1 or len(quote) != 1 or (escape is not None and len(escape) != 1):
         raise ValueError("separator, quote and escape are single signs")
     lines = scan_lines(spark, path, sep, quote, escape, encoding)
-    ranges = cut_lineage(place_ranges(cut_lineage(survey_ranges(lines)), F.col("file") if name is None else name))
+    survey = write_shared(survey_ranges(lines), "range-survey")
+    ranges = write_shared(place_ranges(survey, F.col("file") if name is None else name), "ranges")
     both = whole_records(lines, ranges).unionByName(crossing_records(ranges))
     return both.withColumn("record", F.regexp_replace("record", r"\r?\n\z", ""))
 

@@ -28,10 +28,10 @@ def frame(spark, texts):
 
 def test_learned_words(spark):
     df = frame(spark, corpus())
-    abbreviations = S.learn_abbreviations(df, "text")
+    abbreviations, learned = S.learn(df, "text")
     found = {r["word"]: r["score"] for r in abbreviations.collect()}
     assert {"dr", "approx", "e.g"} <= set(found) and not {"patient", "ward", "again", "bed"} & set(found)
-    starters = {r["word"] for r in S.learn_starters(df, "text", abbreviations).collect()}
+    starters = {r["word"] for r in learned.collect()}
     assert {"the", "he", "she", "it"} >= starters and {"he", "she", "it"} <= starters
     # the score of one word by hand
     words = [re.sub(r"[^\w.]+$", "", re.sub(r"^\W+", "", t)).lower() for text in corpus() for t in text.split()]
@@ -69,6 +69,5 @@ def test_without_learned_words_it_is_the_rule_form(spark):
 
 def test_nothing_to_learn(spark):
     df = frame(spark, ["no stops here", None])
-    a = S.learn_abbreviations(df, "text")
-    assert a.count() == 0 and S.learn_starters(df, "text", a).count() == 0
+    assert [x.count() for x in S.learn(df, "text")] == [0, 0]
     assert S.split_sentences_learned(df.limit(0), "id", "text").count() == 0
