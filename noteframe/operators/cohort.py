@@ -54,11 +54,15 @@ def split_by_reference(df: DataFrame, assignment: DataFrame, key: str = "Notitie
     return df.join(a, key, "left").withColumn(split, F.coalesce(F.col(split), F.lit(default)))
 
 
-def slice_by_predicted_domain(df: DataFrame, preds_long: DataFrame, dom: str, unit: str = "sent",
+def slice_by_predicted_domain(df: DataFrame, preds_long: DataFrame, dom: str | None, unit: str = "sent",
                               dom_col: str = "domains", pred: str = "preds") -> DataFrame:
     """Rows whose sentence (unit='sent') or note (unit='note') was
-    predicted positive for ``dom``."""
+    predicted positive for ``dom``; without ``dom`` for the row's own
+    domain, which ``df`` has as ``dom_col``, in one join for all domains."""
     key = "pad_sen_id" if unit == "sent" else "NotitieID"
+    if dom is None:
+        pos = preds_long.filter(F.col(pred) == 1).select(key, dom_col).distinct()
+        return df.join(pos, [key, dom_col], "left_semi")
     pos = preds_long.filter((F.col(dom_col) == dom) & (F.col(pred) == 1)).select(key).distinct()
     return df.join(pos, key, "left_semi")
 
@@ -85,8 +89,15 @@ def assemble_domain_levels(sentences: DataFrame, preds: Mapping[str, DataFrame],
     doms = list(preds)
     long = reduce(lambda a, b: a.unionByName(b),
                   [p.select(key, F.lit(dm).alias("_dom"), F.col(value).alias("_v")) for dm, p in preds.items()])
-    wide = long.groupBy(key).pivot("_dom", doms).agg(F.first("_v"))
-    wide = wide.select(key, *[F.col(dm).alias(f"{dm}_lvl") for dm in doms])
+    return assemble_routed_levels(sentences, long, doms, key, "_v", "_dom")
+
+
+def assemble_routed_levels(sentences: DataFrame, routed: DataFrame, doms: Sequence[str], key: str = "row_id",
+                           value: str = "pred", dom_col: str = "domains") -> DataFrame:
+    """C9 from one long frame of routed sentences (key, domain, prediction):
+    read once and aggregated once, whatever the number of domains. A
+    sentence has one prediction per domain (of several the largest holds)."""
+    wide = routed.groupBy(key).agg(*[F.max(F.when(F.col(dom_col) == dm, F.col(value))).alias(f"{dm}_lvl") for dm in doms])
     return sentences.join(wide, key, "left")
 
 

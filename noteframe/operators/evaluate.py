@@ -7,7 +7,7 @@ sentence key (at most 9 x 9 pairs per sentence, never a cross join).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,21 +163,28 @@ def confusion_matrix(long: DataFrame, domains: Sequence[str] = DOMAINS, key: str
                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
 
 
-def regression_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:
-    """MAE, MSE, RMSE over rows with both values."""
+def domain_rows(df: DataFrame, columns: Mapping[str, tuple[str, str]], keep: Sequence[str]) -> DataFrame:
+    """(*keep, domain, gold, pred): a row per domain of each row, from ``columns`` = domain -> (gold column, prediction column)."""
+    pairs = [F.struct(F.lit(dm).alias("domain"), F.col(g).cast("double").alias("gold"), F.col(p).cast("double").alias("pred"))
+             for dm, (g, p) in columns.items()]
+    return df.select(*keep, F.inline(F.array(*pairs)))
+
+
+def regression_metrics(df: DataFrame, gold: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """MAE, MSE, RMSE over rows with both values, one row per ``by``."""
     d = df.filter(F.col(gold).isNotNull() & F.col(pred).isNotNull())
     e = F.col(gold) - F.col(pred)
-    return d.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
                  F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def regression_note_metrics(df: DataFrame, note: str, gold: str, pred: str) -> DataFrame:
+def regression_note_metrics(df: DataFrame, note: str, gold: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Note means of gold and prediction, NULL gold dropped, metrics,
-    with note counts before and after dropping (one aggregation)."""
-    per = df.groupBy(note).agg(F.avg(gold).alias("_g"), F.avg(pred).alias("_p"))
+    with note counts before and after dropping, one row per ``by``."""
+    per = df.groupBy(*by, note).agg(F.avg(gold).alias("_g"), F.avg(pred).alias("_p"))
     ok = F.col("_g").isNotNull() & F.col("_p").isNotNull()
     e = F.when(ok, F.col("_g") - F.col("_p"))
-    return per.agg(F.count("*").alias("n_notes"), F.count(e).alias("n_with_gold"), F.avg(F.abs(e)).alias("mae"),
+    return per.groupBy(*by).agg(F.count("*").alias("n_notes"), F.count(e).alias("n_with_gold"), F.avg(F.abs(e)).alias("mae"),
                    F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 

@@ -109,35 +109,46 @@ def confusion_matrix_q(spark, d):
 
 
 def _lvl_preds(spark, d):
+    """Sentences with the nine gold levels and a prediction of each."""
     lv = A.sentence_mean_levels(TK.clean(spark, d))
-    noise = (md5_bucket("pad_sen_id", F.lit("lvl")) % 5 - 2).cast("double") * 0.25
-    return lv.withColumn("pred_levels_FAC_sents", F.coalesce(F.col("FAC_lvl"), F.lit(2.0)) + noise)
+    noise = lambda dm: (md5_bucket("pad_sen_id", F.lit("lvl"), F.lit(dm)) % 5 - 2).cast("double") * 0.25
+    return lv.withColumns({f"pred_levels_{dm}_sents": F.coalesce(F.col(f"{dm}_lvl"), F.lit(2.0)) + noise(dm) for dm in DOMAINS})
 
 
-_LVLP_SQL = (f"SELECT pad_sen_id, NotitieID, FAC_lvl, coalesce(FAC_lvl, 2.0) + CAST({H('pad_sen_id', chr(39) + 'lvl' + chr(39))} % 5 - 2 AS DOUBLE) * 0.25 "
-             f"AS pred_levels_FAC_sents FROM (SELECT pad_sen_id, NotitieID, avg(FAC_lvl) AS FAC_lvl FROM ({TK.CLEAN_SQL}) GROUP BY ALL)")
+_LEVEL_PAIRS = {dm: (f"{dm}_lvl", f"pred_levels_{dm}_sents") for dm in DOMAINS}
+_LV_SQL = f"SELECT pad_sen_id, NotitieID, {', '.join(f'avg({c}) AS {c}' for c in LEVEL_COLS)} FROM ({TK.CLEAN_SQL}) GROUP BY ALL"
+_LVLP_SQL = " UNION ALL ".join(
+    f"SELECT pad_sen_id, NotitieID, '{dm}' AS domain, {dm}_lvl AS gold, "
+    f"coalesce({dm}_lvl, 2.0) + CAST({H('pad_sen_id', chr(39) + 'lvl' + chr(39), chr(39) + dm + chr(39))} % 5 - 2 AS DOUBLE) * 0.25 AS pred FROM lv"
+    for dm in DOMAINS)
+_LVLP_CTE = f"lv AS ({_LV_SQL}), lp AS ({_LVLP_SQL})"
 
 
-@register("regression_note_metrics", f"""WITH per AS (SELECT NotitieID, avg(FAC_lvl) AS g, avg(pred_levels_FAC_sents) AS p FROM ({_LVLP_SQL}) GROUP BY 1)
-SELECT (SELECT count(*) FROM per) AS n_notes, count(*) AS n_with_gold, avg(abs(g - p)) AS mae, avg((g - p) * (g - p)) AS mse,
-  sqrt(avg((g - p) * (g - p))) AS rmse FROM per WHERE g IS NOT NULL AND p IS NOT NULL""")
+def _level_rows(spark, d):
+    """(pad_sen_id, NotitieID, domain, gold, pred) of all nine domains."""
+    return EV.domain_rows(_lvl_preds(spark, d), _LEVEL_PAIRS, ["pad_sen_id", "NotitieID"])
+
+
+@register("regression_note_metrics", f"""WITH {_LVLP_CTE}, per AS (SELECT domain, NotitieID, avg(gold) AS g, avg(pred) AS p FROM lp GROUP BY ALL),
+e AS (SELECT domain, CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN g - p END AS e FROM per)
+SELECT domain, count(*) AS n_notes, count(e) AS n_with_gold, avg(abs(e)) AS mae, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse FROM e GROUP BY domain""")
 def regression_note_metrics_q(spark, d):
-    """H10 (+D6): note means of gold/predicted FAC level, MAE/MSE/RMSE."""
-    return EV.regression_note_metrics(_lvl_preds(spark, d), "NotitieID", "FAC_lvl", "pred_levels_FAC_sents")
+    """H10 (+D6): note means of gold and predicted level, MAE/MSE/RMSE of each of the nine domains."""
+    return EV.regression_note_metrics(_level_rows(spark, d), "NotitieID", "gold", "pred", by=["domain"])
 
 
-@register("regression_sentence_metrics", f"""SELECT count(*) AS n, avg(abs(FAC_lvl - pred_levels_FAC_sents)) AS mae,
-  avg((FAC_lvl - pred_levels_FAC_sents) ^ 2) AS mse, sqrt(avg((FAC_lvl - pred_levels_FAC_sents) ^ 2)) AS rmse
-FROM ({_LVLP_SQL}) WHERE FAC_lvl IS NOT NULL""")
+@register("regression_sentence_metrics", f"""WITH {_LVLP_CTE} SELECT domain, count(*) AS n, avg(abs(gold - pred)) AS mae,
+  avg((gold - pred) ^ 2) AS mse, sqrt(avg((gold - pred) ^ 2)) AS rmse FROM lp WHERE gold IS NOT NULL GROUP BY domain""")
 def regression_sentence_metrics_q(spark, d):
-    """MAE/MSE/RMSE on sentence rows."""
-    return EV.regression_metrics(_lvl_preds(spark, d), "FAC_lvl", "pred_levels_FAC_sents")
+    """MAE/MSE/RMSE on sentence rows, per domain."""
+    return EV.regression_metrics(_level_rows(spark, d), "gold", "pred", by=["domain"])
 
 
-@register("mean_preds_per_note", f"SELECT NotitieID, avg(pred_levels_FAC_sents) AS pred_levels_FAC_sents FROM ({_LVLP_SQL}) GROUP BY 1")
+@register("mean_preds_per_note", f"WITH {_LVLP_CTE} SELECT NotitieID, " + ", ".join(
+    f"avg(pred) FILTER (domain = '{dm}') AS pred_levels_{dm}_sents" for dm in DOMAINS) + " FROM lp GROUP BY NotitieID")
 def mean_preds_per_note_q(spark, d):
-    """Mean level prediction per note."""
-    return A.mean_preds_per_note(_lvl_preds(spark, d), "NotitieID", ["pred_levels_FAC_sents"])
+    """Mean level prediction per note, nine domains."""
+    return A.mean_preds_per_note(_lvl_preds(spark, d), "NotitieID", [p for _, p in _LEVEL_PAIRS.values()])
 
 
 _LRAP_LONG = ("SELECT pad_sen_id, unnest(range(1, 10)) AS j, unnest(labels) AS l, unnest(scores) AS s FROM (" + TK.PRED_SQL + ")")
@@ -163,15 +174,15 @@ def join_sentence_context_q(spark, d):
     return j.select("pad_sen_id", "domains", "background", "correct")
 
 
-@register("slice_by_predicted_domain", f"""SELECT 'sent' AS unit, pad_sen_id, FAC_lvl FROM ({_LVLP_SQL}) WHERE pad_sen_id IN (
-  SELECT pad_sen_id FROM ({_L}) WHERE domains = 'FAC' AND preds = 1)
-UNION ALL SELECT 'note', pad_sen_id, FAC_lvl FROM ({_LVLP_SQL}) WHERE NotitieID IN (SELECT NotitieID FROM ({_L}) WHERE domains = 'FAC' AND preds = 1)""")
+@register("slice_by_predicted_domain", f"""WITH {_LVLP_CTE}, pos AS (SELECT DISTINCT pad_sen_id, NotitieID, domains FROM ({_L}) WHERE preds = 1)
+SELECT 'sent' AS unit, pad_sen_id, domain AS domains, gold FROM lp WHERE (pad_sen_id, domain) IN (SELECT (pad_sen_id, domains) FROM pos)
+UNION ALL SELECT 'note', pad_sen_id, domain, gold FROM lp WHERE (NotitieID, domain) IN (SELECT (NotitieID, domains) FROM pos)""")
 def slice_by_predicted_domain_q(spark, d):
-    """Level rows whose sentence / note was predicted FAC."""
-    lv, lp = _lvl_preds(spark, d), TK.long_preds(spark, d)
-    s = CO.slice_by_predicted_domain(lv, lp, "FAC", "sent").select(F.lit("sent").alias("unit"), "pad_sen_id", "FAC_lvl")
-    n = CO.slice_by_predicted_domain(lv, lp, "FAC", "note").select(F.lit("note").alias("unit"), "pad_sen_id", "FAC_lvl")
-    return s.unionByName(n)
+    """Level rows of each domain whose sentence / note was predicted to be of it."""
+    lv, lp = _level_rows(spark, d).withColumnRenamed("domain", "domains"), TK.long_preds(spark, d)
+    cut = [CO.slice_by_predicted_domain(lv, lp, None, unit).select(F.lit(unit).alias("unit"), "pad_sen_id", "domains", "gold")
+           for unit in ("sent", "note")]
+    return cut[0].unionByName(cut[1])
 
 
 @register("route_by_domain", f"SELECT domains, count(*) AS n_sentences FROM ({_L}) WHERE preds = 1 GROUP BY 1")

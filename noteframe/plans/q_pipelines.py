@@ -25,15 +25,15 @@ from noteframe.sources import annotations as AN
 from noteframe.sources import sinks as SK
 
 # ---- a batch from the raw notes: exclusions, cap per source, search, draw --
-#: The SQL's cap. The query has the reference's 50,000, so the two agree while no source has more than 400 notes left.
-CAP = 400
+# fixed value: the cap of a source
+CAP = 50_000
 _REG = "SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1"
 _OUT = f"SELECT NotitieID FROM ({b.NOTES_SQL}) WHERE {H('NotitieID', chr(39) + 'out' + chr(39))} % 20 = 0"
 _POOL_SQL = f"""SELECT * FROM ({b.NOTES_SQL}) WHERE NotitieID NOT IN ({_REG}) AND NotitieID NOT IN ({_OUT})
   QUALIFY row_number() OVER (PARTITION BY institution ORDER BY {H('45', 'NotitieID')}, NotitieID) <= {CAP}"""
 
 
-def _prepared(spark, d, cap=50_000):
+def _prepared(spark, d, cap=CAP):
     n = b.notes(spark, d)
     register_ids = b.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("NotitieID"))
     out = n.filter(md5_bucket("NotitieID", F.lit("out")) % 20 == 0).select("NotitieID")
@@ -155,8 +155,7 @@ def timeline_building_q(spark, d):
             .select(*keys, *LEVEL_COLS))
     notes = CO.join_gold_levels(CO.flag_membership(notes, gold, keys, "annotated"), gold, keys)
     routed = TK.long_preds(spark, d).filter("preds = 1").withColumn("pred", (md5_bucket("pad_sen_id", "domains") % 5).cast("double"))
-    preds = {dm: routed.filter(F.col("domains") == dm).select("pad_sen_id", "pred") for dm in DOMAINS}
-    sent = CO.assemble_domain_levels(TK.sentences(spark, d).select("NotitieID", "pad_sen_id"), preds, key="pad_sen_id")
+    sent = CO.assemble_routed_levels(TK.sentences(spark, d).select("NotitieID", "pad_sen_id"), routed, DOMAINS, key="pad_sen_id")
     per_note = A.mean_preds_per_note(sent, "NotitieID", LEVEL_COLS)
     return CO.backfill_predictions(notes, per_note, LEVEL_COLS).select(*keys, "annotated", *LEVEL_COLS)
 

@@ -265,12 +265,19 @@ def level_dataset_sizes_q(spark, d):
     return R.level_dataset_sizes(S.group_split_3way(lv, "NotitieID", 0.8, TK.SPLIT_SEED))
 
 
-@register("split_leakage_check", f"""WITH ns AS (SELECT DISTINCT MDN, split FROM ({_SENT_SPLIT}))
-SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared_notes FROM ns a JOIN ns b USING (MDN)
-WHERE a.split < b.split GROUP BY ALL""")
+@register("split_leakage_check", f"""WITH s AS (SELECT MDN, NotitieID, split FROM ({_SENT_SPLIT})),
+ns AS (SELECT DISTINCT 'NotitieID' AS unit, NotitieID AS id, split FROM s UNION SELECT DISTINCT 'MDN', MDN, split FROM s),
+p AS (SELECT unit, a.split AS split_a, b.split AS split_b, count(*) AS n FROM ns a JOIN ns b USING (unit, id) WHERE a.split < b.split GROUP BY ALL),
+g AS (SELECT * FROM (VALUES ('NotitieID'), ('MDN')) u(unit), (VALUES ('dev', 'test'), ('dev', 'train'), ('test', 'train')) v(split_a, split_b))
+SELECT unit, split_a, split_b, coalesce(n, 0) AS shared_notes FROM g LEFT JOIN p USING (unit, split_a, split_b)""")
 def split_leakage_check_q(spark, d):
-    """A note-level split leaks patients across splits (by MDN)."""
-    return R.split_leakage_check(_sentences_split(spark, d), "split", "MDN")
+    """A split by note shares no note between its parts (zeros are rows), but it does share patients."""
+    split = _sentences_split(spark, d)
+    found = [R.split_leakage_check(split, "split", unit).withColumn("unit", F.lit(unit)) for unit in ("NotitieID", "MDN")]
+    pairs = spark.createDataFrame([(u, a, z) for u in ("NotitieID", "MDN") for a, z in (("dev", "test"), ("dev", "train"), ("test", "train"))],
+                                  "unit string, split_a string, split_b string")
+    return (pairs.join(found[0].unionByName(found[1]), ["unit", "split_a", "split_b"], "left")
+            .withColumn("shared_notes", F.coalesce("shared_notes", F.lit(0))))
 
 
 @register("patient_nonnull_counts", f"SELECT MDN, count(institution) AS institution, count(NotitieID) AS NotitieID, "

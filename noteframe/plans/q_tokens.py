@@ -222,12 +222,17 @@ def domain_gold_slice_q(spark, d):
     return C.domain_gold_slice(lv, "FAC").select("pad_sen_id", "NotitieID", "labels")
 
 
-@register("annotator_alias", "WITH a AS (SELECT DISTINCT annotator FROM (" + b.TOKENS_RAW_SQL + ")), "
+# names of which one has an initial of its own
+_NAMES = {"ann_a": "anna", "ann_b": "bert", "ann_c": "bob"}
+
+
+@register("annotator_alias", "WITH a AS (SELECT DISTINCT CASE annotator " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items())
+          + " END AS annotator FROM (" + b.TOKENS_RAW_SQL + ")), "
           "u AS (SELECT substr(annotator, 1, 1) AS ini, count(*) AS n FROM a GROUP BY 1) "
           "SELECT annotator, CASE WHEN n = 1 THEN ini ELSE annotator END AS alias FROM a JOIN u ON substr(annotator, 1, 1) = ini")
 def annotator_alias_q(spark, d):
-    """First-letter alias only when unique (here all start with 'a')."""
-    t = b.tokens_raw(spark, d).select("annotator").distinct()
+    """First-letter alias only when unique: one annotator has one, two share an initial."""
+    t = b.tokens_raw(spark, d).select("annotator").distinct().replace(_NAMES, subset=["annotator"])
     return C.annotator_alias(t, "annotator", "alias").select("annotator", "alias")
 
 

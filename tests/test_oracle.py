@@ -43,4 +43,5 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_marked():
     from noteframe.plans import registry
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    # models that SQL cannot fit: test_models.py holds them against their predictions
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"model_predictions", "fitted_model_metrics"}
