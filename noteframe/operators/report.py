@@ -315,6 +315,47 @@ def notes_crosstab(df: DataFrame, date: str, id_col: str, values: Sequence | Non
     return df.groupBy(date).pivot(id_col, list(values)).count().fillna(0)
 
 
+def write_crosstab(df: DataFrame, path: str, date: str, id_col: str, width: int = 500) -> None:
+    """D32 wide, without a list of patients: a block pivot.
+
+    The patients are ranked and dealt into blocks of ``width`` columns; the
+    cells are written by block, one set of files each, as columns ``c0``,
+    ``c1``, ..., beside the names of the columns and the dates. No block is
+    wider than ``width``, however many patients there are. Rows without date
+    or patient are left out.
+    """
+    from noteframe.operators.sampling import global_rank
+    df = df.select(F.col(date).alias("_date"), F.col(id_col).cast("string").alias("_id")).where("_date IS NOT NULL AND _id IS NOT NULL")
+    ranked = global_rank(df.select("_id").distinct(), ["_id"], "_r")
+    place = ranked.select("_id", F.floor(F.col("_r") / width).cast("int").alias("block"), (F.col("_r") % width).cast("int").alias("pos"))
+    counts = df.groupBy("_date", "_id").agg(F.count("*").alias("n")).join(place, "_id")
+    wide = (counts.groupBy("block", F.col("_date").alias(date)).pivot("pos", list(range(width))).agg(F.sum("n")).fillna(0)
+            .withColumnsRenamed({str(i): f"c{i}" for i in range(width)}))
+    # by block, and by date within it: a block of many dates is several files
+    wide.repartition("block", date).write.mode("overwrite").partitionBy("block").parquet(f"{path}/cells")
+    place.select("block", "pos", F.col("_id").alias("id")).write.mode("overwrite").parquet(f"{path}/columns")
+    df.select(F.col("_date").alias(date)).distinct().write.mode("overwrite").parquet(f"{path}/dates")
+
+
+def read_crosstab_block(spark, path: str, block: int) -> DataFrame:
+    """One block of :func:`write_crosstab`: a row for every date, a column named for every patient of the block."""
+    names = [r["id"] for r in spark.read.parquet(f"{path}/columns").where(F.col("block") == block).orderBy("pos").collect()]
+    cells = spark.read.parquet(f"{path}/cells").where(F.col("block") == block)
+    dates = spark.read.parquet(f"{path}/dates")
+    date = dates.columns[0]
+    kept = cells.select(date, *[F.col(f"c{i}") for i in range(len(names))])
+    return dates.join(kept, date, "left").fillna(0).toDF(date, *names)
+
+
+def read_crosstab(spark, path: str) -> DataFrame:
+    """(date, patient, n): the cells of all blocks that are not zero, in long form."""
+    cells = spark.read.parquet(f"{path}/cells")
+    date = spark.read.parquet(f"{path}/dates").columns[0]
+    counts = F.array(*[F.col(c) for c in cells.columns if c not in (date, "block")])
+    long = cells.select(date, "block", F.posexplode(counts).alias("pos", "n")).where("n > 0")
+    return long.join(spark.read.parquet(f"{path}/columns"), ["block", "pos"]).select(date, "id", "n")
+
+
 def notes_per_patient_day(df: DataFrame, id_col: str = "MDN", date: str = "Notitiedatum") -> DataFrame:
     """Note counts per (patient, date)."""
     return df.groupBy(id_col, date).agg(F.count("*").alias("n"))

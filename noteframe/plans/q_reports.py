@@ -328,3 +328,12 @@ def raters_per_note_q(spark, d):
 def notes_crosstab_q(spark, d):
     """D32 (long form): notes per date and patient."""
     return R.notes_crosstab(b.timeline(spark, d), "Notitiedatum", "MDN")
+
+
+@register("notes_crosstab_wide", f"SELECT Notitiedatum, MDN AS id, count(*) AS n FROM ({_T}) GROUP BY ALL")
+def notes_crosstab_wide_q(spark, d):
+    """D32 (wide): dates by patients in blocks of 64 columns, written and read back cell by cell."""
+    from noteframe.plans.q_sources import _scratch
+    path = _scratch(spark, "crosstab")
+    R.write_crosstab(b.timeline(spark, d), path, "Notitiedatum", "MDN", 64)
+    return R.read_crosstab(spark, path)

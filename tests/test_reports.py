@@ -45,3 +45,26 @@ def test_kappa_leaves_single_rater_notes_out(spark):
     votes = [("n1", "a", True), ("n1", "b", True), ("n2", "a", False), ("n2", "b", False), ("n3", "a", True)]
     df = spark.createDataFrame(votes, "NotitieID string, annotator string, D boolean")
     assert fleiss_kappa(df, ["D"]).first()["kappa"] == 1.0
+
+
+def test_wide_crosstab_equals_pandas(spark, tmp_path):
+    """Patients found from the data, dealt into narrow blocks; a date without notes of a block's patients is a row of zeros."""
+    import datetime as dt
+    import random
+
+    import pandas as pd
+
+    from noteframe.operators import report as R
+    rng = random.Random(3)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(12)), f"p {rng.randrange(23)}.{i % 2}") for i in range(150)] + [(None, "p"), (dt.date(2020, 1, 2), None)]
+    df = spark.createDataFrame(rows, "Notitiedatum date, MDN string")
+    path = str(tmp_path / "x")
+    R.write_crosstab(df, path, "Notitiedatum", "MDN", 7)
+    pdf = pd.DataFrame(rows, columns=df.columns).dropna()
+    want = pd.crosstab(pdf.Notitiedatum, pdf.MDN)
+    blocks = [R.read_crosstab_block(spark, path, i).toPandas().set_index("Notitiedatum").sort_index() for i in range(-(-want.shape[1] // 7))]
+    got = pd.concat(blocks, axis=1)
+    assert all(b.shape[1] <= 7 for b in blocks) and list(got.columns) == sorted(want.columns)
+    assert (got[want.columns].to_numpy() == want.to_numpy()).all() and list(got.index) == list(want.index)
+    long = {(r["Notitiedatum"], r["id"]): r["n"] for r in R.read_crosstab(spark, path).collect()}
+    assert long == {(d, i): n for d, line in want.iterrows() for i, n in line.items() if n}

@@ -13,6 +13,7 @@ from noteframe.sources import annotations as AN
 from noteframe.sources import notes as SN
 from noteframe.sources import register as RG
 from noteframe.sources import sinks as SK
+from noteframe.streaming import register_stream as RS
 from noteframe.streaming.register_stream import start_register_stream
 
 
@@ -120,3 +121,41 @@ def test_annotation_paths_are_decoded(spark, tmp_path):
     (folder / "ann_a.tsv").write_text("#x\n\n1-1\t0-3\tabc\t_\t_\n")
     r = scan_annotation_tsv(spark, str(tmp_path)).first()
     assert (r["institution"], r["NotitieID"], r["annotator"]) == ("hosp a", "1%2", "ann_a")
+
+
+def test_register_replay_and_half_written_batch(spark):
+    """A replayed batch gives the same folder, whatever a failed try left; earlier batches stay first; a new stream does not touch an old one's folders."""
+    d = _tmp()
+    reg = os.path.join(d, "register")
+    columns = ", ".join(f"`{c}` string" for c in RG.REGISTER_COLS)
+    spark.createDataFrame([], f"{columns}, {RS._PLACE}").write.partitionBy("reg_run", "reg_batch", "reg_bucket").parquet(reg)
+    schema = "institution string, year string, MDN string, NotitieID string, batch string"
+    first = spark.createDataFrame([("a", "2020", str(i), f"n{i}", "w1") for i in range(40)] + [("b", "2020", "x", "n1", "w0")], schema)
+    second = spark.createDataFrame([("a", "2021", str(i), f"n{i}", "w2") for i in range(30, 60)] + [("a", "2021", "z", None, "w2")] * 2, schema)
+    rows = lambda: sorted((str(r["NotitieID"]), r["batch"], r["reg_run"], r["reg_batch"]) for r in RS.read_stream_register(spark, reg).collect())
+    RS.append_batch(first, 0, reg, "r1")
+    RS.append_batch(second, 1, reg, "r1")
+    want = sorted([(f"n{i}", "w0" if i == 1 else "w1", "r1", 0) for i in range(40)] + [(f"n{i}", "w2", "r1", 1) for i in range(40, 60)] + [("None", "w2", "r1", 1)])
+    assert rows() == want
+    RS.append_batch(second, 1, reg, "r1")  # replayed whole
+    assert rows() == want
+    half = os.path.join(reg, "reg_run=r1", "reg_batch=1")  # a failed try had filed other buckets' rows and part of its own
+    second.limit(3).selectExpr(*schema.replace(" string", "").split(", "), "cast(null AS string) AS legacy_rawfile", "7 AS reg_bucket").write.mode(
+        "append").partitionBy("reg_bucket").parquet(half)
+    assert rows() != want
+    RS.append_batch(second, 1, reg, "r1")
+    assert rows() == want
+    RS.append_batch(second, 0, reg, "r2")  # another stream begins its batches at 0 again and finds all notes filed
+    assert rows() == want
+
+
+def test_micro_batch_reads_only_its_buckets(spark):
+    d = _tmp()
+    reg = os.path.join(d, "register")
+    columns = ", ".join(f"`{c}` string" for c in RG.REGISTER_COLS)
+    spark.createDataFrame([], f"{columns}, {RS._PLACE}").write.partitionBy("reg_run", "reg_batch", "reg_bucket").parquet(reg)
+    many = spark.range(2000).selectExpr("concat('n', id) AS NotitieID", "'w' AS batch")
+    RS.append_batch(many, 0, reg, "r")
+    assert RS.read_stream_register(spark, reg).select("reg_bucket").distinct().count() == RS.BUCKETS
+    part = RS.read_stream_register(spark, reg).where(F.col("reg_bucket").isin([3]))
+    assert len(part.inputFiles()) > len(set(part.select(F.input_file_name()).distinct().collect())) == 1
