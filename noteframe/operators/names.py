@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from noteframe.operators.keyword_index import fold_case
 from noteframe.operators.nlp import TOKEN_RX
+from noteframe.session import write_shared
 
 #: tokens, and the white space between them
 _PIECES = TOKEN_RX + r"|\s+"
@@ -44,19 +45,22 @@ def name_table(names: DataFrame, ignore_case: bool = False) -> DataFrame:
 def mark_names(df: DataFrame, names: DataFrame, text: str, ignore_case: bool = False) -> DataFrame:
     """``df`` with ``_m``, the matches (start, end, label) as places of the text's pieces, in order and none overlapping; null without any.
 
-    Equal texts are searched under one key. Shuffled are each text once, its
-    distinct tokens, and the phrases that begin like a name.
+    Equal texts are searched under one key. Shuffled are each text twice, the
+    phrases that begin like a name and, where first tokens are many, the
+    distinct tokens of texts. The first tokens and the texts that have one are
+    written to the shared folder when this is called.
     """
     token = fold_case if ignore_case else (lambda t: t)
-    table = name_table(names, ignore_case)
+    # written, so that Spark knows whether the table and its first tokens are small
+    table = write_shared(name_table(names, ignore_case), "names")
     keyed = df.withColumn("_key", F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TOKEN_RX), 0))
     own = keyed.select("_key", F.explode(F.array_distinct(F.transform(tokens, token))).alias("first"))
-    lengths = table.groupBy("first").agg(F.collect_set("n").alias("ns"))
-    firsts = (own.join(lengths, "first").distinct().groupBy("_key")
-              .agg(F.map_from_entries(F.collect_list(F.struct("first", "ns"))).alias("_firsts")))
-    marked = keyed.join(firsts, "_key", "left")
-    some = marked.where("_firsts IS NOT NULL").select("_key", "_firsts", _tokens(F.col(text)).alias("_t"))
+    lengths = write_shared(table.groupBy("first").agg(F.collect_set("n").alias("ns")), "first-tokens")
+    firsts = write_shared(own.join(lengths, "first").groupBy("_key")
+                          .agg(F.map_from_entries(F.collect_set(F.struct("first", "ns"))).alias("_firsts")), "texts-with-names")
+    marked = keyed.join(firsts, "_key")
+    some = marked.select("_key", "_firsts", F.explode(F.array(_tokens(F.col(text)))).alias("_t"))
     at = F.transform("_t", lambda x, i: F.struct(i.alias("i"), F.element_at("_firsts", token(x["t"])).alias("ns")))
     # within the row: an exploded row must not carry the whole text
     begun = F.flatten(F.transform(F.filter(at, lambda x: x["ns"].isNotNull()), lambda x: F.transform(
@@ -75,7 +79,7 @@ def mark_names(df: DataFrame, names: DataFrame, text: str, ignore_case: bool = F
                     "(t, m) -> if(m.start > t.last, struct(m.end AS last, concat(t.taken, array(m)) AS taken), t)).taken")
     kept = (runs.select("_key", F.explode(chosen).alias("m")).groupBy("_key")
             .agg(F.array_sort(F.collect_list(F.struct("m.start", "m.end", "m.label"))).alias("_m")))
-    return marked.join(kept, "_key", "left").drop("_key", "_firsts")
+    return keyed.join(kept, "_key", "left").drop("_key")
 
 
 def anonymize_names(df: DataFrame, names: DataFrame, text: str = "text", out: str = "text", len_out: str = "len_text",
@@ -86,7 +90,7 @@ def anonymize_names(df: DataFrame, names: DataFrame, text: str = "text", out: st
     follow each other, whatever white space is between them. A null text stays
     null, with a null count.
     """
-    j = mark_names(df, names, text, ignore_case).withColumn("_p", _pieces(F.col(text)))
+    j = mark_names(df, names, text, ignore_case).withColumn("_p", F.explode(F.array(_pieces(F.col(text)))))
     # what stands between two matches, then the label
     begin = "if(k = 0, 0, _m[k - 1].end + 1)"
     parts = F.expr(f"transform(_m, (m, k) -> concat(array_join(slice(_p, {begin} + 1, m.start - {begin}), ''), m.label))")
