@@ -20,6 +20,8 @@ from noteframe.session import write_shared
 ABBREVIATION, STARTER = 0.3, 30.0
 #: a stretch up to a sign that may end a sentence and the white space after it, to a line break, or to the end
 CHUNK = r"(?s).+?(?:[.!?]\s+|\n|\z)"
+# white space within a line
+_BLANKS = " \t\x0b\f\r"
 _OPENING, _CLOSING = rf"^[^{WORD}]+", rf"[^{WORD}.]+$"
 
 
@@ -44,15 +46,13 @@ def _plain(word: Column) -> Column:
 
 def stops(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(*keep, k, word, next, upper): full stops within a line that another stretch follows, with the words around them."""
-    # looked at from the end, where a pattern has one place to begin
-    back = lambda c: F.reverse(c)
+    bare = lambda c: F.rtrim(c, F.lit(_BLANKS))
     pairs = F.transform(F.col("_c"), lambda c, k: F.when(
-        (k + 1 < F.size("_c")) & back(F.substring(c, -40, 40)).rlike(r"^[^\S\n]+\.") | back(c).rlike(r"^[^\S\n]{40}"),
-        F.struct(k.alias("k"), c.alias("c"), F.get(F.col("_c"), k + 1).alias("d"))))
-    at = (df.select(*keep, chunks(F.col(text)).alias("_c")).select(*keep, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x"))
-          .where(F.col("x.d").isNotNull() & back(F.col("x.c")).rlike(r"^[^\S\n]+\.")))
+        (k + 1 < F.size("_c")) & bare(c).endswith("."), F.struct(k.alias("k"), bare(c).alias("c"), F.get(F.col("_c"), k + 1).alias("d"))))
+    at = (df.select(*keep, chunks(F.col(text)).alias("_c"))
+          .select(*keep, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x")))
     first = F.regexp_extract("x.d", rf"^[^{WORD}]*([{WORD}]+)", 1)
-    word = word_type(F.reverse(F.regexp_extract(back(F.col("x.c")), r"^\s*(\S+)", 1)))
+    word = word_type(F.substring_index(F.translate("x.c", _BLANKS[1:] + "\n", " " * 5), " ", -1))
     return at.select(*keep, F.col("x.k").alias("k"), _once(F.struct(_plain(word).alias("w"), first.alias("f"))).alias("y")).select(
         *keep, "k", F.col("y.w").alias("word"), F.lower("y.f").alias("next"), F.col("y.f").rlike(r"^\p{Lu}").alias("upper"))
 
@@ -148,7 +148,7 @@ def learned_sentences(df: DataFrame, text: str, abbreviations: DataFrame, starte
     joined = joined.withColumn("_at", F.map_from_entries(F.transform(F.coalesce("_inside", none), lambda k: F.struct(k, F.lit(True)))))
     ended = F.transform(chunks(F.col(text)), lambda c, k: F.when(F.element_at("_at", k).isNotNull(), c).otherwise(F.concat(c, F.lit("\n"))))
     parts = F.transform(F.split(F.array_join(ended, ""), "\n"), lambda s: F.trim(s))
-    return joined.withColumn(out, F.when(F.col(text).isNotNull(), F.filter(parts, lambda s: s != ""))).select(
+    return joined.withColumn(out, _once(F.when(F.col(text).isNotNull(), F.filter(parts, lambda s: s != "")))).select(
         *[c for c in df.columns if c != out], out)
 
 
