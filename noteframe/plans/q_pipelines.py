@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteframe.functions.domains import DOMAINS, LEVEL_COLS
 from noteframe.functions.hashing import md5_bucket, sql_md5_bucket as H
-from noteframe.functions.text import normalize_whitespace
+from noteframe.functions.text import normalize_whitespace, pad_number
 from noteframe.operators import assemble as A
 from noteframe.operators import clean as C
 from noteframe.operators import cohort as CO
@@ -18,6 +18,7 @@ from noteframe.operators import sampling as S
 from noteframe.operators import sets as U
 from noteframe.plans import bindings as b
 from noteframe.plans import tokens as TK
+from noteframe.plans import q_sampling as QS
 from noteframe.plans.q_sampling import BATCH, SEED, select_sql
 from noteframe.plans.q_sources import _RULES, _TOK_SQL_RX, _scratch, CONLL_SQL
 from noteframe.plans.registry import register
@@ -65,6 +66,29 @@ _ANON = f"regexp_replace(regexp_replace(text_raw, '{_RULES['PERSON']}', 'PERSON'
 _GIVEN_SQL = f"CASE WHEN {H('NotitieID', chr(39) + 'given' + chr(39))} % 10 = 0 THEN 'dev' WHEN {H('NotitieID', chr(39) + 'given' + chr(39))} % 10 = 1 THEN 'test' ELSE 'train' END"
 
 
+# positive sentences of the pilot, with the text of their tokens: four domains, the others 0
+_PILOT_TEXT_SQL = f"""SELECT 'pilot_' || p.id AS pad_sen_id, labels, t.text_raw FROM (
+  SELECT replace(pad_sen_id, 'pilot_', '') AS id, labels FROM ({QS._PILOT_SQL}) WHERE list_max(labels) > 0) p JOIN (
+  SELECT NotitieID || '_' || CASE WHEN length(sen) >= 4 THEN sen ELSE lpad(sen, 4, '0') END AS id, string_agg(token, ' ' ORDER BY tok) AS text_raw
+  FROM (SELECT DISTINCT NotitieID, split_part(sen_tok, '-', 1) AS sen, CAST(split_part(sen_tok, '-', 2) AS INTEGER) AS tok, token
+        FROM ({b.TOKENS_RAW_SQL})) GROUP BY 1) t USING (id)"""
+
+
+def _pilot_sql(split: str) -> str:
+    return f"""SELECT '{split}' AS mode, pad_sen_id, 'train' AS split, md5(t) AS text_md5, len(regexp_extract_all(t, '{_TOK_SQL_RX}')) AS len_text,
+  array_to_string(labels, ',') AS labels FROM (SELECT *, {_ANON} AS t FROM ({_PILOT_TEXT_SQL}))"""
+
+
+def pilot_with_text(spark, d):
+    """(pad_sen_id, labels, text, len_text): positive pilot sentences, their tokens joined and anonymised."""
+    place = F.split("sen_tok", "-")
+    t = b.tokens_raw(spark, d).select("NotitieID", F.get(place, 0).alias("sen"), F.get(place, 1).cast("int").alias("tok"), "token").distinct()
+    text = (t.groupBy(F.concat(F.lit("pilot_"), "NotitieID", F.lit("_"), pad_number("sen")).alias("pad_sen_id"))
+            .agg(F.array_sort(F.collect_list(F.struct("tok", "token"))).alias("w"))  # one sentence's tokens
+            .select("pad_sen_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("text_raw")))
+    return NL.anonymize_by_rules(QS._pilot_sentences(spark, d).join(text, "pad_sen_id"), _RULES, "text_raw", out="text")
+
+
 def _domain_sql(split: str) -> str:
     base = _SPLIT_SQL if split == "drawn" else f"SELECT *, {_GIVEN_SQL} AS split FROM ({TK.SENT_SQL})"
     return f"""SELECT '{split}' AS mode, pad_sen_id, split, md5(t) AS text_md5, len(regexp_extract_all(t, '{_TOK_SQL_RX}')) AS len_text,
@@ -72,10 +96,11 @@ def _domain_sql(split: str) -> str:
   WHERE NOT (split = 'train' AND (coalesce(background_sent, false) OR coalesce(target_sent, false)) AND list_max(labels) = 0)"""
 
 
-@register("domain_dataset", _domain_sql("drawn") + " UNION ALL " + _domain_sql("given"))
+@register("domain_dataset", " UNION ALL ".join(f(mode) for mode in ("drawn", "given") for f in (_domain_sql, _pilot_sql)))
 def domain_dataset_q(spark, d):
-    """D2, G6, S8 or C5, B11: sentences with anonymised text and length; split 80/10/10 by note,
-    or by given dev and test ids; background sentences without labels leave the training part."""
+    """D2, G6, S8 or C5, B11, S11: sentences with anonymised text and length; split 80/10/10 by note,
+    or by given dev and test ids; background sentences without labels leave the training part, positive
+    sentences of the pilot join it."""
     s = NL.anonymize_by_rules(TK.sentences(spark, d), _RULES, "text_raw", out="text")
     bucket = md5_bucket("NotitieID", F.lit("given")) % 10
     given = (s.select("NotitieID").distinct().filter(bucket < 2)
@@ -83,7 +108,9 @@ def domain_dataset_q(spark, d):
     drawn = S.group_split_3way(s, "NotitieID", 0.8, TK.SPLIT_SEED).withColumn("mode", F.lit("drawn"))
     both = drawn.unionByName(CO.split_by_reference(s, given).withColumn("mode", F.lit("given")))
     train = C.exclude_background_negatives(both.filter("split = 'train'"))
-    rows = train.unionByName(both.filter("split <> 'train'"))
+    pilot = (pilot_with_text(spark, d).withColumns({"split": F.lit("train"), "mode": F.explode(F.array(F.lit("drawn"), F.lit("given")))}))
+    mixed = S.seeded_annotation_mix(train, pilot.select("mode", "pad_sen_id", "split", "text", "len_text", "labels"))
+    rows = mixed.unionByName(both.filter("split <> 'train'"), allowMissingColumns=True)
     return rows.select("mode", "pad_sen_id", "split", F.md5("text").alias("text_md5"), "len_text",
                        F.array_join("labels", ",").alias("labels"))
 
