@@ -59,7 +59,7 @@ WITH l AS (
            CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents)),
 s AS (SELECT doc_id, line, list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS ws FROM l),
-k AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, ws, len(ws) AS m FROM s WHERE len(ws) >= 5),
+k AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, ws, len(ws) AS m FROM s WHERE len(ws) >= 1),
 w AS (SELECT id, unnest(ws) AS w FROM k),
 f AS (SELECT w, count(*) AS c FROM w GROUP BY w),
 o AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS pos FROM w JOIN f USING (w)),

@@ -72,3 +72,14 @@ def test_repeated_rows_keep_one_copy(spark):
     assert [r["text"] for r in once.where("doc_id = 1000000").collect()] == [only, only]
     single = common.write_table(steps["near_dedup"](spark, once, SF), "t")
     assert [r["text"] for r in single.where("doc_id = 1000000").collect()] == [only]
+
+
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
+    """Two texts under one id are no copies of each other; columns named like the operators' own keep their values."""
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two"))
+    docs = spark.createDataFrame([(1, one, "7"), (1, two, "8"), (1, two, "8")], "doc_id long, text string, n_removed string")
+    steps = dict(corpus_pipeline.STAGES)
+    once = common.write_table(steps["line_dedup"](spark, docs, SF), "t")
+    assert sorted(map(tuple, once.collect())) == [(1, one, "7"), (1, two, "8"), (1, two, "8")]
+    single = common.write_table(steps["near_dedup"](spark, once, SF), "t")
+    assert sorted(map(tuple, single.collect())) == [(1, one, "7"), (1, two, "8")]

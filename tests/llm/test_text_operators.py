@@ -101,7 +101,7 @@ def test_jaccard_join_odd_rows(odd_documents, no_documents):
 
 def brute_lines(texts):
     rows = [(d, k, frozenset(words_of(t))) for d in sorted(texts) for k, t in enumerate((texts[d] or "").split("\n"))]
-    rows = [r for r in rows if len(r[2]) >= 5]
+    rows = [r for r in rows if r[2]]
     inverted, gone = collections.defaultdict(list), set()
     for i, (d, k, s) in enumerate(rows):
         met = collections.Counter(j for w in s for j in inverted[w])
@@ -150,6 +150,21 @@ def test_line_dedup_repeated_rows(spark):
         assert got == [(4, first, 0)] * 2 + [(5, text[5], 0)] * 3 + [(8, "short", 2)] * 2 + [(9, "", 1)]
 
 
+def test_line_dedup_has_no_floor(spark):
+    """Lines of one to four words and lines without blanks are removed where they repeat; four words match five."""
+    block = "".join(chr(0x4E00 + i) for i in range(40))
+    texts = {1: f"one\nsame four words here\n{block}\n\na b c d", 2: "one two\nsame four words here\nA B C D E\nx y z", 3: f"one\n\n{block}\nx y w\nz y x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
+    assert got == {1: (texts[1], 0), 2: ("one two\nx y z", 2), 3: ("\nx y w", 3)}
+
+
+def test_line_dedup_of_columns_with_its_names(spark):
+    df = spark.createDataFrame([(1, "a b", "seven", 7.5), (2, "a b", None, None)], "doc_id long, text string, n_removed string, n_lines double")
+    got = sorted(tuple(r) for r in lines.dedup_lines(df, added=("lines", "gone")).collect())
+    assert got == [(1, "a b", "seven", 7.5, 1, 0), (2, "", None, None, 1, 1)]
+
+
 # ---- 6
 
 def brute_repeats(texts):
