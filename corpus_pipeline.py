@@ -31,19 +31,25 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines that an earlier line matches go, and documents that lose all their words with them."""
     common.ship_code(spark)
-    kept = lines.dedup_lines(docs).where(r"n_removed = 0 OR text RLIKE '[^\\s]'")
+    name = "_lines"
+    while any(c.lower().startswith(name) for c in docs.columns):  # columns of the documents keep their names and values
+        name = "_" + name
+    kept = lines.dedup_lines(docs, added=(name, f"{name}_gone")).where(rf"{name}_gone = 0 OR text RLIKE '[^\\s]'")
     return _measured(kept, docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near copies the document with the smallest id stays (one row of it).
+    """Operator 10: of each group of near copies the document with the smallest id stays.
 
-    Rows without id belong to no group and stay.
+    Of rows that repeat an id with the same text one stays; rows that repeat it
+    with other texts are no copies by that and stay with their id. Rows without
+    id belong to no group and stay.
     """
     common.ship_code(spark)
     groups = jaccard.jaccard_components(docs)
     stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(stays, "doc_id", "left_semi")
+    kept = kept.withColumn("_text_hash", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
