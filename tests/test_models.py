@@ -23,4 +23,6 @@ def test_metrics_are_those_of_the_predictions(spark):
         assert got[key][0] == len(pairs) and abs(got[key][1] - accuracy) < 1e-12 and abs(got[key][2] - sum(f1) / len(f1)) < 1e-12
         assert {p for _, p in pairs} <= seen
         assert accuracy > Counter(y for y, _ in pairs).most_common(1)[0][1] / len(pairs)
+    valid = {(r["model"], r["split"]): (r["n"], r["valid"], r["bayes_accuracy"]) for r in E.queries()["model_metrics"](spark, SF).collect()}
+    assert valid == {k: (v[0], True, v[1] if k[0] == "naive_bayes" else None) for k, v in got.items()}  # all five models
     assert all(got[m, "train"][1] > 0.9 for m in ("decision_tree", "random_forest"))
