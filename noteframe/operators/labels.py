@@ -63,9 +63,8 @@ def parse_labels(df: DataFrame, tag_names: Sequence[str], label: str = "label")
     cols = {}
     for name in idx:
         if name.endswith("_lvl"):
-            code = name[:3].lower()
-            digit = F.regexp_extract(lab, f"{code}(\\d)", 1)
-            val = F.when(digit != "", digit.cast("int"))
+            code = name[:3].lower()  # looked for first: the pattern costs more, and once a label
+            val = F.when(lab.contains(code), F.regexp_extract(lab, f"{code}(\\d)", 1).try_cast("int"))
         else:
             val = lab.contains(name)
         cols[name] = F.when(has, val)

@@ -117,7 +117,7 @@ def group_split_3way_q(spark, d):
 
 
 def _pilot_sentences(spark, d):
-    t = b.tokens_raw(spark, d).select("NotitieID", "sen_tok").distinct().withColumn("label", _pilot_label_spark())
+    t = b.tokens_by_note(spark, d).select("NotitieID", "sen_tok").distinct().withColumn("label", _pilot_label_spark())
     p = C.add_pad_sen_id(C.split_sen_tok(P.parse_labels_legacy(t, TAGSET_PILOT)))
     s = p.groupBy("pad_sen_id").agg(*[F.max(F.col(x).cast("int")).alias(x) for x in PILOT_DOMAINS])
     s = C.multi_hot_partial(s, PILOT_DOMAINS)
