@@ -13,6 +13,7 @@ from noteframe.operators import sampling as S
 from noteframe.plans import bindings as b
 from noteframe.plans import tokens as TK
 from noteframe.plans.registry import register
+from noteframe.session import write_shared
 
 _N = b.NOTES_SQL
 _T = b.TIMELINE_SQL
@@ -231,7 +232,9 @@ _SENT_SPLIT = TK.split_sql(TK.SENT_SQL)
 
 
 def _sentences_split(spark, d):
-    return S.group_split_3way(TK.sentences(spark, d), "NotitieID", 0.8, TK.SPLIT_SEED)
+    # written, without the text: the limits of the split are found in it, and it is read once per use
+    s = write_shared(TK.sentences(spark, d).select("MDN", "NotitieID", "labels"), "sentence-labels")
+    return S.group_split_3way(s, "NotitieID", 0.8, TK.SPLIT_SEED)
 
 
 def _balance_sql(base: str) -> str:
