@@ -12,6 +12,7 @@ from noteframe.plans import bindings as b
 from noteframe.plans import tokens as TK
 from noteframe.plans.q_reports import DIAG_SQL, diagnoses
 from noteframe.plans.registry import register
+from noteframe.session import write_shared
 
 _N = b.NOTES_SQL
 _T = b.TIMELINE_SQL
@@ -90,7 +91,8 @@ _SL = f"SELECT NotitieID, pad_sen_id, {', '.join(f'avg({c}) AS {c}' for c in LEV
 def assemble_domain_levels_q(spark, d):
     """One level-prediction frame per domain back onto the sentences."""
     s = TK.sentences(spark, d).withColumn("row_id", F.col("pad_sen_id"))
-    lv = A.sentence_mean_levels(TK.clean(spark, d))
+    # written: nine frames come of it
+    lv = write_shared(A.sentence_mean_levels(TK.clean(spark, d)).select("pad_sen_id", *LEVEL_COLS), "sentence-levels")
     preds = {dm: lv.select(F.col("pad_sen_id").alias("row_id"), (F.col(f"{dm}_lvl") + 0.5).alias("pred")) for dm in DOMAINS}
     return CO.assemble_domain_levels(s, preds).select("pad_sen_id", *[f"{dm}_lvl" for dm in DOMAINS])
 
