@@ -12,6 +12,7 @@ from noteframe.operators import evaluate as EV
 from noteframe.operators import sampling as S
 from noteframe.plans import tokens as TK
 from noteframe.plans.registry import register
+from noteframe.session import write_shared
 
 _L = TK.LONG_SQL
 
@@ -179,7 +180,9 @@ SELECT 'sent' AS unit, pad_sen_id, domain AS domains, gold FROM lp WHERE (pad_se
 UNION ALL SELECT 'note', pad_sen_id, domain, gold FROM lp WHERE (NotitieID, domain) IN (SELECT (NotitieID, domains) FROM pos)""")
 def slice_by_predicted_domain_q(spark, d):
     """Level rows of each domain whose sentence / note was predicted to be of it."""
-    lv, lp = _level_rows(spark, d).withColumnRenamed("domain", "domains"), TK.long_preds(spark, d)
+    # both are written, without the text: they are read once per unit
+    lv = write_shared(_level_rows(spark, d).select("pad_sen_id", "NotitieID", F.col("domain").alias("domains"), "gold"), "level-rows")
+    lp = write_shared(TK.long_preds(spark, d).select("pad_sen_id", "NotitieID", "domains", "preds"), "long-preds")
     cut = [CO.slice_by_predicted_domain(lv, lp, None, unit).select(F.lit(unit).alias("unit"), "pad_sen_id", "domains", "gold")
            for unit in ("sent", "note")]
     return cut[0].unionByName(cut[1])
