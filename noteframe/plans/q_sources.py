@@ -188,7 +188,9 @@ def split_sentences_q(spark, d):
     SELECT doc_id, unnest(range(len(s))) AS sen_no, unnest(s) AS sentence FROM (SELECT doc_id, {_sents('text')} AS s FROM documents)))""")
 def tokenize_q(spark, d):
     """Tokens per sentence: count, first one, and a hash of all in order."""
-    t = NL.tokenize(b.table(spark, d, "documents"), "doc_id", "text")
+    # dealt by document before the split: the sentences' tokens are gathered where they are made
+    doc = b.table(spark, d, "documents").select("doc_id", "text")
+    t = NL.tokenize(doc.repartition(b.parts_by_size(b.table(spark, d, "documents"), 4 << 20), "doc_id"), "doc_id", "text")
     inside = F.transform(F.array_sort(F.collect_list(F.struct("tok", "token"))), lambda x: x["token"])  # one sentence
     return t.groupBy("doc_id", "sen_no").agg(F.count("*").alias("n_tokens"), F.min_by("token", "tok").alias("first_token"),
                                              F.md5(F.array_join(inside, "\t")).alias("tokens_md5"))
