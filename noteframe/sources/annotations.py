@@ -16,11 +16,12 @@ META_COLS = ["annotator", "institution", "year", "MDN", "NotitieID", "batch", "l
 
 
 def _file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    # the last part first: over a whole path the pattern's time grows with the square of its length
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"([^/]+?)(\.[^./]*)?$", 1)
 
 
 def _parent_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?/[^/]+$", 1)
+    return F.regexp_extract(F.substring_index(path, "/", -2), r"([^/]+?)(\.[^./]*)?/[^/]+$", 1)
 
 
 def parse_filename_default(path: Column) -> Column:
@@ -72,7 +73,8 @@ def scan_annotation_tsv(spark: SparkSession, path: str,
     out = lines.select(*[F.get(parts, i).alias(c) for i, c in enumerate(TSV_COLS)], "path")
     if parser is None:
         return out
-    return out.withColumn("_m", parser(F.col("path"))).select(*TSV_COLS, "_m.*", "path")
+    # behind a generator, so that the path is parsed once a line, not once a column
+    return out.withColumn("_m", F.explode(F.array(parser(F.col("path"))))).select(*TSV_COLS, "_m.*", "path")
 
 
 def concat_core_external(core: DataFrame, external: DataFrame, key: str = "NotitieID") -> DataFrame:
