@@ -22,6 +22,7 @@ from noteframe.plans import q_sampling as QS
 from noteframe.plans.q_sampling import BATCH, SEED, select_sql
 from noteframe.plans.q_sources import _RULES, _TOK_SQL_RX, _scratch, CONLL_SQL
 from noteframe.plans.registry import register
+from noteframe.session import write_shared
 from noteframe.sources import annotations as AN
 from noteframe.sources import sinks as SK
 
@@ -82,8 +83,8 @@ def _pilot_sql(split: str) -> str:
 def pilot_with_text(spark, d):
     """(pad_sen_id, labels, text, len_text): positive pilot sentences, their tokens joined and anonymised."""
     place = F.split("sen_tok", "-")
-    t = b.tokens_raw(spark, d).select("NotitieID", F.get(place, 0).alias("sen"), F.get(place, 1).cast("int").alias("tok"), "token").distinct()
-    text = (t.groupBy(F.concat(F.lit("pilot_"), "NotitieID", F.lit("_"), pad_number("sen")).alias("pad_sen_id"))
+    t = b.tokens_by_note(spark, d).select("NotitieID", F.get(place, 0).alias("sen"), F.get(place, 1).cast("int").alias("tok"), "token").distinct()
+    text = (t.groupBy("NotitieID", F.concat(F.lit("pilot_"), "NotitieID", F.lit("_"), pad_number("sen")).alias("pad_sen_id"))
             .agg(F.array_sort(F.collect_list(F.struct("tok", "token"))).alias("w"))  # one sentence's tokens
             .select("pad_sen_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("text_raw")))
     return NL.anonymize_by_rules(QS._pilot_sentences(spark, d).join(text, "pad_sen_id"), _RULES, "text_raw", out="text")
@@ -101,7 +102,8 @@ def domain_dataset_q(spark, d):
     """D2, G6, S8 or C5, B11, S11: sentences with anonymised text and length; split 80/10/10 by note,
     or by given dev and test ids; background sentences without labels leave the training part, positive
     sentences of the pilot join it."""
-    s = NL.anonymize_by_rules(TK.sentences(spark, d), _RULES, "text_raw", out="text")
+    # written: the two modes and their parts come of it
+    s = write_shared(NL.anonymize_by_rules(TK.sentences(spark, d), _RULES, "text_raw", out="text").drop("text_raw"), "sentences")
     bucket = md5_bucket("NotitieID", F.lit("given")) % 10
     given = (s.select("NotitieID").distinct().filter(bucket < 2)
              .withColumn("split", F.when(bucket == 0, "dev").otherwise("test")))
@@ -146,12 +148,14 @@ def level_rows(spark, d):
 def level_datasets_q(spark, d):
     """Per unit, domain and split the rows with a gold level, with a predicted
     domain, with both, and the mean gold level."""
-    lp = TK.long_preds(spark, d).filter("preds = 1")
+    # written, without the text: split and predictions come of it
+    every = write_shared(TK.long_preds(spark, d).select("NotitieID", "pad_sen_id", "domains", "preds"), "long-preds")
+    lp = every.filter("preds = 1")
     on = ["unit", "domain", "key"]
     pred = (lp.select(F.lit("sent").alias("unit"), F.col("domains").alias("domain"), F.col("pad_sen_id").alias("key"))
             .unionByName(lp.select(F.lit("note").alias("unit"), F.col("domains").alias("domain"), F.col("NotitieID").alias("key")))
             .distinct().withColumn("hit", F.lit(True)))
-    split = S.group_split_3way(TK.sentences(spark, d).select("NotitieID").distinct(), "NotitieID", 0.8, TK.SPLIT_SEED)
+    split = S.group_split_3way(every.select("NotitieID").distinct(), "NotitieID", 0.8, TK.SPLIT_SEED)
     rows = level_rows(spark, d).join(pred, on, "left").join(split, "NotitieID")
     return rows.groupBy("unit", "domain", "split").agg(
         F.count("level").alias("n_gold"), F.count("hit").alias("n_predicted"),
