@@ -56,3 +56,13 @@ def test_stems_of_odd_paths(spark):
         want = [None if r["p"] is None else (m.group(1) if (m := re.search(rx, r["p"])) else "")
                 for rx in (r"([^/]+?)(\.[^./]*)?$", r"([^/]+?)(\.[^./]*)?/[^/]+$")]
         assert [r["f"], r["d"]] == want, r["p"]
+
+
+def test_pair_rows_need_both_words_in_one_stretch(spark):
+    from noteframe.operators import keyword_index as ki
+    # 60 pairs share their first word; only one partner stands in the stretch, and the next stretch has none
+    words = spark.createDataFrame([(f"the w{i}", "ADM", 2, i) for i in range(60)], "keyword string, domain string, template int, order long")
+    texts = spark.createDataFrame([("the a the w7 the b. the the the. w8 w9",)], "all_text string")
+    assert ki.find_indexed(texts, words, ["ADM"]).first()["ADM"] == ["the a the w7"]
+    found = ki.find_indexed(texts, words, ["ADM"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in found and "_hits" in found and "map_values" not in found
