@@ -209,8 +209,7 @@ def scan_annotation_tsv_q(spark, d):
             .groupBy("folder", "annotator").agg(F.array_sort(F.collect_list(F.struct("_s", "_t", "line"))).alias("l")))  # one note's lines
     text = F.concat(F.lit("#FORMAT=WebAnno TSV 3.3\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     out = _scratch(spark, "annotation_tsv")
-    (body.select("folder", "annotator", text.alias("value")).repartition("folder", "annotator")
-         .write.partitionBy("folder", "annotator").text(out))
+    SK.folder_writer(body.select("folder", "annotator", text.alias("value")), ["folder", "annotator"]).text(out)
 
     def parser(path):  # folder=<note>.conll/annotator=<name>/part
         return AN.parse_filename_default(F.regexp_replace(path, r"folder=([^/]+)/annotator=([^/]+)/[^/]+$", "$1/$2.tsv"))
@@ -247,7 +246,8 @@ def export_patient_files_q(spark, d):
     SK.export_per_patient(v, out, 4, LEVEL_COLS, date=["Notitiedatum", "NotitieID"])
     schema = "NotitieID string, Typenotitie string, Notitiedatum string, " + ", ".join(f"{c} double" for c in LEVEL_COLS) + ", MDN string"
     # rows of a file come in file order within a partition
-    rows = spark.read.schema(schema).option("header", True).csv(out).select("*", F.col("_metadata.file_path").alias("f"),
+    # a parser is made for every file: room for the columns there are, not for 20,480
+    rows = spark.read.schema(schema).option("header", True).option("maxColumns", 64).csv(out).select("*", F.col("_metadata.file_path").alias("f"),
                                                                             F.monotonically_increasing_id().alias("i"))
     per = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("i", "MDN", "NotitieID", "Typenotitie", "Notitiedatum"))).alias("r"))  # one patient
     return per.select(F.posexplode("r").alias("pos", "x")).select("x.MDN", "x.NotitieID", "x.Typenotitie", "x.Notitiedatum",

@@ -90,6 +90,18 @@ def test_sinks_roundtrip(spark):
     assert "all_text" not in spark.read.option("header", True).option("sep", "\t").csv(os.path.join(d, "flat")).columns
 
 
+def test_folders_are_written_by_all_tasks_without_checksum_files(spark):
+    d = _tmp()
+    rows = spark.createDataFrame([(f"p{i % 40}", str(i), f"2020-01-{28 - i // 40:02d}") for i in range(200)], "MDN string, n string, Notitiedatum string")
+    SK.export_per_patient(rows, d, 3)
+    files = [(os.path.basename(at), f) for at, _, fs in os.walk(d) for f in fs if "MDN=" in at]
+    assert len({f[:10] for _, f in files}) > 1                                          # part-00000, part-00001, ...
+    assert sorted(at for at, _ in files) == sorted(f"MDN=p{i}" for i in range(40))      # one file a patient, no .crc beside it
+    at, f = files[0]
+    dates = [x.split(",")[1] for x in open(os.path.join(d, at, f)).read().split()[1:]]
+    assert len(dates) == 5 and dates == sorted(dates)
+
+
 def test_register_stream(spark):
     d = _tmp()
     src, reg = os.path.join(d, "src"), os.path.join(d, "register")
