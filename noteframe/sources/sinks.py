@@ -40,8 +40,7 @@ def conll_layout(batch: DataFrame, batch_name: str, text: str = "all_text") -> D
 
 def export_conll(batch: DataFrame, path: str, batch_name: str, text: str = "all_text") -> None:
     """A folder per annotator, a file per note."""
-    (conll_layout(batch, batch_name, text).repartition("annotator", "file_name")
-        .write.mode("overwrite").partitionBy("annotator", "file_name").text(path))
+    folder_writer(conll_layout(batch, batch_name, text), ["annotator", "file_name"]).mode("overwrite").text(path)
 
 
 def per_patient_layout(df: DataFrame, n_cols: int = 7, empty_cols: Sequence[str] = (),
