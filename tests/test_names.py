@@ -71,3 +71,12 @@ def test_a_long_table(spark):
     df = spark.createDataFrame([(f"name{i} of place{i % 9} and name{i}",) for i in range(200)], "text string")
     got = {r["text"] for r in N.anonymize_names(df, table).collect()}
     assert got == {(f"P and name{i}" if i % 9 == i % 7 else f"name{i} of place{i % 9} and name{i}") for i in range(200)}
+
+
+def test_places_come_from_a_join(spark):
+    names = spark.createDataFrame([(f"n{i} x", "P") for i in range(3000)], "name string, label string")
+    text = " \t" + "\n".join(f"n{i}  x, y" for i in range(3000)) + "  "
+    made = N.anonymize_names(spark.createDataFrame([(1, text), (2, ""), (3, "  "), (4, None), (5, "a n1")], "id int, text string"), names)
+    assert "element_at(_firsts" not in made._jdf.queryExecution().optimizedPlan().toString()  # a lookup is as long as a text's first tokens are many
+    got = {r["id"]: (r["text"], r["len_text"]) for r in made.collect()}
+    assert got == {1: (" \t" + "\n".join(["P, y"] * 3000) + "  ", 12000), 2: ("", 0), 3: ("  ", 0), 4: (None, None), 5: ("a n1", 2)}
