@@ -47,8 +47,12 @@ def _plain(word: Column) -> Column:
 def stops(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(*keep, k, word, next, upper): full stops within a line that another stretch follows, with the words around them."""
     bare = lambda c: F.rtrim(c, F.lit(_BLANKS))
+    # mostly one blank follows the full stop: then its last run without blank is enough, and most other stretches need no look at all
+    plain = lambda c: c.endswith(". ")
+    stop = lambda c: plain(c) | (~c.endswith("\n") & bare(c).endswith("."))
+    tail = lambda c: F.when(plain(c), F.substring_index(F.rtrim(c), " ", -1)).otherwise(bare(c))
     pairs = F.transform(F.col("_c"), lambda c, k: F.when(
-        (k + 1 < F.size("_c")) & bare(c).endswith("."), F.struct(k.alias("k"), bare(c).alias("c"), F.get(F.col("_c"), k + 1).alias("d"))))
+        (k + 1 < F.size("_c")) & stop(c), F.struct(k.alias("k"), tail(c).alias("c"), F.get(F.col("_c"), k + 1).alias("d"))))
     at = (df.select(*keep, chunks(F.col(text)).alias("_c"))
           .select(*keep, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x")))
     first = F.regexp_extract("x.d", rf"^[^{WORD}]*([{WORD}]+)", 1)

@@ -71,3 +71,22 @@ def test_nothing_to_learn(spark):
     df = frame(spark, ["no stops here", None])
     assert [x.count() for x in S.learn(df, "text")] == [0, 0]
     assert S.split_sentences_learned(df.limit(0), "id", "text").count() == 0
+
+
+def test_stops_with_any_blanks(spark):
+    rng = random.Random(5)
+    bits = ["a.", "Dr.", "x", "e.g.", "3.", "b", "Q!", ".", "..", "é.", "(c).", "z.)", "ß"]
+    gaps = [" ", " ", "  ", "\t", " \t ", "\t ", "\n", " \n", ".\n ", "\x0b ", "\f", "\r\n", " ", ""]
+    texts = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    want = set()
+    for i, t in enumerate(texts):
+        c = [m.group(0) for m in re.finditer(r"(?s).+?(?:[.!?][ \t\n\x0b\f\r]+|\n|\Z)", t)]
+        for k, (x, y) in enumerate(zip(c, c[1:])):
+            if x.rstrip(" \t\x0b\f\r").endswith("."):
+                token = re.split(r"[ \t\x0b\f\r\n]", x.rstrip(" \t\x0b\f\r"))[-1]
+                bare = re.sub(r"[^\w.]+$", "", re.sub(r"^\W+", "", token)).lower()
+                want.add((i, k, re.sub(r"\.$", "", bare), (re.findall(r"\w+", y) or [""])[0].lower()))
+    found = S.stops(frame(spark, texts), "text", "id")
+    assert {(r["id"], r["k"], r["word"], r["next"]) for r in found.collect()} == want and len(want) > 500
+    # a stretch that ends like most is not cut sign by sign
+    assert "substring_index(rtrim(" in found._jdf.queryExecution().optimizedPlan().toString()
