@@ -63,3 +63,26 @@ def test_groups_of_different_norms(spark):
     train = spark.createDataFrame(rows, "id long, vec array<double>, label int")
     test = spark.createDataFrame([(1000 + i, v, 0) for i, v, _ in rows[:50]], "id long, vec array<double>, label int")
     assert {r["id"]: r["pred"] for r in K.classify_exact(train, test, 3, fit_rows=50, query_rows=10).collect()} == {1000 + i: i % 5 for i in range(50)}
+
+
+def test_bounded_neighbours_keep_ties_to_the_smaller_id(spark):
+    """200 copies of a point, more than the candidates that were measured: the 7 of smallest id vote."""
+    rng = np.random.default_rng(7)
+    p = np.vstack([rng.normal(size=(1500, 4)), np.zeros((200, 4)), rng.normal(size=(1500, 4))])
+    q = np.vstack([np.zeros((1, 4)), p[:40], rng.normal(size=(40, 4)), 1e6 * rng.normal(size=(3, 4))])
+    labels = rng.permutation(len(p)) % 5
+    labels[1500:1700] = 0
+    labels[1500:1504] = 3
+    ids, _ = by_hand(p, labels, q, 7)
+    assert (K.nearest_rows(7)(p)(q) == ids).all()
+    make = lambda v, lab, at: spark.createDataFrame([(at + i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, lab))], "id long, vec array<double>, label int")
+    got = {r["id"]: r["pred"] for r in M.knn_classify(make(p, labels, 0), make(q, [0] * len(q), 10_000)).collect()}
+    assert got == {10_000 + i: int(np.bincount(labels[near]).argmax()) for i, near in enumerate(ids)}
+    assert got[10_000] == 3
+
+
+@pytest.mark.parametrize("n", [1, 5, 33, 700])
+def test_bounded_neighbours_of_few_points(n):
+    rng = np.random.default_rng(n)
+    p, q = rng.normal(size=(n, 3)).round(), rng.normal(size=(70, 3)).round()
+    assert (K.nearest_rows(7)(p)(q) == by_hand(p, None, q, 7)[0]).all()
