@@ -2,7 +2,13 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 import __spark_entry__ as E
+from noteframe.operators import model as M
 
 SF = "/root/testdata/sf0.001"
 MODELS = {"logistic", "naive_bayes", "decision_tree", "random_forest", "knn"}
@@ -26,3 +32,17 @@ def test_metrics_are_those_of_the_predictions(spark):
     valid = {(r["model"], r["split"]): (r["n"], r["valid"], r["bayes_accuracy"]) for r in E.queries()["model_metrics"](spark, SF).collect()}
     assert valid == {k: (v[0], True, v[1] if k[0] == "naive_bayes" else None) for k, v in got.items()}  # all five models
     assert all(got[m, "train"][1] > 0.9 for m in ("decision_tree", "random_forest"))
+
+
+def test_trees_keep_the_node_of_a_row_and_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4)).round(1)
+    rows = [(float(int(v[0] + v[1] > 0) + int(v[2] > 1)), Vectors.dense(v.tolist())) for v in x]
+    train = spark.createDataFrame(rows, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])).repartition(3).cache()
+    models = M.fit_classifiers(train)
+    assert list(models) == ["logistic", "naive_bayes", "decision_tree", "random_forest"]
+    how = dict(impurity="entropy", seed=0, maxDepth=30, maxBins=256)
+    for name, plain in (("decision_tree", DecisionTreeClassifier(**how)), ("random_forest", RandomForestClassifier(numTrees=10, **how))):
+        assert models[name].getCacheNodeIds()
+        assert models[name].toDebugString.split("\n", 1)[1] == plain.fit(train).toDebugString.split("\n", 1)[1]
+    train.unpersist()
