@@ -86,3 +86,43 @@ def test_bounded_neighbours_of_few_points(n):
     rng = np.random.default_rng(n)
     p, q = rng.normal(size=(n, 3)).round(), rng.normal(size=(70, 3)).round()
     assert (K.nearest_rows(7)(p)(q) == by_hand(p, None, q, 7)[0]).all()
+
+
+def test_all_fitted_rows_are_neighbours(spark):
+    """More rows than the bound of a bounded model, on purpose: each row is its own nearest one."""
+    n = M.MAX_FIT_ROWS + 500
+    rows = spark.range(n).selectExpr("id", "array(double(id % 151), double(id div 151)) AS vec", "int(id % 7) AS label")
+    got = M.knn_classify(rows, rows.where("id % 4 = 0"), k=1)
+    assert got.where("pred = label").count() == (n + 3) // 4
+    assert M.knn_classify(rows, rows, k=1, max_fit_rows=M.MAX_FIT_ROWS).where("pred <> label").count() > 0
+
+
+@pytest.mark.parametrize("how", [{}, {"fit_rows": 40, "query_rows": 50}])
+def test_repeated_and_missing_ids_labels_and_equal_points(spark, how):
+    rows = [(i % 40 if i % 9 else None, [float(i % 3), 1.0], "abc"[i % 3] if i % 5 else None) for i in range(300)]
+    rows += [(7, [50.0, 50.0], "z"), (8, None, "z"), (9, [float("inf"), 0.0], "z")]
+    train = spark.createDataFrame(rows, "id int, vec array<double>, label string").repartition(5)
+    fitted = sorted((r for r in rows if r[1] and r[1][0] < 100), key=lambda r: (r[0] is not None, r[0] or 0, r[2] is not None, r[2] or ""))
+    asked = [(None, [0.0, 1.0], "x"), (1, [1.0, 1.0], "x"), (1, [1.0, 1.0], "x"), (1, [2.0, 1.1], "x"), (2, [49.0, 49.0], "x"), (3, [-900.0, 3.0], "x")]
+    want = []
+    for i, v, c in asked:
+        near = sorted(fitted, key=lambda r: np.sqrt(((np.array(v) - np.array(r[1])) ** 2).sum()))[:7]
+        votes = [r[2] for r in near]
+        want.append((i, v, c, min(set(votes), key=lambda x: (-votes.count(x), x is None, x or ""))))
+    test = spark.createDataFrame(asked, "id int, vec array<double>, label string")
+    got = [tuple(r) for r in K.classify_exact(train, test, 7, **how).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_search_within_a_cell_equals_brute_force():
+    rng = np.random.default_rng(11)
+    p, q = rng.normal(size=(5000, 6)).round(1), rng.normal(size=(900, 6)).round(1)
+    ids, d = by_hand(p, None, q, 7)
+    answer = K._tools()[3](p, p, 7)
+    for bound in (np.full(len(q), np.inf), d[:, -1].copy()):
+        got = np.full(ids.shape, -1)
+        for some, a, b, far, _ in answer(q, q, bound):
+            assert len(a) == 7 * len(some)
+            got[some] = b.reshape(-1, 7)
+            assert np.allclose(far.reshape(-1, 7), d[some])
+        assert (got == ids).all()
