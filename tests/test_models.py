@@ -46,3 +46,22 @@ def test_trees_keep_the_node_of_a_row_and_are_the_same(spark):
         assert models[name].getCacheNodeIds()
         assert models[name].toDebugString.split("\n", 1)[1] == plain.fit(train).toDebugString.split("\n", 1)[1]
     train.unpersist()
+
+
+def test_neighbours_come_from_all_training_rows(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(M, "MAX_FIT_ROWS", 5)
+    monkeypatch.setattr(M.knn_classify, "__defaults__", tuple(5 if v == 20_000 else v for v in M.knn_classify.__defaults__))
+    from noteframe.plans import q_model
+    sets = q_model._model_sets(spark, SF).cache()
+    monkeypatch.setattr(M, "fit_classifiers", lambda train: asked.append(train.count()) or {})
+    got = {(r["NotitieID"]): r["pred"] for r in q_model._predictions(sets).collect()}
+    from noteframe.operators import timeline
+    rows = sorted((r["NotitieID"], r["split"], r["label"], np.array([r[c] for c in timeline.FEATURES])) for r in sets.collect())
+    train = [r for r in rows if r[1] == "train"]
+    p = np.array([r[3] for r in train])
+    for i, _, _, v in rows:
+        votes = [train[j][2] for j in np.argsort(np.sqrt(((v - p) ** 2).sum(axis=1)), kind="stable")[:7]]
+        assert got[i] == min(set(votes), key=lambda x: (-votes.count(x), x))
+    assert asked == [len(train)] and len(train) > 5
+    sets.unpersist()
