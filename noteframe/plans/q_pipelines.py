@@ -25,6 +25,7 @@ from noteframe.plans.registry import register
 from noteframe.session import write_shared
 from noteframe.sources import annotations as AN
 from noteframe.sources import sinks as SK
+from noteframe.sources.small_files import folder_value, read_lines
 
 # ---- a batch from the raw notes: exclusions, cap per source, search, draw --
 # fixed value: the cap of a source
@@ -209,7 +210,7 @@ def scan_annotation_tsv_q(spark, d):
             .groupBy("folder", "annotator").agg(F.array_sort(F.collect_list(F.struct("_s", "_t", "line"))).alias("l")))  # one note's lines
     text = F.concat(F.lit("#FORMAT=WebAnno TSV 3.3\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     out = _scratch(spark, "annotation_tsv")
-    SK.folder_writer(body.select("folder", "annotator", text.alias("value")), ["folder", "annotator"]).text(out)
+    SK.text_folders(body.select("folder", "annotator", text.alias("value")), out, ["folder", "annotator"])
 
     def parser(path):  # folder=<note>.conll/annotator=<name>/part
         return AN.parse_filename_default(F.regexp_replace(path, r"folder=([^/]+)/annotator=([^/]+)/[^/]+$", "$1/$2.tsv"))
@@ -244,14 +245,12 @@ def export_patient_files_q(spark, d):
     out = _scratch(spark, "patients")
     v = b.visits(spark, d).withColumn("Notitiedatum", F.col("Notitiedatum").cast("string"))
     SK.export_per_patient(v, out, 4, LEVEL_COLS, date=["Notitiedatum", "NotitieID"])
-    schema = "NotitieID string, Typenotitie string, Notitiedatum string, " + ", ".join(f"{c} double" for c in LEVEL_COLS) + ", MDN string"
-    # rows of a file come in file order within a partition
-    # a parser is made for every file: room for the columns there are, not for 20,480
-    rows = spark.read.schema(schema).option("header", True).option("maxColumns", 64).csv(out).select("*", F.col("_metadata.file_path").alias("f"),
-                                                                            F.monotonically_increasing_id().alias("i"))
-    per = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("i", "MDN", "NotitieID", "Typenotitie", "Notitiedatum"))).alias("r"))  # one patient
-    return per.select(F.posexplode("r").alias("pos", "x")).select("x.MDN", "x.NotitieID", "x.Typenotitie", "x.Notitiedatum",
-                                                                  (F.col("pos") + 1).alias("line"))
+    schema = "NotitieID string, Typenotitie string, Notitiedatum string, " + ", ".join(f"{c} double" for c in LEVEL_COLS)
+    per = read_lines(spark, out, "*.csv").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("r"))  # one patient
+    # the first line is the header; behind a generator, so that a line is parsed once
+    lines = per.select("path", F.posexplode(F.slice("r", F.lit(2), F.size("r"))).alias("pos", "x"))
+    rows = lines.select(folder_value(F.col("path"), "MDN").alias("MDN"), "pos", F.explode(F.array(F.from_csv("x.value", schema))).alias("x"))
+    return rows.select("MDN", "x.NotitieID", "x.Typenotitie", "x.Notitiedatum", (F.col("pos") + 1).alias("line"))
 
 
 @register("export_chunk_files", "SELECT chunk, count(*) AS n_rows, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM ("

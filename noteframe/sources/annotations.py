@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from noteframe.functions.domains import LEGACY8_DEFAULTS, LEGACY_ROWREF_DEFAULTS
 from noteframe.operators.clean import drop_comment_blank_lines
-from noteframe.sources.notes import decoded_path
+from noteframe.sources.notes import decoded_path  # noqa: F401
+from noteframe.sources.small_files import read_lines
 
 TSV_COLS = ["sen_tok", "char", "token", "label", "relation"]
 META_COLS = ["annotator", "institution", "year", "MDN", "NotitieID", "batch", "legacy_rawfile"]
@@ -66,9 +67,7 @@ def scan_annotation_tsv(spark: SparkSession, path: str,
     number); fields are tab-split without quote handling, so a quote
     character is an ordinary token; token text such as 'NA' stays text
     (quirk Q3b). Metadata columns come from the file path via ``parser``."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-                  .text(path).select("value", decoded_path(F.col("_metadata.file_path")).alias("path")))
-    lines = drop_comment_blank_lines(lines)
+    lines = drop_comment_blank_lines(read_lines(spark, path, glob).select("value", "path"))
     parts = F.split(F.col("value"), "\t")
     out = lines.select(*[F.get(parts, i).alias(c) for i, c in enumerate(TSV_COLS)], "path")
     if parser is None:

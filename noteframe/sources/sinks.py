@@ -1,8 +1,9 @@
 """Exports and stage persistence.
 
 Writers take a layout DataFrame (built by the ``*_layout`` functions, which
-are lazy and testable) and write it with Spark's partitioned writers; no
-rows pass through the driver.
+are lazy and testable) and write it with Spark's partitioned writers, or, where
+files are very many, as :mod:`noteframe.sources.small_files` does; no rows pass
+through the driver.
 """
 
 from __future__ import annotations
@@ -14,20 +15,36 @@ from pyspark.sql import functions as F
 
 from noteframe.functions.text import year_from_date
 from noteframe.operators.nlp import conll_text
+from noteframe.sources.small_files import local_path, write_folders
 
 
 def folder_writer(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrameWriter:
     """A writer of one folder per value of ``keys``, a file each, its rows in ``order``.
 
     Files of a few rows cost the same whatever their size, so the writing tasks
-    are the session's shuffle partitions and are not merged by bytes. On a
-    local file system Hadoop's checksummed files start two processes each (a
-    chmod for the file, one for its checksum); the plain ones start one. Other
-    file systems are not concerned.
+    are the session's shuffle partitions and are not merged by bytes.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys)
-            .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", True))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys)
+
+
+def text_folders(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """One folder per value of ``keys``, a text file in each: the column beside the keys, a line a row."""
+    if (root := local_path(df.sparkSession, path)) is None:
+        folder_writer(df, keys).mode("overwrite").text(path)
+    else:
+        write_folders(df, root, keys, F.col(next(c for c in df.columns if c not in keys)))
+
+
+def csv_folders(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """One folder per value of ``keys``, in it a CSV file of the other columns with a header, its rows in ``order``."""
+    spark = df.sparkSession
+    if (root := local_path(spark, path)) is None:
+        folder_writer(df, keys, order).mode("overwrite").option("header", True).csv(path)
+        return
+    rest = [c for c in df.columns if c not in keys]
+    header = spark.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(rest)]))).first()[0]
+    write_folders(df, root, keys, F.to_csv(F.struct(*rest)), order, header, ".csv")
 
 
 def conll_layout(batch: DataFrame, batch_name: str, text: str = "all_text") -> DataFrame:
@@ -40,7 +57,7 @@ def conll_layout(batch: DataFrame, batch_name: str, text: str = "all_text") -> D
 
 def export_conll(batch: DataFrame, path: str, batch_name: str, text: str = "all_text") -> None:
     """A folder per annotator, a file per note."""
-    folder_writer(conll_layout(batch, batch_name, text), ["annotator", "file_name"]).mode("overwrite").text(path)
+    text_folders(conll_layout(batch, batch_name, text), path, ["annotator", "file_name"])
 
 
 def per_patient_layout(df: DataFrame, n_cols: int = 7, empty_cols: Sequence[str] = (),
@@ -53,8 +70,7 @@ def per_patient_layout(df: DataFrame, n_cols: int = 7, empty_cols: Sequence[str]
 def export_per_patient(df: DataFrame, path: str, n_cols: int = 7, empty_cols: Sequence[str] = (),
                        id_col: str = "MDN", date: str | Sequence[str] = "Notitiedatum") -> None:
     """Chronological notes of each patient, one folder per patient."""
-    (folder_writer(per_patient_layout(df, n_cols, empty_cols, id_col), [id_col], [date] if isinstance(date, str) else date)
-        .mode("overwrite").option("header", True).csv(path))
+    csv_folders(per_patient_layout(df, n_cols, empty_cols, id_col), path, [id_col], [date] if isinstance(date, str) else date)
 
 
 def chunk_layout(df: DataFrame, order: Sequence[str], size: int = 200000, out: str = "chunk") -> DataFrame:
